@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from sitegraph.functions.text import ascii_lower
 
 
-
 def _crawled():
     return F.col("status_code").isNotNull()
 

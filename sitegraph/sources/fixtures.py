@@ -83,8 +83,10 @@ def fixture_sql(name: str) -> str:
 
 def with_fixtures(names: list[str], body: str) -> str:
     """``WITH fx_a AS (...), fx_b AS (...) <body>`` for the oracle."""
-    ctes = ",\n".join(f"{n} AS ({fixture_sql(n)})" for n in names)
     body = body.strip()
+    if not names:
+        return body
+    ctes = ",\n".join(f"{n} AS ({fixture_sql(n)})" for n in names)
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -42,6 +42,15 @@ def _empty_str_array() -> Column:
     return F.array().cast("array<string>")
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    Expressions below refer to their input many times (one regex per URL
+    part); binding a computed input to a variable keeps the expression tree
+    linear instead of multiplying it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _group(u: Column, i: int) -> Column:
     return F.regexp_extract(u, URL_RE, i)
 
@@ -72,8 +81,7 @@ def host(url) -> Column:
     ``page.html``)."""
     u = _c(url)
     u = F.when(u.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+\-]*:|/)"), u).otherwise(F.concat(F.lit("//"), u))
-    p = parts(u)
-    return F.lower(p["host"])
+    return let(u, lambda v: F.lower(parts(v)["host"]))
 
 
 def _port_ok(port: Column) -> Column:
@@ -84,10 +92,14 @@ def domain(url) -> Column:
     """Host without one leading ``www.``; '' when there is none or it is unparsable."""
     u = _c(url)
     u2 = F.when(u.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+\-]*:|/)"), u).otherwise(F.concat(F.lit("//"), u))
-    p = parts(u2)
-    h = F.lower(p["host"])
-    ok = u.isNotNull() & _port_ok(p["port"]) & ~h.rlike(WS_CLASS)
-    return F.when(ok, F.regexp_replace(h, r"^www\.", "")).otherwise(F.lit(""))
+
+    def dom(v):
+        p = parts(v)
+        h = F.lower(p["host"])
+        ok = v.isNotNull() & _port_ok(p["port"]) & ~h.rlike(WS_CLASS)
+        return F.when(ok, F.regexp_replace(h, r"^www\.", "")).otherwise(F.lit(""))
+
+    return let(u2, dom)
 
 
 def remove_dot_segments(path: Column, drop_empty_middle: bool = False) -> Column:
@@ -96,6 +108,10 @@ def remove_dot_segments(path: Column, drop_empty_middle: bool = False) -> Column
     ``drop_empty_middle=True`` is the merge rule of ``urljoin`` (empty middle
     segments vanish, a ``..`` may pop the root, the leading ``/`` is restored
     by the caller); ``False`` is the parser's rule (root kept)."""
+    return let(path, lambda p: _remove_dots(p, drop_empty_middle))
+
+
+def _remove_dots(path: Column, drop_empty_middle: bool) -> Column:
     segs = F.split(path, "/", -1)
     if drop_empty_middle:
         n = F.size(segs)
@@ -124,8 +140,12 @@ def _lead_slash(p: Column) -> Column:
 
 def resolve(base, href) -> Column:
     """Resolve ``href`` (left-trimmed) against the absolute URL ``base``."""
-    b = parts(base)
     h = F.regexp_replace(_c(href), "^" + WS_CLASS + "+", "")
+    return let(h, lambda v: _resolve(_c(base), v))
+
+
+def _resolve(base: Column, h: Column) -> Column:
+    b = parts(base)
     hp = parts(h)
     b_root = F.concat(b["scheme"], F.lit("://"), b["authority"])
     b_noquery = F.concat(b_root, b["path"])
@@ -137,7 +157,7 @@ def resolve(base, href) -> Column:
     return (
         F.when(h.rlike(HAS_SCHEME), h)
         .when(h.startswith("//"), F.concat(b["scheme"], F.lit(":"), h))
-        .when(h == "", _c(base))
+        .when(h == "", base)
         .when(h.startswith("#"), F.concat(b_nofrag, h))
         .when(h.startswith("?"), F.concat(b_noquery, h))
         .when(h.startswith("/"), F.concat(b_root, _lead_slash(remove_dot_segments(h_path, True)), h_rest))
@@ -164,6 +184,10 @@ def normalise(url, base=None) -> Column:
     u = F.regexp_replace(_c(url), "^" + WS_CLASS + "+", "")
     if base is not None:
         u = resolve(base, u)
+    return let(u, _normalise)
+
+
+def _normalise(u: Column) -> Column:
     p = parts(u)
     scheme = F.lower(p["scheme"])
     h = F.lower(p["host"])
@@ -172,11 +196,11 @@ def normalise(url, base=None) -> Column:
     port = F.when((p["port"] == "") | default_port, F.lit("")).otherwise(
         F.concat(F.lit(":"), port_num.cast("string")))
     userinfo = F.when(p["has_userinfo"], F.concat(p["userinfo"], F.lit("@"))).otherwise(F.lit(""))
-    path = percent_encode(remove_dot_segments(p["path"]), PATH_SAFE)
-    path = F.when(path == "", F.lit("/")).otherwise(_lead_slash(path))
-    query = percent_encode(p["query"], QUERY_SAFE)
-    out = F.concat(scheme, F.lit("://"), userinfo, h, port, path,
-                   F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+    path = let(percent_encode(remove_dot_segments(p["path"]), PATH_SAFE),
+               lambda x: F.when(x == "", F.lit("/")).otherwise(_lead_slash(x)))
+    query = let(percent_encode(p["query"], QUERY_SAFE),
+                lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
+    out = F.concat(scheme, F.lit("://"), userinfo, h, port, path, query)
     ok = u.isNotNull() & p["has_authority"] & (h != "") & _port_ok(p["port"]) & ~h.rlike(WS_CLASS) & (scheme != "")
     return F.when(ok, out)
 
@@ -198,9 +222,8 @@ def is_external(url, root_domain, list_mode: bool = False) -> Column:
     """Domain differs from the root domain; never in List mode or without host."""
     if list_mode:
         return F.lit(False)
-    d = domain(url)
     root = F.lit(root_domain) if isinstance(root_domain, str) else root_domain
-    return (d != "") & (d != root)
+    return let(domain(url), lambda d: (d != "") & (d != root))
 
 
 def is_crawlable(url) -> Column:
@@ -219,9 +242,13 @@ def start_url(raw) -> Column:
     host or a space in the host (NULL), then normalise."""
     u = F.trim(_c(raw))
     u = F.when(u.rlike(HAS_SCHEME), u).otherwise(F.concat(F.lit("http://"), u))
-    p = parts(u)
-    bad = (~p["has_authority"]) | (p["authority"] == "") | p["authority"].contains(" ")
-    return F.when(~bad, normalise(u))
+
+    def repair(v):
+        p = parts(v)
+        bad = (~p["has_authority"]) | (p["authority"] == "") | p["authority"].contains(" ")
+        return F.when(~bad, normalise(v))
+
+    return let(u, repair)
 
 
 def list_url_ok(line) -> Column:

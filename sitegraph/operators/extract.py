@@ -93,19 +93,25 @@ def exclusion_predicate(url, rules) -> Column:
     return reduce(lambda a, b: a | b, preds, F.lit(False))
 
 
-def link_candidates(settings: CrawlSettings, url="url", base="_base", root="_root") -> Column:
-    """Per page: distinct valid links (resolved, normalised, internal unless
-    external links are kept, not excluded).  Robots is applied later."""
+def link_arrays(df: DataFrame, settings: CrawlSettings, base: str = "_base", root: str = "_root") -> DataFrame:
+    """Adds ``_links``: per page the distinct valid links (resolved against
+    the base, normalised, http(s) with a host, internal unless external links
+    are kept, not excluded).  Robots is applied later.
+
+    Each stage is its own array column so every element is resolved once and
+    normalised once (no re-evaluation of a nested expression)."""
     raw = F.concat(*[link_kind(k) for k in enabled_kinds(settings)])
-    resolved = F.transform(raw, lambda h: U.normalise(h, base=_c(base)))
 
     def valid(u):
         ok = u.isNotNull() & U.is_crawlable(u) & ~exclusion_predicate(u, settings.exclusions)
         if not settings.has("external_links") and not settings.list_mode:
-            ok = ok & ~U.is_external(u, _c(root))
+            ok = ok & ~U.is_external(u, F.col(root))
         return ok
 
-    return F.array_distinct(F.filter(resolved, valid))
+    return (df.withColumn("_abs", F.transform(raw, lambda h: U.resolve(F.col(base), h)))
+              .withColumn("_norm", F.transform("_abs", lambda u: U.normalise(u)))
+              .withColumn("_links", F.array_distinct(F.filter("_norm", valid)))
+              .drop("_abs", "_norm"))
 
 
 def extract_links(pages: DataFrame, settings: CrawlSettings, robots_rules: DataFrame | None = None,
@@ -119,9 +125,13 @@ def extract_links(pages: DataFrame, settings: CrawlSettings, robots_rules: DataF
         return pages.select(F.col(url).alias("url_from"), F.lit(None).cast("string").alias("url_to")).limit(0)
     staged = (with_markup(pages.select(url, html), html)
               .withColumn("_base", base_url(url))
-              .withColumn("_root", root_domain(settings, url))
-              .select(F.col(url).alias("url_from"), link_candidates(settings).alias("_links")))
-    links = staged.select("url_from", F.explode("_links").alias("url_to"))
+              .withColumn("_root", root_domain(settings, url)))
+    staged = link_arrays(staged, settings).select(F.col(url).alias("url_from"), "_links")
+    # explode_outer: an inner explode makes the optimizer infer a size(_links) > 0
+    # filter and push it below the projection, copying the whole array
+    # expression into it.
+    links = staged.select("url_from", F.explode_outer("_links").alias("url_to")) \
+        .filter(F.col("url_to").isNotNull())
     if robots_rules is not None and not settings.has("check_blocked_urls"):
         from sitegraph.operators.robots import with_robots_status
 

@@ -116,7 +116,7 @@ def rules_by_host(robots: DataFrame, agent: str, **kw) -> DataFrame:
 def allowed_by(rules: Column, target: Column) -> Column:
     """Longest-match decision for one path+query against a rules array."""
     def match(r):
-        return F.when(r["is_prefix"], target.startswith(r["prefix"])).otherwise(target.rlike(r["pattern"]))
+        return F.when(r["is_prefix"], target.startswith(r["prefix"])).otherwise(F.regexp(target, r["pattern"]))
 
     def best(allow: bool):
         return F.aggregate(rules, F.lit(-1),

@@ -82,9 +82,9 @@ def fetches_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = fixture(spark, sf_dir, "fx_html").select("page_id", "html")
     hops = fixture(spark, sf_dir, "fx_hops")
     empty = F.create_map().cast("map<string,string>")
-    history = hops.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("hop"), F.col("hop_url").alias("url"), F.col("status_code"),
-        empty.alias("headers")))).alias("history"))
+    ordered = F.sort_array(F.collect_list(F.struct("hop", F.col("hop_url").alias("url"), "status_code")))
+    history = hops.groupBy("page_id").agg(F.transform(ordered, lambda h: F.struct(
+        h["url"].alias("url"), h["status_code"].alias("status_code"), empty.alias("headers"))).alias("history"))
     link = F.when(F.col("canonical_http_header") != "",
                   F.concat(F.lit("<"), F.col("canonical_http_header"), F.lit('>; rel="canonical"'))
                   ).otherwise(F.lit(""))

@@ -1 +1,176 @@
-"""Registered queries."""
+"""Registered queries: link kinds, on-page items, directives, full page rows,
+link extraction, header projection, body gate and settings projection."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sitegraph.functions import html as H
+from sitegraph.functions import urls as U
+from sitegraph.functions.text import clean_list
+from sitegraph.operators import extract as X
+from sitegraph.operators.robots import with_robots_status
+from sitegraph.plans import sqlparts as S
+from sitegraph.plans.catalog import register
+from sitegraph.plans.common import FETCH_CTE, fetches_frame, html_frame, sql_with_pages
+from sitegraph.plans.robots_plans import AGENT, allowed_sql, robots_ctes
+from sitegraph.settings import CrawlSettings
+from sitegraph.sources.fixtures import fixture
+
+DEFAULT = CrawlSettings()
+SEP = DEFAULT.extraction_separator
+
+# query name -> link kind (raw values per page, document order, duplicates kept)
+LINK_KIND_QUERIES = {
+    "links_all": "href_all",
+    "links_follow": "href_follow",
+    "links_canonical": "canonical",
+    "links_hreflang": "hreflang",
+    "links_pagination": "pagination",
+    "links_images": "images",
+    "links_stylesheets": "stylesheets",
+    "links_javascript": "javascript",
+}
+
+
+def _kind_builder(kind):
+    def build(spark, sf):
+        return html_frame(spark, sf).select("page_id", F.explode(X.link_kind(kind)).alias("href"))
+    return build
+
+
+for _q, _k in LINK_KIND_QUERIES.items():
+    register(_q, sql_with_pages(f"SELECT page_id, unnest({S.link_kind_sql(_k, 'c', 'h')}) AS href FROM pg"))(
+        _kind_builder(_k))
+
+
+BASE_CTE = (f"pb AS (SELECT *, coalesce({S.normalise_sql('r')}, url) AS base FROM "
+            f"(SELECT *, CASE WHEN b1 IS NOT NULL THEN {S.resolve_sql('url', 'b1')} END AS r FROM "
+            f"(SELECT *, ({S.link_kind_sql('base', 'c', 'h')})[1] AS b1 FROM pg)))")
+
+
+@register("base_url", sql_with_pages("SELECT page_id, url, base AS base_url FROM pb", (BASE_CTE,)))
+def q_base_url(spark, sf):
+    return html_frame(spark, sf).select("page_id", "url", X.base_url("url").alias("base_url"))
+
+
+_TEXT_ITEMS = {
+    "onpage_h1": (lambda: H.joined(H.direct_texts("_clean", "h1"), SEP),
+                  S.joined_sql(S.direct_texts_sql("c", "h1"), SEP), "h1"),
+    "onpage_h2": (lambda: H.joined(H.direct_texts("_clean", "h2"), SEP),
+                  S.joined_sql(S.direct_texts_sql("c", "h2"), SEP), "h2"),
+    "onpage_title": (lambda: H.joined(H.direct_texts("_head", "title"), SEP),
+                     S.joined_sql(S.direct_texts_sql("h", "title"), SEP), "page_title"),
+    "onpage_description": (lambda: H.meta_description("_head", SEP),
+                           S.joined_sql(S.attr_values_sql(
+                               S.tags_sql("h", "meta"), "content",
+                               lambda t: f"({S.has_attr_sql(t, 'name')} AND {S.attr_sql(t, 'name')} = 'description')"),
+                               SEP), "meta_description"),
+    "meta_robots": (lambda: H.meta_robots("_clean", AGENT), S.meta_robots_sql("c", AGENT), "meta_robots"),
+}
+
+
+def _text_builder(expr, col):
+    def build(spark, sf):
+        return html_frame(spark, sf).select("page_id", expr().alias(col))
+    return build
+
+
+for _q, (_e, _sql, _col) in _TEXT_ITEMS.items():
+    register(_q, sql_with_pages(f"SELECT page_id, {_sql} AS {_col} FROM pg"))(_text_builder(_e, _col))
+
+
+CANON_SQL = (f"coalesce(CASE WHEN cr IS NOT NULL THEN {S.normalise_sql('cr')} END, '')")
+
+
+@register("canonical_tag", sql_with_pages(
+    f"SELECT page_id, {CANON_SQL} AS canonical_tag FROM (SELECT *, CASE WHEN c1 IS NOT NULL THEN "
+    f"{S.resolve_sql('base', 'c1')} END AS cr FROM (SELECT *, ({S.link_kind_sql('canonical', 'c', 'h')})[1] AS c1 "
+    f"FROM pb))", (BASE_CTE,)))
+def q_canonical_tag(spark, sf):
+    df = html_frame(spark, sf).withColumn("_base", X.base_url("url"))
+    first = F.get(H.canonical_hrefs("_head"), 0)
+    return df.select("page_id", F.coalesce(F.when(first.isNotNull(), U.normalise(first, base=F.col("_base"))),
+                                           F.lit("")).alias("canonical_tag"))
+
+
+@register("canonical_header", sql_with_pages(
+    f"SELECT page_id, url, {S.canonical_header_sql('link_header')} AS canonical_http_header FROM f",
+    (FETCH_CTE,), fixtures=("fx_crawl", "fx_html")))
+def q_canonical_header(spark, sf):
+    f = X.header_info(fetches_frame(spark, sf))
+    return f.select("page_id", "url", "canonical_http_header")
+
+
+@register("clean_list", sql_with_pages(
+    f"SELECT page_id, CAST(len(t) AS BIGINT) AS n_raw, CAST(len({S.clean_list_sql('t')}) AS BIGINT) AS n_clean, "
+    f"array_to_string({S.clean_list_sql('t')}, '|') AS cleaned FROM "
+    f"(SELECT page_id, {S.direct_texts_sql('c', 'h2')} AS t FROM pg)"))
+def q_clean_list(spark, sf):
+    df = html_frame(spark, sf).withColumn("_t", H.direct_texts("_clean", "h2"))
+    return df.select("page_id", F.size("_t").cast("bigint").alias("n_raw"),
+                     F.size(clean_list(F.col("_t"))).cast("bigint").alias("n_clean"),
+                     F.array_join(clean_list(F.col("_t")), "|").alias("cleaned"))
+
+
+# -- S3 header projection, S2 body gate ---------------------------------------
+
+@register("header_info", sql_with_pages(
+    "SELECT page_id, url, status_code, content_type, x_robots_tag, "
+    f"{S.canonical_header_sql('link_header')} AS canonical_http_header FROM f",
+    (FETCH_CTE,), fixtures=("fx_crawl", "fx_html")))
+def q_header_info(spark, sf):
+    f = X.header_info(fetches_frame(spark, sf))
+    return f.select("page_id", "url", "status_code", "content_type", "x_robots_tag", "canonical_http_header")
+
+
+@register("body_gate", sql_with_pages(
+    "SELECT page_id, url, content_type, (contains(content_type, 'text') AND html IS NOT NULL) AS has_body FROM f",
+    (FETCH_CTE,), fixtures=("fx_crawl", "fx_html")))
+def q_body_gate(spark, sf):
+    f = X.body_gate(X.header_info(fetches_frame(spark, sf)), DEFAULT)
+    return f.select("page_id", "url", "content_type", F.col("html").isNotNull().alias("has_body"))
+
+
+# -- X10 link extraction, U12 valid links -------------------------------------
+
+def _link_sql(settings: CrawlSettings) -> str:
+    kinds = ", ".join(S.link_kind_sql(k, "c", "h") for k in X.enabled_kinds(settings))
+    return (f"pl AS (SELECT page_id, url, base, {S.domain_sql('url')} AS root, "
+            f"unnest(list_concat({kinds})) AS href FROM pb), "
+            f"pr AS (SELECT *, {S.resolve_sql('base', 'href')} AS r FROM pl), "
+            f"pn AS (SELECT page_id, url, root, href, {S.normalise_sql('r')} AS link FROM pr)")
+
+
+VALID_SQL = f"(link IS NOT NULL AND {S.is_crawlable_sql('link')} AND NOT {S.is_external_sql('link', 'root')})"
+
+
+@register("extract_links", sql_with_pages(
+    f"SELECT DISTINCT url_from, url_to FROM {allowed_sql('cand', url='url_to')} WHERE allowed",
+    (BASE_CTE, _link_sql(DEFAULT),
+     f"cand AS (SELECT DISTINCT url AS url_from, link AS url_to FROM pn WHERE {VALID_SQL})", *robots_ctes()),
+    fixtures=("fx_html", "fx_robots")))
+def q_extract_links(spark, sf):
+    pages = fixture(spark, sf, "fx_html").select("url", "html")
+    return X.extract_links(pages, DEFAULT, fixture(spark, sf, "fx_robots"))
+
+
+@register("valid_links", sql_with_pages(
+    f"SELECT page_id, href, link, crawlable, internal, robots_txt, (crawlable AND internal AND robots_txt = 'allowed') "
+    f"AS valid FROM (SELECT page_id, href, link, crawlable, internal, CASE WHEN allowed THEN 'allowed' ELSE 'blocked' "
+    f"END AS robots_txt FROM {allowed_sql('pc', url='link')})",
+    (BASE_CTE, _link_sql(DEFAULT),
+     f"pc AS (SELECT page_id, href, link, {S.is_crawlable_sql('link')} AS crawlable, "
+     f"NOT {S.is_external_sql('link', 'root')} AS internal FROM pn WHERE link IS NOT NULL)", *robots_ctes()),
+    fixtures=("fx_html", "fx_robots")))
+def q_valid_links(spark, sf):
+    df = (html_frame(spark, sf).withColumn("_base", X.base_url("url")).withColumn("_root", U.domain("url"))
+          .select("page_id", "_base", "_root",
+                  F.explode(F.concat(*[X.link_kind(k) for k in X.enabled_kinds(DEFAULT)])).alias("href"))
+          .withColumn("_r", U.resolve(F.col("_base"), F.col("href")))
+          .withColumn("link", U.normalise("_r"))
+          .filter(F.col("link").isNotNull())
+          .select("page_id", "href", "link", U.is_crawlable("link").alias("crawlable"),
+                  (~U.is_external("link", F.col("_root"))).alias("internal")))
+    df = with_robots_status(df, "link", fixture(spark, sf, "fx_robots"), AGENT)
+    return df.withColumn("valid", F.col("crawlable") & F.col("internal") & (F.col("robots_txt") == "allowed"))

@@ -128,15 +128,20 @@ def settings_from_config(rows: list, extractions: list = (), exclusions: list =
         exclusions=tuple(tuple(e) for e in exclusions), extractions=tuple(tuple(e) for e in extractions))
 
 
+# NULL is written as \N so that it stays distinct from an empty string.
+NULL_MARK = "\\N"
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV export of any view: header row, comma separated, quoted only
     where needed, UTF-8 (no BOM; Spark writers do not emit one)."""
     df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8") \
-        .option("quoteAll", False).option("escape", '"').csv(path)
+        .option("quoteAll", False).option("escape", '"').option("nullValue", NULL_MARK).csv(path)
 
 
 def read_csv_export(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+    reader = (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+              .option("nullValue", NULL_MARK).option("emptyValue", ""))
     if schema is not None:
         reader = reader.schema(schema)
     return reader.csv(path)

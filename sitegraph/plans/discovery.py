@@ -77,16 +77,17 @@ def q_insert_discovered(spark, sf):
 
 def upsert_batch(spark, sf):
     """A crawl batch from the redirect fixtures: the final page first, then
-    each hop, then a late duplicate of every first hop (must lose)."""
+    each hop, then a late duplicate of every first hop (must lose).  ``part``
+    is the arrival order for the streaming queries."""
     hops = fixture(spark, sf, "fx_hops")
     pages = hops.filter(F.col("hop") == 0).select(
         F.col("final_url").alias("url"), F.lit(200).alias("status_code"),
-        F.lit("text/html").alias("content_type"), (F.col("page_id") * 4).alias("seq"))
+        F.lit("text/html").alias("content_type"), (F.col("page_id") * 4).alias("seq"), F.lit(0).alias("part"))
     hop_rows = hops.select(F.col("hop_url").alias("url"), "status_code", F.lit("").alias("content_type"),
-                           (F.col("page_id") * 4 + F.col("hop") + 1).alias("seq"))
+                           (F.col("page_id") * 4 + F.col("hop") + 1).alias("seq"), F.lit(1).alias("part"))
     late = hops.filter(F.col("hop") == 0).select(
         F.col("hop_url").alias("url"), F.lit(500).alias("status_code"), F.lit("").alias("content_type"),
-        (F.col("page_id") * 4 + 9).alias("seq"))
+        (F.col("page_id") * 4 + 9).alias("seq"), F.lit(2).alias("part"))
     return pages.unionByName(hop_rows).unionByName(late)
 
 
@@ -113,7 +114,7 @@ FROM j""")
 @register("upsert_crawl", UPSERT_SQL)
 def q_upsert_crawl(spark, sf):
     before = fixture(spark, sf, "fx_crawl").select("page_id", "url", "status_code", "content_type")
-    return ST.upsert(before, upsert_batch(spark, sf), "seq")
+    return ST.upsert(before, upsert_batch(spark, sf).drop("part"), "seq")
 
 
 @register("inlinks_build", sql_links(

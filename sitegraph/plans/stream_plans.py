@@ -1 +1,91 @@
-"""Registered queries."""
+"""Registered queries: streaming ingest, stream dedupe, change feed,
+throughput (batch and streaming) and streaming attempt counters.
+
+Each streaming query writes its input (derived from the driver tables) as
+files into the shared checkpoint folder, runs the stream with
+``trigger(availableNow=True)`` until the input is used up, and returns the
+final state read back from the sink, which must equal the batch answer.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sitegraph.plans.catalog import register
+from sitegraph.plans.discovery import BATCH_CTE, UPSERT_SQL, upsert_batch
+from sitegraph.session import scratch_path
+from sitegraph.sources.fixtures import fixture, with_fixtures
+from sitegraph.streaming import ingest as T
+
+
+def _batch_chunks(spark, sf):
+    """Crawl rows in arrival order: page rows, then hop rows, then late
+    duplicates of first hops (which must lose)."""
+    rows = upsert_batch(spark, sf)
+    return [rows.filter(F.col("part") == k).drop("part") for k in range(3)]
+
+
+@register("stream_ingest", UPSERT_SQL)
+def q_stream_ingest(spark, sf):
+    source = T.write_chunks(_batch_chunks(spark, sf), scratch_path(spark, "ingest-src"))
+    base = fixture(spark, sf, "fx_crawl").select("page_id", "url", "status_code", "content_type")
+    store = T.CrawlStore(spark, scratch_path(spark, "crawl-store")).create(base)
+    T.run_ingest(spark, source, store)
+    return store.current().select("url", "page_id", "status_code", "content_type", "change")
+
+
+@register("stream_dedupe", with_fixtures(["fx_hops"], f"WITH {BATCH_CTE} SELECT DISTINCT url FROM batch"))
+def q_stream_dedupe(spark, sf):
+    source = T.write_chunks(_batch_chunks(spark, sf), scratch_path(spark, "dedupe-src"))
+    return T.run_dedupe(spark, source).select("url")
+
+
+@register("stream_changes")
+def q_stream_changes(spark, sf):
+    source = T.write_chunks(_batch_chunks(spark, sf), scratch_path(spark, "changes-src"))
+    base = fixture(spark, sf, "fx_crawl").select("page_id", "url", "status_code", "content_type")
+    store = T.CrawlStore(spark, scratch_path(spark, "changes-store")).create(base)
+    T.run_ingest(spark, source, store)
+    return store.log().select("url", "status_code", "change", "batch_id")
+
+
+THROUGHPUT_SQL = with_fixtures(["fx_attempts"], """
+SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+       strftime(time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour, '%Y-%m-%d %H:%M:%S') AS window_end,
+       count(*) AS urls
+FROM fx_attempts WHERE outcome = 'ok' GROUP BY 1, 2""")
+
+
+@register("throughput", THROUGHPUT_SQL)
+def q_throughput(spark, sf):
+    return T.throughput(fixture(spark, sf, "fx_attempts").filter(F.col("outcome") == "ok"))
+
+
+@register("stream_throughput", THROUGHPUT_SQL)
+def q_stream_throughput(spark, sf):
+    # event-time watermarks need TIMESTAMP (the table stores TIMESTAMP_NTZ; session zone is UTC)
+    ok = fixture(spark, sf, "fx_attempts").filter(F.col("outcome") == "ok").select(
+        F.col("ts").cast("timestamp").alias("ts"), "url")
+    span = ok.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    n = 4
+    step = max((span["hi"] - span["lo"]).total_seconds() / n, 1.0)
+    chunks = []
+    for k in range(n):
+        lo = F.lit(span["lo"]) + F.expr(f"make_dt_interval(0, 0, 0, {k * step})")
+        hi = F.lit(span["lo"]) + F.expr(f"make_dt_interval(0, 0, 0, {(k + 1) * step})")
+        cond = (F.col("ts") >= lo) & ((F.col("ts") < hi) if k < n - 1 else F.lit(True))
+        chunks.append(ok.filter(cond))
+    source = T.write_chunks(chunks, scratch_path(spark, "throughput-src"))
+    # rows of one chunk arrive in any file order: the watermark trails by more
+    # than a chunk's span, so no row is ever late (results stay whole)
+    delay = f"{int(step) + 3600} seconds"
+    return T.run_throughput(spark, source, watermark=delay)
+
+
+@register("stream_attempts", with_fixtures(["fx_attempts"], """
+SELECT url, count_if(outcome <> 'ok') AS failures, count_if(outcome = 'ok') AS successes
+FROM fx_attempts GROUP BY url"""))
+def q_stream_attempts(spark, sf):
+    att = fixture(spark, sf, "fx_attempts").select("url", "outcome", "ts")
+    source = T.write_chunks([att], scratch_path(spark, "attempts-src"))
+    return T.run_attempt_counter(spark, source, max_files=2)

@@ -250,3 +250,51 @@ def q_initial_url(spark, sf):
     f = fetches_frame(spark, sf)
     return f.select("page_id", "url", RD.initial_url().alias("initial_url"),
                     (F.size("history") > 0).alias("redirected"))
+
+
+# -- scale versions over fx_crawl_big / fx_edges_big ---------------------------
+
+from sitegraph.operators.views import broken_inlinks  # noqa: E402
+
+
+@register("broken_inlinks_big", with_fixtures(["fx_crawl_big", "fx_edges_big"], """
+SELECT s.url AS url_from, t.url AS url_to, t.status_code
+FROM (SELECT DISTINCT from_id, to_id FROM fx_edges_big) e
+JOIN fx_crawl_big t ON t.id = e.to_id JOIN fx_crawl_big s ON s.id = e.from_id
+WHERE t.status_code IS NOT NULL AND t.status_code <> 200"""))
+def q_broken_inlinks_big(spark, sf):
+    return broken_inlinks(fixture(spark, sf, "fx_crawl_big"), fixture(spark, sf, "fx_edges_big"),
+                          key="id", src="from_id", dst="to_id")
+
+
+def big_batch(spark, sf):
+    """Every known URL fetched again (first seen wins) plus one new URL per page."""
+    c = fixture(spark, sf, "fx_crawl_big")
+    again = c.select("url", F.lit(200).alias("status_code"), F.col("id").alias("seq"))
+    fresh = c.select(F.concat("url", F.lit("/next")).alias("url"), F.lit(200).alias("status_code"),
+                     (F.col("id") + F.lit(10**12)).alias("seq"))
+    return again.unionByName(fresh)
+
+
+@register("upsert_crawl_big", with_fixtures(["fx_crawl_big"], """
+WITH b AS (SELECT url, 200 AS status_code FROM fx_crawl_big UNION ALL SELECT url || '/next', 200 FROM fx_crawl_big),
+j AS (SELECT o.url AS ourl, o.id, o.status_code AS os, n.url AS nurl, n.status_code AS ns,
+             (n.url IS NOT NULL AND (o.url IS NULL OR o.status_code IS NULL)) AS take_new
+      FROM fx_crawl_big o FULL OUTER JOIN b n ON o.url = n.url)
+SELECT coalesce(ourl, nurl) AS url, id, CASE WHEN take_new THEN ns ELSE os END AS status_code,
+       CASE WHEN ourl IS NULL THEN 'new' WHEN nurl IS NOT NULL AND os IS NULL THEN 'updated' END AS change
+FROM j"""))
+def q_upsert_crawl_big(spark, sf):
+    return ST.upsert(fixture(spark, sf, "fx_crawl_big"), big_batch(spark, sf), "seq")
+
+
+@register("inlinks_big", with_fixtures(["fx_crawl_big", "fx_edges_big"], """
+SELECT t.url AS url, count(*) AS inlinks
+FROM (SELECT DISTINCT from_id, to_id FROM fx_edges_big) e JOIN fx_crawl_big t ON t.id = e.to_id
+GROUP BY t.url"""))
+def q_inlinks_big(spark, sf):
+    """Unique inlinks per URL (the inlinks report at scale)."""
+    crawl = fixture(spark, sf, "fx_crawl_big")
+    e = fixture(spark, sf, "fx_edges_big").select("from_id", "to_id").distinct()
+    return (e.groupBy("to_id").agg(F.count(F.lit(1)).alias("inlinks"))
+            .join(crawl.select(F.col("id").alias("to_id"), "url"), "to_id").select("url", "inlinks"))

@@ -174,3 +174,87 @@ def q_valid_links(spark, sf):
                   (~U.is_external("link", F.col("_root"))).alias("internal")))
     df = with_robots_status(df, "link", fixture(spark, sf, "fx_robots"), AGENT)
     return df.withColumn("valid", F.col("crawlable") & F.col("internal") & (F.col("robots_txt") == "allowed"))
+
+
+# -- X22 full page rows, S4 settings projection, V21 on-page length, S1 scan ---
+
+def _gated_fetch_ctes() -> tuple:
+    """f (fetches) -> g (body gated, cleaned, head, base) in SQL."""
+    return (
+        FETCH_CTE,
+        "g0 AS (SELECT *, CASE WHEN contains(content_type, 'text') THEN html END AS body FROM f)",
+        f"g1 AS (SELECT *, {S.clean_html_sql('body')} AS c FROM g0)",
+        f"g2 AS (SELECT *, {S.head_sql('c')} AS h FROM g1)",
+        f"g3 AS (SELECT *, ({S.link_kind_sql('base', 'c', 'h')})[1] AS b1 FROM g2)",
+        f"g4 AS (SELECT *, CASE WHEN b1 IS NOT NULL THEN {S.resolve_sql('url', 'b1')} END AS br FROM g3)",
+        f"g AS (SELECT *, coalesce({S.normalise_sql('br')}, url) AS base, "
+        f"({S.link_kind_sql('canonical', 'c', 'h')})[1] AS c1, body IS NOT NULL AND length(body) > 0 AS has_body "
+        f"FROM g4)",
+    )
+
+
+def _items_sql(settings: CrawlSettings) -> str:
+    sep = settings.extraction_separator
+
+    def item(e):
+        return f"CASE WHEN has_body THEN {e} ELSE '' END"
+
+    canon = f"coalesce(CASE WHEN c1 IS NOT NULL THEN {S.normalise_sql('cr')} END, '')"
+    return (
+        f"it0 AS (SELECT *, CASE WHEN c1 IS NOT NULL THEN {S.resolve_sql('base', 'c1')} END AS cr FROM g), "
+        f"it AS (SELECT page_id, url, status_code, content_type, x_robots_tag, "
+        f"{S.canonical_header_sql('link_header')} AS canonical_http_header, "
+        f"{item(S.joined_sql(S.direct_texts_sql('c', 'h1'), sep))} AS h1, "
+        f"{item(S.joined_sql(S.direct_texts_sql('c', 'h2'), sep))} AS h2, "
+        f"{item(S.joined_sql(S.direct_texts_sql('h', 'title'), sep))} AS page_title, "
+        f"{item(_TEXT_ITEMS['onpage_description'][1])} AS meta_description, "
+        f"{item(canon)} AS canonical_tag, "
+        f"{item(S.meta_robots_sql('c', settings.agent))} AS meta_robots FROM it0)")
+
+
+def _page_rows_sql(settings: CrawlSettings) -> str:
+    cols = settings.output_columns()
+    sel = ", ".join(f"coalesce(CAST(r.{c} AS VARCHAR), '')" + f" AS {c}" if c != "status_code" else "r.status_code"
+                    for c in cols)
+    body = (f"SELECT r.page_id, {sel} FROM (SELECT a.*, "
+            f"{S.crawl_status_sql('a')} AS crawl_status, '' AS redirect_url FROM "
+            f"(SELECT x.*, CASE WHEN allowed THEN 'allowed' ELSE 'blocked' END AS robots_txt "
+            f"FROM {allowed_sql('it')} x) a) r")
+    return sql_with_pages(body, (*_gated_fetch_ctes(), _items_sql(settings), *robots_ctes()),
+                          fixtures=("fx_crawl", "fx_html", "fx_robots"))
+
+
+@register("page_rows", _page_rows_sql(DEFAULT))
+def q_page_rows(spark, sf):
+    return X.page_rows(fetches_frame(spark, sf), DEFAULT, fixture(spark, sf, "fx_robots"))
+
+
+ITEMS_SETTINGS = CrawlSettings(crawl_items=("url", "status_code", "h1", "h2", "page_title", "robots_txt",
+                                            "crawl_status"), extraction_separator="; ")
+
+
+@register("project_items", _page_rows_sql(ITEMS_SETTINGS))
+def q_project_items(spark, sf):
+    return X.page_rows(fetches_frame(spark, sf), ITEMS_SETTINGS, fixture(spark, sf, "fx_robots"))
+
+
+@register("onpage_length", sql_with_pages(
+    f"SELECT url, page_title, CAST(length(page_title) AS INTEGER) AS length FROM "
+    f"(SELECT url, {S.joined_sql(S.direct_texts_sql('h', 'title'), SEP)} AS page_title FROM pg) "
+    f"ORDER BY length DESC, url"))
+def q_onpage_length(spark, sf):
+    from sitegraph.operators.views import onpage_length
+
+    titled = html_frame(spark, sf).select(
+        "url", H.joined(H.direct_texts("_head", "title"), SEP).alias("page_title"),
+        F.lit(200).alias("status_code"))
+    return onpage_length(titled, "page_title")
+
+
+@register("scan_pages", "SELECT page_id, url, 200 AS status_code, html, 0 AS n_headers, 0 AS n_hops FROM pages")
+def q_scan_pages(spark, sf):
+    from sitegraph.sources.io import scan_pages
+
+    df = scan_pages(spark, f"{sf.rstrip('/')}/pages.parquet")
+    return df.select("page_id", "url", "status_code", "html",
+                     F.size("headers").alias("n_headers"), F.size("history").alias("n_hops"))

@@ -36,10 +36,20 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Extraction is CPU-bound per page: when the input has fewer partitions
+    than the cluster has cores (one small file), spread the rows round-robin.
+    Inputs already split wider than the cluster are left untouched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def with_markup(pages: DataFrame, html: str = "html") -> DataFrame:
     """Add ``_clean`` (comments, script and style bodies removed) and ``_head``."""
-    return (pages.withColumn("_clean", H.clean(html))
-                 .withColumn("_head", H.head("_clean")))
+    return (spread(pages).withColumn("_clean", H.clean(html))
+                         .withColumn("_head", H.head("_clean")))
 
 
 def link_kind(kind: str, cleaned="_clean", head="_head") -> Column:

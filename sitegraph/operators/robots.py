@@ -60,32 +60,34 @@ def parse_rules(robots: DataFrame, host: str = "host", text: str = "robots_text"
         F.when(F.col("kind") == "agent", token).otherwise(F.col("value")).alias("value"))
 
 
+def _with_chosen_agent(rules: DataFrame, agent: str) -> DataFrame:
+    """Adds ``agent`` (the token that applies on this host, NULL when none)
+    to every line, with window aggregates over the host partition the
+    parser already produced (no further exchange)."""
+    a = F.lit(agent.lower())
+    is_agent = (F.col("kind") == "agent") & (F.col("value") != "")
+    tok = F.lower(F.col("value"))
+    spec = F.when(is_agent & (tok != "*") & a.contains(tok), F.length("value"))
+    host = Window.partitionBy("host")
+    best = F.max_by(F.when(spec.isNotNull(), tok), F.struct(spec, tok)).over(host)
+    star = F.max((is_agent & (tok == "*")).cast("int")).over(host)
+    chosen = F.when(F.max(spec).over(host).isNotNull(), best).when(star == 1, F.lit("*"))
+    return rules.withColumn("agent", chosen)
+
+
 def choose_agent(rules: DataFrame, agent: str) -> DataFrame:
     """(host, agent): the robots token that applies to the crawler per host."""
-    a = F.lit(agent.lower())
-    tok = F.col("value")
-    agents = rules.filter((F.col("kind") == "agent") & (tok != ""))
-    specific = F.when((tok != "*") & a.contains(F.lower(tok)), F.length(tok))
-    return (agents.groupBy("host")
-            .agg(F.max_by(F.lower(tok), F.struct(specific, F.lower(tok))).alias("_best"),
-                 F.max(specific).alias("_len"),
-                 F.max((tok == "*").cast("int")).alias("_star"))
-            .select("host",
-                    F.when(F.col("_len").isNotNull(), F.col("_best"))
-                    .when(F.col("_star") == 1, F.lit("*")).alias("agent"))
-            .filter(F.col("agent").isNotNull()))
+    return (_with_chosen_agent(rules, agent).filter(F.col("agent").isNotNull())
+            .groupBy("host").agg(F.first("agent").alias("agent")))
 
 
 def agent_rules(rules: DataFrame, agent: str) -> DataFrame:
     """(host, kind, path): allow/disallow rules of every group naming the
     chosen agent (all groups merged); empty paths dropped."""
-    chosen = choose_agent(rules, agent)
-    groups = (rules.filter(F.col("kind") == "agent")
-              .select("host", "grp", F.lower("value").alias("agent"))
-              .join(chosen, ["host", "agent"], "left_semi")
-              .select("host", "grp").distinct())
-    return (rules.filter(F.col("kind").isin("allow", "disallow") & (F.col("value") != ""))
-            .join(groups, ["host", "grp"], "left_semi")
+    r = _with_chosen_agent(rules, agent)
+    names_it = ((F.col("kind") == "agent") & (F.lower("value") == F.col("agent"))).cast("int")
+    r = r.withColumn("_grp_hit", F.max(names_it).over(Window.partitionBy("host", "grp")))
+    return (r.filter(F.col("kind").isin("allow", "disallow") & (F.col("value") != "") & (F.col("_grp_hit") == 1))
             .select("host", "kind", F.col("value").alias("path")))
 
 

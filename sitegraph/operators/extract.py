@@ -151,8 +151,9 @@ def extract_links(pages: DataFrame, settings: CrawlSettings, robots_rules: DataF
 
 
 def page_items(pages: DataFrame, settings: CrawlSettings, url: str = "url", html: str = "html") -> DataFrame:
-    """On-page items (h1, h2, title, description, canonical, meta robots, custom
-    extractions) for every page; pages without a body get ''."""
+    """On-page items (h1, h2, title, description, canonical, meta robots) for
+    every page; pages without a body get ''.  Custom extractions are joined
+    by :func:`page_rows`."""
     sep = settings.extraction_separator
     staged = (with_markup(pages, html).withColumn("_base", base_url(url)))
     body = F.col(html).isNotNull() & (F.length(F.col(html)) > 0)
@@ -170,10 +171,6 @@ def page_items(pages: DataFrame, settings: CrawlSettings, url: str = "url", html
                                          F.lit(""))),
         "meta_robots": item(H.meta_robots("_clean", settings.agent)),
     }
-    if settings.extractions:
-        from sitegraph.operators.selectors import extraction_columns
-
-        cols.update(extraction_columns(settings, "_clean", sep, body))
     out = staged
     for name, expr in cols.items():
         out = out.withColumn(name, expr)
@@ -206,7 +203,13 @@ def page_rows(fetches: DataFrame, settings: CrawlSettings, robots_rules: DataFra
     """Full crawl row of every fetched page: header info, on-page items,
     directives, custom extractions, robots status and crawl status, projected
     to the enabled columns (blanks as '')."""
-    rows = page_items(body_gate(header_info(fetches, url), settings, url), settings, url).drop("html")
+    gated = body_gate(header_info(fetches, url), settings, url)
+    rows = page_items(gated, settings, url).drop("html")
+    if settings.extractions:
+        from sitegraph.operators.selectors import extraction_table
+
+        custom = extraction_table(gated.filter(F.col("html").isNotNull()), settings, url)
+        rows = rows.join(custom.withColumnRenamed("url", url), url, "left")
     if settings.list_mode or robots_rules is None:
         rows = rows.withColumn("robots_txt", F.lit("allowed"))
     else:

@@ -258,3 +258,59 @@ def q_scan_pages(spark, sf):
     df = scan_pages(spark, f"{sf.rstrip('/')}/pages.parquet")
     return df.select("page_id", "url", "status_code", "html",
                      F.size("headers").alias("n_headers"), F.size("history").alias("n_hops"))
+
+
+# -- X1 node table, X20 / X21 custom extractions --------------------------------
+
+from sitegraph.operators import dom as D  # noqa: E402
+from sitegraph.operators import selectors as SEL  # noqa: E402
+
+
+def _dom_sql() -> str:
+    toks = f"regexp_extract_all(c, {S.lit(D.RE_TOKEN)}, 0)"
+    kind = (f"CASE WHEN starts_with(tok, '</') THEN 'close' WHEN regexp_matches(tok, '^<[A-Za-z]') THEN 'open' "
+            f"WHEN starts_with(tok, '<') THEN 'other' ELSE 'text' END")
+    voids = ", ".join(S.lit(t) for t in D.VOID_TAGS)
+    return sql_with_pages(f"""
+WITH t0 AS (SELECT url, unnest({toks}) AS tok, unnest(range(0, len({toks}))) AS pos FROM pg),
+t1 AS (SELECT *, {kind} AS kind, lower(regexp_extract(tok, {S.lit(D.RE_TAG_NAME)}, 1)) AS tg FROM t0),
+t2 AS (SELECT *, CASE WHEN kind IN ('open', 'close') THEN tg END AS tag,
+              kind = 'open' AND (tg IN ({voids}) OR ends_with(tok, '/>')) AS void FROM t1),
+t3 AS (SELECT *, CASE WHEN kind = 'open' AND NOT void THEN 1 WHEN kind = 'close' THEN -1 ELSE 0 END AS delta FROM t2),
+t4 AS (SELECT *, sum(delta) OVER (PARTITION BY url ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+              AS after FROM t3)
+SELECT url, CAST(pos AS BIGINT) AS pos, kind, tag,
+       CAST(CASE WHEN kind = 'open' THEN after - delta + 1 ELSE after - delta END AS INTEGER) AS level,
+       CASE WHEN kind = 'text' THEN {S.decode_sql('tok')} END AS text
+FROM t4""")
+
+
+@register("dom_nodes", _dom_sql())
+def q_dom_nodes(spark, sf):
+    pages = fixture(spark, sf, "fx_html").select("url", "html")
+    return D.tokens(pages).select("url", F.col("pos").cast("bigint").alias("pos"), "kind", "tag", "level", "text")
+
+
+# Custom extractions used by the registered selector queries.
+CSS_EXTRACTIONS = [("Ad text", "CSS Selector", "div.ad"), ("Second heading", "CSS Selector", "article > h2"),
+                   ("Nav first", "CSS Selector", "nav li a")]
+XPATH_EXTRACTIONS = [("H2 text", "XPath", "//h2/text()"), ("Nofollow", "XPath", '//a[@rel="nofollow"]/@href'),
+                     ("Nav", "XPath", "//nav//li/a"), ("Title", "XPath", "/html/head/title/text()")]
+
+
+def _extraction_builder(extractions):
+    def build(spark, sf):
+        pages = fixture(spark, sf, "fx_html").select("url", "html")
+        return SEL.extraction_table(pages, CrawlSettings(extractions=tuple(extractions)))
+    return build
+
+
+register("custom_css")(_extraction_builder(CSS_EXTRACTIONS))
+register("custom_xpath")(_extraction_builder(XPATH_EXTRACTIONS))
+
+EXTRACTION_SETTINGS = CrawlSettings(extractions=tuple(CSS_EXTRACTIONS[:1] + XPATH_EXTRACTIONS[:1]))
+
+
+@register("custom_extractions")
+def q_custom_extractions(spark, sf):
+    return X.page_rows(fetches_frame(spark, sf), EXTRACTION_SETTINGS, fixture(spark, sf, "fx_robots"))

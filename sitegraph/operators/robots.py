@@ -46,7 +46,7 @@ def parse_rules(robots: DataFrame, host: str = "host", text: str = "robots_text"
     kind = (F.when(s.rlike(RE_AGENT), F.lit("agent"))
             .when(s.rlike(RE_DISALLOW), F.lit("disallow"))
             .when(s.rlike(RE_ALLOW), F.lit("allow")))
-    value = F.trim(F.regexp_extract(s, r"^[^:]*:(.*)$", 1))
+    value = F.regexp_replace(F.regexp_extract(s, r"^[^:]*:(.*)$", 1), r"^\s+|\s+$", "")
     classified = lines.select("host", "line", kind.alias("kind"), value.alias("value")) \
         .filter(F.col("kind").isNotNull())
     w = Window.partitionBy("host").orderBy("line")

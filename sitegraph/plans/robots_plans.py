@@ -26,7 +26,8 @@ def robots_ctes(agent: str = AGENT) -> list[str]:
     return [
         f"rlines AS (SELECT lower(host) AS host, unnest(range(0, len({split}))) AS line, unnest({split}) AS raw "
         f"FROM fx_robots WHERE status_code = 200)",
-        f"rcls AS (SELECT host, line, {kind} AS kind, trim(regexp_extract(s, '^[^:]*:(.*)$', 1)) AS value "
+        f"rcls AS (SELECT host, line, {kind} AS kind, "
+        f"regexp_replace(regexp_extract(s, '^[^:]*:(.*)$', 1), '^\\s+|\\s+$', '', 'g') AS value "
         f"FROM (SELECT host, line, {s} AS s FROM rlines))",
         "rgrp AS (SELECT host, line, kind, value, sum(CASE WHEN kind = 'agent' AND (prev IS NULL OR prev <> 'agent') "
         "THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) "
@@ -56,13 +57,11 @@ def allowed_sql(src: str, url: str = "url") -> str:
     """``(src.*, allowed)`` for every row of ``src`` (a CTE or subquery name)."""
     pq = S.path_and_query_sql(f"u.{url}")
     match = f"(CASE WHEN r.is_prefix THEN starts_with(u._pq, r.path) ELSE regexp_matches(u._pq, r.pattern) END)"
-    return (f"(SELECT u.* EXCLUDE (_rid, _host, _pq), (d IS NULL OR (a IS NOT NULL AND a >= d)) AS allowed FROM "
-            f"(SELECT u._rid, max(CASE WHEN r.kind = 'allow' AND {match} THEN length(r.path) END) AS a, "
-            f"max(CASE WHEN r.kind = 'disallow' AND {match} THEN length(r.path) END) AS d "
+    return (f"(SELECT m.* EXCLUDE (_rid, _host, _pq, _a, _d), (_d IS NULL OR (_a IS NOT NULL AND _a >= _d)) "
+            f"AS allowed FROM (SELECT u.*, max(CASE WHEN r.kind = 'allow' AND {match} THEN length(r.path) END) AS _a, "
+            f"max(CASE WHEN r.kind = 'disallow' AND {match} THEN length(r.path) END) AS _d "
             f"FROM (SELECT *, {S.host_sql(f'u.{url}')} AS _host, {pq} AS _pq, row_number() OVER () AS _rid "
-            f"FROM {src} u) u LEFT JOIN rpatt r ON r.host = u._host GROUP BY u._rid) m "
-            f"JOIN (SELECT *, {S.host_sql(f'u.{url}')} AS _host, {pq} AS _pq, row_number() OVER () AS _rid "
-            f"FROM {src} u) u ON u._rid = m._rid)")
+            f"FROM {src} u) u LEFT JOIN rpatt r ON r.host = u._host GROUP BY ALL) m)")
 
 
 def sql_with_robots(body: str, fixtures=("fx_robots",), extra_ctes=()) -> str:

@@ -15,9 +15,13 @@ def inlinks_of(crawl: DataFrame, edges: DataFrame, url: str | None = None, key:
     inlinks report, one shuffle join per side.
     """
     targets = crawl.select(F.col(key).alias("_dst"), F.col("url").alias("url"))
-    if url is not None:
-        targets = targets.filter(F.col("url") == F.lit(url))
     sources = crawl.select(F.col(key).alias("_src"), F.col("url").alias("inlink"))
     links = edges.select(F.col(src).alias("_src"), F.col(dst).alias("_dst"))
-    hit = links.join(targets, "_dst").dropDuplicates(["_src", "_dst"])
+    if url is not None:
+        # one target: filter the edges first, de-duplicate the few that are left
+        targets = targets.filter(F.col("url") == F.lit(url))
+        hit = links.join(targets, "_dst").dropDuplicates(["_src", "_dst"])
+    else:
+        # full report: distinct edges hashed on both ends (spreads hub targets)
+        hit = links.distinct().join(targets, "_dst")
     return hit.join(sources, "_src").select("url", "inlink")

@@ -49,18 +49,21 @@ CRAWL_STATUS_VIEWS = {
 
 
 def broken_inlinks(crawl: DataFrame, edges: DataFrame, status_range: tuple | None = None,
-                   key: str = "url", src: str = "url_from", dst: str = "url_to") -> DataFrame:
+                   key: str = "url", src: str = "url_from", dst: str = "url_to",
+                   dedupe: bool = True) -> DataFrame:
     """(url_from, url_to, status_code) for links whose target is not ok.
 
     ``status_range=None`` means "status differs from 200", else an inclusive
     range.  ``key`` is the crawl column the edge ends refer to (``url`` for a
-    URL-keyed graph, a surrogate id otherwise).
-
-    Plan shape: the target predicate is applied to the crawl side before the
-    join, the (usually much smaller) broken-target side is what AQE measures
-    and broadcasts; hub targets on the edge side are split by AQE skew join.
-    Edges are deduplicated after the filter, so only links to broken targets
-    pay for the distinct.
+    URL-keyed graph, a surrogate id otherwise).  ``dedupe=False`` skips the
+    edge distinct for an inlinks table that is unique by construction.
+
+    Plan shape: edges are de-duplicated first, hashed on both ends, so a hub
+    target (a third of all links) is spread over many tasks; the target
+    predicate is applied to the crawl side before the join; the broken-target
+    side is what AQE measures and broadcasts when small, else the join on the
+    target is a sort-merge join whose hub partition AQE splits (the target side
+    has one row per key, so it is replicated to the splits).
     """
     code = F.col("status_code")
     pred = (code != 200) if status_range is None else code.between(*status_range)
@@ -68,7 +71,9 @@ def broken_inlinks(crawl: DataFrame, edges: DataFrame, status_range: tuple | Non
         F.col(key).alias("_dst"), F.col("url").alias("url_to"), "status_code")
     sources = crawl.select(F.col(key).alias("_src"), F.col("url").alias("url_from"))
     links = edges.select(F.col(src).alias("_src"), F.col(dst).alias("_dst"))
-    hit = links.join(targets, "_dst").dropDuplicates(["_src", "_dst"])
+    if dedupe:
+        links = links.distinct()
+    hit = links.join(targets, "_dst")
     return hit.join(sources, "_src").select("url_from", "url_to", "status_code")
 
 

@@ -15,6 +15,7 @@ closed implicitly, so later siblings appear nested under them.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +57,9 @@ def tokens(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 def node_table(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Tokens plus ``ancestors``: ARRAY<STRUCT<pos, tag, attrs>> from the root
     down to the parent (for a text node: down to the element holding it)."""
-    t = tokens(pages, url, html)
+    # kept for the two passes below (depth probe, then ancestors); recomputed
+    # from lineage if an executor holding blocks is lost
+    t = tokens(pages, url, html).persist(StorageLevel.MEMORY_AND_DISK)
     depth = t.agg(F.max("level")).first()[0] or 0
     w = Window.partitionBy("url").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     opener = (F.col("kind") == "open") & ~F.col("void")

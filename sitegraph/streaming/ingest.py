@@ -12,7 +12,9 @@ after a failure) is a no-op: the sink is idempotent per batch id.
 Reading the current table resolves every URL to its first crawled version
 (base before log, earlier batch before later) with one aggregate per URL
 (``min_by``, partially aggregated, so a hot URL is pre-reduced on the map
-side).
+side).  A micro-batch resolves only its own URLs: base and log are
+semi-joined with the batch's URL set first (the small side AQE broadcasts),
+so a batch never aggregates the whole table.
 """
 
 from __future__ import annotations
@@ -53,10 +55,16 @@ class CrawlStore:
             return None
         return self.spark.read.parquet(self.log_path)
 
-    def current(self) -> DataFrame:
-        """The crawl table now: every URL at its first crawled version."""
+    def current(self, only: DataFrame | None = None) -> DataFrame:
+        """The crawl table now: every URL at its first crawled version.
+        ``only`` (a frame with ``url``) restricts the resolution to those URLs
+        before any aggregation."""
         base = self.spark.read.parquet(self.base_path)
         log = self.log()
+        if only is not None:
+            keys = only.select("url").distinct()
+            base = base.join(keys, "url", "left_semi")
+            log = None if log is None else log.join(keys, "url", "left_semi")
         if log is None:
             return base.withColumn("change", F.lit(None).cast("string"))
         cols = [c for c in base.columns if c != "url"]
@@ -76,8 +84,8 @@ class CrawlStore:
         target = f"{self.log_path}/batch_id={batch_id}"
         if self._exists(target):
             return 0
-        known = self.current()
         fresh = dedupe_batch(batch, seq).drop(seq)
+        known = self.current(only=fresh)
         base_only = [c for c in known.columns if c not in fresh.columns and c not in ("url", "change")]
         k = known.select("url", F.col("status_code").alias("_known_status"), F.lit(True).alias("_known"),
                          *base_only)

@@ -78,7 +78,8 @@ def q_robots_source(spark, sf):
     return robots_source(fixture(spark, sf, "fx_robots"))
 
 
-@register("robots_rules", sql_with_robots("SELECT host, line, grp, kind, value FROM rrules"))
+@register("robots_rules", sql_with_robots(
+    "SELECT host, CAST(line AS BIGINT) AS line, CAST(grp AS BIGINT) AS grp, kind, value FROM rrules"))
 def q_robots_rules(spark, sf):
     return R.parse_rules(fixture(spark, sf, "fx_robots")).select(
         "host", F.col("line").cast("bigint").alias("line"), F.col("grp").cast("bigint").alias("grp"),

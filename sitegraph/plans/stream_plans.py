@@ -83,7 +83,7 @@ def q_stream_throughput(spark, sf):
 
 
 @register("stream_attempts", with_fixtures(["fx_attempts"], """
-SELECT url, count_if(outcome <> 'ok') AS failures, count_if(outcome = 'ok') AS successes
+SELECT url, CAST(count_if(outcome <> 'ok') AS BIGINT) AS failures, CAST(count_if(outcome = 'ok') AS BIGINT) AS successes
 FROM fx_attempts GROUP BY url"""))
 def q_stream_attempts(spark, sf):
     att = fixture(spark, sf, "fx_attempts").select("url", "outcome", "ts")

@@ -292,7 +292,7 @@ def q_dom_nodes(spark, sf):
 
 
 # Custom extractions used by the registered selector queries.
-CSS_EXTRACTIONS = [("Ad text", "CSS Selector", "div.ad"), ("Second heading", "CSS Selector", "article > h2"),
+CSS_EXTRACTIONS = [("Ad text", "CSS Selector", "div.ad"), ("Second heading", "CSS Selector", "article h2"),
                    ("Nav first", "CSS Selector", "nav li a")]
 XPATH_EXTRACTIONS = [("H2 text", "XPath", "//h2/text()"), ("Nofollow", "XPath", '//a[@rel="nofollow"]/@href'),
                      ("Nav", "XPath", "//nav//li/a"), ("Title", "XPath", "/html/head/title/text()")]
@@ -305,8 +305,47 @@ def _extraction_builder(extractions):
     return build
 
 
-register("custom_css")(_extraction_builder(CSS_EXTRACTIONS))
-register("custom_xpath")(_extraction_builder(XPATH_EXTRACTIONS))
+def _segment(c: str, tag: str) -> str:
+    """Inner markup of the first ``tag`` element (greedy to its last end tag)."""
+    return f"regexp_extract({c}, {S.lit(f'(?is)<{tag}\\b[^>]*>(.*)</{tag}\\s*>')}, 1)"
+
+
+def _inners(seg: str, tag: str) -> str:
+    return f"regexp_extract_all({seg}, {S.lit(H.element_re(tag))}, 1)"
+
+
+def _text_of(inner: str) -> str:
+    """Whole text of an element's inner markup: tags removed, entities decoded."""
+    return S.decode_sql(S.rx_replace(inner, H.RE_ANY_TAG, ""))
+
+
+def _first_text(inners: str) -> str:
+    return f"coalesce({S.collapse_ws_sql(_text_of(f'({inners})[1]'))}, '')"
+
+
+_AD_DIVS = (f"list_filter(regexp_extract_all(c, {S.lit('(?is)<div\\b[^>]*>.*?</div\\s*>')}, 0), lambda e: "
+            f"list_contains(string_split_regex(trim({S.attr_sql(S.rx_extract('e', '^<[^>]*>'), 'class')}), "
+            f"'\\s+'), 'ad'))")
+_AD_INNER = f"list_transform({_AD_DIVS}, lambda e: {S.rx_extract('e', '(?is)^<div[^>]*>(.*)</div\\s*>$', 1)})"
+
+CUSTOM_CSS_SQL = sql_with_pages(f"""
+SELECT url, {_first_text(_AD_INNER)} AS ad_text,
+       {_first_text(_inners(_segment('c', 'article'), 'h2'))} AS second_heading,
+       {_first_text(_inners(_segment('c', 'nav'), 'a'))} AS nav_first
+FROM pg""")
+
+_NAV_TEXTS = f"list_transform({_inners(_segment('c', 'nav'), 'a')}, lambda x: {_text_of('x')})"
+_NOFOLLOW = S.attr_values_sql(S.tags_sql("c", "a"), "href", S.rel_is_sql("nofollow"))
+
+CUSTOM_XPATH_SQL = sql_with_pages(f"""
+SELECT url, {S.joined_sql(S.direct_texts_sql('c', 'h2'), SEP)} AS h2_text,
+       {S.joined_sql(_NOFOLLOW, SEP)} AS nofollow,
+       {S.joined_sql(_NAV_TEXTS, SEP)} AS nav,
+       {S.joined_sql(S.direct_texts_sql('h', 'title'), SEP)} AS title
+FROM pg""")
+
+register("custom_css", CUSTOM_CSS_SQL)(_extraction_builder(CSS_EXTRACTIONS))
+register("custom_xpath", CUSTOM_XPATH_SQL)(_extraction_builder(XPATH_EXTRACTIONS))
 
 EXTRACTION_SETTINGS = CrawlSettings(extractions=tuple(CSS_EXTRACTIONS[:1] + XPATH_EXTRACTIONS[:1]))
 

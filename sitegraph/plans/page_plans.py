@@ -15,7 +15,7 @@ from sitegraph.plans.catalog import register
 from sitegraph.plans.common import FETCH_CTE, fetches_frame, html_frame, sql_with_pages
 from sitegraph.plans.robots_plans import AGENT, allowed_sql, robots_ctes
 from sitegraph.settings import CrawlSettings
-from sitegraph.sources.fixtures import fixture
+from sitegraph.sources.fixtures import fixture, with_fixtures
 
 DEFAULT = CrawlSettings()
 SEP = DEFAULT.extraction_separator
@@ -145,6 +145,21 @@ def _link_sql(settings: CrawlSettings) -> str:
 VALID_SQL = f"(link IS NOT NULL AND {S.is_crawlable_sql('link')} AND NOT {S.is_external_sql('link', 'root')})"
 
 
+ORACLES_EXTRACT_LINKS = sql_with_pages(
+    f"SELECT DISTINCT url_from, url_to FROM {allowed_sql('cand', url='url_to')} WHERE allowed",
+    (BASE_CTE, _link_sql(DEFAULT),
+     f"cand AS (SELECT DISTINCT url AS url_from, link AS url_to FROM pn WHERE {VALID_SQL})", *robots_ctes()),
+    fixtures=("fx_html", "fx_robots"))
+
+
+# links of crawled pages whose body passes the gate (text content types)
+ORACLES_CRAWL_LINKS = ORACLES_EXTRACT_LINKS.replace(
+    "FROM fx_html))",
+    "FROM fx_html WHERE page_id IN (SELECT page_id FROM fx_crawl WHERE status_code IS NOT NULL "
+    "AND contains(content_type, 'text'))))", 1)
+ORACLES_CRAWL_LINKS = with_fixtures(["fx_crawl"], ORACLES_CRAWL_LINKS)
+
+
 @register("extract_links", sql_with_pages(
     f"SELECT DISTINCT url_from, url_to FROM {allowed_sql('cand', url='url_to')} WHERE allowed",
     (BASE_CTE, _link_sql(DEFAULT),

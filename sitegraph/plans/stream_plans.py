@@ -89,3 +89,52 @@ def q_stream_attempts(spark, sf):
     att = fixture(spark, sf, "fx_attempts").select("url", "outcome", "ts")
     source = T.write_chunks([att], scratch_path(spark, "attempts-src"))
     return T.run_attempt_counter(spark, source, max_files=2)
+
+
+# -- T1 in full: fetches -> crawl step per micro-batch -------------------------
+
+from sitegraph.plans.common import fetches_frame  # noqa: E402
+from sitegraph.plans import page_plans as PP  # noqa: E402
+from sitegraph.plans import discovery as DS  # noqa: E402
+from sitegraph.settings import CrawlSettings  # noqa: E402
+
+CRAWL_SETTINGS = CrawlSettings()
+
+
+def _run_crawl_stream(spark, sf):
+    fetches = fetches_frame(spark, sf)
+    # arrival order: pages in three waves, so link targets discovered in one
+    # micro-batch are crawled (updated) by a later one
+    en, de = F.col("url").contains("/en/"), F.col("url").contains("/de/")
+    waves = [fetches.filter(en), fetches.filter(~en & de), fetches.filter(~en & ~de)]
+    source = T.write_chunks(waves, scratch_path(spark, "crawl-src"))
+    empty = spark.createDataFrame([], ", ".join(
+        f"{c} {'int' if c == 'status_code' else 'string'}" for c in CRAWL_SETTINGS.output_columns()))
+    store = T.CrawlStore(spark, scratch_path(spark, "crawl-stream")).create(empty)
+    T.run_crawl(spark, source, store, CRAWL_SETTINGS, fixture(spark, sf, "fx_robots"), order="page_id",
+                max_files=64)
+    return store
+
+
+def _strip(sql: str) -> str:
+    return sql.strip()
+
+
+STREAM_CRAWL_SQL = f"""
+WITH a AS (SELECT url, status_code, crawl_status FROM ({_strip(PP._page_rows_sql(CRAWL_SETTINGS))})),
+b AS (SELECT url, status_code, crawl_status FROM ({_strip(DS._hop_sql(cut=True, robots=False))})),
+l AS (SELECT DISTINCT url_to AS url FROM ({_strip(PP.ORACLES_CRAWL_LINKS)}))
+SELECT url, status_code, crawl_status FROM a
+UNION ALL SELECT url, status_code, crawl_status FROM b WHERE url NOT IN (SELECT url FROM a)
+UNION ALL SELECT url, CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR) FROM l
+  WHERE url NOT IN (SELECT url FROM a) AND url NOT IN (SELECT url FROM b)"""
+
+
+@register("stream_crawl", STREAM_CRAWL_SQL)
+def q_stream_crawl(spark, sf):
+    return _run_crawl_stream(spark, sf).current().select("url", "status_code", "crawl_status")
+
+
+@register("stream_crawl_inlinks", f"SELECT DISTINCT url_from, url_to FROM ({_strip(PP.ORACLES_CRAWL_LINKS)})")
+def q_stream_crawl_inlinks(spark, sf):
+    return _run_crawl_stream(spark, sf).edges()

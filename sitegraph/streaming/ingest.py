@@ -100,6 +100,63 @@ class CrawlStore:
         return 1
 
 
+    def edges(self) -> DataFrame | None:
+        path = f"{self.folder}/edges"
+        if not self._exists(path):
+            return None
+        return self.spark.read.parquet(path).select("url_from", "url_to").distinct()
+
+    def apply_fetches(self, fetches: DataFrame, batch_id: int, settings, robots: DataFrame | None = None,
+                      order: str = "url") -> int:
+        """One crawl step: page and redirect rows upserted (first write wins),
+        link targets not yet known inserted as discovered, and (with
+        ``unique_inlinks``) the batch's unique edges recorded.  Idempotent per
+        batch id like :meth:`apply`."""
+        from sitegraph.operators.crawl import crawl_links, crawl_rows
+
+        target = f"{self.log_path}/batch_id={batch_id}"
+        if self._exists(target):
+            return 0
+        rows = dedupe_batch(crawl_rows(fetches, settings, robots, order), "_seq").drop("_seq")
+        links = crawl_links(fetches, settings, robots)
+        targets = links.select(F.col("url_to").alias("url")).distinct()
+        known = self.current(only=rows.select("url").unionByName(targets))
+        base_only = [c for c in known.columns if c not in rows.columns and c not in ("url", "change")]
+        k = known.select("url", F.col("status_code").alias("_known_status"), F.lit(True).alias("_known"),
+                         *base_only)
+        j = rows.join(k, "url", "left")
+        changed = j.filter(F.col("_known").isNull() | F.col("_known_status").isNull()).withColumn(
+            "change", F.when(F.col("_known").isNull(), F.lit("new")).otherwise(F.lit("updated"))) \
+            .drop("_known", "_known_status")
+        discovered = (targets.join(known.select("url"), "url", "left_anti")
+                      .join(rows.select("url"), "url", "left_anti")
+                      .withColumn("change", F.lit("discovered")))
+        out = changed.unionByName(discovered, allowMissingColumns=True)
+        if settings.has("unique_inlinks"):
+            edges_tmp = f"{self.folder}/edges/_tmp_batch_{batch_id}"
+            links.distinct().write.mode("overwrite").parquet(edges_tmp)
+            fs, src = _fs(self.spark, edges_tmp)
+            fs.rename(src, _fs(self.spark, f"{self.folder}/edges/batch_id={batch_id}")[1])
+        tmp = f"{self.log_path}/_tmp_batch_{batch_id}"
+        out.write.mode("overwrite").parquet(tmp)
+        fs, src = _fs(self.spark, tmp)
+        fs.rename(src, _fs(self.spark, target)[1])
+        return 1
+
+
+def run_crawl(spark: SparkSession, source: str, store: CrawlStore, settings, robots: DataFrame | None = None,
+              order: str = "url", max_files: int = 1) -> CrawlStore:
+    """Continuous crawl ingest: a file stream of fetches, one crawl step per
+    micro-batch, until no input is left."""
+    stream = _file_stream(spark, source, max_files)
+    q = (stream.writeStream
+         .foreachBatch(lambda df, bid: store.apply_fetches(df, bid, settings, robots, order))
+         .option("checkpointLocation", scratch_path(spark, "crawl-ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return store
+
+
 def write_chunks(chunks: list[DataFrame], folder: str) -> str:
     """Write frames one after the other into a source folder (file
     modification order = chunk order, which is the order a file stream reads)."""

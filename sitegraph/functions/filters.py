@@ -109,3 +109,11 @@ def apply_filters(df: DataFrame, filters: list[tuple[str, str, str]] | None = No
 def regexp_search(column: str, pattern: str) -> Column:
     """The SQL REGEXP function: unanchored search."""
     return F.col(column).rlike(pattern)
+
+
+def with_sort(filters: list[tuple[str, str, str]], column: str, operator: str) -> list[tuple[str, str, str]]:
+    """Header-click sort: the new sort replaces any earlier sort, filters stay."""
+    if operator not in SORT_ASC + SORT_DESC:
+        raise ValueError(f"unknown sort {operator!r}")
+    kept = [f for f in filters if f[1] not in SORT_ASC + SORT_DESC]
+    return kept + [(column, operator, "")]

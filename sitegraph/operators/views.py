@@ -121,3 +121,15 @@ def view(name: str, crawl: DataFrame, edges: DataFrame | None = None, **kw) -> D
 
 
 ALL_VIEWS = ["crawl", *BROKEN_VIEWS, *STATUS_VIEWS, *CONTENT_TYPE_VIEWS, *CRAWL_STATUS_VIEWS]
+
+
+def register_views(crawl: DataFrame, edges: DataFrame | None = None, prefix: str = "") -> list[str]:
+    """Register every named view as a temporary view (after a crawl load), so
+    the same reports are reachable from ``spark.sql``.  Returns the names."""
+    names = []
+    for name in ALL_VIEWS:
+        if name in BROKEN_VIEWS and edges is None:
+            continue
+        view(name, crawl, edges).createOrReplaceTempView(prefix + name)
+        names.append(prefix + name)
+    return names

@@ -149,3 +149,22 @@ def test_crawl_store_replay_is_noop(spark):
     store.apply(later, 1)
     cur = {r["url"]: (r["status_code"], r["change"]) for r in store.current().collect()}
     assert cur == {"a": (200, None), "b": (200, "updated"), "c": (301, "new")}
+
+
+def test_new_sort_replaces_old_and_keeps_filters():
+    from sitegraph.functions.filters import with_sort
+
+    f = [("url", "Contains", "x"), ("url", "Sort A-Z", "")]
+    assert with_sort(f, "status_code", "Sort Largest To Smallest") == [
+        ("url", "Contains", "x"), ("status_code", "Sort Largest To Smallest", "")]
+
+
+def test_register_views_after_load(spark):
+    from sitegraph.operators.views import register_views
+
+    crawl = spark.createDataFrame(CRAWL, SCHEMA)
+    edges = spark.createDataFrame([("http://a.com/a_b", "http://a.com/a%b")], "url_from string, url_to string")
+    names = register_views(crawl, edges, prefix="t_")
+    assert "t_broken_inlinks_4xx" in names
+    assert spark.sql("SELECT * FROM t_broken_inlinks_4xx").count() == 1
+    assert spark.sql("SELECT * FROM t_content_type_css").count() == 1

@@ -208,16 +208,28 @@ def _gated_fetch_ctes() -> tuple:
     )
 
 
+# (type, selector) -> SQL over the cleaned markup ``c`` / head ``h``; filled
+# below for the selectors the registered queries use
+EXTRACTION_SQL: dict = {}
+
+
 def _items_sql(settings: CrawlSettings) -> str:
     sep = settings.extraction_separator
 
     def item(e):
         return f"CASE WHEN has_body THEN {e} ELSE '' END"
 
+    from sitegraph.settings import extraction_column_name
+
+    base_cols = [c for c in settings.output_columns()][: len(settings.output_columns()) - len(settings.extractions)]
+    custom = "".join(
+        f"{item(EXTRACTION_SQL[(kind, value)])} AS {extraction_column_name(name, base_cols)}, "
+        for name, kind, value in settings.extractions)
+
     canon = f"coalesce(CASE WHEN c1 IS NOT NULL THEN {S.normalise_sql('cr')} END, '')"
     return (
         f"it0 AS (SELECT *, CASE WHEN c1 IS NOT NULL THEN {S.resolve_sql('base', 'c1')} END AS cr FROM g), "
-        f"it AS (SELECT page_id, url, status_code, content_type, x_robots_tag, "
+        f"it AS (SELECT page_id, url, status_code, content_type, x_robots_tag, {custom}"
         f"{S.canonical_header_sql('link_header')} AS canonical_http_header, "
         f"{item(S.joined_sql(S.direct_texts_sql('c', 'h1'), sep))} AS h1, "
         f"{item(S.joined_sql(S.direct_texts_sql('c', 'h2'), sep))} AS h2, "
@@ -365,6 +377,10 @@ register("custom_xpath", CUSTOM_XPATH_SQL)(_extraction_builder(XPATH_EXTRACTIONS
 EXTRACTION_SETTINGS = CrawlSettings(extractions=tuple(CSS_EXTRACTIONS[:1] + XPATH_EXTRACTIONS[:1]))
 
 
-@register("custom_extractions")
+EXTRACTION_SQL[("CSS Selector", "div.ad")] = _first_text(_AD_INNER)
+EXTRACTION_SQL[("XPath", "//h2/text()")] = S.joined_sql(S.direct_texts_sql("c", "h2"), SEP)
+
+
+@register("custom_extractions", _page_rows_sql(EXTRACTION_SETTINGS))
 def q_custom_extractions(spark, sf):
     return X.page_rows(fetches_frame(spark, sf), EXTRACTION_SETTINGS, fixture(spark, sf, "fx_robots"))

@@ -144,7 +144,7 @@ def element_matches(sel: Selector, xpath_root: bool) -> Column:
     child_after = [sel.steps[i + 1][0] == "child" for i in range(n)]
 
     def step(acc, a):
-        idx, ok, gap_ok = acc["idx"], acc["ok"], acc["gap_ok"]
+        idx, ok = acc["idx"], acc["ok"]
         hit = F.lit(False)
         for i, (_, comp) in enumerate(earlier):
             hit = F.when(idx == i, _matches(comp, a["tag"], a["attrs"])).otherwise(hit)
@@ -154,10 +154,9 @@ def element_matches(sel: Selector, xpath_root: bool) -> Column:
         for i in range(n):
             miss_allowed = F.when(idx == i, F.lit(not child_after[i])).otherwise(miss_allowed)
         new_ok = ok & (adv | (idx < 0) | miss_allowed)
-        return F.struct(F.when(adv, idx - 1).otherwise(idx).alias("idx"), new_ok.alias("ok"),
-                        gap_ok.alias("gap_ok"))
+        return F.struct(F.when(adv, idx - 1).otherwise(idx).alias("idx"), new_ok.alias("ok"))
 
-    init = F.struct(F.lit(n - 1).alias("idx"), F.lit(True).alias("ok"), F.lit(True).alias("gap_ok"))
+    init = F.struct(F.lit(n - 1).alias("idx"), F.lit(True).alias("ok"))
     res = F.aggregate(anc, init, step)
     cond = cond & res["ok"] & (res["idx"] == -1)
     if xpath_root and sel.steps[0][0] == "child":

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitegraph.functions import urls as U
 from sitegraph.operators import robots as R
 from sitegraph.plans import sqlparts as S
 from sitegraph.plans.catalog import register
@@ -112,5 +111,3 @@ def q_robots_status(spark, sf):
     return R.with_robots_status(pages, "url", fixture(spark, sf, "fx_robots"), AGENT) \
         .select("page_id", "url", "robots_txt")
 
-
-_ = U  # URL helpers are used through the robots operator

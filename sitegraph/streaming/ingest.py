@@ -171,11 +171,20 @@ def _file_stream(spark: SparkSession, folder: str, max_files: int) -> DataFrame:
 
 
 def run_ingest(spark: SparkSession, source: str, store: CrawlStore, seq: str = "seq",
-               max_files: int = 2) -> CrawlStore:
-    """Stream crawl rows from ``source`` into ``store`` until no input is left."""
+               max_files: int = 2, checkpoint: str | None = None, on_batch=None) -> CrawlStore:
+    """Stream crawl rows from ``source`` into ``store`` until no input is left.
+    Restarting with the same ``checkpoint`` resumes after the last committed
+    micro-batch; a batch that was written but not committed is replayed and
+    skipped by the store."""
     stream = _file_stream(spark, source, max_files)
-    q = (stream.writeStream.foreachBatch(lambda df, bid: store.apply(df, bid, seq))
-         .option("checkpointLocation", scratch_path(spark, "ingest-ckpt"))
+
+    def step(df, bid):
+        store.apply(df, bid, seq)
+        if on_batch is not None:
+            on_batch(bid)
+
+    q = (stream.writeStream.foreachBatch(step)
+         .option("checkpointLocation", checkpoint or scratch_path(spark, "ingest-ckpt"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return store

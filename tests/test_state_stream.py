@@ -168,3 +168,27 @@ def test_register_views_after_load(spark):
     assert "t_broken_inlinks_4xx" in names
     assert spark.sql("SELECT * FROM t_broken_inlinks_4xx").count() == 1
     assert spark.sql("SELECT * FROM t_content_type_css").count() == 1
+
+
+def test_stream_restart_after_failure_is_exactly_once(spark):
+    from sitegraph.streaming.ingest import run_ingest, write_chunks
+
+    src = scratch_path(spark, "restart-src")
+    chunks = [spark.createDataFrame([(f"u{k}-{i}", 200, i) for i in range(3)], "url string, status_code int, seq int")
+              for k in range(3)]
+    write_chunks(chunks, src)
+    base = spark.createDataFrame([("u0-0", None)], "url string, status_code int")
+    store = CrawlStore(spark, scratch_path(spark, "restart-store")).create(base)
+    ckpt = scratch_path(spark, "restart-ckpt")
+
+    def crash(bid):
+        if bid == 1:
+            raise RuntimeError("executor lost after the batch was written")
+
+    with pytest.raises(Exception):
+        run_ingest(spark, src, store, max_files=1, checkpoint=ckpt, on_batch=crash)
+    run_ingest(spark, src, store, max_files=1, checkpoint=ckpt)  # resume
+    cur = store.current()
+    assert cur.count() == 9
+    assert store.log().groupBy("url").count().filter("count > 1").count() == 0
+    assert {r["url"]: r["change"] for r in cur.collect()}["u0-0"] == "updated"

@@ -39,3 +39,21 @@ def crawl_links(fetches: DataFrame, settings: CrawlSettings, robots: DataFrame |
 
     gated = body_gate(header_info(fetches), settings).filter(F.col("html").isNotNull())
     return extract_links(gated.select("url", "html"), settings, robots)
+
+
+def build_crawl(fetches: DataFrame, settings: CrawlSettings, robots: DataFrame | None = None,
+                order: str = "url") -> tuple[DataFrame, DataFrame]:
+    """Batch crawl over a whole fetch table: (crawl table, inlinks).
+
+    Page and redirect rows (first write wins per URL), link targets that no
+    fetch produced as discovered rows, unique edges.  The streaming crawl
+    arrives at the same table batch by batch."""
+    from sitegraph.operators.state import dedupe_batch
+
+    rows = dedupe_batch(crawl_rows(fetches, settings, robots, order), "_seq").drop("_seq")
+    links = crawl_links(fetches, settings, robots)
+    discovered = (links.select(F.col("url_to").alias("url")).distinct()
+                  .join(rows.select("url"), "url", "left_anti"))
+    crawl = rows.unionByName(discovered, allowMissingColumns=True)
+    inlinks = links.distinct() if settings.has("unique_inlinks") else links.limit(0)
+    return crawl, inlinks

@@ -141,3 +141,12 @@ def q_stream_crawl(spark, sf):
 @register("stream_crawl_inlinks", f"SELECT DISTINCT url_from, url_to FROM ({_strip(PP.ORACLES_CRAWL_LINKS)})")
 def q_stream_crawl_inlinks(spark, sf):
     return _run_crawl_stream(spark, sf).edges()
+
+
+@register("crawl_batch", STREAM_CRAWL_SQL)
+def q_crawl_batch(spark, sf):
+    from sitegraph.operators.crawl import build_crawl
+
+    crawl, _ = build_crawl(fetches_frame(spark, sf), CRAWL_SETTINGS, fixture(spark, sf, "fx_robots"),
+                           order="page_id")
+    return crawl.select("url", "status_code", "crawl_status")

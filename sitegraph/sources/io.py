@@ -132,9 +132,16 @@ def settings_from_config(rows: list, extractions: list = (), exclusions: list =
 NULL_MARK = "\\N"
 
 
-def export_csv(df: DataFrame, path: str) -> None:
+BOM = "\ufeff"
+
+
+def export_csv(df: DataFrame, path: str, bom: bool = True) -> None:
     """CSV export of any view: header row, comma separated, quoted only
-    where needed, UTF-8 (no BOM; Spark writers do not emit one)."""
+    where needed, UTF-8.  With ``bom`` every part file starts with the UTF-8
+    byte-order mark spreadsheet programs look for (it is carried by the first
+    header name, so no file is rewritten on the driver)."""
+    if bom and df.columns:
+        df = df.withColumnRenamed(df.columns[0], BOM + df.columns[0])
     df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8") \
         .option("quoteAll", False).option("escape", '"').option("nullValue", NULL_MARK).csv(path)
 
@@ -143,8 +150,10 @@ def read_csv_export(spark: SparkSession, path: str, schema=None) -> DataFrame:
     reader = (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
               .option("nullValue", NULL_MARK).option("emptyValue", ""))
     if schema is not None:
-        reader = reader.schema(schema)
-    return reader.csv(path)
+        return reader.schema(schema).csv(path)
+    df = reader.csv(path)
+    first = df.columns[0] if df.columns else None
+    return df.withColumnRenamed(first, first.lstrip(BOM)) if first and first.startswith(BOM) else df
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:

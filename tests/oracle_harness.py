@@ -81,7 +81,13 @@ def main(argv):
     from sitegraph.session import get_session
     import __spark_entry__ as E
 
-    spark = get_session(shuffle_partitions=8)
+    if os.environ.get("PLAIN_SESSION"):
+        from pyspark.sql import SparkSession
+
+        spark = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+                 .config("spark.ui.enabled", "false").getOrCreate())
+    else:
+        spark = get_session(shuffle_partitions=8)
     con = duck(sf_dir)
     qs, os_ = E.queries(), E.oracle_sql()
     bad = 0

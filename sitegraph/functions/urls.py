@@ -138,9 +138,12 @@ def _lead_slash(p: Column) -> Column:
     return F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
 
 
+STRIP_ANYWHERE = r"[\t\r\n]"  # removed from URLs before splitting, as Python's URL parser does
+
+
 def resolve(base, href) -> Column:
-    """Resolve ``href`` (left-trimmed) against the absolute URL ``base``."""
-    h = F.regexp_replace(_c(href), "^" + WS_CLASS + "+", "")
+    """Resolve ``href`` (left-trimmed, tab/CR/LF removed) against the absolute URL ``base``."""
+    h = F.regexp_replace(F.regexp_replace(_c(href), STRIP_ANYWHERE, ""), "^" + WS_CLASS + "+", "")
     return let(h, lambda v: _resolve(_c(base), v))
 
 
@@ -181,7 +184,7 @@ def percent_encode(s: Column, safe: str) -> Column:
 
 def normalise(url, base=None) -> Column:
     """Clean a URL (optionally resolving it against ``base`` first)."""
-    u = F.regexp_replace(_c(url), "^" + WS_CLASS + "+", "")
+    u = F.regexp_replace(F.regexp_replace(_c(url), STRIP_ANYWHERE, ""), "^" + WS_CLASS + "+", "")
     if base is not None:
         u = resolve(base, u)
     return let(u, _normalise)

@@ -125,7 +125,7 @@ def _lead_slash_sql(p: str) -> str:
 
 def resolve_sql(base: str, href: str) -> str:
     b = url_parts_sql(base)
-    h = rx_replace(href, "^" + WS_CLASS + "+", "")
+    h = rx_replace(rx_replace(href, U.STRIP_ANYWHERE, ""), "^" + WS_CLASS + "+", "")
     hp = url_parts_sql(h)
     b_root = f"({b['scheme']} || '://' || {b['authority']})"
     b_noquery = f"({b_root} || {b['path']})"
@@ -151,7 +151,7 @@ def percent_encode_sql(s: str, safe: str) -> str:
 
 def normalise_sql(url: str) -> str:
     """Normalise an already resolved URL expression (stage resolve first)."""
-    u = rx_replace(url, "^" + WS_CLASS + "+", "")
+    u = rx_replace(rx_replace(url, U.STRIP_ANYWHERE, ""), "^" + WS_CLASS + "+", "")
     p = url_parts_sql(u)
     scheme, h = f"lower({p['scheme']})", f"lower({p['host']})"
     pn = f"TRY_CAST({p['port']} AS INTEGER)"

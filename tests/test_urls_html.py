@@ -29,6 +29,8 @@ URL_CASES = [
     ("http://a.com/", "mailto:x@a.com", None),
     ("http://a.com/x/", "", "http://a.com/x/"),
     ("http://a.com/p/q", "/../r", "http://a.com/r"),
+    ("http://a.com/p/q", "/a\n\tb", "http://a.com/ab"),
+    ("http://a.com/p/q", "HTTP://[::1]:80/x", "http://[::1]/x"),
 ]
 
 

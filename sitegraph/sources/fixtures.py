@@ -53,6 +53,18 @@ SELECT page_id, url, replace(replace(html, '<meta charset="utf-8">', '<meta char
  '</article>', '<h2>Two ' || page_id || ' <i>x</i> tail</h2><h2> </h2><img src="img/' || page_id || '.png"><a rel="nofollow" href="/nf/' || page_id || '">n</a><a href=''../up''>u</a><a href="mailto:a@example.com">m</a><a href="//cdn.example.com/x">c</a><a href="https://other.example.org/o#f">o</a></article>') AS html FROM {pages}""",
 }
 
+# Spark-side texts where the shared text multiplies rows with a CROSS JOIN
+# against a constant table: the same rows come from a generator (explode), so
+# no join (and no nested-loop plan) is needed.
+SPARK_SQL = {
+    "fx_edges": """
+SELECT p.page_id AS from_id, p.page_id - p.page_id % 25 + ((p.page_id % 25) * 7 + k * 3 + 1) % 25 AS to_id
+ FROM {pages} p LATERAL VIEW explode(array(0, 1, 2, 2)) kk AS k WHERE p.page_id % 3 <> 2""",
+    "fx_hops": """
+SELECT p.page_id, k AS hop, 'https://hop' || CASE WHEN p.page_id % 4 = 3 AND k = 1 THEN '.external.example.org/' ELSE '.example.com/' END || p.page_id || '/' || k AS hop_url, CASE WHEN k = 0 THEN 301 ELSE 302 END AS status_code, p.url AS final_url
+ FROM {pages} p LATERAL VIEW explode(array(0, 1, 2)) kk AS k WHERE p.page_id % 10 IN (6, 7) AND k <= p.page_id % 3""",
+}
+
 _USES = {
     "fx_crawl": ("pages",),
     "fx_edges": ("pages",),
@@ -73,7 +85,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived frame as a lazy Spark plan over the driver tables."""
     binds = {t: table(spark, sf_dir, t) for t in _USES[name]}
-    return spark.sql(FX_SQL[name], **binds)
+    return spark.sql(SPARK_SQL.get(name, FX_SQL[name]), **binds)
 
 
 def fixture_sql(name: str) -> str:

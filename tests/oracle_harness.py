@@ -54,10 +54,12 @@ def normalise(cols, rows):
 def compare(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
     df = fn(spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    pairwise = "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan
     srows = [tuple(r) for r in df.collect()]
     t1 = time.time()
     scols, srows = normalise(df.columns, srows)
-    res = {"name": name, "spark_rows": len(srows), "spark_sec": round(t1 - t0, 2)}
+    res = {"name": name, "spark_rows": len(srows), "spark_sec": round(t1 - t0, 2), "pairwise_join": pairwise}
     if sql is None:
         res["oracle"] = None
         return res

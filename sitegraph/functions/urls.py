@@ -9,10 +9,9 @@ UDF.  Behaviour follows the crawler being re-expressed:
   fragment-only and relative paths; dot segments removed, empty middle
   segments dropped on a merge).
 * ``normalise(url)``: lower-case scheme and host, default port removed, dot
-  segments removed, unsafe characters percent-encoded as UTF-8 (existing
-  ``%XX`` kept, a stray ``%`` becomes ``%25``), empty path -> ``/``, userinfo
-  kept, fragment dropped; NULL when there is no host or the port is not a
-  number in 0..65535.
+  segments removed, path and query percent-encoded (see ``percent_encode``),
+  empty path -> ``/``, userinfo kept, fragment dropped; NULL when there is no
+  host or the port is not a number in 0..65535.
 """
 
 from __future__ import annotations
@@ -168,15 +167,40 @@ def _resolve(base: Column, h: Column) -> Column:
     )
 
 
+UNRESERVED = r"^[A-Za-z0-9._~\-]$"
+
+
+def _escape_char(t: Column) -> Column:
+    """The character a ``%XX`` token stands for (ASCII range only)."""
+    return F.call_function("chr", F.conv(F.substring(t, 2, 2), 16, 10).cast("int"))
+
+
 def percent_encode(s: Column, safe: str) -> Column:
-    """UTF-8 percent-encode every character outside ``safe``; keep valid
-    ``%XX``; a stray ``%`` becomes ``%25``."""
+    """Percent-encode one URL component the way the crawler's URL stack does:
+
+    * every character outside ``safe`` becomes UTF-8 ``%XX``;
+    * a component with a stray ``%`` (not followed by two hex digits) gets
+      every ``%`` encoded as ``%25`` (existing escapes included);
+    * otherwise existing escapes are upper-cased, and escapes of unreserved
+      characters (letters, digits, ``-._~``) are decoded."""
+    return let(s, lambda v: _percent_encode(v, safe))
+
+
+def _percent_encode(s: Column, safe: str) -> Column:
     tokens = F.regexp_extract_all(
         s, F.lit(f"[{safe}]+|%[0-9A-Fa-f]{{2}}|%|[^{safe}%]+"), F.lit(0))
+    n_pct = F.length(s) - F.length(F.replace(s, F.lit("%"), F.lit("")))
+    n_esc = F.size(F.regexp_extract_all(s, F.lit("%[0-9A-Fa-f]{2}"), F.lit(0)))
+    stray = n_pct != n_esc
 
     def enc(t):
-        return (F.when(t.rlike(f"^([{safe}]|%[0-9A-Fa-f]{{2}})"), t)
+        escape = t.rlike("^%[0-9A-Fa-f]{2}$")
+        ch = _escape_char(t)
+        return (F.when(escape & stray, F.concat(F.lit("%25"), F.substring(t, 2, 2)))
+                .when(escape & ch.rlike(UNRESERVED), ch)
+                .when(escape, F.upper(t))
                 .when(t == "%", F.lit("%25"))
+                .when(t.rlike(f"^[{safe}]"), t)
                 .otherwise(F.replace(F.url_encode(t), F.lit("+"), F.lit("%20"))))
 
     return F.array_join(F.transform(tokens, enc), "")

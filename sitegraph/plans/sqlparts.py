@@ -142,10 +142,22 @@ def resolve_sql(base: str, href: str) -> str:
             f"ELSE {b_root} || {_lead_slash_sql(dots_sql(merged, True))} || {h_rest} END)")
 
 
+def _escape_char_sql(t: str) -> str:
+    hexd = "'0123456789ABCDEF'"
+    return (f"chr(((position(upper(substr({t}, 2, 1)) in {hexd}) - 1) * 16 "
+            f"+ position(upper(substr({t}, 3, 1)) in {hexd}) - 1)::INTEGER)")
+
+
 def percent_encode_sql(s: str, safe: str) -> str:
     tokens = f"regexp_extract_all({s}, {lit(f'[{safe}]+|%[0-9A-Fa-f]{{2}}|%|[^{safe}%]+')}, 0)"
-    enc = (f"CASE WHEN {rx('t', f'^([{safe}]|%[0-9A-Fa-f]{{2}})')} THEN t WHEN t = '%' THEN '%25' "
-           f"ELSE url_encode(t) END")
+    stray = (f"(length({s}) - length(replace({s}, '%', '')) <> "
+             f"len(regexp_extract_all({s}, '%[0-9A-Fa-f]{{2}}', 0)))")
+    escape = rx("t", "^%[0-9A-Fa-f]{2}$")
+    ch = _escape_char_sql("t")
+    enc = (f"CASE WHEN {escape} AND {stray} THEN '%25' || substr(t, 2, 2) "
+           f"WHEN {escape} AND {rx(ch, U.UNRESERVED)} THEN {ch} "
+           f"WHEN {escape} THEN upper(t) WHEN t = '%' THEN '%25' "
+           f"WHEN {rx('t', f'^[{safe}]')} THEN t ELSE url_encode(t) END")
     return f"array_to_string(list_transform({tokens}, lambda t: {enc}), '')"
 
 

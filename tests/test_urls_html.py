@@ -23,6 +23,8 @@ URL_CASES = [
     ("http://a.com/", "/ü", "http://a.com/%C3%BC"),
     ("http://a.com/", "/a%20b", "http://a.com/a%20b"),
     ("http://a.com/", "/a%zz", "http://a.com/a%25zz"),
+    ("http://a.com/", "/a%zz%41", "http://a.com/a%25zz%2541"),
+    ("http://a.com/", "/%7euser/%2f%41?q=%3d%7E", "http://a.com/~user/%2FA?q=%3D~"),
     ("http://a.com/", "/a b", "http://a.com/a%20b"),
     ("http://a.com/", "http://a.com", "http://a.com/"),
     ("http://a.com/", "http://a.com:abc/", None),

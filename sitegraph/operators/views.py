@@ -48,6 +48,37 @@ CRAWL_STATUS_VIEWS = {
 }
 
 
+# FIXED VALUES: View menu (group, entry label) -> view name.
+MENU_VIEWS = {
+    ("All Crawl Data", ""): "crawl",
+    ("Internal Links", "All Non 200"): "broken_inlinks_non_ok",
+    ("Internal Links", "Redirects (3xx)"): "broken_inlinks_3xx",
+    ("Internal Links", "Client Error (4xx)"): "broken_inlinks_4xx",
+    ("Internal Links", "Server Error (5xx)"): "broken_inlinks_5xx",
+    ("Status Codes", "OK (200)"): "status_codes_200",
+    ("Status Codes", "Redirects (3xx)"): "status_codes_3xx",
+    ("Status Codes", "Client Error (4xx)"): "status_codes_4xx",
+    ("Status Codes", "Server Error (5xx)"): "status_codes_5xx",
+    ("Content Types", "HTML"): "content_type_html",
+    ("Content Types", "Image"): "content_type_image",
+    ("Content Types", "CSS"): "content_type_css",
+    ("Content Types", "Font"): "content_type_font",
+    ("Content Types", "JSON"): "content_type_json",
+    ("Content Types", "XML"): "content_type_xml",
+    ("Content Types", "JavaScript"): "content_type_javascript",
+    ("Crawl Status", "OK"): "crawl_status_ok",
+    ("Crawl Status", "Not OK"): "crawl_status_not_ok",
+    ("Crawl Status", "Canonicalised"): "crawl_status_canonicalised",
+    ("Crawl Status", "Blocked By Robots"): "crawl_status_blocked_by_robots",
+    ("Crawl Status", "Noindex"): "crawl_status_noindex",
+}
+
+
+def menu_view(group: str, label: str, crawl: DataFrame, edges: DataFrame | None = None, **kw) -> DataFrame:
+    """The view behind a View-menu entry."""
+    return view(MENU_VIEWS[(group, label)], crawl, edges, **kw)
+
+
 def broken_inlinks(crawl: DataFrame, edges: DataFrame, status_range: tuple | None = None,
                    key: str = "url", src: str = "url_from", dst: str = "url_to",
                    dedupe: bool = True) -> DataFrame:

@@ -192,3 +192,11 @@ def test_stream_restart_after_failure_is_exactly_once(spark):
     assert cur.count() == 9
     assert store.log().groupBy("url").count().filter("count > 1").count() == 0
     assert {r["url"]: r["change"] for r in cur.collect()}["u0-0"] == "updated"
+
+
+def test_menu_entries_map_to_views(spark):
+    from sitegraph.operators.views import ALL_VIEWS, MENU_VIEWS, menu_view
+
+    assert set(MENU_VIEWS.values()) == set(ALL_VIEWS)
+    crawl = spark.createDataFrame(CRAWL, SCHEMA)
+    assert urls(menu_view("Status Codes", "Client Error (4xx)", crawl)) == ["http://a.com/a%b"]

@@ -95,6 +95,26 @@ def tags(segment, name: str) -> Column:
     return F.regexp_extract_all(_c(segment), F.lit(tag_re(name)), F.lit(0))
 
 
+# FIXED VALUES: start tags collected in one pass over the page / the head.
+PAGE_TAGS = ["a", "link", "img", "script", "meta"]
+HEAD_TAGS = ["link", "base", "meta"]
+
+
+def multi_tag_re(names: list[str]) -> str:
+    return r"(?i)<(?:" + "|".join(names) + r")\b[^>]*>"
+
+
+def start_tags(segment, names: list[str]) -> Column:
+    """Start tags of several kinds in one pass over the markup, document order.
+    Tags never overlap, so filtering this by name equals a pass per kind."""
+    return F.regexp_extract_all(_c(segment), F.lit(multi_tag_re(names)), F.lit(0))
+
+
+def of_kind(tag_array, name: str) -> Column:
+    """The tags of one element name out of a mixed tag array."""
+    return F.filter(_c(tag_array), lambda t: F.lower(F.regexp_extract(t, r"^<([A-Za-z][A-Za-z0-9]*)", 1)) == name)
+
+
 def attr(tag: Column, name: str) -> Column:
     """Entity-decoded attribute value ('' when absent; test with has_attr)."""
     r = attr_re(name)
@@ -137,61 +157,61 @@ def rel_is(value: str):
     return lambda t: has_attr(t, "rel") & (attr(t, "rel") == value)
 
 
-def anchor_hrefs(cleaned) -> Column:
-    return attr_values(tags(cleaned, "a"), "href")
+def anchor_hrefs(page_tags) -> Column:
+    return attr_values(of_kind(page_tags, "a"), "href")
 
 
-def anchor_hrefs_follow(cleaned) -> Column:
+def anchor_hrefs_follow(page_tags) -> Column:
     no_nofollow = lambda t: ~(has_attr(t, "rel") & attr(t, "rel").contains("nofollow"))
-    return attr_values(tags(cleaned, "a"), "href", no_nofollow)
+    return attr_values(of_kind(page_tags, "a"), "href", no_nofollow)
 
 
-def canonical_hrefs(head_seg) -> Column:
-    return attr_values(tags(head_seg, "link"), "href", rel_is("canonical"))
+def canonical_hrefs(head_tags) -> Column:
+    return attr_values(of_kind(head_tags, "link"), "href", rel_is("canonical"))
 
 
-def hreflang_hrefs(head_seg) -> Column:
-    return attr_values(tags(head_seg, "link"), "href",
+def hreflang_hrefs(head_tags) -> Column:
+    return attr_values(of_kind(head_tags, "link"), "href",
                        lambda t: rel_is("alternate")(t) & has_attr(t, "hreflang"))
 
 
-def pagination_hrefs(head_seg) -> Column:
-    return attr_values(tags(head_seg, "link"), "href", lambda t: rel_is("next")(t) | rel_is("prev")(t))
+def pagination_hrefs(head_tags) -> Column:
+    return attr_values(of_kind(head_tags, "link"), "href", lambda t: rel_is("next")(t) | rel_is("prev")(t))
 
 
-def image_srcs(cleaned) -> Column:
-    return attr_values(tags(cleaned, "img"), "src")
+def image_srcs(page_tags) -> Column:
+    return attr_values(of_kind(page_tags, "img"), "src")
 
 
-def stylesheet_hrefs(cleaned) -> Column:
-    return attr_values(tags(cleaned, "link"), "href", rel_is("stylesheet"))
+def stylesheet_hrefs(page_tags) -> Column:
+    return attr_values(of_kind(page_tags, "link"), "href", rel_is("stylesheet"))
 
 
-def script_srcs(cleaned) -> Column:
-    return attr_values(tags(cleaned, "script"), "src")
+def script_srcs(page_tags) -> Column:
+    return attr_values(of_kind(page_tags, "script"), "src")
 
 
-def base_hrefs(head_seg) -> Column:
-    return attr_values(tags(head_seg, "base"), "href")
+def base_hrefs(head_tags) -> Column:
+    return attr_values(of_kind(head_tags, "base"), "href")
 
 
 # -- on-page items ------------------------------------------------------------
 
-def meta_contents(cleaned, name_value: str) -> Column:
-    return attr_values(tags(cleaned, "meta"), "content",
+def meta_contents(page_tags, name_value: str) -> Column:
+    return attr_values(of_kind(page_tags, "meta"), "content",
                        lambda t: has_attr(t, "name") & (attr(t, "name") == name_value))
 
 
-def meta_description(head_seg, sep: str) -> Column:
-    metas = attr_values(tags(head_seg, "meta"), "content",
+def meta_description(head_tags, sep: str) -> Column:
+    metas = attr_values(of_kind(head_tags, "meta"), "content",
                         lambda t: has_attr(t, "name") & (attr(t, "name") == "description"))
     return joined(metas, sep)
 
 
-def meta_robots(cleaned, agent: str) -> Column:
+def meta_robots(page_tags, agent: str) -> Column:
     """Contents of the first meta whose lower-case name is contained in the
     agent name, then of ``name="robots"``, joined by ``', '``."""
-    metas = tags(cleaned, "meta")
+    metas = of_kind(page_tags, "meta")
     names = attr_values(metas, "name")
     agent_l = F.lit(agent.lower())
     ua = F.get(F.filter(names, lambda n: agent_l.contains(F.lower(n))), 0)
@@ -199,7 +219,7 @@ def meta_robots(cleaned, agent: str) -> Column:
         F.filter(metas, lambda t: has_attr(t, "name") & (attr(t, "name") == ua) & has_attr(t, "content")),
         lambda t: attr(t, "content"))
     ua_rules = F.coalesce(ua_rules, F.array().cast("array<string>"))
-    robots = meta_contents(cleaned, "robots")
+    robots = meta_contents(page_tags, "robots")
     return F.array_join(F.concat(ua_rules, robots), ", ")
 
 

@@ -47,12 +47,16 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def with_markup(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Add ``_clean`` (comments, script and style bodies removed) and ``_head``."""
+    """Add ``_clean`` (comments, script and style bodies removed), ``_head``,
+    and the start tags the extractors read: ``_tags`` (one pass over the
+    page) and ``_htags`` (one pass over the head)."""
     return (spread(pages).withColumn("_clean", H.clean(html))
-                         .withColumn("_head", H.head("_clean")))
+                         .withColumn("_head", H.head("_clean"))
+                         .withColumn("_tags", H.start_tags("_clean", H.PAGE_TAGS))
+                         .withColumn("_htags", H.start_tags("_head", H.HEAD_TAGS)))
 
 
-def link_kind(kind: str, cleaned="_clean", head="_head") -> Column:
+def link_kind(kind: str, cleaned="_tags", head="_htags") -> Column:
     return {
         "href_all": lambda: H.anchor_hrefs(cleaned),
         "href_follow": lambda: H.anchor_hrefs_follow(cleaned),
@@ -71,7 +75,7 @@ def enabled_kinds(settings: CrawlSettings) -> list[str]:
     return kinds + [k for k, item in LINK_KIND_ITEMS if settings.has(item)]
 
 
-def base_url(url="url", head="_head") -> Column:
+def base_url(url="url", head="_htags") -> Column:
     """First ``base@href`` in the head, normalised against the page URL;
     otherwise the page URL itself."""
     first = F.get(H.base_hrefs(head), 0)
@@ -161,20 +165,20 @@ def page_items(pages: DataFrame, settings: CrawlSettings, url: str = "url", html
     def item(expr):
         return F.when(body, expr).otherwise(F.lit(""))
 
-    canon = F.get(H.canonical_hrefs("_head"), 0)
+    canon = F.get(H.canonical_hrefs("_htags"), 0)
     cols = {
         "h1": item(H.joined(H.direct_texts("_clean", "h1"), sep)),
         "h2": item(H.joined(H.direct_texts("_clean", "h2"), sep)),
         "page_title": item(H.joined(H.direct_texts("_head", "title"), sep)),
-        "meta_description": item(H.meta_description("_head", sep)),
+        "meta_description": item(H.meta_description("_htags", sep)),
         "canonical_tag": item(F.coalesce(F.when(canon.isNotNull(), U.normalise(canon, base=F.col("_base"))),
                                          F.lit(""))),
-        "meta_robots": item(H.meta_robots("_clean", settings.agent)),
+        "meta_robots": item(H.meta_robots("_tags", settings.agent)),
     }
     out = staged
     for name, expr in cols.items():
         out = out.withColumn(name, expr)
-    return out.drop("_clean", "_head", "_base")
+    return out.drop("_clean", "_head", "_tags", "_htags", "_base")
 
 
 def header_info(fetches: DataFrame, url: str = "url") -> DataFrame:

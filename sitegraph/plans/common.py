@@ -41,10 +41,10 @@ def html_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_markup(fixture(spark, sf_dir, "fx_html"))
 
 
-def raw_link_values(cleaned="_clean", head="_head"):
+def raw_link_values(page_tags="_tags", head_tags="_htags"):
     """Every raw href/src in a page: anchors, links, images, scripts, base."""
-    return F.concat(H.anchor_hrefs(cleaned), H.attr_values(H.tags(cleaned, "link"), "href"),
-                    H.image_srcs(cleaned), H.script_srcs(cleaned), H.base_hrefs(head))
+    return F.concat(H.anchor_hrefs(page_tags), H.attr_values(H.of_kind(page_tags, "link"), "href"),
+                    H.image_srcs(page_tags), H.script_srcs(page_tags), H.base_hrefs(head_tags))
 
 
 def raw_links_frame(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,12 +61,12 @@ _TEXT_ITEMS = {
                   S.joined_sql(S.direct_texts_sql("c", "h2"), SEP), "h2"),
     "onpage_title": (lambda: H.joined(H.direct_texts("_head", "title"), SEP),
                      S.joined_sql(S.direct_texts_sql("h", "title"), SEP), "page_title"),
-    "onpage_description": (lambda: H.meta_description("_head", SEP),
+    "onpage_description": (lambda: H.meta_description("_htags", SEP),
                            S.joined_sql(S.attr_values_sql(
                                S.tags_sql("h", "meta"), "content",
                                lambda t: f"({S.has_attr_sql(t, 'name')} AND {S.attr_sql(t, 'name')} = 'description')"),
                                SEP), "meta_description"),
-    "meta_robots": (lambda: H.meta_robots("_clean", AGENT), S.meta_robots_sql("c", AGENT), "meta_robots"),
+    "meta_robots": (lambda: H.meta_robots("_tags", AGENT), S.meta_robots_sql("c", AGENT), "meta_robots"),
 }
 
 
@@ -89,7 +89,7 @@ CANON_SQL = (f"coalesce(CASE WHEN cr IS NOT NULL THEN {S.normalise_sql('cr')} EN
     f"FROM pb))", (BASE_CTE,)))
 def q_canonical_tag(spark, sf):
     df = html_frame(spark, sf).withColumn("_base", X.base_url("url"))
-    first = F.get(H.canonical_hrefs("_head"), 0)
+    first = F.get(H.canonical_hrefs("_htags"), 0)
     return df.select("page_id", F.coalesce(F.when(first.isNotNull(), U.normalise(first, base=F.col("_base"))),
                                            F.lit("")).alias("canonical_tag"))
 

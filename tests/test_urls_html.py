@@ -84,7 +84,7 @@ def test_onpage_items(spark):
 
 def test_link_kinds_and_base(spark):
     df = with_markup(_page(spark))
-    r = df.select(H.anchor_hrefs("_clean").alias("all"), H.anchor_hrefs_follow("_clean").alias("follow"),
+    r = df.select(H.anchor_hrefs("_tags").alias("all"), H.anchor_hrefs_follow("_tags").alias("follow"),
                   base_url("url").alias("base")).first()
     assert r["all"] == ["/x", "/nf", "y", "https://other.org/o"]
     assert r["follow"] == ["/x", "https://other.org/o"]

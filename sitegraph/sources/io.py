@@ -168,3 +168,23 @@ def robots_source(robots: DataFrame) -> DataFrame:
     return robots.select(F.lower("host").alias("host"),
                          F.when(F.col("status_code") == 200, F.col("robots_text")).alias("robots_text"),
                          "status_code")
+
+
+def resume_crawl(spark: SparkSession, folder: str, register: bool = True) -> dict:
+    """Load a saved crawl for resuming: settings (from the tiny config
+    tables), the pending queue (discovered, not crawled), the progress
+    counters, and the report views registered again."""
+    from sitegraph.operators.state import pending, progress
+    from sitegraph.operators.views import register_views
+
+    loaded = load_crawl(spark, folder)
+    settings = settings_from_config(
+        [(r["setting"], r["value"]) for r in loaded["config"].select("setting", "value").collect()],
+        [tuple(r) for r in loaded["extractions"].collect()],
+        [tuple(r) for r in loaded["exclusions"].collect()])
+    crawl = loaded["crawl"]
+    out = {"settings": settings, "crawl": crawl, "pending": pending(crawl), "progress": progress(crawl),
+           "inlinks": loaded.get("inlinks")}
+    if register:
+        out["views"] = register_views(crawl, loaded.get("inlinks"))
+    return out

@@ -200,3 +200,15 @@ def test_menu_entries_map_to_views(spark):
     assert set(MENU_VIEWS.values()) == set(ALL_VIEWS)
     crawl = spark.createDataFrame(CRAWL, SCHEMA)
     assert urls(menu_view("Status Codes", "Client Error (4xx)", crawl)) == ["http://a.com/a%b"]
+
+
+def test_resume_crawl(spark):
+    folder = scratch_path(spark, "resume-test")
+    crawl = spark.createDataFrame(CRAWL, SCHEMA)
+    edges = spark.createDataFrame([("http://a.com/a_b", "http://a.com/a%b")], "url_from string, url_to string")
+    io.save_crawl(spark, folder, crawl, CrawlSettings(mode="List"), inlinks=edges)
+    r = io.resume_crawl(spark, folder)
+    assert r["settings"].mode == "List"
+    assert urls(r["pending"]) == ["http://a.com/new"]
+    assert r["progress"].first()["crawled"] == 3
+    assert spark.sql("SELECT * FROM broken_inlinks_non_ok").count() == 1

@@ -55,5 +55,5 @@ def build_crawl(fetches: DataFrame, settings: CrawlSettings, robots: DataFrame |
     discovered = (links.select(F.col("url_to").alias("url")).distinct()
                   .join(rows.select("url"), "url", "left_anti"))
     crawl = rows.unionByName(discovered, allowMissingColumns=True)
-    inlinks = links.distinct() if settings.has("unique_inlinks") else links.limit(0)
+    inlinks = links.distinct() if settings.has("unique_inlinks") else links.where(F.lit(False))
     return crawl, inlinks

@@ -136,7 +136,9 @@ def extract_links(pages: DataFrame, settings: CrawlSettings, robots_rules: DataF
     and ``check_blocked_urls`` is off, links blocked for the agent are dropped.
     """
     if not settings.spider:
-        return pages.select(F.col(url).alias("url_from"), F.lit(None).cast("string").alias("url_to")).limit(0)
+        # List mode follows no links: an empty link set with the same schema
+        return pages.select(F.col(url).alias("url_from"), F.lit(None).cast("string").alias("url_to")) \
+            .where(F.lit(False))
     staged = (with_markup(pages.select(url, html), html)
               .withColumn("_base", base_url(url))
               .withColumn("_root", root_domain(settings, url)))

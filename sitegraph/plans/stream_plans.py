@@ -86,7 +86,8 @@ def q_stream_throughput(spark, sf):
 
 
 @register("stream_attempts", with_fixtures(["fx_attempts"], """
-SELECT url, CAST(count_if(outcome <> 'ok') AS BIGINT) AS failures, CAST(count_if(outcome = 'ok') AS BIGINT) AS successes
+SELECT url, CAST(count_if(outcome <> 'ok') AS BIGINT) AS failures, CAST(count_if(outcome = 'ok') AS BIGINT) AS successes,
+       count_if(outcome = 'ok') = 0 AND count_if(outcome <> 'ok') > 5 AS over_limit
 FROM fx_attempts GROUP BY url"""))
 def q_stream_attempts(spark, sf):
     att = fixture(spark, sf, "fx_attempts").select("url", "outcome", "ts")

@@ -241,8 +241,9 @@ def run_throughput(spark: SparkSession, source: str, ts: str = "ts", window: str
 
 
 def run_attempt_counter(spark: SparkSession, source: str, url: str = "url", outcome: str = "outcome",
-                        ok_value: str = "ok", max_files: int = 1) -> DataFrame:
-    """Per-URL attempt counters kept in streaming state (update mode)."""
+                        ok_value: str = "ok", max_files: int = 1, max_retries: int = 5) -> DataFrame:
+    """Per-URL attempt counters kept in streaming state (update mode), with
+    ``over_limit``: more failures than the retry limit and no success yet."""
     sink, write = _update_sink(spark, "attempts-sink")
     agg = (_file_stream(spark, source, max_files).groupBy(url)
            .agg(F.count_if(F.col(outcome) != ok_value).alias("failures"),
@@ -251,4 +252,5 @@ def run_attempt_counter(spark: SparkSession, source: str, url: str = "url", outc
          .option("checkpointLocation", scratch_path(spark, "attempts-ckpt"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return _latest_per_key(spark.read.parquet(sink), [url])
+    latest = _latest_per_key(spark.read.parquet(sink), [url])
+    return latest.withColumn("over_limit", (F.col("successes") == 0) & (F.col("failures") > max_retries))

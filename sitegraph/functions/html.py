@@ -60,6 +60,30 @@ def element_re(name: str) -> str:
     return rf"(?is)<{name}\b[^>]*>(.*?)</{name}\s*>"
 
 
+def start_split_re(name: str) -> str:
+    return rf"(?i)<{name}\b"
+
+
+def piece_re(name: str) -> str:
+    """Inside the text that follows one start tag: rest of the tag, then the
+    content up to the first end tag."""
+    return rf"(?is)^[^>]*>(.*?)</{name}\s*>"
+
+
+def element_contents(segment, name: str) -> Column:
+    """Inner markup of every ``name`` element that has an end tag, in order.
+
+    The markup is split at each start tag first and the end tag is searched
+    only inside its own piece, so the cost is linear in the page even when a
+    page opens thousands of elements it never closes (a lazy scan from every
+    start tag to the page end would be quadratic).  A start tag also ends the
+    previous element of the same name."""
+    parts = F.split(_c(segment), start_split_re(name), -1)
+    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1)))
+    closed = F.filter(rest, lambda p: p.rlike(piece_re(name)))
+    return F.transform(closed, lambda p: F.regexp_extract(p, piece_re(name), 1))
+
+
 def attr_re(name: str) -> str:
     return rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
@@ -136,7 +160,7 @@ def attr_values(tag_array: Column, name: str, where=None) -> Column:
 
 def direct_texts(segment, name: str) -> Column:
     """Direct text entries of every ``name`` element, raw (not cleaned)."""
-    inner = F.regexp_extract_all(_c(segment), F.lit(element_re(name)), F.lit(1))
+    inner = element_contents(segment, name)
 
     def split_text(x):
         x = F.regexp_replace(x, RE_CHILD, MARK)

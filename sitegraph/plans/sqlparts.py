@@ -247,8 +247,14 @@ def rel_is_sql(value: str):
     return lambda t: f"({has_attr_sql(t, 'rel')} AND {attr_sql(t, 'rel')} = {lit(value)})"
 
 
+def element_contents_sql(seg: str, name: str) -> str:
+    parts = f"string_split_regex({seg}, {lit(H.start_split_re(name))})"
+    closed = f"list_filter(({parts})[2:], lambda p: {rx('p', H.piece_re(name))})"
+    return f"list_transform({closed}, lambda p: {rx_extract('p', H.piece_re(name), 1)})"
+
+
 def direct_texts_sql(seg: str, name: str) -> str:
-    inner = f"regexp_extract_all({seg}, {lit(H.element_re(name))}, 1)"
+    inner = element_contents_sql(seg, name)
     x = rx_replace("x", H.RE_CHILD, H.MARK)
     x = rx_replace(x, H.RE_CHILD, H.MARK)
     x = rx_replace(x, H.RE_ANY_TAG, H.MARK)

@@ -2,12 +2,10 @@
 
 Tokens come from ``regexp_extract_all`` over the cleaned markup and are
 ``posexplode``-d; the nesting level is a running sum of +1 (start tag of a
-non-void element) / -1 (end tag) over the page's tokens in order, and the
-ancestors of a node are, for each level k, the last start tag seen at level k
-(``last(..., ignorenulls)``).  Every level column uses the same window
-(partition by page, order by position), so the whole table costs one exchange
-and one sort; the number of level columns is the deepest nesting found in the
-data (one aggregate), so no depth is cut off.
+non-void element) / -1 (end tag) over the page's tokens in order.  Tree links
+are a parent pointer and the end-tag position of every start tag, both found
+with windows clustered by page, so the cost does not depend on how deep a
+page nests (no per-node ancestor lists).
 
 Approximation (stated in the README): tags the author never closed are not
 closed implicitly, so later siblings appear nested under them.
@@ -15,7 +13,6 @@ closed implicitly, so later siblings appear nested under them.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,21 +52,35 @@ def tokens(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 
 
 def node_table(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Tokens plus ``ancestors``: ARRAY<STRUCT<pos, tag, attrs>> from the root
-    down to the parent (for a text node: down to the element holding it)."""
-    # kept for the two passes below (depth probe, then ancestors); recomputed
-    # from lineage if an executor holding blocks is lost
-    t = tokens(pages, url, html).persist(StorageLevel.MEMORY_AND_DISK)
-    depth = t.agg(F.max("level")).first()[0] or 0
-    w = Window.partitionBy("url").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Tokens plus their tree links, independent of nesting depth:
+
+    * ``parent``: position of the enclosing element's start tag (NULL at the
+      root).  The parent of a node whose parent level is k is the last
+      non-void start tag at level k before it: marker rows (start tags, keyed
+      by their level) and query rows (every node, keyed by its parent level)
+      share one window over ``(url, key)``;
+    * ``end``: for a start tag, the position of its end tag (NULL when never
+      closed): the next end tag in the ``(url, level)`` partition.
+
+    Both windows are clustered by ``url``, so one exchange serves them (and
+    the level sum in :func:`tokens`).  No per-node ancestor list is built, so a
+    page nested thousands of levels deep costs no more than a flat one."""
+    t = tokens(pages, url, html)
     opener = (F.col("kind") == "open") & ~F.col("void")
-    anc = [F.last(F.when(opener & (F.col("level") == k), F.struct("pos", "tag", "attrs")), ignorenulls=True).over(w)
-           for k in range(1, depth + 1)]
-    t = t.withColumn("_anc", F.array(*anc) if anc else F.array().cast(
-        "array<struct<pos:bigint,tag:string,attrs:string>>"))
-    # an element's ancestors stop at level-1; a text node's at its own level
-    n_anc = F.when(F.col("kind") == "text", F.col("level")).otherwise(F.col("level") - 1)
-    return t.withColumn("ancestors", F.slice("_anc", 1, F.greatest(n_anc, F.lit(0)))).drop("_anc")
+    parent_level = F.when(F.col("kind").isin("text", "other"), F.col("level")).otherwise(F.col("level") - 1)
+    markers = t.filter(opener).select("url", "pos", F.col("level").alias("_key"), F.col("pos").alias("_mark"),
+                                      F.lit(0).alias("_q"))
+    queries = t.select("url", "pos", parent_level.alias("_key"), F.lit(None).cast("int").alias("_mark"),
+                       F.lit(1).alias("_q"))
+    wk = (Window.partitionBy("url", "_key").orderBy("pos", "_q")
+          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parents = (markers.unionByName(queries)
+               .withColumn("parent", F.last("_mark", ignorenulls=True).over(wk))
+               .filter(F.col("_q") == 1).select("url", "pos", "parent"))
+    wl = Window.partitionBy("url", "level").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    end = F.first(F.when(F.col("kind") == "close", F.col("pos")), ignorenulls=True).over(wl)
+    t = t.withColumn("end", F.when(opener, end))
+    return t.join(parents, ["url", "pos"], "left")
 
 
 def class_list(attrs: Column) -> Column:

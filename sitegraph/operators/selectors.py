@@ -17,7 +17,9 @@ Semantics (as the crawler applies them):
 
 Selectors are short settings strings; they are translated on the driver into
 Column predicates once, and all matching runs on the executors.  Combinator
-chains are matched right to left over the ancestor array with ``aggregate``.
+chains are matched step by step with windows and joins over the node table
+(running counts of open matched elements, parent pointers), so the work does
+not grow with how deep pages nest.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitegraph.functions import html as H
@@ -128,46 +130,84 @@ def _matches(c: Compound, tag: Column, attrs: Column) -> Column:
     return cond
 
 
-def element_matches(sel: Selector, xpath_root: bool) -> Column:
-    """Predicate on a node-table row: this element matches the selector."""
-    comb_last, last = sel.steps[-1]
-    cond = (F.col("kind") == "open") & _matches(last, F.col("tag"), F.col("attrs"))
-    earlier = list(sel.steps[:-1])
-    # right-to-left over ancestors (parent first); state = index of the step to find
-    n = len(earlier)
-    if n == 0:
-        if xpath_root and comb_last == "child":
-            cond = cond & (F.col("level") == 1)
-        return cond
-    anc = F.reverse(F.col("ancestors"))
-    # child links: step i+1 is a child of step i
-    child_after = [sel.steps[i + 1][0] == "child" for i in range(n)]
-
-    def step(acc, a):
-        idx, ok = acc["idx"], acc["ok"]
-        hit = F.lit(False)
-        for i, (_, comp) in enumerate(earlier):
-            hit = F.when(idx == i, _matches(comp, a["tag"], a["attrs"])).otherwise(hit)
-        adv = ok & (idx >= 0) & hit
-        # a miss is allowed only where the link to the step we look for is a descendant one
-        miss_allowed = F.lit(True)
-        for i in range(n):
-            miss_allowed = F.when(idx == i, F.lit(not child_after[i])).otherwise(miss_allowed)
-        new_ok = ok & (adv | (idx < 0) | miss_allowed)
-        return F.struct(F.when(adv, idx - 1).otherwise(idx).alias("idx"), new_ok.alias("ok"))
-
-    init = F.struct(F.lit(n - 1).alias("idx"), F.lit(True).alias("ok"))
-    res = F.aggregate(anc, init, step)
-    cond = cond & res["ok"] & (res["idx"] == -1)
-    if xpath_root and sel.steps[0][0] == "child":
-        # the first step hangs off the document root: it must be a level-1 element
-        first_comp = sel.steps[0][1]
-        root = F.get(F.col("ancestors"), 0)
-        cond = cond & F.when(F.size("ancestors") > 0, _matches(first_comp, root["tag"], root["attrs"]))
-    if comb_last == "child" and n > 0:
-        parent = F.get(anc, 0)
-        cond = cond & _matches(earlier[-1][1], parent["tag"], parent["attrs"])
-    return cond
+def _opener() -> Column:
+    return (F.col("kind") == "open") & ~F.col("void")
+
+
+def _open_count_before(flag: str) -> Column:
+    """How many elements with ``flag`` enclose each row.  A start tag adds
+    one, its end tag (found as the last start tag before it at the same
+    level) removes one; the running sum before the row is the count."""
+    same_level = (Window.partitionBy("url", "level").orderBy("pos")
+                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    opener_flag = F.last(F.when(_opener(), F.col(flag)), ignorenulls=True).over(same_level)
+    delta = (F.when(_opener() & F.col(flag), 1)
+             .when((F.col("kind") == "close") & F.coalesce(opener_flag, F.lit(False)), -1).otherwise(0))
+    before = Window.partitionBy("url").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(delta).over(before), F.lit(0))
+
+
+def match_elements(nodes: DataFrame, sel: Selector, xpath_root: bool) -> DataFrame:
+    """Node table with ``_hit``: start tags matching the selector.
+
+    Steps are matched left to right: a descendant step requires an enclosing
+    element that matched the previous step (running count > 0), a child step
+    requires the parent to have matched it (equi-join on the parent pointer).
+    Every step is linear in the page, whatever the nesting depth."""
+    comb0, comp0 = sel.steps[0]
+    first = (F.col("kind") == "open") & _matches(comp0, F.col("tag"), F.col("attrs"))
+    if xpath_root and comb0 == "child":
+        first = first & (F.col("level") == 1)
+    df = nodes.withColumn("_f", first)
+    for comb, comp in sel.steps[1:]:
+        here = (F.col("kind") == "open") & _matches(comp, F.col("tag"), F.col("attrs"))
+        if comb == "desc":
+            df = df.withColumn("_f", here & (_open_count_before("_f") > 0))
+        else:
+            parent_flag = df.filter(_opener()).select("url", F.col("pos").alias("parent"),
+                                                      F.col("_f").alias("_pf"))
+            df = (df.join(parent_flag, ["url", "parent"], "left")
+                  .withColumn("_f", here & F.coalesce(F.col("_pf"), F.lit(False))).drop("_pf"))
+    return df.withColumnRenamed("_f", "_hit")
+
+
+def _innermost(keys_marks: DataFrame, keys_queries: DataFrame) -> DataFrame:
+    """For each query row (url, pos, _key) the last marker (url, pos, _key)
+    before it with the same key: the innermost enclosing marked element."""
+    u = (keys_marks.select("url", "pos", "_key", F.col("pos").alias("_mark"), F.lit(0).alias("_q"))
+         .unionByName(keys_queries.select("url", "pos", "_key", F.lit(None).cast("int").alias("_mark"),
+                                          F.lit(1).alias("_q"))))
+    w = (Window.partitionBy("url", "_key").orderBy("pos", "_q")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (u.withColumn("inner", F.last("_mark", ignorenulls=True).over(w))
+            .filter(F.col("_q") == 1).select("url", "pos", "inner"))
+
+
+def _element_texts(df: DataFrame) -> DataFrame:
+    """(url, vpos = element position, v = whole text) for every hit.
+
+    Each text node goes to its innermost enclosing hit (match level keyed
+    lookup); texts of nested hits are then handed up to the enclosing hits
+    along the match-parent pointers, one join per nesting level of matches."""
+    counted = df.withColumn("_c", _open_count_before("_hit"))
+    hits = counted.filter(F.col("_hit")).select("url", "pos", (F.col("_c") + 1).alias("_key"))
+    texts = counted.filter((F.col("kind") == "text") & (F.col("_c") > 0)).select(
+        "url", "pos", F.col("_c").alias("_key"), "text")
+    owner = _innermost(hits, texts)
+    pieces = texts.join(owner, ["url", "pos"]).select("url", F.col("inner").alias("elem"),
+                                                      F.col("pos").alias("tpos"), "text")
+    nested = hits.filter(F.col("_key") > 1)
+    up = _innermost(hits, nested.withColumn("_key", F.col("_key") - 1)).select(
+        "url", F.col("pos").alias("elem"), F.col("inner").alias("_up"))
+    depth = hits.agg(F.max("_key")).first()[0] or 1
+    frontier, allp = pieces, pieces
+    for _ in range(depth - 1):  # nesting depth of matches, usually 0 rounds
+        frontier = frontier.join(up, ["url", "elem"]).select("url", F.col("_up").alias("elem"), "tpos", "text")
+        allp = allp.unionByName(frontier)
+    return (allp.groupBy("url", "elem")
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tpos", "text"))),
+                                          lambda x: x["text"]), "").alias("v"))
+            .select("url", F.col("elem").alias("vpos"), "v"))
 
 
 def extract(pages: DataFrame, name: str, kind: str, selector: str, sep: str,
@@ -180,27 +220,27 @@ def extract(pages: DataFrame, name: str, kind: str, selector: str, sep: str,
     else:
         raise SelectorError(f"extraction type {kind!r} is not evaluated")
     nodes = nodes if nodes is not None else node_table(pages, url, html)
-    hits = nodes.filter(element_matches(sel, xpath_root=kind == "XPath")).select("url", F.col("pos").alias("epos"),
-                                                                                 "attrs", "level")
+    df = match_elements(nodes, sel, xpath_root=kind == "XPath")
+    hits = df.filter(F.col("_hit")).select("url", F.col("pos").alias("epos"), "attrs", "end")
     if first_only:
-        hits = hits.groupBy("url").agg(F.min_by(F.struct("epos", "attrs", "level"), F.col("epos")).alias("h")) \
+        hits = hits.groupBy("url").agg(F.min_by(F.struct("epos", "attrs", "end"), F.col("epos")).alias("h")) \
             .select("url", "h.*")
+    texts = df.filter(F.col("kind") == "text").select("url", F.col("pos").alias("tpos"), "text", "parent")
     if sel.output == "attr":
         vals = hits.filter(H.has_attr(F.col("attrs"), sel.attr)).select(
             "url", F.col("epos").alias("vpos"), H.attr(F.col("attrs"), sel.attr).alias("v"))
-    else:
-        texts = nodes.filter(F.col("kind") == "text").select(
-            "url", F.col("pos").alias("tpos"), "text", F.col("ancestors.pos").alias("apos"))
-        keys = hits.select("url", "epos")
-        if sel.output == "text":  # direct text children: parent position = element position
-            j = texts.withColumn("epos", F.element_at("apos", -1)).join(keys, ["url", "epos"])
-            vals = j.select("url", F.col("tpos").alias("vpos"), F.col("text").alias("v"))
-        else:  # whole text of each matched element: one row per (text, ancestor), equi-join
-            j = texts.select("url", "tpos", "text", F.explode("apos").alias("epos")).join(keys, ["url", "epos"])
-            vals = (j.groupBy("url", "epos")
-                    .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tpos", "text"))),
-                                                  lambda x: x["text"]), "").alias("v"))
-                    .select("url", F.col("epos").alias("vpos"), "v"))
+    elif sel.output == "text":  # direct text children: parent pointer = element position
+        j = texts.join(hits.select("url", F.col("epos").alias("parent")), ["url", "parent"])
+        vals = j.select("url", F.col("tpos").alias("vpos"), F.col("text").alias("v"))
+    elif first_only:  # whole text of the first match: texts between its start and end tag
+        j = texts.join(hits.select("url", "epos", "end"), "url").filter(
+            (F.col("tpos") > F.col("epos")) & (F.col("end").isNull() | (F.col("tpos") < F.col("end"))))
+        vals = (j.groupBy("url", "epos")
+                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tpos", "text"))),
+                                              lambda x: x["text"]), "").alias("v"))
+                .select("url", F.col("epos").alias("vpos"), "v"))
+    else:  # whole text of every match
+        vals = _element_texts(df)
     if first_only:
         out = vals.groupBy("url").agg(F.min_by("v", "vpos").alias("v")).select("url", collapse_ws(F.col("v")).alias("v"))
     else:

@@ -212,3 +212,25 @@ def test_resume_crawl(spark):
     assert urls(r["pending"]) == ["http://a.com/new"]
     assert r["progress"].first()["crawled"] == 3
     assert spark.sql("SELECT * FROM broken_inlinks_non_ok").count() == 1
+
+
+def test_selectors_nested_matches_and_parents(spark):
+    from sitegraph.operators.dom import node_table
+
+    html = "<div id=o>a<div id=i>b<span>c</span></div>d</div><div>e</div><p>f<br>g</p>"
+    pages = spark.createDataFrame([("u", html)], "url string, html string")
+    n = {r["pos"]: r for r in node_table(pages).collect()}
+    spans = [r for r in n.values() if r["tag"] == "span" and r["kind"] == "open"][0]
+    assert n[spans["parent"]]["attrs"] == "<div id=i>"
+    # every div's whole text, nested ones included in the outer one
+    assert extract(pages, "x", "XPath", "//div", " | ").first()["x"] == "abcd | bc | e"
+    assert extract(pages, "x", "XPath", "//div/div", " | ").first()["x"] == "bc"
+    assert extract(pages, "x", "XPath", "//p/text()", " | ").first()["x"] == "f | g"
+    assert extract(pages, "x", "CSS Selector", "div div span", " | ").first()["x"] == "c"
+    assert extract(pages, "x", "CSS Selector", "div > span", " | ").first()["x"] == "c"
+
+
+def test_selectors_on_deeply_unclosed_page(spark):
+    html = "<html><body>" + "<p>para " * 3000 + "<b class=x>end</b></body></html>"
+    pages = spark.createDataFrame([("u", html)], "url string, html string")
+    assert extract(pages, "x", "CSS Selector", "body p b.x", " | ").first()["x"] == "end"

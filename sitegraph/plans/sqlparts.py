@@ -213,8 +213,15 @@ def decode_sql(s: str) -> str:
     return s
 
 
+def strip_comments_sql(h: str) -> str:
+    parts = f"string_split({h}, '<!--')"
+    kept = (f"list_transform(({parts})[2:], lambda p: CASE WHEN strpos(p, '-->') > 0 "
+            f"THEN substr(p, strpos(p, '-->') + 3) ELSE '' END)")
+    return f"(({parts})[1] || array_to_string({kept}, ''))"
+
+
 def clean_html_sql(h: str) -> str:
-    h = rx_replace(h, H.RE_COMMENT, "")
+    h = strip_comments_sql(h)
     h = rx_replace(h, H.RE_SCRIPT_BODY, r"\1</script>")
     return rx_replace(h, H.RE_STYLE_BODY, r"\1</style>")
 

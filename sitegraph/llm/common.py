@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
@@ -12,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import sitegraph
 from sitegraph.session import checkpoint_root
 
 #: Bytes of text that one vectorised step in a Python worker takes at most
@@ -25,6 +27,11 @@ class Tables:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        # Python workers find this package where the driver found it (a cluster without
+        # that path gets it by --py-files)
+        home, env = os.path.dirname(os.path.dirname(sitegraph.__file__)), spark.sparkContext.environment
+        if home not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), home]))
         self.root = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
 

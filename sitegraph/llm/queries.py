@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitegraph.llm import sharding
+from sitegraph.llm import mixing, packing, quality, sharding
 from sitegraph.llm.registry import ORACLES, REGISTRY, register, table
+from sitegraph.llm.tokens import tokenizer_path
 
 SHARDS = 16
 
@@ -17,6 +18,23 @@ def op1(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+@register("op6_adaptive_quality", quality.oracle())
+def op6(spark, sf_dir):
+    return quality.assess(spark, table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@register("op7_hash_threshold_mixing")
+def op7(spark, sf_dir):
+    return mixing.mix(spark, table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op10_cutting_stock_packing")
+def op10(spark, sf_dir):
+    return packing.pack(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def queries():
     return dict(REGISTRY)
 

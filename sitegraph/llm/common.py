@@ -242,3 +242,29 @@ def local_path(uri: str):
     if at.scheme in ("", "file"):
         return fs.LocalFileSystem(), unquote(at.path) if at.scheme else uri
     return fs.FileSystem.from_uri(uri)
+
+
+# ---- a bounded pre-filter ------------------------------------------------------
+
+FILTER_BITS = 25
+
+
+def key_filter(df: DataFrame, key: Column) -> np.ndarray:
+    """Bitmap of 2^FILTER_BITS bits (4 MB whatever the input) with a bit for each
+    key of ``df``.  It only saves moving rows that an exact join would drop: it lets
+    all keys through, and others by chance."""
+    slot = F.shiftrightunsigned(F.xxhash64(key), 64 - FILTER_BITS)
+    words = df.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")) \
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    return out
+
+
+def slot_of(key: Column) -> Column:
+    """A row's bit in ``key_filter`` bitmaps, for ``in_filter``."""
+    return F.shiftrightunsigned(F.xxhash64(key), 64 - FILTER_BITS)
+
+
+def in_filter(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bitmap[slots >> 6] >> (slots & 63)) & 1 == 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitegraph.llm import mixing, packing, quality, sharding, substrings
+from sitegraph.llm import minhash, mixing, packing, quality, sharding, substrings
 from sitegraph.llm.registry import ORACLES, REGISTRY, register, table
 from sitegraph.llm.tokens import tokenizer_path
 
@@ -18,6 +18,12 @@ def op1(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+@register("op2_one_permutation_minhash")
+def op2(spark, sf_dir):
+    return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"), width=4).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 @register("op5_difference_cover_substrings")
 def op5(spark, sf_dir):
     return substrings.digest(spark, table(spark, sf_dir, "documents"))

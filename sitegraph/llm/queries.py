@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitegraph.llm import minhash, mixing, packing, quality, sharding, substrings
+from sitegraph.llm import embeddings, minhash, mixing, packing, quality, sharding, substrings
 from sitegraph.llm.registry import ORACLES, REGISTRY, register, table
 from sitegraph.llm.tokens import tokenizer_path
 
@@ -41,6 +41,11 @@ def op7(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@register("op9_pca_tiled_embeddings")
+def op9(spark, sf_dir):
+    return embeddings.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 @register("op10_cutting_stock_packing")
 def op10(spark, sf_dir):
     return packing.pack(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))

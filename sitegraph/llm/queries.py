@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitegraph.llm import embeddings, minhash, mixing, packing, quality, sharding, substrings
+from sitegraph.llm import embeddings, minhash, mixing, packing, quality, sharding, substrings, warc
 from sitegraph.llm.registry import ORACLES, REGISTRY, register, table
 from sitegraph.llm.tokens import tokenizer_path
 
@@ -24,6 +24,11 @@ def op2(spark, sf_dir):
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+@register("op4_indexed_warc", warc.oracle())
+def op4(spark, sf_dir):
+    return warc.read(warc.write(spark, table(spark, sf_dir, "pages"))).drop("url")
+
+
 @register("op5_difference_cover_substrings")
 def op5(spark, sf_dir):
     return substrings.digest(spark, table(spark, sf_dir, "documents"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sitegraph.llm.common import Tables, long_array, positions, text_steps, utf8
+from sitegraph.llm.common import Tables, long_array, positions, text_bytes, text_steps, utf8
 
 LENGTH = 4096
 UNIT = 16
@@ -47,11 +47,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: i
         encode = encoder(tokenizer_path)
         for batch in (s for b in batches for s in text_steps([b])):
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode.text(text.as_buffer().to_pybytes()) + end
-                n = len(ids) // 4
+            ids, first = encode.texts(*text_bytes(batch.column(1)))
+            ids = ids.astype("<u4", copy=False)
+            for doc_id, lo, hi in zip(batch.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                own = ids[lo:hi].tobytes() + end
+                n = len(own) // 4
                 for at in range(0, n, length):
-                    part = ids[4 * at:4 * (at + length)]
+                    part = own[4 * at:4 * (at + length)]
                     out.append((doc_id, at, len(part) // 4, zlib.crc32(part), n) + ((part,) if with_ids else ()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)],

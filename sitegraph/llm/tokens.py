@@ -1,8 +1,11 @@
 """Subword ids of whole texts by a public tokenizer, encoded word by word.
 
-The tokenizer splits at white space before anything else, so a text's ids are those
-of its ASCII-space-separated words in a row; each distinct word is encoded once per
-Python worker.  A text holding the tokenizer's special strings is encoded whole.
+A tokenizer that splits at white space before anything else gives a text the ids of
+its words in a row.  Words are told apart by 64-bit hashes over a whole step of
+documents; each distinct one is encoded once and its ids stay in a table per Python
+worker.  Where the tokenizer also folds case and splits a closing mark from a letter,
+words differing only in that share an entry.  A text with the tokenizer's special
+strings is encoded whole.
 """
 
 from __future__ import annotations
@@ -11,8 +14,13 @@ import os
 
 import numpy as np
 
-#: Words that a worker remembers (about 200 bytes each); forgotten all at once beyond that.
-REMEMBERED = 300_000
+from sitegraph.llm.common import word_hashes, word_spans
+
+#: Distinct words that a worker remembers (about 40 bytes each); beyond that it keeps
+#: the half that was used last.
+REMEMBERED = 2_000_000
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
 
 
 class Encoder:
@@ -21,42 +29,90 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
+        word, mark = self._encode([b"word", b"."])
+        self.folds = self._encode([b"Word", b"word."]) == [word, word + mark]
+        self.keys = np.zeros(0, np.uint64)          # sorted; the next three go with it
+        self.place = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int64)
+        self.used = np.zeros(0, np.int64)
+        self.pool = np.zeros(1 << 20, np.uint32)    # the ids of all words
+        self.filled = self.step = 0
+
+    def _encode(self, words: list[bytes]) -> list[list[int]]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, found, strict=True))
-
-    def words(self, words: list[bytes]) -> list[bytes]:
-        """Each word's ids (little-endian unsigned 32-bit)."""
-        known = self.known
-        try:
-            return [known[w] for w in words]
-        except KeyError:
-            self._learn(list({w for w in words if w not in known}))
-            if len(set(words)) > REMEMBERED or any(w not in self.known for w in words):
-                return self._long(words)
-            known = self.known
-            return [known[w] for w in words]
-
-    def _long(self, words: list[bytes]) -> list[bytes]:
-        """Words of a text that outgrew the memory: in runs that fit it."""
-        run = REMEMBERED // 2
-        if len(words) <= run:
-            self.known.clear()
-            self._learn(list(set(words)))
-            return [self.known[w] for w in words]
-        return [x for at in range(0, len(words), run) for x in self.words(words[at:at + run])]
-
-    def text(self, text: bytes) -> bytes:
-        """A whole text's ids (little-endian unsigned 32-bit)."""
-        if any(m in text for m in self.marks):
-            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(self.words(text.split()))
+        return [e.ids for e in found]
+
+    def _rows(self, keys: np.ndarray, spell) -> np.ndarray:
+        """Rows of sorted distinct ``keys``; ``spell(k)``: the words of those at indexes k."""
+        self.step += 1
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != keys[inside]
+        if new.any():
+            self._forget(int(new.sum()), keys[~new])
+            ids = self._encode(spell(np.flatnonzero(new)))
+            count = np.array([len(x) for x in ids], np.int64)
+            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))
+            if self.filled + len(flat) > len(self.pool):
+                self.pool = np.concatenate([self.pool[:self.filled], np.zeros(max(self.filled, len(flat)), np.uint32)])
+            self.pool[self.filled:self.filled + len(flat)] = flat
+            where = np.searchsorted(self.keys, keys[new])
+            place = self.filled + np.cumsum(count) - count
+            self.filled += len(flat)
+            for name, values in (("keys", keys[new]), ("place", place), ("count", count), ("used", np.full(len(count), self.step))):
+                setattr(self, name, np.insert(getattr(self, name), where, values))
+            at = np.searchsorted(self.keys, keys)
+        self.used[at] = self.step
+        return at
+
+    def _forget(self, coming: int, wanted: np.ndarray) -> None:
+        if len(self.keys) + coming <= REMEMBERED:
+            return
+        keep = self.used > np.median(self.used)
+        keep[np.searchsorted(self.keys, wanted)] = True
+        count, place = self.count[keep], self.place[keep]
+        total = int(count.sum())
+        source = np.repeat(place - (np.cumsum(count) - count), count) + np.arange(total)
+        pool = np.zeros(max(1 << 20, 2 * total), np.uint32)
+        pool[:total] = self.pool[source]
+        self.keys, self.used, self.count, self.place = self.keys[keep], self.used[keep], count, np.cumsum(count) - count
+        self.pool, self.filled = pool, total
+
+    def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in ``data`` cut at ``offsets``, and where each text's ids begin (n+1)."""
+        whole = data.tobytes()
+        if any(s in whole for s in self.specials):
+            parts = [np.array(self.tokenizer.encode(whole[a:b].decode(), add_special_tokens=False).ids, np.uint32)
+                     for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            return (np.concatenate([*parts, np.zeros(0, np.uint32)]),
+                    np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]))
+        starts, ends, first = word_spans(data, offsets)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        if self.folds:
+            starts, ends, first = _split_marks(data, starts, ends, first)
+        keys, at, back = np.unique(word_hashes(data, starts, ends, self.folds), return_index=True, return_inverse=True)
+        rows = self._rows(keys, lambda k: [whole[starts[i]:ends[i]] for i in at[k].tolist()])
+        count = self.count[rows][back]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        source = np.repeat(self.place[rows][back] - upto[:-1], count) + np.arange(upto[-1])
+        return self.pool[source], upto[first]
+
+
+def _split_marks(data, starts, ends, first):
+    """A closing full stop or comma after an ASCII letter as a word of its own."""
+    last = data[ends - 1]
+    mark = ((last == ord(".")) | (last == ord(","))) & (ends - starts > 1)
+    mark &= _LETTER[data[np.maximum(ends - 2, 0)]]
+    upto = np.concatenate([[0], np.cumsum(mark.astype(np.int64) + 1)])
+    head, tail = upto[:-1], upto[1:][mark] - 1
+    out_starts, out_ends = np.empty(upto[-1], np.int64), np.empty(upto[-1], np.int64)
+    out_starts[head], out_ends[head] = starts, ends - mark
+    out_starts[tail], out_ends[tail] = ends[mark] - 1, ends[mark]
+    return out_starts, out_ends, upto[first]
 
 
 _ENCODERS: dict[str, Encoder] = {}

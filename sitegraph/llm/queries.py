@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitegraph.llm import embeddings, minhash, mixing, packing, quality, sharding, substrings, warc
+from sitegraph.llm import embeddings, minhash, mixing, packing, quality, sharding, substrings, toxicity, warc
 from sitegraph.llm.registry import ORACLES, REGISTRY, register, table
 from sitegraph.llm.tokens import tokenizer_path
 
@@ -24,6 +24,13 @@ def op2(spark, sf_dir):
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+@register("op3_kneser_ney_toxicity")
+def op3(spark, sf_dir):
+    held_out = toxicity.remainder(F.col("doc_id"), 3) == 1
+    out = toxicity.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @register("op4_indexed_warc", warc.oracle())
 def op4(spark, sf_dir):
     return warc.read(warc.write(spark, table(spark, sf_dir, "pages"))).drop("url")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitegraph.llm import embeddings, minhash, mixing, packing, quality, sharding, substrings, toxicity, warc
+from sitegraph.llm import embeddings, minhash, mixing, packing, quality, scoring, sharding, substrings, toxicity, warc
 from sitegraph.llm.registry import ORACLES, REGISTRY, register, table
 from sitegraph.llm.tokens import tokenizer_path
 
@@ -53,6 +53,12 @@ def op7(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@register("op8_attention_scoring")
+def op8(spark, sf_dir):
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 7 == 2
+    return scoring.score(spark, table(spark, sf_dir, "documents"), held_out, tokenizer_path("word_bpe_49k.json"))
+
+
 @register("op9_pca_tiled_embeddings")
 def op9(spark, sf_dir):
     return embeddings.near_duplicates(spark, table(spark, sf_dir, "embeddings"))

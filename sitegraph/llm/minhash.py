@@ -74,7 +74,7 @@ def _sets(batches, width: int, lower: bool, column: int = 1):
 
 
 def profile(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, set_a, set_b, bands``: equal (n, a, b) are equal sets."""
+    """``doc_id, n_shingles, set_a, set_b, bands, text_hash``: equal (n, a, b) are equal sets."""
     def rows(batches):
         for batch, sets in _sets(batches, width, True):
             a = [int(signed(s.sum(dtype=np.uint64)[None])[0]) for s in sets]
@@ -82,15 +82,16 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
             keys = [signed(bands(signature(s))) if len(s) else np.zeros(0, np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()),
-                 pa.array(b, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                 pa.array(b, pa.int64()), pa.array(keys, pa.list_(pa.int64())), batch.column(2)],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text")) \
-        .mapInArrow(rows, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    text = utf8(F.col("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")) \
+        .mapInArrow(rows, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, text_hash long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """Rows ``doc_id, n_shingles, set_a, set_b, component_id, kept``."""
+    """Rows ``doc_id, text_hash, n_shingles, set_a, set_b, component_id, kept``."""
     store = Tables(spark, "minhash")
     rows = store.write(profile(docs, width), "profile")
     key = ["n_shingles", "set_a", "set_b"]
@@ -102,10 +103,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     roots = store.write(components(store, links), "roots")
     label = rows.join(classes, key, "left").join(roots, F.col("rep") == F.col("node"), "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
-    return label.select("doc_id", "n_shingles", "set_a", "set_b", own.alias("component_id"),
+    return label.select("doc_id", "text_hash", "n_shingles", "set_a", "set_b", own.alias("component_id"),
                         F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, all columns kept."""
+    store = Tables(spark, "minhash")
+    kept = near_duplicates(spark, docs, **how).where("kept") \
+        .groupBy("doc_id", "n_shingles", "set_a", "set_b").agg(F.min("text_hash").alias("text_hash"))
+    kept = store.write(kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "kept")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("_doc"),
+                        F.xxhash64(utf8(F.col("text"))).alias("_text"))
+    found = keyed.join(kept, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
+    return found.dropDuplicates(["_doc", "_text"]).select("row.*")
+
+
 def confirmed_links(store: Tables, docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """``a, b``: confirmed links that connect whatever the links of all bucket pairs connect."""
     spark = store.spark

@@ -63,28 +63,45 @@ def targets(store: Tables, rows: DataFrame, weights: tuple[int, ...] = WEIGHTS,
                          .alias("target"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET,
-        repeats: int = REPEATS) -> DataFrame:
-    """Rows ``doc_id, text_md5, size, source_size, target, copies, taken``."""
-    store = Tables(spark, "mixing")
-    rows = store.write(docs.select(
-        "doc_id", "source", F.md5(utf8(F.col("text")).cast("binary")).alias("text_md5"),
-        n_words(F.col("text")).alias("size"), place(F.col("doc_id"), F.col("text")).alias("h")), "rows")
-    plan = targets(store, rows, weights, budget, repeats)
+def plan(store: Tables, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET,
+         repeats: int = REPEATS) -> tuple[DataFrame, DataFrame]:
+    """Light rows of ``docs`` and, per source: its size, target, whole ``times`` that all
+    its documents are taken, and the hash ``cut`` up to which they are taken once more."""
+    rows = store.write(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"),
+                                   place(F.col("doc_id"), F.col("text")).alias("h")), "rows")
+    aims = targets(store, rows, weights, budget, repeats)
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    plan = store.write(plan.withColumn("times", times.cast("long")).withColumn(
+    aims = store.write(aims.withColumn("times", times.cast("long")).withColumn(
         "need", F.col("target") - F.col("times") * F.col("source_size")), "targets")
-    cuts = thresholds(store, rows, plan)
-    more = F.coalesce(F.col("h") <= F.col("cut"), F.lit(False)).cast("long")
-    joined = rows.join(cuts.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-    return joined.withColumn("copies", F.col("times") + more).select(
-        "doc_id", "text_md5", "size", "source_size", "target", "copies",
-        (F.col("size") * F.col("copies")).alias("taken"))
+    return rows, store.write(thresholds(store, rows, aims).withColumnRenamed("source", "of"), "cuts")
 
 
-def thresholds(store: Tables, rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """``plan`` with ``cut``: the hash up to which a source's words come nearest to ``need``."""
-    open_ = store.write(plan.select(F.col("source").alias("of"), "need", F.lit(0).cast("long").alias("lo"),
+def copies() -> Column:
+    """How often a document joined with its source's plan is taken."""
+    return F.col("times") + F.coalesce(F.col("h") <= F.col("cut"), F.lit(False)).cast("long")
+
+
+def mix(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
+    """Rows ``doc_id, size, source_size, target, copies, taken``."""
+    rows, cuts = plan(Tables(spark, "mixing"), docs, **how)
+    joined = rows.join(cuts, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", copies())
+    return joined.select("doc_id", "size", "source_size", "target", "copies",
+                         (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
+    """The documents of the mix with their columns, each as often as it is taken.  The
+    plan of the few sources is joined; texts are filtered where they are read."""
+    _, cuts = plan(Tables(spark, "mixing"), docs, **how)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    hashed = docs.select(row.alias("row"), "source", place(F.col("doc_id"), F.col("text")).alias("h"))
+    joined = hashed.join(cuts, F.col("source").eqNullSafe(F.col("of"))).select("row", copies().alias("copies"))
+    return joined.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
+
+
+def thresholds(store: Tables, rows: DataFrame, aims: DataFrame) -> DataFrame:
+    """``aims`` with ``cut``: the hash up to which a source's words come nearest to ``need``."""
+    open_ = store.write(aims.select(F.col("source").alias("of"), "need", F.lit(0).cast("long").alias("lo"),
                                     F.lit(0).cast("long").alias("below")).where("need > 0"), "open")
     closed = None
     for shift in range(HASH_BITS - ROUND_BITS, -1, -ROUND_BITS):
@@ -111,4 +128,35 @@ def thresholds(store: Tables, rows: DataFrame, plan: DataFrame) -> DataFrame:
         open_ = hit.where(~last).select("of", "need", "lo", "below")
         if open_.isEmpty():
             break
-    return plan.join(closed, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    if closed is None:
+        return aims.withColumn("cut", F.lit(None).cast("long"))
+    return aims.join(closed, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+
+
+def oracle() -> str:
+    """The same rows in DuckDB SQL: targets in closed form (sources in the order in which
+    they would be held), thresholds by a running sum in hash order."""
+    weight = " ".join(f"WHEN {k} THEN {w}" for k, w in enumerate(WEIGHTS))
+    return f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+                  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15)
+                       AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(WEIGHTS)} {weight} END AS weight FROM s),
+o AS (SELECT *, coalesce(sum({REPEATS} * source_size) OVER before, 0) AS held,
+             sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS open_weight, sum(source_size) OVER () AS total,
+             row_number() OVER (ORDER BY {REPEATS} * source_size / weight, source) AS k
+      FROM w WINDOW before AS (ORDER BY {REPEATS} * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT ({BUDGET} * total - held) / open_weight AS level FROM o
+      WHERE weight * (({BUDGET} * total - held) / open_weight) <= {REPEATS} * source_size ORDER BY k LIMIT 1),
+t AS (SELECT source, source_size, least(weight * level, {REPEATS} * source_size) AS target FROM w, l),
+n AS (SELECT *, CAST(floor(target / source_size) AS BIGINT) AS times,
+             target - floor(target / source_size) * source_size AS need FROM t WHERE source_size > 0),
+r AS (SELECT d.source, h, sum(size) AS w, sum(sum(size)) OVER (PARTITION BY d.source ORDER BY h) AS upto
+      FROM d GROUP BY d.source, h),
+c AS (SELECT r.source, CASE WHEN upto - need <= need - (upto - w) THEN h ELSE h - 1 END AS cut
+      FROM r JOIN n ON r.source IS NOT DISTINCT FROM n.source WHERE need > 0 AND upto >= need AND upto - w < need)
+SELECT d.doc_id, d.size, t.source_size, t.target,
+       CAST(d.size * (coalesce(n.times, 0) + CASE WHEN d.h <= c.cut THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN n ON d.source IS NOT DISTINCT FROM n.source
+LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source"""

@@ -47,7 +47,7 @@ def op6(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-@register("op7_hash_threshold_mixing")
+@register("op7_hash_threshold_mixing", mixing.oracle())
 def op7(spark, sf_dir):
     return mixing.mix(spark, table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")

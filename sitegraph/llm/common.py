@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 import sitegraph
 from sitegraph.session import checkpoint_root
 
-#: Bytes of text that one vectorised step in a Python worker takes at most
-#: (a longer document is a step of its own).
-STEP_BYTES = 1 << 21
+#: Bytes of text that one vectorised step in a Python worker takes at most (a longer
+#: document is a step of its own); a step needs about 50 times that in arrays.
+STEP_BYTES = 1 << 19
+#: The same where larger steps pay: a distinct word is looked up once per step.
+WORD_STEP_BYTES = 1 << 21
 
 
 class Tables:
@@ -90,8 +92,8 @@ def utf8(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
-def text_steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into runs of rows with at most STEP_BYTES of text."""
+def text_steps(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into runs of rows with at most ``size`` bytes of text."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -99,7 +101,7 @@ def text_steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Itera
         at = 0
         while at < b.num_rows:
             done = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + STEP_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
             yield b.slice(at, to - at)
             at = to
 
@@ -234,6 +236,23 @@ def components(store: Tables, edges: DataFrame) -> DataFrame:
         now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
+def forest(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node of its part) with the same parts as the links i-j."""
+    root = np.arange(len(nodes))
+    while len(i):
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        new = new[new][root]
+        if np.array_equal(new, root):
+            break
+        root = new
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[moved], nodes[root[moved]]
+
+
 def local_path(uri: str):
     """File system and path of a shared folder, for byte-range reads in tasks."""
     import pyarrow.fs as fs

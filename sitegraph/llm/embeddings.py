@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import Tables, components, positions
+from sitegraph.llm.common import Tables, components, forest, positions
 
 THRESHOLD = 0.98
 TILE = 1024
@@ -98,23 +98,6 @@ def compare(a: np.ndarray, b: np.ndarray, xa: np.ndarray, xb: np.ndarray, thresh
     return i[keep], j[keep]
 
 
-def forest(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, smallest node of its part) with the same parts as the links i-j."""
-    root = np.arange(len(nodes))
-    while len(i):
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        new = new[new]
-        new = new[new][root]
-        if np.array_equal(new, root):
-            break
-        root = new
-    moved = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[moved], nodes[root[moved]]
-
-
 def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """Rows ``vec_id, n_links, component_id, kept``."""
     store = Tables(spark, "embeddings")

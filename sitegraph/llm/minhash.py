@@ -10,8 +10,11 @@ Candidate pairs are stars: in every round each bucket names a hub, and only memb
 not yet connected with it are paired with it.  A pair is confirmed on the two full
 sets.  After a round, the hub has been compared with all, so it leaves the bucket; a
 bucket whose members are all connected is done.  Rounds go on while stars still
-connect much; then the few pairs left between unconnected members are compared, so
-that no bucket pair that could connect two components stays untested.
+connect much.  The members left over, blocks of them against blocks, are then compared by
+their signatures inside the tasks; blocks with pairs that could reach the similarity
+(and are not connected yet) get the full sets and return a spanning forest of the
+links.  No bucket pair that could connect two components stays untested, and no stage
+has more rows than members and blocks.
 
 Cases: null or empty text has an empty set, linked with nothing; a row without doc_id
 has no component and is kept; rows with equal doc_id and equal text share one result;
@@ -25,15 +28,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import (Tables, components, in_filter, key_filter, mix, powers, signed, slot_of, text_bytes,
+from sitegraph.llm.common import (Tables, components, forest, in_filter, key_filter, mix, powers, signed, slot_of, text_bytes,
                                   text_steps, utf8, window_hashes, word_hashes, word_spans)
 
 BANDS = 32
 ROWS = 5
 BINS = BANDS * ROWS
 PERCENT = 80
-#: Rounds end when the untested pairs are at most this many times the bucket rows left.
-PAIRS_PER_ROW = 4
+#: Star rounds end when fewer than this share of a round's pairs are links.
+WORTH = 0.1
+#: Members, and shingles, of a block in the last comparison.
+BLOCK = 256
+BLOCK_SHINGLES = 1 << 20
+#: Standard deviations by which a linked pair's signatures may agree less than expected.
+SLACK = 4.7
 
 _rng = np.random.default_rng(61)
 #: For every bin, the order in which it looks for a full bin: _TURN[i, j] is the turn of bin j.
@@ -74,20 +82,24 @@ def _sets(batches, width: int, lower: bool, column: int = 1):
 
 
 def profile(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, set_a, set_b, bands, text_hash``: equal (n, a, b) are equal sets."""
+    """``doc_id, n_shingles, set_a, set_b, bands, text_hash, sig``: equal (n, a, b) are equal
+    sets; ``sig``: 16 bits of every signature value."""
     def rows(batches):
         for batch, sets in _sets(batches, width, True):
             a = [int(signed(s.sum(dtype=np.uint64)[None])[0]) for s in sets]
             b = [int(signed(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)[None])[0]) for s in sets]
-            keys = [signed(bands(signature(s))) if len(s) else np.zeros(0, np.int64) for s in sets]
+            sigs = [signature(s) if len(s) else None for s in sets]
+            keys = [signed(bands(g)) if g is not None else np.zeros(0, np.int64) for g in sigs]
+            short = [(mix(g) & np.uint64(0xFFFF)).astype(np.uint16).tobytes() if g is not None else b"" for g in sigs]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()),
-                 pa.array(b, pa.int64()), pa.array(keys, pa.list_(pa.int64())), batch.column(2)],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "text_hash"])
+                 pa.array(b, pa.int64()), pa.array(keys, pa.list_(pa.int64())), batch.column(2),
+                 pa.array(short, pa.binary())],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "text_hash", "sig"])
 
     text = utf8(F.col("text"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")) \
-        .mapInArrow(rows, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, text_hash long")
+        .mapInArrow(rows, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, text_hash long, sig binary")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -98,8 +110,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     classes = store.write(classes, "classes")
     reps = rows.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi") \
-        .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    links = confirmed_links(store, docs, store.write(reps, "buckets"), width, percent)
+        .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sig")
+    reps = store.write(reps, "reps")
+    links = confirmed_links(store, docs, reps, width, percent)
     roots = store.write(components(store, links), "roots")
     label = rows.join(classes, key, "left").join(roots, F.col("rep") == F.col("node"), "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
@@ -120,47 +133,104 @@ def one_of_each(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     return found.dropDuplicates(["_doc", "_text"]).select("row.*")
 
 
-def confirmed_links(store: Tables, docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed_links(store: Tables, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """``a, b``: confirmed links that connect whatever the links of all bucket pairs connect."""
-    spark = store.spark
+    members = reps.select("rep", "n", F.posexplode("bands").alias("band", "bucket"))
     many = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    left = store.write(members.join(many, "bucket").select("bucket", "rep", "n", F.col("rep").alias("root")), "members")
-    store.drop(members)
+    left = store.write(members.join(many, "bucket").withColumn("root", F.col("rep")), "members")
     sets = shingle_sets(store, docs, left, width)
     links, round_no = None, 0
-    while True:
-        state = left.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket") \
-            .agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same")) \
-            .agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2), F.lit(0.0)),
-                 F.coalesce(F.sum("m"), F.lit(0))).first()
-        if not state[0]:
-            break
-        last = state[0] <= PAIRS_PER_ROW * state[1]
-        if last:
-            other = left.select("bucket", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
-            pairs = left.join(other, "bucket").where("hub < rep")
-        else:
-            hub = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", F.lit(round_no)).alias("h"), "rep", "n", "root"))
-                                             .alias("hub"))
-            hubs = store.write(hub.select("bucket", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"),
-                                          F.col("hub.root").alias("hub_root")), "hubs")
-            pairs = left.join(hubs, "bucket")
+    while not left.isEmpty():
+        hub = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", F.lit(round_no)).alias("h"), "rep", "n", "root"))
+                                         .alias("hub"))
+        hubs = store.write(hub.select("bucket", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"),
+                                      F.col("hub.root").alias("hub_root")), "hubs")
         able = (F.col("root") != F.col("hub_root")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-        pairs = store.write(pairs.where(able).select("rep", "hub").distinct(), "pairs")
+        pairs = store.write(left.join(hubs, "bucket").where(able).select("rep", "hub").distinct(), "pairs")
         found = store.write(confirm(pairs, sets, percent), "found")
         links = found if links is None else links.unionAll(found)
-        if last:
-            break
         roots = store.write(components(store, links), "roots")
         rest = left.join(hubs.select("bucket", "hub"), "bucket").where("rep <> hub").drop("hub", "root") \
             .join(roots, F.col("rep") == F.col("node"), "left") \
-            .select("bucket", "rep", "n", F.coalesce("root", "rep").alias("root"))
-        store.drop(pairs)
-        mixed = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-        after = store.write(rest.join(mixed, "bucket"), "members")
-        store.drop(left, hubs)
+            .select("rep", "n", "band", "bucket", F.coalesce("root", "rep").alias("root"))
+        open_ = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+        after = store.write(rest.join(open_, "bucket"), "members")
+        much = found.count() >= WORTH * pairs.count()
+        store.drop(left, hubs, pairs)
         left, round_no = after, round_no + 1
-    return links if links is not None else spark.createDataFrame([], "a long, b long")
+        if not much:
+            return links.unionAll(store.write(leftover_links(store, left, reps, sets, percent), "found"))
+    return links if links is not None else store.spark.createDataFrame([], "a long, b long")
+
+
+def leftover_links(store: Tables, members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: a forest of the links between members of a bucket that are not connected
+    yet.  A pair is looked at in the first band that both members share."""
+    need = int(BINS * percent / 100 - SLACK * np.sqrt(BINS * percent / 100 * (1 - percent / 100)))
+    count = members.groupBy("bucket").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    blocks = members.join(count, "bucket").join(reps.select("rep", "sig"), "rep") \
+        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))) \
+        .groupBy("bucket", "block").agg(F.first("band").alias("band"), F.collect_list(F.struct("rep", "root", "n", "sig")).alias("m"))
+    blocks = store.write(blocks, "blocks")
+    other = blocks.select("bucket", F.col("block").alias("block2"), F.col("m").alias("m2"))
+    work = blocks.join(other, "bucket").where("block <= block2").select(
+        "bucket", "block", "block2", "band", "m", "m2")
+
+    def side(column, k):
+        v = column[k].values
+        rep, root, n, sig = (v.field(f) for f in ("rep", "root", "n", "sig"))
+        return (rep.to_numpy(), root.to_numpy(), n.to_numpy(),
+                np.frombuffer(b"".join(sig.to_pylist()), np.uint16).reshape(-1, BINS))
+
+    def looked(batches):
+        for b in batches:
+            bucket, block, block2, band = (b.column(c).to_pylist() for c in range(4))
+            out = []
+            for k in range(b.num_rows):
+                (ra, ca, na, sa), (rb, cb, nb, sb) = side(b.column(4), k), side(b.column(5), k)
+                able = (ca[:, None] != cb[None, :]) & (
+                    100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :]))
+                if block[k] == block2[k]:
+                    able &= ra[:, None] < rb[None, :]
+                i, j = np.nonzero(able)
+                keep = np.zeros(len(i), bool)
+                for at in range(0, len(i), 8192):
+                    equal = sa[i[at:at + 8192]] == sb[j[at:at + 8192]]
+                    first = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+                    keep[at:at + 8192] = (equal.sum(axis=1) >= need) & (first == band[k])
+                if keep.any():
+                    ids, at = np.unique(np.concatenate([ra[i[keep]], rb[j[keep]]]), return_inverse=True)
+                    out.append((f"{bucket[k]} {block[k]} {block2[k]}", ids.tolist(), at.astype(np.int32).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                    zip(*out, strict=True), (pa.string(), pa.list_(pa.int64()), pa.binary()), strict=True)],
+                    names=["task", "ids", "pairs"])
+
+    jobs = store.write(work.mapInArrow(looked, "task string, ids array<long>, pairs binary"), "jobs")
+    store.drop(blocks)
+    held = jobs.select("task", F.posexplode("ids").alias("at", "doc_id")).join(sets, "doc_id") \
+        .groupBy("task").agg(F.sort_array(F.collect_list(F.struct("at", "doc_id", "set"))).alias("held"))
+
+    def confirmed(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                own = b.column(1)[k].values
+                ids, values = own.field("doc_id").to_numpy(), own.field("set")
+                sized = [np.sort(values[x].values.to_numpy()) for x in range(len(values))]
+                i, j = np.frombuffer(b.column(0)[k].as_py(), np.int32).reshape(2, -1)
+                linked = np.zeros(len(i), bool)
+                for x in np.unique(i):
+                    at = np.flatnonzero(i == x)
+                    others = [sized[y] for y in j[at]]
+                    flat, size = np.concatenate(others), np.array([len(o) for o in others])
+                    where = np.minimum(np.searchsorted(sized[x], flat), len(sized[x]) - 1)
+                    common = np.add.reduceat((sized[x][where] == flat).astype(np.int64), np.cumsum(size) - size)
+                    linked[at] = 100 * common >= percent * (len(sized[x]) + size - common)
+                child, parent = forest(ids, i[linked], j[linked])
+                yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(parent)], names=["a", "b"])
+
+    return jobs.join(held, "task").select("pairs", "held").mapInArrow(confirmed, "a long, b long")
 
 
 def shingle_sets(store: Tables, docs: DataFrame, members: DataFrame, width: int) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sitegraph.llm.common import Tables, long_array, positions, text_bytes, text_steps, utf8
+from sitegraph.llm.common import WORD_STEP_BYTES, Tables, long_array, positions, text_bytes, text_steps, utf8
 
 LENGTH = 4096
 UNIT = 16
@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: i
         from sitegraph.llm.tokens import encoder
 
         encode = encoder(tokenizer_path)
-        for batch in (s for b in batches for s in text_steps([b])):
+        for batch in text_steps(batches, size=WORD_STEP_BYTES):
             out = []
             ids, first = encode.texts(*text_bytes(batch.column(1)))
             ids = ids.astype("<u4", copy=False)

@@ -39,9 +39,11 @@ RE_DISALLOW = r"(?i)^disallow\s*:"
 def parse_rules(robots: DataFrame, host: str = "host", text: str = "robots_text",
                 status: str = "status_code") -> DataFrame:
     """(host, line, grp, kind, value): agent and rule lines with their group."""
-    lines = (robots.filter(F.col(status) == 200)
-             .select(F.lower(F.col(host)).alias("host"),
-                     F.posexplode(F.split(F.col(text), r"\r?\n", -1)).alias("line", "raw")))
+    # one response per host: an answered one if there is any, the first by text among several
+    answers = robots.groupBy(F.lower(F.col(host)).alias("host")).agg(
+        F.min(F.struct((F.col(status) != 200).alias("failed"), F.col(text).alias("text"))).alias("r"))
+    lines = (answers.filter(~F.col("r.failed"))
+             .select("host", F.posexplode(F.split(F.col("r.text"), r"\r?\n", -1)).alias("line", "raw")))
     s = F.trim(F.regexp_replace(F.regexp_replace("raw", r"#.*$", ""), r"\s+$", ""))
     kind = (F.when(s.rlike(RE_AGENT), F.lit("agent"))
             .when(s.rlike(RE_DISALLOW), F.lit("disallow"))
@@ -108,25 +110,44 @@ def rule_patterns(rules: DataFrame) -> DataFrame:
 
 
 def rules_by_host(robots: DataFrame, agent: str, **kw) -> DataFrame:
-    """(host, rules ARRAY<STRUCT<allow, len, prefix, pattern, is_prefix>>)."""
-    r = rule_patterns(agent_rules(parse_rules(robots, **kw), agent))
+    """(host, rules ARRAY<STRUCT<allow, len, first, rest, ends>>): a rule's path cut at
+    its wildcards, and whether it is anchored at the end."""
+    r = agent_rules(parse_rules(robots, **kw), agent)
+    ends = F.col("path").endswith("$")
+    body = F.when(ends, F.expr("substr(path, 1, length(path) - 1)")).otherwise(F.col("path"))
+    pieces = F.split(body, r"\*", -1)
     return r.groupBy("host").agg(F.collect_list(F.struct(
-        (F.col("kind") == "allow").alias("allow"), F.length("path").alias("len"),
-        F.col("path").alias("prefix"), "pattern", "is_prefix")).alias("rules"))
+        (F.col("kind") == "allow").alias("allow"), F.length("path").alias("len"), F.get(pieces, 0).alias("first"),
+        F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))).alias("rest"), ends.alias("ends"))).alias("rules"))
+
+
+def rule_matches(rule: Column, target: Column) -> Column:
+    """Does a cut rule match: the first piece at the start, each further piece at its
+    leftmost place after the one before, and an anchored rule's last piece at the end.
+    Leftmost places leave the most room, so there is nothing to go back for."""
+    after = F.aggregate(
+        rule["rest"], F.length(rule["first"]) + 1,
+        lambda at, p: F.when((at == 0) | (p == ""), at).otherwise(
+            F.coalesce(F.nullif(F.call_function("locate", p, target, at), F.lit(0)) + F.length(p), F.lit(0))))
+    last = F.element_at(rule["rest"], -1)
+    before = F.aggregate(
+        F.slice(rule["rest"], 1, F.greatest(F.size(rule["rest"]) - 1, F.lit(0))), F.length(rule["first"]) + 1,
+        lambda at, p: F.when((at == 0) | (p == ""), at).otherwise(
+            F.coalesce(F.nullif(F.call_function("locate", p, target, at), F.lit(0)) + F.length(p), F.lit(0))))
+    anchored = F.when(F.size(rule["rest"]) == 0, target == rule["first"]).otherwise(
+        (before > 0) & F.endswith(target, last) & (before <= F.length(target) - F.length(last) + 1))
+    return F.startswith(target, rule["first"]) & F.when(rule["ends"], anchored).otherwise(after > 0)
 
 
 def allowed_by(rules: Column, target: Column) -> Column:
     """Longest-match decision for one path+query against a rules array."""
-    def match(r):
-        return F.when(r["is_prefix"], target.startswith(r["prefix"])).otherwise(F.regexp(target, r["pattern"]))
-
-    def best(allow: bool):
-        return F.aggregate(rules, F.lit(-1),
-                           lambda acc, r: F.when((r["allow"] == F.lit(allow)) & match(r),
-                                                 F.greatest(acc, r["len"])).otherwise(acc))
-
-    a, d = best(True), best(False)
-    return F.when(rules.isNull(), F.lit(True)).otherwise((d < 0) | (a >= d))
+    hits = F.filter(rules, lambda r: rule_matches(r, target))
+    longest = F.aggregate(
+        hits, F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("d")),
+        lambda acc, r: F.struct(F.when(r["allow"], F.greatest(acc["a"], r["len"])).otherwise(acc["a"]).alias("a"),
+                                F.when(r["allow"], acc["d"]).otherwise(F.greatest(acc["d"], r["len"])).alias("d")),
+        lambda acc: (acc["d"] < 0) | (acc["a"] >= acc["d"]))
+    return F.when(rules.isNull(), F.lit(True)).otherwise(longest)
 
 
 def with_robots_status(df: DataFrame, url: str, robots: DataFrame, agent: str,

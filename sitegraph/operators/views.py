@@ -89,12 +89,11 @@ def broken_inlinks(crawl: DataFrame, edges: DataFrame, status_range: tuple | Non
     URL-keyed graph, a surrogate id otherwise).  ``dedupe=False`` skips the
     edge distinct for an inlinks table that is unique by construction.
 
-    Plan shape: edges are de-duplicated first, hashed on both ends, so a hub
-    target (a third of all links) is spread over many tasks; the target
-    predicate is applied to the crawl side before the join; the broken-target
-    side is what AQE measures and broadcasts when small, else the join on the
-    target is a sort-merge join whose hub partition AQE splits (the target side
-    has one row per key, so it is replicated to the splits).
+    Plan shape: the target predicate is applied to the crawl side before the
+    join; that side is what AQE measures and broadcasts when small, else the
+    join on the target is a sort-merge join whose hub partition AQE splits (the
+    target side has one row per key, so it is replicated to the splits).  Only
+    the links that survive are de-duplicated, hashed on both ends.
     """
     code = F.col("status_code")
     pred = (code != 200) if status_range is None else code.between(*status_range)
@@ -102,9 +101,9 @@ def broken_inlinks(crawl: DataFrame, edges: DataFrame, status_range: tuple | Non
         F.col(key).alias("_dst"), F.col("url").alias("url_to"), "status_code")
     sources = crawl.select(F.col(key).alias("_src"), F.col("url").alias("url_from"))
     links = edges.select(F.col(src).alias("_src"), F.col(dst).alias("_dst"))
-    if dedupe:
-        links = links.distinct()
     hit = links.join(targets, "_dst")
+    if dedupe:
+        hit = hit.dropDuplicates(["_src", "_dst"])
     return hit.join(sources, "_src").select("url_from", "url_to", "status_code")
 
 

@@ -10,6 +10,7 @@ from sitegraph.functions import urls as U
 from sitegraph.functions.text import clean_list
 from sitegraph.operators import extract as X
 from sitegraph.operators.robots import with_robots_status
+from sitegraph.plans import oracle_patterns as OP
 from sitegraph.plans import sqlparts as S
 from sitegraph.plans.catalog import register
 from sitegraph.plans.common import FETCH_CTE, fetches_frame, html_frame, sql_with_pages
@@ -294,13 +295,13 @@ from sitegraph.operators import selectors as SEL  # noqa: E402
 
 
 def _dom_sql() -> str:
-    toks = f"regexp_extract_all(c, {S.lit(D.RE_TOKEN)}, 0)"
+    toks = f"regexp_extract_all(c, {S.lit(OP.RE_TOKEN)}, 0)"
     kind = (f"CASE WHEN starts_with(tok, '</') THEN 'close' WHEN regexp_matches(tok, '^<[A-Za-z]') THEN 'open' "
             f"WHEN starts_with(tok, '<') THEN 'other' ELSE 'text' END")
-    voids = ", ".join(S.lit(t) for t in D.VOID_TAGS)
+    voids = ", ".join(S.lit(t) for t in OP.VOID_TAGS)
     return sql_with_pages(f"""
 WITH t0 AS (SELECT url, unnest({toks}) AS tok, unnest(range(0, len({toks}))) AS pos FROM pg),
-t1 AS (SELECT *, {kind} AS kind, lower(regexp_extract(tok, {S.lit(D.RE_TAG_NAME)}, 1)) AS tg FROM t0),
+t1 AS (SELECT *, {kind} AS kind, lower(regexp_extract(tok, {S.lit(OP.RE_TAG_NAME)}, 1)) AS tg FROM t0),
 t2 AS (SELECT *, CASE WHEN kind IN ('open', 'close') THEN tg END AS tag,
               kind = 'open' AND (tg IN ({voids}) OR ends_with(tok, '/>')) AS void FROM t1),
 t3 AS (SELECT *, CASE WHEN kind = 'open' AND NOT void THEN 1 WHEN kind = 'close' THEN -1 ELSE 0 END AS delta FROM t2),
@@ -338,12 +339,12 @@ def _segment(c: str, tag: str) -> str:
 
 
 def _inners(seg: str, tag: str) -> str:
-    return f"regexp_extract_all({seg}, {S.lit(H.element_re(tag))}, 1)"
+    return f"regexp_extract_all({seg}, {S.lit(OP.element_re(tag))}, 1)"
 
 
 def _text_of(inner: str) -> str:
     """Whole text of an element's inner markup: tags removed, entities decoded."""
-    return S.decode_sql(S.rx_replace(inner, H.RE_ANY_TAG, ""))
+    return S.decode_sql(S.rx_replace(inner, OP.RE_ANY_TAG, ""))
 
 
 def _first_text(inners: str) -> str:

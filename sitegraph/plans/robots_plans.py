@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitegraph.operators import robots as R
+from sitegraph.plans import oracle_patterns as OP
 from sitegraph.plans import sqlparts as S
 from sitegraph.plans.catalog import register
 from sitegraph.settings import CrawlSettings
@@ -19,8 +20,8 @@ def robots_ctes(agent: str = AGENT) -> list[str]:
     """CTE chain over fx_robots ending in ``rpatt(host, kind, path, pattern, is_prefix)``."""
     split = r"string_split_regex(robots_text, '\r?\n')"
     s = "trim(regexp_replace(regexp_replace(raw, '#.*$', ''), '\\s+$', ''))"
-    kind = (f"CASE WHEN {S.rx('s', R.RE_AGENT)} THEN 'agent' WHEN {S.rx('s', R.RE_DISALLOW)} THEN 'disallow' "
-            f"WHEN {S.rx('s', R.RE_ALLOW)} THEN 'allow' END")
+    kind = (f"CASE WHEN {S.rx('s', OP.RE_AGENT)} THEN 'agent' WHEN {S.rx('s', OP.RE_DISALLOW)} THEN 'disallow' "
+            f"WHEN {S.rx('s', OP.RE_ALLOW)} THEN 'allow' END")
     esc = S.rx_replace("body", r"([\\.^$|?*+()\[\]{}])", r"\\\1")
     return [
         f"rlines AS (SELECT lower(host) AS host, unnest(range(0, len({split}))) AS line, unnest({split}) AS raw "

@@ -37,8 +37,8 @@ def crawl_status_sql(alias: str = "c", url="url", status_code="status_code",
 # ---------------------------------------------------------------------------
 # Text and URL expressions in DuckDB SQL.  Each takes SQL expression text.
 
-from sitegraph.functions.text import WS_CLASS  # noqa: E402
-from sitegraph.functions import urls as U  # noqa: E402
+from sitegraph.plans import oracle_patterns as U  # noqa: E402
+from sitegraph.plans.oracle_patterns import WS_CLASS  # noqa: E402
 
 
 def lit(s: str) -> str:
@@ -202,9 +202,9 @@ def is_crawlable_sql(u: str) -> str:
 
 
 # ---------------------------------------------------------------------------
-# HTML extraction in DuckDB SQL (mirrors sitegraph.functions.html).
+# HTML extraction in DuckDB SQL.
 
-from sitegraph.functions import html as H  # noqa: E402
+H = U
 
 
 def decode_sql(s: str) -> str:

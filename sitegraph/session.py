@@ -1,13 +1,14 @@
 """Session construction and the shared checkpoint folder.
 
 The cluster names its shared folder in ``spark.checkpoint.dir``.  Jobs read it
-from the session; only when it is unset (local tests, the bench) a scratch
-folder is created with ``mkdtemp`` and registered on the session.
+from the session; only a local session (tests, the bench) that has none gets a
+scratch folder made with ``mkdtemp``.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -35,17 +36,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
                 app: str = "sitegraph", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the package defaults.
 
-    ``master`` defaults to ``local[N]`` with N from ``BENCH_CPUS`` (or all
-    cores); on a cluster pass ``None`` and let spark-submit decide.
+    No master is set unless one is given: spark-submit's (or the running
+    session's) stays.
     """
     builder = SparkSession.builder.appName(app)
-    if master is None and not os.environ.get("SPARK_MASTER"):
-        cpus = os.environ.get("BENCH_CPUS", "*")
-        master = f"local[{cpus}]"
     if master:
         builder = builder.master(master)
     conf = dict(_DEFAULTS)
-    conf["spark.driver.memory"] = os.environ.get("SITEGRAPH_DRIVER_MEMORY", "16g")
+    if os.environ.get("SITEGRAPH_DRIVER_MEMORY"):
+        conf["spark.driver.memory"] = os.environ["SITEGRAPH_DRIVER_MEMORY"]
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -58,11 +57,14 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a scratch one only if unset."""
+    """The shared checkpoint folder.  Only a local session without one gets a scratch
+    folder; a cluster must name a folder that all its machines see."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="sitegraph-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -63,9 +63,13 @@ def _write_pointer(spark: SparkSession, folder: str, version: str) -> None:
     out = fs.create(tmp, True)
     out.write(bytearray(version.encode("utf-8")))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(tmp, p)
+    # one overwriting rename: a reader finds the old version or the new one
+    jvm = spark.sparkContext._jvm
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(p).toUri(), conf).rename(
+        fs.makeQualified(tmp), fs.makeQualified(p), how)
 
 
 def current_version(spark: SparkSession, folder: str) -> str:

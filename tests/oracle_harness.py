@@ -89,7 +89,7 @@ def main(argv):
         spark = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
                  .config("spark.ui.enabled", "false").getOrCreate())
     else:
-        spark = get_session(shuffle_partitions=8)
+        spark = get_session(master="local[*]", shuffle_partitions=8, extra={"spark.driver.memory": "8g"})
     con = duck(sf_dir)
     qs, os_ = E.queries(), E.oracle_sql()
     bad = 0

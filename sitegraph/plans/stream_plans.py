@@ -144,6 +144,19 @@ def q_stream_crawl_inlinks(spark, sf):
     return _run_crawl_stream(spark, sf).edges()
 
 
+@register("stream_two_sources", STREAM_CRAWL_SQL)
+def q_stream_two_sources(spark, sf):
+    """Two sources ingested into one store in two runs: the same table as one batch."""
+    fetches, robots = fetches_frame(spark, sf), fixture(spark, sf, "fx_robots")
+    empty = spark.createDataFrame([], ", ".join(
+        f"{c} {'int' if c == 'status_code' else 'string'}" for c in CRAWL_SETTINGS.output_columns()))
+    store = T.CrawlStore(spark, scratch_path(spark, "crawl-two")).create(empty)
+    for part in (F.col("url").contains("/en/"), ~F.col("url").contains("/en/")):
+        source = T.write_chunks([fetches.filter(part)], scratch_path(spark, "crawl-part"))
+        T.run_crawl(spark, source, store, CRAWL_SETTINGS, robots, order="page_id", max_files=64)
+    return store.current().select("url", "status_code", "crawl_status")
+
+
 @register("crawl_batch", STREAM_CRAWL_SQL)
 def q_crawl_batch(spark, sf):
     from sitegraph.operators.crawl import build_crawl

@@ -2,12 +2,12 @@
 throughput and per-URL attempt counters.
 
 ``CrawlStore`` keeps a crawl as a base table plus an append-only change log
-(``log/batch_id=N``).  A micro-batch only writes the rows it changes (new
+(``log/stream=S/batch_id=N``, S naming the source that a stream reads).  A micro-batch only writes the rows it changes (new
 URLs, discovered URLs now crawled), so the cost of a batch is proportional to
 the batch, not to the crawl; the table itself is never rewritten.  Each batch
 folder is written to a temporary name and renamed when complete, and a batch
 whose folder already exists is skipped, so a replayed micro-batch (restart
-after a failure) is a no-op: the sink is idempotent per batch id.
+after a failure) is a no-op: the sink is idempotent per stream and batch id.
 
 Reading the current table resolves every URL to its first crawled version
 (base before log, earlier batch before later) with one aggregate per URL
@@ -19,6 +19,9 @@ so a batch never aggregates the whole table.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,38 +71,54 @@ class CrawlStore:
         if log is None:
             return base.withColumn("change", F.lit(None).cast("string"))
         cols = [c for c in base.columns if c != "url"]
-        extra = [c for c in log.columns if c not in base.columns and c not in ("url", "change", "batch_id")]
+        extra = [c for c in log.columns if c not in base.columns and c not in ("url", "change", "batch_id", "stream", "_at")]
         b = base.select("url", *cols, *[F.lit(None).alias(c) for c in extra],
                         F.lit(None).cast("string").alias("change"), F.lit(-1).cast("bigint").alias("_batch"))
         lg = log.select("url", *[F.col(c) if c in log.columns else F.lit(None).alias(c) for c in cols],
-                        *extra, "change", F.col("batch_id").cast("bigint").alias("_batch"))
+                        *extra, "change", F.col("_at").alias("_batch"))
         rows = b.unionByName(lg)
         rank = F.struct(F.col("status_code").isNull().alias("_pending"), F.col("_batch"))
         best = F.min_by(F.struct(*cols, *extra, "change"), rank)
         return rows.groupBy("url").agg(best.alias("_r")).select("url", "_r.*")
 
-    def apply(self, batch: DataFrame, batch_id: int, seq: str = "seq") -> int:
+    def _batch_path(self, table: str, stream: str, batch_id: int) -> str:
+        return f"{self.folder}/{table}/stream={stream}/batch_id={batch_id}"
+
+    def _publish(self, df: DataFrame, target: str) -> None:
+        """Write ``df`` under a temporary name, then rename it to ``target`` in one step."""
+        tmp = f"{self.folder}/_work/{uuid.uuid4().hex}"
+        df.write.parquet(tmp)
+        fs, src = _fs(self.spark, tmp)
+        dst = _fs(self.spark, target)[1]
+        fs.mkdirs(dst.getParent())
+        if fs.exists(dst) or not fs.rename(src, dst):
+            raise OSError(f"cannot rename {tmp} to {target}")
+
+    def _written(self) -> int:
+        """Number of batches in the log: the place of the next one."""
+        fs, p = _fs(self.spark, f"{self.log_path}/stream=*/batch_id=*")
+        return len(fs.globStatus(p) or [])
+
+    def _changes(self, rows: DataFrame, known: DataFrame) -> DataFrame:
+        """The rows that are new or complete a discovered URL (first write wins)."""
+        base_only = [c for c in known.columns if c not in rows.columns and c not in ("url", "change")]
+        k = known.select("url", F.col("status_code").alias("_known_status"), F.lit(True).alias("_known"), *base_only)
+        j = rows.join(k, "url", "left")
+        return j.filter(F.col("_known").isNull() | F.col("_known_status").isNull()).withColumn(
+            "change", F.when(F.col("_known").isNull(), F.lit("new")).otherwise(F.lit("updated"))) \
+            .drop("_known", "_known_status")
+
+    def apply(self, batch: DataFrame, batch_id: int, seq: str = "seq", stream: str = "main") -> int:
         """First-write-wins upsert of one micro-batch; returns rows logged.
-        Replays of an already applied batch id do nothing."""
-        target = f"{self.log_path}/batch_id={batch_id}"
+        Replays of an already applied batch of the same stream do nothing."""
+        target = self._batch_path("log", stream, batch_id)
         if self._exists(target):
             return 0
         fresh = dedupe_batch(batch, seq).drop(seq)
-        known = self.current(only=fresh)
-        base_only = [c for c in known.columns if c not in fresh.columns and c not in ("url", "change")]
-        k = known.select("url", F.col("status_code").alias("_known_status"), F.lit(True).alias("_known"),
-                         *base_only)
-        j = fresh.join(k, "url", "left")
-        changed = j.filter(F.col("_known").isNull() | F.col("_known_status").isNull()).withColumn(
-            "change", F.when(F.col("_known").isNull(), F.lit("new")).otherwise(F.lit("updated")))
-        out = changed.drop("_known", "_known_status")
-        tmp = f"{self.log_path}/_tmp_batch_{batch_id}"
-        out.write.mode("overwrite").parquet(tmp)
-        fs, src = _fs(self.spark, tmp)
-        fs.rename(src, _fs(self.spark, target)[1])
+        out = self._changes(fresh, self.current(only=fresh))
+        self._publish(out.withColumn("_at", F.lit(self._written()).cast("bigint")), target)
         return 1
 
-
     def edges(self) -> DataFrame | None:
         path = f"{self.folder}/edges"
         if not self._exists(path):
@@ -107,51 +126,50 @@ class CrawlStore:
         return self.spark.read.parquet(path).select("url_from", "url_to").distinct()
 
     def apply_fetches(self, fetches: DataFrame, batch_id: int, settings, robots: DataFrame | None = None,
-                      order: str = "url") -> int:
+                      order: str = "url", stream: str = "main") -> int:
         """One crawl step: page and redirect rows upserted (first write wins),
         link targets not yet known inserted as discovered, and (with
         ``unique_inlinks``) the batch's unique edges recorded.  Idempotent per
-        batch id like :meth:`apply`."""
+        stream and batch id like :meth:`apply`.  Rows and links are extracted once
+        and written; what follows reads those files."""
         from sitegraph.operators.crawl import crawl_links, crawl_rows
 
-        target = f"{self.log_path}/batch_id={batch_id}"
+        target = self._batch_path("log", stream, batch_id)
         if self._exists(target):
             return 0
-        rows = dedupe_batch(crawl_rows(fetches, settings, robots, order), "_seq").drop("_seq")
-        links = crawl_links(fetches, settings, robots)
+        work = f"{self.folder}/_work/{uuid.uuid4().hex}"
+        dedupe_batch(crawl_rows(fetches, settings, robots, order), "_seq").drop("_seq").write.parquet(f"{work}/rows")
+        crawl_links(fetches, settings, robots).distinct().write.parquet(f"{work}/links")
+        rows, links = self.spark.read.parquet(f"{work}/rows"), self.spark.read.parquet(f"{work}/links")
         targets = links.select(F.col("url_to").alias("url")).distinct()
         known = self.current(only=rows.select("url").unionByName(targets))
-        base_only = [c for c in known.columns if c not in rows.columns and c not in ("url", "change")]
-        k = known.select("url", F.col("status_code").alias("_known_status"), F.lit(True).alias("_known"),
-                         *base_only)
-        j = rows.join(k, "url", "left")
-        changed = j.filter(F.col("_known").isNull() | F.col("_known_status").isNull()).withColumn(
-            "change", F.when(F.col("_known").isNull(), F.lit("new")).otherwise(F.lit("updated"))) \
-            .drop("_known", "_known_status")
         discovered = (targets.join(known.select("url"), "url", "left_anti")
                       .join(rows.select("url"), "url", "left_anti")
                       .withColumn("change", F.lit("discovered")))
-        out = changed.unionByName(discovered, allowMissingColumns=True)
-        if settings.has("unique_inlinks"):
-            edges_tmp = f"{self.folder}/edges/_tmp_batch_{batch_id}"
-            links.distinct().write.mode("overwrite").parquet(edges_tmp)
-            fs, src = _fs(self.spark, edges_tmp)
-            fs.rename(src, _fs(self.spark, f"{self.folder}/edges/batch_id={batch_id}")[1])
-        tmp = f"{self.log_path}/_tmp_batch_{batch_id}"
-        out.write.mode("overwrite").parquet(tmp)
-        fs, src = _fs(self.spark, tmp)
-        fs.rename(src, _fs(self.spark, target)[1])
+        out = self._changes(rows, known).unionByName(discovered, allowMissingColumns=True)
+        if settings.has("unique_inlinks") and not self._exists(self._batch_path("edges", stream, batch_id)):
+            self._publish(links, self._batch_path("edges", stream, batch_id))
+        self._publish(out.withColumn("_at", F.lit(self._written()).cast("bigint")), target)
+        fs, p = _fs(self.spark, work)
+        fs.delete(p, True)
         return 1
 
+    def stream_of(self, source: str) -> tuple[str, str]:
+        """Identity of the stream that reads ``source``, and its checkpoint in this store:
+        another source, or a second run of this one, never meets foreign batch ids."""
+        stream = hashlib.md5(source.rstrip("/").encode()).hexdigest()[:16]
+        return stream, f"{self.folder}/checkpoint/{stream}"
+
 
 def run_crawl(spark: SparkSession, source: str, store: CrawlStore, settings, robots: DataFrame | None = None,
               order: str = "url", max_files: int = 1) -> CrawlStore:
     """Continuous crawl ingest: a file stream of fetches, one crawl step per
-    micro-batch, until no input is left."""
+    micro-batch, until no input is left.  A later run goes on where this one ended."""
+    name, checkpoint = store.stream_of(source)
     stream = _file_stream(spark, source, max_files)
     q = (stream.writeStream
-         .foreachBatch(lambda df, bid: store.apply_fetches(df, bid, settings, robots, order))
-         .option("checkpointLocation", scratch_path(spark, "crawl-ckpt"))
+         .foreachBatch(lambda df, bid: store.apply_fetches(df, bid, settings, robots, order, name))
+         .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return store
@@ -173,18 +191,20 @@ def _file_stream(spark: SparkSession, folder: str, max_files: int) -> DataFrame:
 def run_ingest(spark: SparkSession, source: str, store: CrawlStore, seq: str = "seq",
                max_files: int = 2, checkpoint: str | None = None, on_batch=None) -> CrawlStore:
     """Stream crawl rows from ``source`` into ``store`` until no input is left.
-    Restarting with the same ``checkpoint`` resumes after the last committed
-    micro-batch; a batch that was written but not committed is replayed and
-    skipped by the store."""
+    The checkpoint belongs to the store and the source (unless one is given, which
+    then names the stream): a restart resumes after the last committed micro-batch; a batch that was written but not committed is
+    replayed and skipped by the store."""
+    name, own = store.stream_of(checkpoint or source)
+    checkpoint = checkpoint or own
     stream = _file_stream(spark, source, max_files)
 
     def step(df, bid):
-        store.apply(df, bid, seq)
+        store.apply(df, bid, seq, name)
         if on_batch is not None:
             on_batch(bid)
 
     q = (stream.writeStream.foreachBatch(step)
-         .option("checkpointLocation", checkpoint or scratch_path(spark, "ingest-ckpt"))
+         .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return store

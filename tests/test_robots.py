@@ -81,3 +81,40 @@ def test_parse_groups(spark):
     rows = [(r["grp"], r["kind"], r["value"]) for r in parse_rules(robots).orderBy("line").collect()]
     assert rows == [(1, "agent", "a"), (1, "agent", "b"), (1, "disallow", "/x"), (1, "allow", "/y"),
                     (2, "agent", "c"), (2, "disallow", "/z")]
+
+
+def _match(spark, rules, targets):
+    from sitegraph.operators import robots as R
+
+    text = "User-agent: *\n" + "\n".join(rules)
+    table = spark.createDataFrame([("e.com", text, 200)], "host string, robots_text string, status_code int")
+    urls = spark.createDataFrame([(f"http://e.com{t}",) for t in targets], "url string")
+    out = R.with_robots_status(urls, "url", table, "Bot").collect()
+    return [r["robots_txt"] == "allowed" for r in out]
+
+
+def test_wildcard_rules_piece_by_piece(spark):
+    cases = [("/a*b$", "/axxb", True), ("/a*b$", "/axxbx", False), ("/a*b$", "/ab", True), ("/a*a$", "/a", False),
+             ("/x", "/xyz", True), ("/x$", "/x", True), ("/x$", "/xy", False), ("*x", "/yyx1", True), ("/*.html$", "/a.html", True),
+             ("/*.html$", "/a.html?q", False), ("/a**c", "/abc", True), ("/*", "/", True), ("/a*", "/b", False),
+             ("/ab*bc$", "/abc", False), ("/ab*bc$", "/abbc", True), ("/*$", "/any", True), ("/a.b", "/axb", False)]
+    for rule, target, hit in cases:
+        assert _match(spark, [f"Disallow: {rule}"], [target]) == [not hit], (rule, target)
+
+
+def test_hostile_wildcards_take_no_time(spark):
+    import time
+
+    t = time.time()
+    assert _match(spark, ["Disallow: /" + "*a" * 40 + "*b"], ["/" + "a" * 20_000]) == [True]
+    assert time.time() - t < 30
+
+
+def test_two_responses_of_a_host_are_not_interleaved(spark):
+    from sitegraph.operators import robots as R
+
+    table = spark.createDataFrame(
+        [("e.com", "User-agent: a\nDisallow: /a", 200), ("E.com", "User-agent: b\nDisallow: /b", 200), ("e.com", None, 500)],
+        "host string, robots_text string, status_code int")
+    rules = R.parse_rules(table).collect()
+    assert {(r["kind"], r["value"]) for r in rules} == {("agent", "a"), ("disallow", "/a")}

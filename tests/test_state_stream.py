@@ -194,6 +194,66 @@ def test_stream_restart_after_failure_is_exactly_once(spark):
     assert {r["url"]: r["change"] for r in cur.collect()}["u0-0"] == "updated"
 
 
+def test_two_sources_into_one_store(spark):
+    from sitegraph.streaming.ingest import run_ingest, write_chunks
+
+    base = spark.createDataFrame([("b-1", None)], "url string, status_code int")
+    store = CrawlStore(spark, scratch_path(spark, "two-store")).create(base)
+    for name in ("a", "b"):
+        src = scratch_path(spark, f"two-src-{name}")
+        for k in range(2):  # a second run of a source takes only what is new there
+            write_chunks([spark.createDataFrame([(f"{name}-{k}", 200, k), ("both", 200 + k, k)],
+                                                "url string, status_code int, seq int")], src)
+            run_ingest(spark, src, store, max_files=1)
+    cur = {r["url"]: (r["status_code"], r["change"]) for r in store.current().collect()}
+    assert cur == {"a-0": (200, "new"), "a-1": (200, "new"), "b-0": (200, "new"), "b-1": (200, "updated"), "both": (200, "new")}
+
+
+def test_session_keeps_the_submitted_master_and_needs_a_shared_folder(spark):
+    import types
+
+    from sitegraph.session import checkpoint_root, get_session
+
+    assert get_session().sparkContext.master == spark.sparkContext.master
+    cluster = types.SimpleNamespace(
+        conf=types.SimpleNamespace(get=lambda *a: None),
+        sparkContext=types.SimpleNamespace(master="spark://m:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError):
+        checkpoint_root(cluster)
+
+
+def test_closure_over_a_long_chain_and_a_hub(spark):
+    from sitegraph.operators.closure import spider_closure
+
+    edges = [(f"c{k}", f"c{k + 1}") for k in range(30)] + [("c3", f"h{k}") for k in range(500)] + [("x", "y")]
+    df = spark.createDataFrame(edges, "url_from string, url_to string")
+    got = {r["url"]: r["depth"] for r in spider_closure(df, spark.createDataFrame([("c0",)], "url string")).collect()}
+    assert got == {f"c{k}": k for k in range(31)} | {f"h{k}": 4 for k in range(500)}
+
+
+def test_links_are_filtered_before_they_are_made_distinct(spark):
+    from sitegraph.operators.views import broken_inlinks
+
+    crawl = spark.createDataFrame(CRAWL, SCHEMA)
+    edges = spark.createDataFrame([("http://a.com/a_b", "http://a.com/a%b")] * 2, "url_from string, url_to string")
+    out = broken_inlinks(crawl, edges, (400, 499))
+    assert out.count() == 1
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.rindex("Join")  # printed top down: the distinct stands over the target join
+
+
+def test_pointer_is_swapped_in_one_step(spark):
+    folder = scratch_path(spark, "pointer-test")
+    crawl = spark.createDataFrame(CRAWL, SCHEMA)
+    for mode in ("List", "Spider"):
+        io.save_crawl(spark, folder, crawl, CrawlSettings(mode=mode))
+    assert io.resume_crawl(spark, folder)["settings"].mode == "Spider"
+    # a crash between writing the new pointer and the rename leaves the old version
+    fs, p = io._fs(spark, f"{folder}/_CURRENT.crashed")
+    fs.create(p, True).close()
+    assert io.resume_crawl(spark, folder)["settings"].mode == "Spider"
+
+
 def test_menu_entries_map_to_views(spark):
     from sitegraph.operators.views import ALL_VIEWS, MENU_VIEWS, menu_view
 

@@ -1,73 +1,67 @@
 """Page extraction as Column expressions over an ``html`` string column.
 
-There is no HTML parser on the executors, so markup is read with regular
-expressions (Java regex, the same text also runs in RE2 for the oracle):
+There is no HTML parser on the executors, so markup is read with Java regular
+expressions that take a page from left to right:
 
-* comments are removed and the bodies of ``script`` / ``style`` emptied
-  first, so fake tags inside them are never seen (``clean``);
+* comments are removed and the bodies of ``script`` / ``style`` emptied in one
+  pass in document order (``clean``): whichever starts first wins, a ``<!--`` in
+  a script or in an attribute value is no comment, and a script or comment never
+  closed runs to the end of the page;
 * the head is the text before ``</head>`` or ``<body`` (whole page if
   neither), ``/html/head/...`` selectors look there, ``//...`` selectors in
   the whole page;
-* a tag is ``<name ...>`` up to the first ``>``; attribute values may be
-  double-, single- or un-quoted, names are case-insensitive, values are
-  compared case-sensitively, as XPath does;
-* "direct text" of an element: child elements (up to two levels deep) and
-  remaining tags split the text into separate entries, child text is dropped;
-* named entities (and the common numeric quote forms) are decoded, ``&amp;``
-  last.
-
-Approximations (documented in the README): a ``>`` inside a quoted attribute
-value ends the tag early; an element that is never closed has no text.
+* a tag is its name followed by white space, ``/`` or ``>``, then anything up to
+  the first ``>`` outside quoted attribute values; its attributes are read as
+  name/value tokens from left to right, the first of a name counts; names are
+  case-insensitive, values are compared case-sensitively, as XPath does;
+* "direct text" of an element: a stack of open elements runs over its tokens;
+  text outside any child counts, every tag starts a new entry; an end tag closes
+  the innermost element of its name and is ignored if there is none;
+* numeric entities and the named ones of HTML 4 are decoded in one pass.
+
+Patterns use possessive repeats wherever going back cannot help, so the cost is
+linear in the page.  Approximation (documented in the README): an element that is
+never closed has no text.
 """
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitegraph.functions.text import clean_list
 
-MARK = "\u0001"
-
-# FIXED VALUES: entity -> character, applied in this order (``&amp;`` last).
-ENTITIES = [
-    ("&quot;", '"'),
-    ("&#34;", '"'),
-    ("&apos;", "'"),
-    ("&#39;", "'"),
-    ("&#x27;", "'"),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&nbsp;", "\u00a0"),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
-]
-
-RE_COMMENT = r"(?s)<!--.*?-->"
-RE_SCRIPT_BODY = r"(?is)(<script\b[^>]*>).*?</script\s*>"
-RE_STYLE_BODY = r"(?is)(<style\b[^>]*>).*?</style\s*>"
+NAMED_ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+
+#: The rest of a tag after its name: quoted attribute values may hold ">".
+REST = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+"""
+END_OF_NAME = r"(?=[\s/>])"
+RE_SKIP = (rf"(?is)(<script{END_OF_NAME}{REST}>)(?:.*?(?=</script[\s/>])|.*+)"
+           rf"|(<style{END_OF_NAME}{REST}>)(?:.*?(?=</style[\s/>])|.*+)"
+           rf"|<!--(?:.*?-->|.*+)|(</?[a-z]{REST}(?:>|\z))")
 RE_HEAD = r"(?is)^(.*?)(?:</head\s*>|<body\b)"
-RE_CHILD = r"(?is)<([a-z][a-z0-9]*)\b[^>]*>[^<]*</[a-z][a-z0-9]*\s*>"
-RE_ANY_TAG = r"(?s)<[^>]*>"
+RE_TOKEN = rf"(?is)</?[a-z]{REST}(?:>|\z)|<[!?/][^>]*+(?:>|\z)|[^<]++|<"
+RE_TAG_NAME = r"^</?([A-Za-z][A-Za-z0-9:_-]*)"
+RE_ENTITY = r"&#[0-9]{1,7};?|&#[xX][0-9A-Fa-f]{1,6};?|&[A-Za-z][A-Za-z0-9]*;|[^&]++|&"
+# FIXED VALUES: HTML void elements (never have an end tag).
+VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
+             "source", "track", "wbr"]
 
 
 def tag_re(name: str) -> str:
-    return rf"(?i)<{name}\b[^>]*>"
-
-
-def element_re(name: str) -> str:
-    return rf"(?is)<{name}\b[^>]*>(.*?)</{name}\s*>"
+    return rf"(?i)<{name}{END_OF_NAME}{REST}(?:>|\z)"
 
 
 def start_split_re(name: str) -> str:
-    return rf"(?i)<{name}\b"
+    return rf"(?i)<{name}{END_OF_NAME}"
 
 
 def piece_re(name: str) -> str:
     """Inside the text that follows one start tag: rest of the tag, then the
     content up to the first end tag."""
-    return rf"(?is)^[^>]*>(.*?)</{name}\s*>"
+    return rf"(?is)^{REST}>(.*?)</{name}\s*+>"
 
 
 def element_contents(segment, name: str) -> Column:
@@ -84,42 +78,49 @@ def element_contents(segment, name: str) -> Column:
     return F.transform(closed, lambda p: F.regexp_extract(p, piece_re(name), 1))
 
 
+def _walk_re(name: str) -> str:
+    """A tag up to its first attribute ``name``, attribute by attribute."""
+    value = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
+    return (rf"(?is)^<[a-z][^\s/>]*+(?:[\s/]++(?!{name}[\s=/>])[^\s=/>]++(?:\s*+=\s*+{value})?+)*+"
+            rf"[\s/]++{name}")
+
+
 def attr_re(name: str) -> str:
-    return rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return _walk_re(name) + r"""\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+))"""
 
 
 def has_attr_re(name: str) -> str:
-    return rf"(?is)\s{name}(?:\s*=|[\s/>])"
+    return _walk_re(name) + r"[\s=/>]"
 
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _character(code: Column) -> Column:
+    """The character of a code point (U+FFFD for none)."""
+    ok = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(ok, code).otherwise(F.lit(0xFFFD)).cast("bigint")), 8, "0")), "UTF-32")
+
+
 def decode_entities(s: Column) -> Column:
-    for ent, ch in ENTITIES:
-        s = F.replace(s, F.lit(ent), F.lit(ch))
-    return s
-
-
-def strip_comments(html) -> Column:
-    """Remove ``<!-- ... -->`` in linear time: split at every comment start;
-    each later piece keeps what follows its first ``-->`` (a comment never
-    closed runs to the end of the page).  Comments do not nest, so this is
-    the same as removing them one by one, without re-scanning the page from
-    every unclosed ``<!--``."""
-    parts = F.split(_c(html), "<!--", -1)
-    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1)))
-    kept = F.transform(rest, lambda p: F.when(F.instr(p, "-->") > 0,
-                                              p.substr(F.instr(p, "-->") + 3, F.length(p))).otherwise(F.lit("")))
-    return F.concat(F.get(parts, 0), F.array_join(kept, ""))
+    """Numeric and named entities decoded in one pass (so ``&amp;lt;`` is ``&lt;``)."""
+    named = F.create_map(*[F.lit(x) for pair in NAMED_ENTITIES.items() for x in pair])
+
+    def one(t):
+        digits = F.regexp_extract(t, r"^&#[xX]?([0-9A-Fa-f]+)", 1)
+        code = F.when(t.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
+        return F.when(t.rlike("^&#[0-9xX]"), _character(code)).otherwise(
+            F.when(t.rlike("^&[A-Za-z]"), F.coalesce(F.try_element_at(named, F.rtrim(F.substring(t, 2, 99), F.lit(";"))), t))
+            .otherwise(t))
+
+    tokens = F.regexp_extract_all(s, F.lit(RE_ENTITY), F.lit(0))
+    return F.when(s.contains("&"), F.array_join(F.transform(tokens, one), "")).otherwise(s)
 
 
 def clean(html) -> Column:
-    """Comments removed, script/style bodies emptied."""
-    h = strip_comments(html)
-    h = F.regexp_replace(h, RE_SCRIPT_BODY, "$1</script>")
-    return F.regexp_replace(h, RE_STYLE_BODY, "$1</style>")
+    """Comments removed, script/style bodies emptied, in document order."""
+    return F.regexp_replace(_c(html), RE_SKIP, "$1$2$3")
 
 
 def head(cleaned) -> Column:
@@ -129,7 +130,13 @@ def head(cleaned) -> Column:
 
 def tags(segment, name: str) -> Column:
     """All start tags ``<name ...>`` in document order."""
-    return F.regexp_extract_all(_c(segment), F.lit(tag_re(name)), F.lit(0))
+    return _whole(F.regexp_extract_all(_c(segment), F.lit(tag_re(name)), F.lit(0)))
+
+
+def _whole(tag_array: Column) -> Column:
+    """Tags that the page ends in are no tags; patterns take them along so that no
+    part of the page is read twice."""
+    return F.filter(tag_array, lambda t: t.endswith(">"))
 
 
 # FIXED VALUES: start tags collected in one pass over the page / the head.
@@ -138,13 +145,13 @@ HEAD_TAGS = ["link", "base", "meta"]
 
 
 def multi_tag_re(names: list[str]) -> str:
-    return r"(?i)<(?:" + "|".join(names) + r")\b[^>]*>"
+    return r"(?i)<(?:" + "|".join(names) + rf"){END_OF_NAME}{REST}(?:>|\z)"
 
 
 def start_tags(segment, names: list[str]) -> Column:
     """Start tags of several kinds in one pass over the markup, document order.
     Tags never overlap, so filtering this by name equals a pass per kind."""
-    return F.regexp_extract_all(_c(segment), F.lit(multi_tag_re(names)), F.lit(0))
+    return _whole(F.regexp_extract_all(_c(segment), F.lit(multi_tag_re(names)), F.lit(0)))
 
 
 def of_kind(tag_array, name: str) -> Column:
@@ -173,15 +180,24 @@ def attr_values(tag_array: Column, name: str, where=None) -> Column:
 
 def direct_texts(segment, name: str) -> Column:
     """Direct text entries of every ``name`` element, raw (not cleaned)."""
-    inner = element_contents(segment, name)
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.array(F.lit("")).alias("texts"))
+
+    def step(acc, t):
+        tag = F.lower(F.regexp_extract(t, RE_TAG_NAME, 1))
+        at = F.array_position(acc["open"], tag)
+        opened = F.when(t.startswith("</"), F.when(at > 0, F.slice(acc["open"], (at + 1).cast("int"), F.size(acc["open"])))
+                        .otherwise(acc["open"])) \
+            .otherwise(F.when(tag.isin(*VOID_TAGS) | t.endswith("/>"), acc["open"])
+                       .otherwise(F.concat(F.array(tag), acc["open"])))
+        return F.when(t.rlike("(?is)^</?[a-z]"), F.struct(opened.alias("open"), acc["texts"].alias("texts"))).otherwise(
+            F.struct(acc["open"].alias("open"), F.when((F.size(acc["open"]) == 0) & ~t.rlike("(?s)^<[!?/]"),
+                                                        F.concat(acc["texts"], F.array(t))).otherwise(acc["texts"]).alias("texts")))
 
     def split_text(x):
-        x = F.regexp_replace(x, RE_CHILD, MARK)
-        x = F.regexp_replace(x, RE_CHILD, MARK)
-        x = F.regexp_replace(x, RE_ANY_TAG, MARK)
-        return F.split(decode_entities(x), MARK, -1)
+        tokens = F.regexp_extract_all(x, F.lit(RE_TOKEN), F.lit(0))
+        return F.transform(F.aggregate(tokens, start, step, lambda acc: acc["texts"]), decode_entities)
 
-    return F.flatten(F.transform(inner, split_text))
+    return F.flatten(F.transform(element_contents(segment, name), split_text))
 
 
 def joined(arr: Column, sep: str) -> Column:

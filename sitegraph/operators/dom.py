@@ -17,25 +17,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitegraph.functions import html as H
-from sitegraph.operators.extract import spread
 
-# FIXED VALUES: HTML void elements (never have an end tag).
-VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
-             "source", "track", "wbr"]
-
-RE_TOKEN = r"(?s)<[^>]*>|[^<]+"
-RE_TAG_NAME = r"^</?([A-Za-z][A-Za-z0-9]*)"
+VOID_TAGS = H.VOID_TAGS
 
 
 def tokens(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(url, pos, kind, tag, attrs, text, level) without ancestors."""
-    t = (spread(pages.select(url, html))
+    t = (pages.select(url, html)
          .select(F.col(url).alias("url"),
-                 F.posexplode(F.regexp_extract_all(H.clean(html), F.lit(RE_TOKEN), F.lit(0))).alias("pos", "tok")))
-    tag = F.lower(F.regexp_extract("tok", RE_TAG_NAME, 1))
+                 F.posexplode(F.regexp_extract_all(H.clean(html), F.lit(H.RE_TOKEN), F.lit(0))).alias("pos", "tok")))
+    tag = F.lower(F.regexp_extract("tok", H.RE_TAG_NAME, 1))
     kind = (F.when(F.col("tok").startswith("</"), F.lit("close"))
             .when(F.col("tok").rlike(r"^<[A-Za-z]"), F.lit("open"))
-            .when(F.col("tok").startswith("<"), F.lit("other"))
+            .when(F.col("tok").rlike("^<[!?/]"), F.lit("other"))
             .otherwise(F.lit("text")))
     t = t.withColumn("kind", kind).withColumn("tag", F.when(kind.isin("open", "close"), tag))
     void = F.col("tag").isin(*VOID_TAGS) | F.col("tok").endswith("/>")

@@ -68,6 +68,8 @@ def parse_css(text: str) -> Selector:
         if not m:
             raise SelectorError(f"unsupported CSS selector part {tok!r}")
         preds = []
+        if "".join(p.group(0) for p in _CSS_PART.finditer(m.group(2) or "")) != (m.group(2) or ""):
+            raise SelectorError(f"unsupported CSS selector part {tok!r}")
         for p in _CSS_PART.finditer(m.group(2) or ""):
             if p.group(1):
                 preds.append(("eq", "id", p.group(1)))
@@ -78,8 +80,8 @@ def parse_css(text: str) -> Selector:
                 preds.append(("has", p.group(3).lower(), None) if val is None else ("eq", p.group(3).lower(), val))
         steps.append((comb, Compound((m.group(1) or "*").lower(), tuple(preds))))
         comb = "desc"
-    if not steps:
-        raise SelectorError("empty CSS selector")
+    if not steps or comb == "child":
+        raise SelectorError("empty CSS selector, or one that ends in a combinator")
     return Selector(tuple(steps))
 
 
@@ -221,7 +223,8 @@ def extract(pages: DataFrame, name: str, kind: str, selector: str, sep: str,
         raise SelectorError(f"extraction type {kind!r} is not evaluated")
     nodes = nodes if nodes is not None else node_table(pages, url, html)
     df = match_elements(nodes, sel, xpath_root=kind == "XPath")
-    hits = df.filter(F.col("_hit")).select("url", F.col("pos").alias("epos"), "attrs", "end")
+    hits = df.filter(F.col("_hit")).select("url", F.col("pos").alias("epos"), "attrs",
+                                          F.when(F.col("void"), F.col("pos")).otherwise(F.col("end")).alias("end"))
     if first_only:
         hits = hits.groupBy("url").agg(F.min_by(F.struct("epos", "attrs", "end"), F.col("epos")).alias("h")) \
             .select("url", "h.*")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sitegraph.llm.common import Tables, local_path, utf8
+from sitegraph.llm.common import Tables, local_path, tasks, utf8
 
 FILE_BYTES = 256 << 20
 RANGE_BYTES = 8 << 20           # a byte range is read at once
@@ -167,7 +167,9 @@ def read(index: DataFrame, with_payload: bool = False) -> DataFrame:
     if with_payload:
         names, types = [*names, "payload"], [*types, pa.string()]
     schema = ", ".join(f"{n} {'long' if t == pa.int64() else 'string'}" for n, t in zip(names, types, strict=True))
-    return ranges(index).mapInArrow(records, schema)
+    # a range row is small and its bytes are not: deal the rows out before they are read
+    spread = ranges(index).repartition(tasks(index.sparkSession), "folder", "file", "start")
+    return spread.mapInArrow(records, schema)
 
 
 def oracle() -> str:

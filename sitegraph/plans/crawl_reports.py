@@ -158,3 +158,16 @@ JOIN fx_crawl s ON s.page_id = e.from_id""", ("fx_edges",)))
 def q_inlinks_of(spark, sf):
     c = fixture(spark, sf, "fx_crawl")
     return inlinks_of(c, fixture(spark, sf, "fx_edges"), key="page_id", src="from_id", dst="to_id")
+
+
+@register("inlinks_of_url", sql_with_crawl("""
+SELECT t.url AS url, s.url AS inlink
+FROM (SELECT DISTINCT from_id, to_id FROM fx_edges) e
+JOIN fx_crawl t ON t.page_id = e.to_id
+JOIN fx_crawl s ON s.page_id = e.from_id
+WHERE t.url = (SELECT min(url) FROM fx_crawl WHERE page_id IN (SELECT to_id FROM fx_edges))""", ("fx_edges",)))
+def q_inlinks_of_url(spark, sf):
+    """The inlinks of one URL (the least that has any), looked up as a report would."""
+    c, edges = fixture(spark, sf, "fx_crawl"), fixture(spark, sf, "fx_edges")
+    linked = c.join(edges.select(F.col("to_id").alias("page_id")), "page_id", "left_semi").select(F.min("url").alias("url"))
+    return inlinks_of(c, edges, url=linked, key="page_id", src="from_id", dst="to_id")

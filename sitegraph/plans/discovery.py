@@ -150,6 +150,14 @@ def q_resume_state(spark, sf):
     return ST.progress(_saved_crawl(spark, sf)["crawl"])
 
 
+@register("resume_queue", with_fixtures(["fx_crawl"], "SELECT url FROM fx_crawl WHERE status_code IS NULL"))
+def q_resume_queue(spark, sf):
+    """The queue a resumed crawl starts with: saved, loaded, what is not crawled yet."""
+    folder = scratch_path(spark, "resume")
+    io.save_crawl(spark, folder, crawl_frame(spark, sf), DEFAULT)
+    return io.resume_crawl(spark, folder, register=False)["pending"].select("url")
+
+
 @register("crawl_roundtrip", with_fixtures(["fx_crawl"], f"WITH {CRAWL_CTE} SELECT * FROM crawl"))
 def q_crawl_roundtrip(spark, sf):
     return _saved_crawl(spark, sf)["crawl"]

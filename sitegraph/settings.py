@@ -174,8 +174,6 @@ class CrawlSettings:
     exclusions: tuple = ()
     extractions: tuple = ()
     max_retries: int = 5
-    threads: int = 5
-    urls_per_second: int = 0
     extra: dict = field(default_factory=dict)
 
     def has(self, item: str) -> bool:
@@ -208,8 +206,6 @@ class CrawlSettings:
             ("UA_SHORT", self.agent),
             ("USER_AGENT", self.user_agent),
             ("MAX_RETRIES", str(self.max_retries)),
-            ("THREADS", str(self.threads)),
-            ("URLS_PER_SECOND", str(self.urls_per_second)),
         ]
         if self.root_domain is not None:
             rows.append(("ROOT_DOMAIN", self.root_domain))

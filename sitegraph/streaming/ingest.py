@@ -261,16 +261,24 @@ def run_throughput(spark: SparkSession, source: str, ts: str = "ts", window: str
 
 
 def run_attempt_counter(spark: SparkSession, source: str, url: str = "url", outcome: str = "outcome",
-                        ok_value: str = "ok", max_files: int = 1, max_retries: int = 5) -> DataFrame:
-    """Per-URL attempt counters kept in streaming state (update mode), with
-    ``over_limit``: more failures than the retry limit and no success yet."""
-    sink, write = _update_sink(spark, "attempts-sink")
-    agg = (_file_stream(spark, source, max_files).groupBy(url)
-           .agg(F.count_if(F.col(outcome) != ok_value).alias("failures"),
-                F.count_if(F.col(outcome) == ok_value).alias("successes")))
-    q = (agg.writeStream.outputMode("update").foreachBatch(write)
+                        ok_value: str = "ok", ts: str = "ts", seq: str = "event_id", max_files: int = 1,
+                        max_retries: int = 5) -> DataFrame:
+    """Per-URL attempt counters over a stream of attempts, with ``over_limit`` by the
+    rule of the failure rows (``failed_urls``: more failures before the first success
+    than the retry limit).  A micro-batch is logged under its batch id, so a replay
+    overwrites it; the counts are partial aggregates over that log."""
+    from sitegraph.operators.state import failed_urls
+
+    sink = scratch_path(spark, "attempts-sink")
+    rows = _file_stream(spark, source, max_files).select(url, outcome, ts, seq)
+    q = (rows.writeStream
+         .foreachBatch(lambda df, bid: df.write.mode("overwrite").parquet(f"{sink}/batch_id={bid}"))
          .option("checkpointLocation", scratch_path(spark, "attempts-ckpt"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    latest = _latest_per_key(spark.read.parquet(sink), [url])
-    return latest.withColumn("over_limit", (F.col("successes") == 0) & (F.col("failures") > max_retries))
+    log = spark.read.parquet(sink)
+    counts = log.groupBy(url).agg(F.count_if(F.col(outcome) != ok_value).alias("failures"),
+                                  F.count_if(F.col(outcome) == ok_value).alias("successes"))
+    over = failed_urls(log, max_retries, url, ts, outcome, ok_value, seq).select(
+        F.col("url").alias(url), F.lit(True).alias("over_limit"))
+    return counts.join(over, url, "left").withColumn("over_limit", F.coalesce("over_limit", F.lit(False)))

@@ -306,3 +306,41 @@ def q_inlinks_big(spark, sf):
     e = fixture(spark, sf, "fx_edges_big").select("from_id", "to_id").distinct()
     return (e.groupBy("to_id").agg(F.count(F.lit(1)).alias("inlinks"))
             .join(crawl.select(F.col("id").alias("to_id"), "url"), "to_id").select("url", "inlinks"))
+
+
+# -- C9 over extracted links: pages whose bodies link along fx_edges --------------
+
+def site_fetches(spark, sf):
+    """Every page fetched, its body linking to its targets in fx_edges, all on the host
+    of the first page; one page in six links to a private area as well."""
+    pages = fixture(spark, sf, "fx_crawl").select("page_id")
+    edges = fixture(spark, sf, "fx_edges").groupBy(F.col("from_id").alias("page_id")).agg(
+        F.array_sort(F.collect_set("to_id")).alias("to"))
+    links = F.array_join(F.transform(F.coalesce("to", F.array().cast("array<bigint>")), lambda t: F.concat(
+        F.lit('<p><a title="a > b" href="../p/'), t.cast("string"), F.lit('#x">n</a></p>'))), "")
+    private = F.when(F.col("page_id") % 6 == 0, F.concat(
+        F.lit('<a href="/private/'), F.col("page_id").cast("string"), F.lit('">x</a><a href="http://other.example.org/">o</a>'))) \
+        .otherwise(F.lit(""))
+    empty = F.create_map().cast("map<string,string>")
+    return pages.join(edges, "page_id", "left").select(
+        F.concat(F.lit("http://site.example.com/p/"), F.col("page_id").cast("string")).alias("url"),
+        F.lit(200).alias("status_code"), F.create_map(F.lit("Content-Type"), F.lit("text/html")).alias("headers"),
+        F.concat(F.lit("<html><body><!-- <a href='/no'> -->"), links, private, F.lit("</body></html>")).alias("html"),
+        F.array().cast("array<struct<url:string,status_code:int,headers:map<string,string>>>").alias("history"))
+
+
+@register("spider_crawl", with_fixtures(["fx_crawl", "fx_edges"], """
+WITH RECURSIVE p AS (SELECT page_id FROM fx_crawl),
+l AS (SELECT DISTINCT 'http://site.example.com/p/' || from_id AS a, 'http://site.example.com/p/' || to_id AS b FROM fx_edges
+      WHERE from_id IN (SELECT page_id FROM p)),
+r(url) AS (SELECT 'http://site.example.com/p/' || (SELECT min(page_id) FROM p WHERE page_id % 3 = 0)
+           UNION SELECT l.b FROM r JOIN l ON l.a = r.url)
+SELECT url, url IN (SELECT 'http://site.example.com/p/' || page_id FROM p) AS fetched FROM r"""))
+def q_spider_crawl(spark, sf):
+    from sitegraph.operators.spider import spider_crawl
+
+    first = fixture(spark, sf, "fx_crawl").where("page_id % 3 = 0").agg(F.min("page_id").alias("page_id"))
+    start = first.select(F.concat(F.lit("http://site.example.com/p/"), F.col("page_id").cast("string")).alias("url"))
+    robots = spark.createDataFrame([("site.example.com", "User-agent: *\nDisallow: /private/*$", 200)],
+                                   "host string, robots_text string, status_code int")
+    return spider_crawl(site_fetches(spark, sf), start, DEFAULT, robots).select("url", "fetched")

@@ -20,8 +20,8 @@ import numpy as np
 STRIDE = 16
 SPAN = 2 * STRIDE
 WIDTH = 16
-CLASSES = 64
-CHUNK = 256                     # windows per batch
+CLASSES = 192
+CHUNK = 128                     # windows per batch
 _I, _J = np.arange(STRIDE)[:, None] + STRIDE, np.arange(SPAN)[None, :]
 DISTANCE = np.clip(_I - _J, 0, SPAN - 1)
 CAUSAL = np.where(_J <= _I, 0, -1e9).astype(np.float32)

@@ -19,7 +19,10 @@ from sitegraph.session import checkpoint_root
 #: Bytes of text that one vectorised step in a Python worker takes at most (a longer
 #: document is a step of its own); a step needs about 50 times that in arrays.
 STEP_BYTES = 1 << 19
-#: The same where larger steps pay: a distinct word is looked up once per step.
+#: Rows of an Arrow batch while a table is written: batches of whole texts stay small
+#: on both sides of the pipe to Python.
+BATCH_ROWS = 1000
+#: Bytes of a step where larger steps pay: a distinct word is looked up once per step.
 WORD_STEP_BYTES = 1 << 21
 
 
@@ -43,7 +46,13 @@ class Tables:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         where = self.path(name)
-        df.write.parquet(where)
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+        try:
+            df.write.parquet(where)
+        finally:
+            self.spark.conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(where)
         out._table_path = where
         return out

@@ -26,23 +26,24 @@ from pyspark.sql import functions as F
 
 from sitegraph.llm import attention
 from sitegraph.llm.attention import CLASSES, SPAN, STRIDE
-from sitegraph.llm.common import Tables, mix, signed, text_bytes, text_steps, utf8, word_hashes, word_spans
+from sitegraph.llm.common import WORD_STEP_BYTES, Tables, mix, signed, text_bytes, text_steps, utf8
+from sitegraph.llm.tokens import Spelled, encoder, forget_encoders
 
 HEAD = 1 << 18
-SEED_WINDOWS = 30_000
-SHARE = 1 / 64                  # of all training windows, used for training
+SEED_WINDOWS = 40_000
+SHARE = 1 / 128                 # of all training windows, used for training
 COMMON = 256                    # tokens whose neighbourhood tells token classes apart
 CLUSTERED = 8192                # most frequent tokens, clustered into classes
+SINGLES = 128                   # the most frequent tokens have a class each
 
 
 def count_words(texts: DataFrame) -> DataFrame:
     """``h, c``: how often each word (A-Z lowered) stands in ``texts(text)``."""
     def counted(batches):
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in (s for b in batches for s in text_steps([b])):
-            data, offsets = text_bytes(batch.column(0))
-            starts, ends, _ = word_spans(data, offsets)
-            new, n = np.unique(word_hashes(data, starts, ends, True), return_counts=True)
+        for batch in text_steps(batches, size=WORD_STEP_BYTES):
+            new, back = Spelled(*text_bytes(batch.column(0))).words()
+            n = np.bincount(back, minlength=len(new))
             keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
             counts = np.bincount(back, np.concatenate([counts, n])).astype(np.int64)
             if len(keys) > 1 << 18:
@@ -87,15 +88,14 @@ PROFILE = ("row long, doc_id long, held_out boolean, n_tokens long, known long,
 
 def profile(docs: DataFrame, held_out: Column, base: Base, tokenizer_path: str) -> DataFrame:
     def rows(batches):
-        from sitegraph.llm.tokens import encoder
-
         encode = encoder(tokenizer_path)
         end = math.log10((base.end + 1) / base.scale)
         tail_type = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
-        for batch in (s for b in batches for s in text_steps([b])):
+        for batch in text_steps(batches, size=WORD_STEP_BYTES):
             data, offsets = text_bytes(batch.column(3))
-            starts, ends, first = word_spans(data, offsets)
-            words, back = np.unique(word_hashes(data, starts, ends, True), return_inverse=True)
+            spelled = Spelled(data, offsets)
+            words, back = spelled.words()
+            first = spelled.words_first
             hit, logs = base.look(words)
             known = np.concatenate([[0], np.cumsum(hit[back])])
             total = np.concatenate([[0], np.cumsum(logs[back])])
@@ -106,7 +106,7 @@ def profile(docs: DataFrame, held_out: Column, base: Base, tokenizer_path: str)
             cuts = np.searchsorted(pair[0], np.arange(batch.num_rows + 1))
             tail = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(
                 [pa.array(signed(words)[pair[1]]), pa.array(n)], names=["h", "n"])).cast(tail_type)
-            ids, at = encode.texts(data, offsets)
+            ids, at = encode.texts(data, offsets, spelled)
             ids = ids.astype("<u4", copy=False)
             blobs = [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -155,18 +155,22 @@ def training_windows(rows: DataFrame, rate: float, salt: int, end: int, begin: i
     limit = np.uint64(min(int(rate * 2.0 ** 64), (1 << 64) - 1))
 
     def chosen(batches):
-        for batch in (s for b in batches for s in text_steps([b], "ids")):
-            numbers = batch.column(0).to_numpy()
-            for k in range(batch.num_rows):
-                stream, _, _, _ = _streams(batch.column(1).slice(k, 1), end, begin)
-                stream = np.concatenate([stream, [end]])
-                blocks = np.arange(-(-(len(stream) - 1) // STRIDE))
-                pick = mix(np.uint64(numbers[k] & 0x7FFFFFFFFFFFFFFF) * np.uint64(1_000_003) + blocks.astype(np.uint64)
-                           + np.uint64(salt << 40)) <= limit
-                if pick.any():
-                    at = blocks[pick][:, None] * STRIDE - STRIDE + np.arange(SPAN + 1)
-                    inside = (at >= 0) & (at < len(stream))
-                    yield np.where(inside, stream[np.clip(at, 0, len(stream) - 1)], -1).astype(np.int32)
+        for batch in text_steps(batches, "ids"):
+            data, offsets = text_bytes(batch.column(1))
+            ids, n = np.frombuffer(data.tobytes(), "<u4"), np.diff(offsets) // 4
+            blocks = n // STRIDE + 1                 # of the begin mark and n ids
+            row = np.repeat(np.arange(len(n)), blocks)
+            block = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            number = batch.column(0).to_numpy()[row].astype(np.uint64)
+            pick = np.flatnonzero(mix(mix(number + np.uint64(salt)) + block.astype(np.uint64)) <= limit)
+            if len(pick):
+                at = block[pick][:, None] * STRIDE - STRIDE + np.arange(SPAN + 1)
+                last = n[row[pick]][:, None]
+                inner = (at >= 1) & (at <= last)
+                place = np.where(inner, offsets[:-1][row[pick]][:, None] // 4 + at - 1, 0)
+                w = np.where(inner, ids[place] if len(ids) else 0, -1).astype(np.int32)
+                w[at == 0], w[at == last + 1] = begin, end
+                yield w
 
     def rows_of(batches):
         for w in chosen(batches):
@@ -184,11 +188,13 @@ def training_arrays(w: np.ndarray, classes: np.ndarray, begin: int) -> tuple[np.
 
 
 def token_classes(w: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
-    """A class per token by its neighbours in the seed windows: square roots of neighbour
-    shares, leading singular directions, weighted k-means.  The end has its own class;
-    tokens without neighbours are dealt out by number."""
+    """A class per token.  The most frequent tokens and the end have one each; the others
+    are put together by their neighbours in the seed windows (square roots of neighbour
+    shares, leading singular directions, weighted k-means), or dealt out by number where
+    they have none there."""
     size = len(counts)
-    out = np.arange(size) % (CLASSES - 1)
+    groups = CLASSES - 1 - SINGLES
+    out = np.arange(size) % groups
     common = np.argsort(-counts[:end], kind="stable")[:COMMON]
     column = np.full(size, -1)
     column[common] = np.arange(len(common))
@@ -203,20 +209,21 @@ def token_classes(w: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
         use = (line[x] >= 0) & (column[y] >= 0)
         np.add.at(shares, (line[x[use]], column[y[use]] + shift), 1)
     seen = np.flatnonzero(shares.sum(axis=1) >= 3)
-    if len(seen) >= CLASSES:
+    if len(seen) >= groups:
         x = np.sqrt(shares[seen] / shares[seen].sum(axis=1, keepdims=True))
         weight = np.sqrt(counts[top[seen]] + 1.0)
         x = x - np.average(x, axis=0, weights=weight)
         values, vectors = np.linalg.eigh((x * weight[:, None]).T @ x)
         x = x @ vectors[:, values.argsort()[::-1][:16]]
-        centre = x[:CLASSES - 1].copy()         # the most frequent tokens
+        centre = x[:groups].copy()         # the most frequent tokens
         for _ in range(12):
             near = ((centre ** 2).sum(axis=1) - 2 * x @ centre.T).argmin(axis=1)
-            total = np.bincount(near, weight, CLASSES - 1)
+            total = np.bincount(near, weight, groups)
             for d in range(x.shape[1]):
-                s = np.bincount(near, weight * x[:, d], CLASSES - 1)
+                s = np.bincount(near, weight * x[:, d], groups)
                 centre[:, d] = np.where(total > 0, s / np.maximum(total, 1e-9), centre[:, d])
         out[top[seen]] = near
+    out[top[:SINGLES]] = groups + np.arange(len(top[:SINGLES]))
     out[end:] = CLASSES - 1
     return out
 
@@ -227,6 +234,7 @@ def fit(rows: DataFrame, size: int) -> tuple[attention.Weights, np.ndarray, np.n
     end, begin = size, size + 1
 
     def counted(batches):
+        forget_encoders()
         total = np.zeros(size, np.int64)
         for b in batches:
             total += np.bincount(np.frombuffer(text_bytes(b.column(1))[0].tobytes(), "<u4"), minlength=size)
@@ -256,6 +264,7 @@ def averaged(rows: DataFrame, weights: attention.Weights, classes: np.ndarray, e
     shapes = [weights[n].shape for n in names]
 
     def local(windows):
+        forget_encoders()
         w = list(windows)
         if w:
             w = np.concatenate(w)
@@ -278,8 +287,9 @@ def model_scores(rows: DataFrame, model: tuple, size: int) -> DataFrame:
     end, begin = size, size + 1
 
     def scored(batches):
+        forget_encoders()
         scorer = attention.Scorer(*model)
-        for batch in (s for b in batches for s in text_steps([b], "ids")):
+        for batch in text_steps(batches, "ids"):
             stream, text, target, first = _streams(batch.column(1), end, begin)
             logs = np.concatenate([[0.0], np.cumsum(scorer.score(stream, text, target), dtype=np.float64)])
             yield pa.RecordBatch.from_arrays(
@@ -290,8 +300,6 @@ def model_scores(rows: DataFrame, model: tuple, size: int) -> DataFrame:
 
 def score(spark: SparkSession, docs: DataFrame, held_out: Column, tokenizer_path: str) -> DataFrame:
     """Rows ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
-    from sitegraph.llm.tokens import encoder
-
     store = Tables(spark, "scoring")
     train = docs.where(~held_out)
     counts = store.write(count_words(train.select(utf8(F.col("text")).alias("text"))), "counts")

@@ -14,11 +14,14 @@ import os
 
 import numpy as np
 
-from sitegraph.llm.common import word_hashes, word_spans
+from sitegraph.llm.common import mix, word_hashes, word_spans
 
 #: Distinct words that a worker remembers (about 40 bytes each); beyond that it keeps
 #: the half that was used last.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
+#: Words per call of the tokenizer (its answers take about a kilobyte a word).
+CALL = 2000
+_JOIN = np.uint64(0xC2B2AE3D27D4EB4F)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
 
@@ -41,8 +44,11 @@ class Encoder:
         self.filled = self.step = 0
 
     def _encode(self, words: list[bytes]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [e.ids for e in found]
+        out = []
+        for at in range(0, len(words), CALL):
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in words[at:at + CALL]], add_special_tokens=False)
+            out += [e.ids for e in found]
+        return out
 
     def _rows(self, keys: np.ndarray, spell) -> np.ndarray:
         """Rows of sorted distinct ``keys``; ``spell(k)``: the words of those at indexes k."""
@@ -81,7 +87,7 @@ class Encoder:
         self.keys, self.used, self.count, self.place = self.keys[keep], self.used[keep], count, np.cumsum(count) - count
         self.pool, self.filled = pool, total
 
-    def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def texts(self, data: np.ndarray, offsets: np.ndarray, spelled: Spelled | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts in ``data`` cut at ``offsets``, and where each text's ids begin (n+1)."""
         whole = data.tobytes()
         if any(s in whole for s in self.specials):
@@ -89,30 +95,62 @@ class Encoder:
                      for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             return (np.concatenate([*parts, np.zeros(0, np.uint32)]),
                     np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]))
-        starts, ends, first = word_spans(data, offsets)
-        if not len(starts):
+        if not self.folds or spelled is None:
+            spelled = Spelled(data, offsets, self.folds)
+        s = spelled
+        if not len(s.starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        if self.folds:
-            starts, ends, first = _split_marks(data, starts, ends, first)
-        keys, at, back = np.unique(word_hashes(data, starts, ends, self.folds), return_index=True, return_inverse=True)
-        rows = self._rows(keys, lambda k: [whole[starts[i]:ends[i]] for i in at[k].tolist()])
-        count = self.count[rows][back]
+        rows = self._rows(s.keys, lambda k: [whole[s.starts[i]:s.ends[i]] for i in s.at[k].tolist()])
+        count = self.count[rows][s.back]
         upto = np.concatenate([[0], np.cumsum(count)])
-        source = np.repeat(self.place[rows][back] - upto[:-1], count) + np.arange(upto[-1])
-        return self.pool[source], upto[first]
-
-
-def _split_marks(data, starts, ends, first):
-    """A closing full stop or comma after an ASCII letter as a word of its own."""
-    last = data[ends - 1]
-    mark = ((last == ord(".")) | (last == ord(","))) & (ends - starts > 1)
-    mark &= _LETTER[data[np.maximum(ends - 2, 0)]]
-    upto = np.concatenate([[0], np.cumsum(mark.astype(np.int64) + 1)])
-    head, tail = upto[:-1], upto[1:][mark] - 1
-    out_starts, out_ends = np.empty(upto[-1], np.int64), np.empty(upto[-1], np.int64)
-    out_starts[head], out_ends[head] = starts, ends - mark
-    out_starts[tail], out_ends[tail] = ends[mark] - 1, ends[mark]
-    return out_starts, out_ends, upto[first]
+        source = np.repeat(self.place[rows][s.back] - upto[:-1], count) + np.arange(upto[-1])
+        return self.pool[source], upto[s.first]
+
+
+class Spelled:
+    """The words of a step of texts.  With ``fold``, A-Z count as a-z and a closing full
+    stop or comma after an ASCII letter is a part of its own; parts are told apart by
+    hash, and ``keys[back]`` are the hashes of all parts in a row."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = True):
+        self.starts, self.ends, self.words_first = word_spans(data, offsets)
+        self.mark, self.first = np.zeros(len(self.starts), bool), self.words_first
+        self.head = np.arange(len(self.starts))
+        if fold and len(self.starts):
+            self._split(data)
+        self.keys, self.at, self.back = np.unique(word_hashes(data, self.starts, self.ends, fold),
+                                                  return_index=True, return_inverse=True)
+
+    def _split(self, data: np.ndarray) -> None:
+        starts, ends = self.starts, self.ends
+        last = data[ends - 1]
+        mark = ((last == ord(".")) | (last == ord(","))) & (ends - starts > 1)
+        mark &= _LETTER[data[np.maximum(ends - 2, 0)]]
+        upto = np.concatenate([[0], np.cumsum(mark.astype(np.int64) + 1)])
+        head, tail = upto[:-1], upto[1:][mark] - 1
+        self.starts, self.ends = np.empty(upto[-1], np.int64), np.empty(upto[-1], np.int64)
+        self.starts[head], self.ends[head] = starts, ends - mark
+        self.starts[tail], self.ends[tail] = ends[mark] - 1, ends[mark]
+        self.mark, self.head, self.first = mark, head, upto[self.words_first]
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the distinct whole words, sorted, and each word's row in them."""
+        n = len(self.keys)
+        tail = np.zeros(len(self.head), np.int64)
+        tail[self.mark] = self.back[self.head[self.mark] + 1] + 1
+        kinds, tail = np.unique(tail, return_inverse=True)       # no mark, or one of the marks
+        cell = tail * n + self.back[self.head]
+        used = np.zeros(n * len(kinds), bool)
+        used[cell] = True
+        cells = np.flatnonzero(used)
+        kind, core = kinds[cells // max(n, 1)], self.keys[cells % max(n, 1)]
+        keys = np.where(kind == 0, core, mix(core + self.keys[np.maximum(kind - 1, 0)] * _JOIN)) if len(cells) else core
+        order = np.argsort(keys)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        row = np.zeros(len(used), np.int64)
+        row[cells] = place
+        return keys[order], row[cell]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -125,6 +163,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget_encoders() -> None:
+    """Give back this worker's tables, for stages that encode nothing."""
+    _ENCODERS.clear()
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

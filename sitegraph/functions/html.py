@@ -180,7 +180,8 @@ def attr_values(tag_array: Column, name: str, where=None) -> Column:
 
 def direct_texts(segment, name: str) -> Column:
     """Direct text entries of every ``name`` element, raw (not cleaned)."""
-    start = F.struct(F.array().cast("array<string>").alias("open"), F.array(F.lit("")).alias("texts"))
+    strings = F.array().cast("array<string>")
+    start = F.struct(strings.alias("open"), strings.alias("texts"), F.lit("").alias("text"))
 
     def step(acc, t):
         tag = F.lower(F.regexp_extract(t, RE_TAG_NAME, 1))
@@ -189,13 +190,18 @@ def direct_texts(segment, name: str) -> Column:
                         .otherwise(acc["open"])) \
             .otherwise(F.when(tag.isin(*VOID_TAGS) | t.endswith("/>"), acc["open"])
                        .otherwise(F.concat(F.array(tag), acc["open"])))
-        return F.when(t.rlike("(?is)^</?[a-z]"), F.struct(opened.alias("open"), acc["texts"].alias("texts"))).otherwise(
-            F.struct(acc["open"].alias("open"), F.when((F.size(acc["open"]) == 0) & ~t.rlike("(?s)^<[!?/]"),
-                                                        F.concat(acc["texts"], F.array(t))).otherwise(acc["texts"]).alias("texts")))
+        top = F.size(acc["open"]) == 0
+        at_tag = F.struct(opened.alias("open"),
+                          F.when(top, F.concat(acc["texts"], F.array(acc["text"]))).otherwise(acc["texts"]).alias("texts"),
+                          F.when(top, F.lit("")).otherwise(acc["text"]).alias("text"))
+        at_text = F.struct(acc["open"].alias("open"), acc["texts"].alias("texts"),
+                           F.when(top & ~t.rlike("(?s)^<[!?/]"), F.concat(acc["text"], t)).otherwise(acc["text"]).alias("text"))
+        return F.when(t.rlike("(?is)^</?[a-z]"), at_tag).otherwise(at_text)
 
     def split_text(x):
         tokens = F.regexp_extract_all(x, F.lit(RE_TOKEN), F.lit(0))
-        return F.transform(F.aggregate(tokens, start, step, lambda acc: acc["texts"]), decode_entities)
+        texts = F.aggregate(tokens, start, step, lambda acc: F.concat(acc["texts"], F.array(acc["text"])))
+        return F.transform(texts, decode_entities)
 
     return F.flatten(F.transform(element_contents(segment, name), split_text))
 

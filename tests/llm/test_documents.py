@@ -12,6 +12,7 @@ import helpers
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tables import docs  # noqa: F401
 
 from sitegraph.llm import attention, mixing, packing, quality, scoring, sharding, toxicity, warc
 from sitegraph.llm.tokens import encoder, tokenizer_path

@@ -6,6 +6,7 @@ import helpers
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tables import docs  # noqa: F401
 
 from sitegraph.llm import embeddings, minhash, substrings
 from sitegraph.llm.common import Tables, components

@@ -274,8 +274,10 @@ def averaged(rows: DataFrame, weights: attention.Weights, classes: np.ndarray, e
 
     trained = training_windows(rows, SHARE, 2, end, begin, local, "n long, w binary").rdd \
         .map(lambda r: (r[0], np.frombuffer(r[1], np.float32) * np.float32(r[0])))
+    # as deep as it takes for a combining task, and the driver, to get about 8 models each
+    depth = max(2, math.ceil(math.log(max(2, trained.getNumPartitions()), 8)))
     n, total = trained.treeAggregate((0, np.zeros(1, np.float32)), lambda a, b: (a[0] + b[0], a[1] + b[1]),
-                                     lambda a, b: (a[0] + b[0], a[1] + b[1]), depth=2)
+                                     lambda a, b: (a[0] + b[0], a[1] + b[1]), depth=depth)
     if not n:
         return weights
     parts = np.split(total / np.float32(n), np.cumsum([int(np.prod(s)) for s in shapes])[:-1])

@@ -131,31 +131,56 @@ def gradient(w: Weights, ids: np.ndarray, texts: np.ndarray, goal: np.ndarray, w
     g["q"], g["k"], g["v"] = flat(cur).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
     de = dk @ w["k"].T + dv @ w["v"].T
     de[:, STRIDE:] += dcur + dq @ w["q"].T
-    rows, back = np.unique(ids, return_inverse=True)
-    by_row = np.zeros((len(rows), WIDTH), np.float32)
-    np.add.at(by_row, back.ravel(), flat(de))
+    order = np.argsort(ids, axis=None, kind="stable")
+    rows, starts = np.unique(ids.ravel()[order], return_index=True)
+    by_row = np.add.reduceat(flat(de)[order], starts, axis=0)
     g["e_rows"], g["e"] = rows, by_row
     return loss, g
 
 
+class Trainer:
+    """Adam over batches of windows; embedding rows are updated where they occur."""
+
+    def __init__(self, w: Weights):
+        self.w = {n: x.copy() for n, x in w.items()}
+        self.m, self.s = ({n: np.zeros_like(x) for n, x in w.items()} for _ in range(2))
+        self.steps = 0
+
+    def step(self, lr: float, *batch: np.ndarray) -> float:
+        loss, g = gradient(self.w, *batch)
+        self.steps += 1
+        for n in self.w:
+            at_rows = g["e_rows"] if n == "e" else slice(None)
+            m = 0.9 * self.m[n][at_rows] + 0.1 * g[n]
+            s = 0.99 * self.s[n][at_rows] + 0.01 * g[n] ** 2
+            self.m[n][at_rows], self.s[n][at_rows] = m, s
+            self.w[n][at_rows] -= lr * m / (np.sqrt(s) + 1e-6)
+        return loss
+
+
 def train(w: Weights, ids: np.ndarray, texts: np.ndarray, goal: np.ndarray, weight: np.ndarray, epochs: int = 1,
           rate: float = 0.01, batch: int = 128, seed: int = 3) -> tuple[Weights, list[float]]:
-    """Adam over shuffled windows; embedding rows are updated where they occur."""
-    w = {n: x.copy() for n, x in w.items()}
-    m, s = ({n: np.zeros_like(x) for n, x in w.items()} for _ in range(2))
-    r, step, losses = np.random.default_rng(seed), 0, []
+    """Training over shuffled windows that are all at hand."""
+    trainer, r, losses = Trainer(w), np.random.default_rng(seed), []
     total = max(1, epochs * -(-len(ids) // batch))
     for _ in range(epochs):
         order = r.permutation(len(ids))
         for at in range(0, len(order), batch):
-            pick = order[at:at + batch]
-            loss, g = gradient(w, ids[pick], texts[pick], goal[pick], weight[pick])
-            losses.append(loss)
-            step += 1
+            pick, step = order[at:at + batch], trainer.steps + 1
             lr = rate * min(1.0, 10 * (1 - step / (total + 1)), step / 20)
-            for n in w:
-                at_rows = g["e_rows"] if n == "e" else slice(None)
-                m[n][at_rows] = 0.9 * m[n][at_rows] + 0.1 * g[n]
-                s[n][at_rows] = 0.99 * s[n][at_rows] + 0.01 * g[n] ** 2
-                w[n][at_rows] -= lr * m[n][at_rows] / (np.sqrt(s[n][at_rows]) + 1e-6)
-    return w, losses
+            losses.append(trainer.step(lr, ids[pick], texts[pick], goal[pick], weight[pick]))
+    return trainer.w, losses
+
+
+def train_stream(w: Weights, parts, rate: float, batch: int = 128, seed: int = 3) -> tuple[Weights, int]:
+    """Training over ``parts`` (arrays as ``train`` takes them) as they come, once each and
+    shuffled within a part: only one is held.  The rate falls with the root of the steps,
+    for their number is not known.  Returns the number of windows too."""
+    trainer, r, n = Trainer(w), np.random.default_rng(seed), 0
+    for part in parts:
+        order = r.permutation(len(part[0]))
+        n += len(order)
+        for at in range(0, len(order), batch):
+            pick, step = order[at:at + batch], trainer.steps + 1
+            trainer.step(rate * min(step / 20, (200 / max(step, 200)) ** 0.5, 1.0), *[x[pick] for x in part])
+    return trainer.w, n

@@ -5,10 +5,10 @@ Words are counted over all training texts.  The commonest words (at most HEAD) f
 table that every worker gets; the others are joined by hash, so the vocabulary may
 grow with the corpus.  One pass over the texts encodes them and looks up the common
 words; it is a written table, so nothing is encoded twice.  Subword counts, which
-give a token's probability in its class, cover all training texts.  The attention
-weights start from a bounded seed sample of windows and are then trained by every
-task on a fixed share of its training windows and averaged, weighted by windows
-(parameter averaging), so what is learned from grows with the corpus.
+give a token's probability in its class, and neighbour counts, which give the classes,
+cover all training texts.  The attention weights start from a bounded seed sample of
+windows and are then trained by every task on all of its training windows, one step's
+worth at a time, and averaged, weighted by windows (parameter averaging).
 
 Cases: null or empty text is the end alone; a null doc_id is a training row; repeated
 rows are scored each; without training texts the base is 1/(V+1) and the model its
@@ -31,9 +31,7 @@ from sitegraph.llm.tokens import Spelled, encoder, forget_encoders
 
 HEAD = 1 << 18
 SEED_WINDOWS = 40_000
-SHARE = 1 / 128                 # of all training windows, used for training
 COMMON = 256                    # tokens whose neighbourhood tells token classes apart
-CLUSTERED = 8192                # most frequent tokens, clustered into classes
 SINGLES = 128                   # the most frequent tokens have a class each
 
 
@@ -187,43 +185,73 @@ def training_arrays(w: np.ndarray, classes: np.ndarray, begin: int) -> tuple[np.
             (~outside[:, STRIDE:SPAN] & ~outside[:, STRIDE + 1:]).astype(np.float32))
 
 
-def token_classes(w: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
+def neighbours(rows: DataFrame, common: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Over all texts of ``rows(row, ids)``: cells token * 2 * COMMON + column of the neighbour
+    table, and their counts.  Column k is the ``common`` token k after the token, COMMON + k
+    before it.  At most the vocabulary times 2 * COMMON cells, whatever the corpus."""
+    column = np.full(size, -1, np.int32)
+    column[common] = np.arange(len(common))
+    wide = 2 * COMMON
+
+    def counted(batches):
+        forget_encoders()
+        keys, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        for batch in text_steps(batches, "ids", WORD_STEP_BYTES):
+            data, offsets = text_bytes(batch.column(1))
+            ids = np.frombuffer(data.tobytes(), "<u4").astype(np.int32)
+            if len(ids) < 2:
+                continue
+            inside = np.ones(len(ids) - 1, bool)        # both of a pair are of one text
+            edge = offsets // 4
+            inside[edge[(edge > 0) & (edge < len(ids))] - 1] = False
+            a, b = ids[:-1][inside], ids[1:][inside]
+            after, before = column[b], column[a]
+            new, n = np.unique(np.concatenate([a[after >= 0] * wide + after[after >= 0],
+                                               b[before >= 0] * wide + before[before >= 0] + COMMON]), return_counts=True)
+            keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+            if len(keys) > 1 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["cell", "n"])
+                keys, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(counts)], names=["cell", "n"])
+
+    got = rows.select("row", "ids").mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    return got.column(0).to_numpy(), got.column(1).to_numpy()
+
+
+def token_classes(cells: np.ndarray, n: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
     """A class per token.  The most frequent tokens and the end have one each; the others
-    are put together by their neighbours in the seed windows (square roots of neighbour
-    shares, leading singular directions, weighted k-means), or dealt out by number where
-    they have none there."""
+    are put together by their ``neighbours`` (square roots of neighbour shares, leading
+    singular directions, weighted k-means), or dealt out by number where they have none."""
     size = len(counts)
     groups = CLASSES - 1 - SINGLES
     out = np.arange(size) % groups
-    common = np.argsort(-counts[:end], kind="stable")[:COMMON]
-    column = np.full(size, -1)
-    column[common] = np.arange(len(common))
-    top = np.argsort(-counts[:end], kind="stable")[:CLUSTERED]
-    line = np.full(size, -1)
-    line[top] = np.arange(len(top))
-    a, b = w[:, STRIDE:SPAN].ravel(), w[:, STRIDE + 1:].ravel()
-    both = (a >= 0) & (b >= 0)
-    a, b = a[both], b[both]
-    shares = np.zeros((len(top), 2 * COMMON), np.float32)
-    for x, y, shift in ((a, b, 0), (b, a, COMMON)):
-        use = (line[x] >= 0) & (column[y] >= 0)
-        np.add.at(shares, (line[x[use]], column[y[use]] + shift), 1)
-    seen = np.flatnonzero(shares.sum(axis=1) >= 3)
+    by_count = np.argsort(-counts[:end], kind="stable")
+    total = np.bincount(cells // (2 * COMMON), n, end)
+    seen = by_count[total[by_count] > 0]
     if len(seen) >= groups:
-        x = np.sqrt(shares[seen] / shares[seen].sum(axis=1, keepdims=True))
-        weight = np.sqrt(counts[top[seen]] + 1.0)
-        x = x - np.average(x, axis=0, weights=weight)
-        values, vectors = np.linalg.eigh((x * weight[:, None]).T @ x)
-        x = x @ vectors[:, values.argsort()[::-1][:16]]
+        line = np.full(end, -1)
+        line[seen] = np.arange(len(seen))
+        token = cells // (2 * COMMON)
+        x = np.zeros((len(seen), 2 * COMMON), np.float32)
+        x[line[token], cells % (2 * COMMON)] = np.sqrt(n / total[token])
+        weight = np.sqrt(counts[seen] + 1.0).astype(np.float32)
+        x -= (weight @ x) / weight.sum()
+        product = np.zeros((2 * COMMON, 2 * COMMON))
+        for at in range(0, len(x), 4096):
+            product += (x[at:at + 4096] * weight[at:at + 4096, None]).T @ x[at:at + 4096]
+        values, vectors = np.linalg.eigh(product)
+        x = x @ vectors[:, values.argsort()[::-1][:16]].astype(np.float32)
         centre = x[:groups].copy()         # the most frequent tokens
         for _ in range(12):
             near = ((centre ** 2).sum(axis=1) - 2 * x @ centre.T).argmin(axis=1)
-            total = np.bincount(near, weight, groups)
+            mass = np.bincount(near, weight, groups)
             for d in range(x.shape[1]):
                 s = np.bincount(near, weight * x[:, d], groups)
-                centre[:, d] = np.where(total > 0, s / np.maximum(total, 1e-9), centre[:, d])
-        out[top[seen]] = near
-    out[top[:SINGLES]] = groups + np.arange(len(top[:SINGLES]))
+                centre[:, d] = np.where(mass > 0, s / np.maximum(mass, 1e-9), centre[:, d])
+        out[seen] = near
+    single = by_count[:SINGLES]
+    out[single] = groups + np.arange(len(single))
     out[end:] = CLASSES - 1
     return out
 
@@ -247,7 +275,8 @@ def fit(rows: DataFrame, size: int) -> tuple[attention.Weights, np.ndarray, np.n
     n_windows = max(1, int(counts.sum()) // STRIDE)
     seed = training_windows(rows, SEED_WINDOWS / n_windows, 1, end, begin).toArrow().column(0)
     seed = np.frombuffer(b"".join(seed.to_pylist()), np.int32).reshape(-1, SPAN + 1)
-    classes = token_classes(seed, counts, end)
+    common = np.argsort(-counts[:end], kind="stable")[:COMMON]
+    classes = token_classes(*neighbours(rows, common, size), counts, end)
     weights = attention.start_weights(classes)
     if len(seed):
         weights, _ = attention.train(weights, *training_arrays(seed, classes, begin), epochs=4, rate=0.02)
@@ -259,20 +288,18 @@ def fit(rows: DataFrame, size: int) -> tuple[attention.Weights, np.ndarray, np.n
 
 
 def averaged(rows: DataFrame, weights: attention.Weights, classes: np.ndarray, end: int, begin: int) -> attention.Weights:
-    """One round of training by all tasks from ``weights`` on, averaged in a tree."""
+    """Training by all tasks from ``weights`` on, each on all its windows, averaged in a tree."""
     names = sorted(weights)
     shapes = [weights[n].shape for n in names]
 
     def local(windows):
         forget_encoders()
-        w = list(windows)
-        if w:
-            w = np.concatenate(w)
-            own, _ = attention.train(weights, *training_arrays(w, classes, begin), rate=0.003)
-            flat = np.concatenate([own[n].ravel() for n in names]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([len(w)]), pa.array([flat.tobytes()], pa.binary())], names=["n", "w"])
-
-    trained = training_windows(rows, SHARE, 2, end, begin, local, "n long, w binary").rdd \
+        own, n = attention.train_stream(weights, (training_arrays(w, classes, begin) for w in windows), rate=0.003)
+        if n:
+            flat = np.concatenate([own[x].ravel() for x in names]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([flat.tobytes()], pa.binary())], names=["n", "w"])
+
+    trained = training_windows(rows, 1.0, 2, end, begin, local, "n long, w binary").rdd \
         .map(lambda r: (r[0], np.frombuffer(r[1], np.float32) * np.float32(r[0])))
     # as deep as it takes for a combining task, and the driver, to get about 8 models each
     depth = max(2, math.ceil(math.log(max(2, trained.getNumPartitions()), 8)))

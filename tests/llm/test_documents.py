@@ -254,6 +254,28 @@ def test_scoring_base_is_exact_and_model_learns(spark, docs):
     assert scoring.score(spark, docs([]), held, TOKENIZER).collect() == []
 
 
+def test_classes_and_weights_come_from_all_training_texts(spark):
+    r = np.random.default_rng(4)
+    size, end, begin = 60, 60, 61
+    texts = [r.integers(0, size, n).astype("<u4") for n in (0, 1, 2, 17, 40, 300)]
+    rows = spark.createDataFrame([(k, bytearray(t.tobytes())) for k, t in enumerate(texts)], "row long, ids binary").repartition(3)
+    common = np.arange(5, 25)
+    want = collections.Counter()
+    for t in texts:
+        for a, b in zip(t[:-1].tolist(), t[1:].tolist()):
+            if 5 <= b < 25:
+                want[a * 2 * scoring.COMMON + b - 5] += 1
+            if 5 <= a < 25:
+                want[b * 2 * scoring.COMMON + scoring.COMMON + a - 5] += 1
+    cells, n = scoring.neighbours(rows, common, size)
+    assert dict(zip(cells.tolist(), n.tolist())) == dict(want)
+    classes = np.arange(size + 2) % attention.CLASSES
+    start = attention.start_weights(classes)
+    after = scoring.averaged(rows, start, classes, end, begin)
+    moved = (after["e"] != start["e"]).any(axis=1)
+    assert moved[np.unique(np.concatenate(texts))].all() and moved[begin]
+
+
 def test_scorer_equals_plain_attention_and_sums_to_one():
     r = np.random.default_rng(0)
     size = 200

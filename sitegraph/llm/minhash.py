@@ -110,7 +110,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     classes = store.write(classes, "classes")
     reps = rows.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi") \
-        .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sig")
+        .dropDuplicates([*key, "doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sig")
     reps = store.write(reps, "reps")
     links = confirmed_links(store, docs, reps, width, percent)
     roots = store.write(components(store, links), "roots")
@@ -216,9 +216,10 @@ def leftover_links(store: Tables, members: DataFrame, reps: DataFrame, sets: Dat
         for b in batches:
             for k in range(b.num_rows):
                 own = b.column(1)[k].values
-                ids, values = own.field("doc_id").to_numpy(), own.field("set")
+                place, values = own.field("at").to_numpy(), own.field("set")
+                ids = own.field("doc_id").to_numpy()[np.unique(place, return_index=True)[1]]
                 sized = [np.sort(values[x].values.to_numpy()) for x in range(len(values))]
-                i, j = np.frombuffer(b.column(0)[k].as_py(), np.int32).reshape(2, -1)
+                i, j = _entries(place, *np.frombuffer(b.column(0)[k].as_py(), np.int32).reshape(2, -1))
                 linked = np.zeros(len(i), bool)
                 for x in np.unique(i):
                     at = np.flatnonzero(i == x)
@@ -227,14 +228,26 @@ def leftover_links(store: Tables, members: DataFrame, reps: DataFrame, sets: Dat
                     where = np.minimum(np.searchsorted(sized[x], flat), len(sized[x]) - 1)
                     common = np.add.reduceat((sized[x][where] == flat).astype(np.int64), np.cumsum(size) - size)
                     linked[at] = 100 * common >= percent * (len(sized[x]) + size - common)
-                child, parent = forest(ids, i[linked], j[linked])
+                child, parent = forest(ids, place[i[linked]], place[j[linked]])
                 yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(parent)], names=["a", "b"])
 
     return jobs.join(held, "task").select("pairs", "held").mapInArrow(confirmed, "a long, b long")
 
 
+def _entries(place: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of documents as pairs of entries; ``place``: the document of every entry,
+    sorted (a doc_id with several texts has an entry for each)."""
+    for _ in range(2):
+        lo, hi = np.searchsorted(place, i), np.searchsorted(place, i, "right")
+        row = np.repeat(np.arange(len(i)), hi - lo)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+        i, j = j[row], lo[row] + at
+    return i, j
+
+
 def shingle_sets(store: Tables, docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """``doc_id, set`` of the documents among ``members``, from their whole texts."""
+    """``doc_id, set`` of the documents among ``members``, from their whole texts; repeated
+    rows once."""
     ids = store.write(members.select(F.col("rep").alias("doc_id")).distinct(), "ids")
     wanted = key_filter(ids, F.col("doc_id"))
 
@@ -243,13 +256,14 @@ def shingle_sets(store: Tables, docs: DataFrame, members: DataFrame, width: int)
             b = b.filter(pa.array(in_filter(wanted, b.column(2).to_numpy())))
             for batch, sets in _sets([b], width, True):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "set"])
+                    [batch.column(0), pa.array([int(signed(s.sum(dtype=np.uint64)[None])[0]) for s in sets], pa.int64()),
+                     pa.array([signed(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "set_a", "set"])
 
     key = F.col("doc_id").cast("long")
     texts = docs.where("doc_id is not null").select(key.alias("doc_id"), utf8(F.col("text")).alias("text"),
                                                     slot_of(key).alias("slot"))
-    return store.write(texts.mapInArrow(rows, "doc_id long, set array<long>").where("size(set) > 0")
-                       .join(ids, "doc_id", "left_semi"), "sets")
+    return store.write(texts.mapInArrow(rows, "doc_id long, set_a long, set array<long>").where("size(set) > 0")
+                       .join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "set_a"]).select("doc_id", "set"), "sets")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -55,6 +55,32 @@ def test_near_duplicate_chain_behind_a_hub(spark, docs):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: v[1] for i, v in helpers.near_duplicates(texts).items()}
 
 
+def test_leftover_pairs_with_repeated_rows(spark, docs, monkeypatch):
+    """Most links are left to the last comparison, where rows are repeated and a doc_id has two texts."""
+    monkeypatch.setattr(minhash, "WORTH", 2)
+    r = random.Random(31)
+    texts = {}
+    for k in range(8):
+        own = [[f"f{k}x{x}" for x in range(90)]]
+        for i in range(14):
+            w = list(r.choice(own))
+            for x in r.sample(range(90), r.choice([1, 2, 2, 4])):
+                w[x] = f"e{k}x{i}x{x}"
+            own.append(w)
+            texts[100 * k + i] = " ".join(w)
+    got = minhash.near_duplicates(spark, docs([x for x in texts.items() for _ in range(1 + x[0] % 3)]), width=4).collect()
+    want = helpers.near_duplicates(texts)
+    assert 8 < len({v[1] for v in want.values()}) < len(texts) / 2
+    assert {x["doc_id"]: x["component_id"] for x in got} == {i: v[1] for i, v in want.items()}
+    assert len(got) == sum(1 + i % 3 for i in texts)
+
+
+def test_pairs_of_documents_with_several_entries():
+    place = np.array([0, 1, 1, 2])
+    i, j = minhash._entries(place, np.array([0, 1, 0]), np.array([1, 2, 2]))
+    assert sorted(zip(i.tolist(), j.tolist())) == [(0, 1), (0, 2), (0, 3), (1, 3), (2, 3)]
+
+
 def test_near_duplicates_nulls_and_repeated_rows(spark, docs):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A B C D E F"), (None, "a b c d e f"), (None, None), (3, None)]
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in minhash.near_duplicates(spark, docs(rows)).collect())

@@ -10,11 +10,11 @@ Candidate pairs are stars: in every round each bucket names a hub, and only memb
 not yet connected with it are paired with it.  A pair is confirmed on the two full
 sets.  After a round, the hub has been compared with all, so it leaves the bucket; a
 bucket whose members are all connected is done.  Rounds go on while stars still
-connect much.  The members left over, blocks of them against blocks, are then compared by
-their signatures inside the tasks; blocks with pairs that could reach the similarity
-(and are not connected yet) get the full sets and return a spanning forest of the
-links.  No bucket pair that could connect two components stays untested, and no stage
-has more rows than members and blocks.
+connect much.  The members left over, blocks of them against blocks, are then compared inside the
+tasks: every pair of a bucket that is not connected yet and whose set sizes allow the
+similarity is confirmed on the full sets, in the first bucket that both share, and the
+task returns a spanning forest of the links.  No bucket pair that could connect two
+components stays untested, and no stage has more rows than members and blocks.
 
 Cases: null or empty text has an empty set, linked with nothing; a row without doc_id
 has no component and is kept; rows with equal doc_id and equal text share one result;
@@ -40,8 +40,6 @@ WORTH = 0.1
 #: Members, and shingles, of a block in the last comparison.
 BLOCK = 256
 BLOCK_SHINGLES = 1 << 20
-#: Standard deviations by which a linked pair's signatures may agree less than expected.
-SLACK = 4.7
 
 _rng = np.random.default_rng(61)
 #: For every bin, the order in which it looks for a full bin: _TURN[i, j] is the turn of bin j.
@@ -82,24 +80,20 @@ def _sets(batches, width: int, lower: bool, column: int = 1):
 
 
 def profile(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, set_a, set_b, bands, text_hash, sig``: equal (n, a, b) are equal
-    sets; ``sig``: 16 bits of every signature value."""
+    """``doc_id, n_shingles, set_a, set_b, bands, text_hash``: equal (n, a, b) are equal sets."""
     def rows(batches):
         for batch, sets in _sets(batches, width, True):
             a = [int(signed(s.sum(dtype=np.uint64)[None])[0]) for s in sets]
             b = [int(signed(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)[None])[0]) for s in sets]
-            sigs = [signature(s) if len(s) else None for s in sets]
-            keys = [signed(bands(g)) if g is not None else np.zeros(0, np.int64) for g in sigs]
-            short = [(mix(g) & np.uint64(0xFFFF)).astype(np.uint16).tobytes() if g is not None else b"" for g in sigs]
+            keys = [signed(bands(signature(s))) if len(s) else np.zeros(0, np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()),
-                 pa.array(b, pa.int64()), pa.array(keys, pa.list_(pa.int64())), batch.column(2),
-                 pa.array(short, pa.binary())],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "text_hash", "sig"])
+                 pa.array(b, pa.int64()), pa.array(keys, pa.list_(pa.int64())), batch.column(2)],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "text_hash"])
 
     text = utf8(F.col("text"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")) \
-        .mapInArrow(rows, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, text_hash long, sig binary")
+        .mapInArrow(rows, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, text_hash long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -110,7 +104,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     classes = store.write(classes, "classes")
     reps = rows.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi") \
-        .dropDuplicates([*key, "doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sig")
+        .dropDuplicates([*key, "doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands")
     reps = store.write(reps, "reps")
     links = confirmed_links(store, docs, reps, width, percent)
     roots = store.write(components(store, links), "roots")
@@ -166,12 +160,11 @@ def confirmed_links(store: Tables, docs: DataFrame, reps: DataFrame, width: int,
 def leftover_links(store: Tables, members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a, b``: a forest of the links between members of a bucket that are not connected
     yet.  A pair is looked at in the first band that both members share."""
-    need = int(BINS * percent / 100 - SLACK * np.sqrt(BINS * percent / 100 * (1 - percent / 100)))
     count = members.groupBy("bucket").agg(
         F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    blocks = members.join(count, "bucket").join(reps.select("rep", "sig"), "rep") \
+    blocks = members.join(count, "bucket").join(reps.select("rep", "bands"), "rep") \
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))) \
-        .groupBy("bucket", "block").agg(F.first("band").alias("band"), F.collect_list(F.struct("rep", "root", "n", "sig")).alias("m"))
+        .groupBy("bucket", "block").agg(F.first("band").alias("band"), F.collect_list(F.struct("rep", "root", "n", "bands")).alias("m"))
     blocks = store.write(blocks, "blocks")
     other = blocks.select("bucket", F.col("block").alias("block2"), F.col("m").alias("m2"))
     work = blocks.join(other, "bucket").where("block <= block2").select(
@@ -179,9 +172,8 @@ def leftover_links(store: Tables, members: DataFrame, reps: DataFrame, sets: Dat
 
     def side(column, k):
         v = column[k].values
-        rep, root, n, sig = (v.field(f) for f in ("rep", "root", "n", "sig"))
-        return (rep.to_numpy(), root.to_numpy(), n.to_numpy(),
-                np.frombuffer(b"".join(sig.to_pylist()), np.uint16).reshape(-1, BINS))
+        rep, root, n, keys = (v.field(f) for f in ("rep", "root", "n", "bands"))
+        return rep.to_numpy(), root.to_numpy(), n.to_numpy(), keys.flatten().to_numpy().reshape(-1, BANDS)
 
     def looked(batches):
         for b in batches:
@@ -196,9 +188,7 @@ def leftover_links(store: Tables, members: DataFrame, reps: DataFrame, sets: Dat
                 i, j = np.nonzero(able)
                 keep = np.zeros(len(i), bool)
                 for at in range(0, len(i), 8192):
-                    equal = sa[i[at:at + 8192]] == sb[j[at:at + 8192]]
-                    first = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-                    keep[at:at + 8192] = (equal.sum(axis=1) >= need) & (first == band[k])
+                    keep[at:at + 8192] = (sa[i[at:at + 8192]] == sb[j[at:at + 8192]]).argmax(axis=1) == band[k]
                 if keep.any():
                     ids, at = np.unique(np.concatenate([ra[i[keep]], rb[j[keep]]]), return_inverse=True)
                     out.append((f"{bucket[k]} {block[k]} {block2[k]}", ids.tolist(), at.astype(np.int32).tobytes()))

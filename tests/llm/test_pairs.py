@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 from tables import docs  # noqa: F401
 
 from sitegraph.llm import embeddings, minhash, substrings
-from sitegraph.llm.common import Tables, components
+from sitegraph.llm.common import Tables, components, word_hashes
+
+def hash_of(word):
+    return word_hashes(np.frombuffer(word.encode(), np.uint8), np.array([0]), np.array([len(word)]), True)[0]
+
 
 VOCABULARY = [f"w{k}" for k in range(400)]
 
@@ -81,6 +85,23 @@ def test_pairs_of_documents_with_several_entries():
     assert sorted(zip(i.tolist(), j.tolist())) == [(0, 1), (0, 2), (0, 3), (1, 3), (2, 3)]
 
 
+def test_leftover_pairs_of_small_sets(spark, docs):
+    """Linked pairs that share a band, though their signatures agree in less than expected."""
+    r = random.Random(8)
+    texts = {}
+    while len(texts) < 12:
+        w = [f"s{r.randrange(10**9)}" for _ in range(8)]
+        a, b = (minhash.signature(minhash.shingle_set(np.array([hash_of(x) for x in t], np.uint64), 4)) for t in (w, w[1:]))
+        if (a == b).sum() < 104 and (minhash.bands(a) == minhash.bands(b)).any():
+            texts |= {len(texts): " ".join(w), len(texts) + 1: " ".join(w[1:])}
+    d, store = docs(texts.items()), Tables(spark, "test")
+    rows = store.write(minhash.profile(d, 4), "profile")
+    reps = rows.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *[c for c in rows.columns if c in ("bands", "sig")])
+    members = reps.select("rep", "n", F.posexplode("bands").alias("band", "bucket"), F.col("rep").alias("root"))
+    got = minhash.leftover_links(store, members, reps, minhash.shingle_sets(store, d, members, 4), 80)
+    assert {(x["b"], x["a"]) for x in got.collect()} == {(k, k + 1) for k in range(0, 12, 2)}
+
+
 def test_near_duplicates_nulls_and_repeated_rows(spark, docs):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A B C D E F"), (None, "a b c d e f"), (None, None), (3, None)]
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in minhash.near_duplicates(spark, docs(rows)).collect())

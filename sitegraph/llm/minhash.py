@@ -17,7 +17,7 @@ task returns a spanning forest of the links.  No bucket pair that could connect
 components stays untested, and no stage has more rows than members and blocks.
 
 Cases: null or empty text has an empty set, linked with nothing; a row without doc_id
-has no component and is kept; rows with equal doc_id and equal text share one result;
+has no component and is kept, each such row; rows with equal doc_id and equal text share one result;
 an empty table gives an empty result.
 """
 
@@ -115,16 +115,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates, all columns kept."""
+    """``docs`` with one document of each group of near-duplicates, all columns kept;
+    rows without doc_id all stay."""
     store = Tables(spark, "minhash")
-    kept = near_duplicates(spark, docs, **how).where("kept") \
+    kept = near_duplicates(spark, docs, **how).where("kept and doc_id is not null") \
         .groupBy("doc_id", "n_shingles", "set_a", "set_b").agg(F.min("text_hash").alias("text_hash"))
     kept = store.write(kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "kept")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("_doc"),
                         F.xxhash64(utf8(F.col("text"))).alias("_text"))
-    found = keyed.join(kept, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
-    return found.dropDuplicates(["_doc", "_text"]).select("row.*")
+    found = keyed.join(kept, (F.col("_doc") == F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
+    without = docs.where(F.col("doc_id").cast("long").isNull())
+    return found.dropDuplicates(["_doc", "_text"]).select("row.*").unionAll(without)
 
 
 def confirmed_links(store: Tables, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:

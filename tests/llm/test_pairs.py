@@ -112,6 +112,12 @@ def test_near_duplicates_nulls_and_repeated_rows(spark, docs):
     assert minhash.near_duplicates(spark, docs([])).collect() == []
 
 
+def test_rows_without_doc_id_all_stay(spark, docs):
+    rows = [(None, ""), (None, None), (None, ""), (None, "a b c d e f"), (None, "A b c  d e f"), (None, "a b c d e f"), (1, "a b c d e f")]
+    one = minhash.one_of_each(spark, docs(rows))
+    assert sorted(map(repr, one.select("doc_id", "text").collect())) == sorted(map(repr, docs(rows).select("doc_id", "text").collect()))
+
+
 def test_signature_agrees_with_similarity():
     r = np.random.default_rng(0)
     same = []

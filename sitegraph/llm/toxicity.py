@@ -1,20 +1,22 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Counts are those of Kneser-Ney: an expression (a word, or a pair of words) counts once
-per distinct text that holds it, and a discount is taken off every count.  Each class has
-pair estimates over word estimates; the mass taken off goes to one distribution
-shared by both classes, so an expression too rare to survive the discount has the
-same probability in both and decides nothing.  A document's evidence is the
-difference of its toxic and ordinary log-likelihoods above a margin per word,
-normalised by length, over the whole text and over its most toxic run of words.  A
-logistic curve turns evidence into a score; it is fitted on documents that the counts
-behind their evidence did not see (two folds).
+Each class has a model of word pairs over a model of words.  A pair counts as often as it
+stands in the distinct texts of the class; a word counts by the distinct words it follows
+there (continuation counts).  A discount is taken off every count, estimated per class and
+order from the counts of counts (n1 / (n1 + 2 n2)); what is taken off a pair goes to the
+word model, what is taken off a word to one distribution shared by both classes, so rare
+expressions back off gradually at every sample size.  A document's evidence is the
+difference of its toxic and ordinary log-likelihoods, normalised by length, under the pair
+and under the word model: the plain ones, of the whole text and of its most toxic run of
+words, and next to them the part above a margin per word.  A logistic curve turns evidence into a score; it is fitted on
+documents that the counts behind their evidence did not see (two folds).
 
 The models are fitted on at most SAMPLE labelled documents of each class, chosen by
 hash; everything is counted in Spark, and the tables that reach the driver and the
 workers hold at most ENTRIES expressions (a larger least count beyond that).
 
-Cases: null or empty text is scored on no evidence; a null or missing label is not
+Cases: a text without a word that the models know (null or empty, too) has no evidence and
+gets the share of toxic labels, a word they do not know says nothing; a null or missing label is not
 learned from; a document with several labels is toxic if any is; without labels of
 both classes every score is 0; an empty table gives an empty result.
 """
@@ -30,9 +32,8 @@ from sitegraph.llm.common import Tables, mix, signed, text_bytes, text_steps, ut
 
 SAMPLE = 8000                   # labelled documents of each class
 ENTRIES = 1_000_000             # expressions of each kind in a model
-DISCOUNT = 2.0                  # off a word's documents
-PAIR_DISCOUNT = 20.0            # off a pair's: fewer say nothing beyond their words
-MARGIN = 1.5                    # log-likelihood difference of a word that counts as evidence
+MARGIN = 1.5                    # log-likelihood difference of a word that is strong evidence
+FEATURES = 8
 RUN = 50                        # words of the most toxic run
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _INSIDE = np.zeros(256, bool)   # bytes of a word: digits, letters, all beyond ASCII
@@ -57,10 +58,16 @@ def _words(batches, column: int):
         yield batch, word_hashes(data, starts, np.flatnonzero(end) + 1, True), np.searchsorted(starts, offsets)
 
 
-def _pairs(words: np.ndarray) -> np.ndarray:
-    """Hash of each word with the word before it (0: none)."""
-    before = np.concatenate([[np.uint64(0)], words[:-1]])
-    return mix(before * _PAIR + words)
+def _heads(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The word before each word in its text (0: none)."""
+    before = np.concatenate([np.zeros(1, np.uint64), words])[:-1]
+    before[first[:-1][np.diff(first) > 0]] = 0
+    return before
+
+
+def _pairs(heads: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hash of each word with the word before it."""
+    return mix(heads * _PAIR + words)
 
 
 def sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[DataFrame, tuple[int, int]]:
@@ -77,41 +84,40 @@ def sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Colum
 
 
 def _counted(batches):
-    """Documents per expression: kind (0 word, 1 pair), key, the pair's first word, and
-    counts by class and fold."""
+    """Occurrences of pairs: key, first word, second word, and counts by class and fold."""
     for batch, words, first in _words(batches, 1):
-        cell = batch.column(2).to_numpy() * 2 + batch.column(3).to_numpy()
-        for kind in (0, 1):
-            keys, cells, heads = [], [], []
-            for k in range(batch.num_rows):
-                own = words[first[k]:first[k + 1]]
-                key, at = np.unique(_pairs(own) if kind else own, return_index=True)
-                keys.append(key)
-                cells.append(np.full(len(key), cell[k]))
-                heads.append(np.concatenate([[np.uint64(0)], own[:-1]])[at] if kind else np.zeros(len(key), np.uint64))
-            key, at, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-            counts = np.bincount(back * 4 + np.concatenate(cells), minlength=4 * len(key)).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(key), kind, np.int32)), pa.array(signed(key)),
-                 pa.array(signed(np.concatenate(heads)[at])), *[pa.array(counts[:, c]) for c in range(4)]],
-                names=["kind", "key", "head", "c0", "c1", "c2", "c3"])
+        cell = np.repeat(batch.column(2).to_numpy() * 2 + batch.column(3).to_numpy(), np.diff(first))
+        heads = _heads(words, first)
+        key, at, back = np.unique(_pairs(heads, words), return_index=True, return_inverse=True)
+        counts = np.bincount(back * 4 + cell, minlength=4 * len(key)).reshape(-1, 4)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(signed(key)), pa.array(signed(heads[at])), pa.array(signed(words[at])),
+             *[pa.array(counts[:, c]) for c in range(4)]], names=["key", "head", "word", "c0", "c1", "c2", "c3"])
+
+
+def discounts(once: list, twice: list) -> np.ndarray:
+    """Kneser-Ney's n1 / (n1 + 2 n2), kept inside 0 and 1 where there are none."""
+    n1, n2 = np.array(once, float), np.array(twice, float)
+    return (n1 + 0.5) / (n1 + 2 * n2 + 1)
 
 
 class Model:
     """Word and pair estimates of both classes as sorted arrays."""
 
-    def __init__(self, words: tuple, pairs: tuple, heads: tuple, mass: np.ndarray, left: np.ndarray):
-        """``words``: keys, counts (n x 2); ``pairs``: keys, counts; ``heads``: first words with
-        their pair counts and what the discount took (n x 2 each); ``mass``: all word counts by
-        class; ``left``: what the discount left of them."""
+    def __init__(self, words: tuple, pairs: tuple, heads: tuple, mass: np.ndarray, left: np.ndarray, off: tuple):
+        """``words``: keys, continuation counts (n x 2); ``pairs``: keys, counts; ``heads``: first
+        words with their pair counts and what the discounts left of them (n x 2 each); ``mass``:
+        all continuation counts by class; ``left``: what the discounts left of them; ``off``: the
+        discounts of words and of pairs by class."""
         order = np.argsort(words[0])
         self.words, count = words[0][order], words[1][order]
         shared = count.sum(axis=1) / mass.sum()
-        self.p = (np.maximum(count - DISCOUNT, 0) + (mass - left) * shared[:, None]) / mass
+        self.p = (np.maximum(count - off[0], 0) + (mass - left) * shared[:, None]) / mass
         order = np.argsort(pairs[0])
-        self.pairs, self.over = pairs[0][order], np.maximum(pairs[1][order] - PAIR_DISCOUNT, 0)
+        self.pairs, self.over = pairs[0][order], np.maximum(pairs[1][order] - off[1], 0).astype(np.float32)
         order = np.argsort(heads[0])
-        self.heads, self.total, self.taken = heads[0][order], heads[1][order], heads[2][order]
+        self.heads, self.total = heads[0][order], heads[1][order]
+        self.taken = self.total - heads[2][order]
 
     @staticmethod
     def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -120,56 +126,73 @@ class Model:
         at[at == len(keys)] = 0
         return np.where(keys[at] == wanted, at, -1) if len(keys) else np.full(len(wanted), -1)
 
-    def difference(self, words: np.ndarray) -> np.ndarray:
-        """Toxic minus ordinary log-likelihood of each distinct-or-not word after its left one."""
+    def difference(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Toxic minus ordinary log-likelihood of each word after its left one, the same by the
+        word model alone, and whether the word is known (if not, both are 0)."""
+        before = _heads(words, first)
         out = np.zeros(len(words))
         at = self._find(self.words, words)
         known = np.flatnonzero(at >= 0)
         if not len(known):
-            return out
+            return out, out, at >= 0
         p = self.p[at[known]]
-        head = self._find(self.heads, np.concatenate([[np.uint64(0)], words[:-1]])[known])
-        pair = self._find(self.pairs, _pairs(words)[known])
+        alone = np.zeros(len(words))
+        alone[known] = np.log(p[:, 1]) - np.log(p[:, 0])
+        head = self._find(self.heads, before[known])
+        pair = self._find(self.pairs, _pairs(before, words)[known])
         both = np.flatnonzero(head >= 0)
         total, taken = self.total[head[both]], self.taken[head[both]]
         over = np.where(pair[both, None] >= 0, self.over[pair[both]], 0) if len(self.pairs) else 0
         p[both] = np.where(total > 0, (over + taken * p[both]) / np.maximum(total, 1e-9), p[both])
         out[known] = np.log(p[:, 1]) - np.log(p[:, 0])
-        return out
-
-    def evidence(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Per document: evidence per word, and per word of its most toxic run."""
-        strong = np.maximum(self.difference(words) - MARGIN, 0)
-        upto = np.concatenate([[0], np.cumsum(strong)])
-        out = np.zeros((len(first) - 1, 2))
-        for k, (lo, hi) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-            total = upto[hi] - upto[lo]
-            if total > 0:
-                out[k, 0] = total / (hi - lo)
+        return out, alone, at >= 0
+
+    def evidence(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per document, by the pair and the word model: difference per word, and per word of its
+        most toxic run, and of all the root of the part above the margin; and whether it has a
+        known word."""
+        plain, alone, known = self.difference(words, first)
+        has = np.diff(np.concatenate([[0], np.cumsum(known)])[first]) > 0
+        out = np.zeros((len(first) - 1, FEATURES))
+        for c, each in enumerate((plain, alone, np.maximum(plain - MARGIN, 0), np.maximum(alone - MARGIN, 0))):
+            upto = np.concatenate([[0], np.cumsum(each)])
+            for k in np.flatnonzero(has).tolist():
+                lo, hi = int(first[k]), int(first[k + 1])
+                out[k, 2 * c] = (upto[hi] - upto[lo]) / (hi - lo)
                 run = min(RUN, hi - lo)
-                out[k, 1] = (upto[lo + run:hi + 1] - upto[lo:hi + 1 - run]).max() / RUN
-        return np.sqrt(out)
+                out[k, 2 * c + 1] = (upto[lo + run:hi + 1] - upto[lo:hi + 1 - run]).max() / RUN
+        out[:, 4:] = np.sqrt(np.maximum(out[:, 4:], 0))
+        return out, has
 
 
 def _model(store: Tables, counts: DataFrame, cells: tuple[tuple[str, ...], tuple[str, ...]]) -> Model | None:
     """The model of the counts in ``cells`` (columns of the ordinary, of the toxic class)."""
     n0, n1 = (sum((F.col(c) for c in side), F.lit(0)) for side in cells)
-    rows = counts.select("kind", "key", "head", n0.alias("n0"), n1.alias("n1")).where("n0 + n1 > 0")
-    over = [F.sum(F.greatest(F.col(n) - DISCOUNT, F.lit(0.0))).alias(f"left_{n}") for n in ("n0", "n1")]
-    words = rows.where("kind = 0")
-    mass = words.agg(F.sum("n0"), F.sum("n1"), *over).first()
-    if not mass[0] or not mass[1]:
-        return None
-    least = {}
-    for kind in (0, 1):
-        sizes = rows.where(F.col("kind") == kind).groupBy(F.least(F.greatest("n0", "n1"), F.lit(10_000)).alias("n")) \
-            .count().orderBy(F.desc("n")).collect()
-        total, least[kind] = 0, int((DISCOUNT, PAIR_DISCOUNT)[kind]) + 1
+    pairs = counts.select("key", "head", "word", n0.alias("n0"), n1.alias("n1")).where("n0 + n1 > 0")
+    words = store.write(pairs.groupBy(F.col("word").alias("key")).agg(
+        *[F.sum((F.col(n) > 0).cast("long")).alias(n) for n in ("n0", "n1")]), "words")
+    off, least, both = [], [], ("n0", "n1")
+    for rows in (words, pairs):
+        few = rows.agg(*[F.sum((F.col(n) == k).cast("long")) for k in (1, 2) for n in both]).first()
+        if few[0] is None:
+            return None
+        off.append(discounts(few[:2], few[2:]))
+        sizes = rows.groupBy(F.least(F.greatest(*both), F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect()
+        total, at_least = 0, 1
         for r in sizes:
             total += r["count"]
             if total > ENTRIES:
-                least[kind] = max(least[kind], r["n"] + 1)
-    strong = F.greatest("n0", "n1")
+                at_least = r["n"] + 1
+                break
+        least.append(at_least)
+
+    def left(n: int, order: int) -> Column:
+        return F.sum(F.greatest(F.col(both[n]) - float(off[order][n]), F.lit(0.0))).alias(f"left{n}")
+
+    mass = words.agg(F.sum("n0"), F.sum("n1"), left(0, 0), left(1, 0)).first()
+    if not mass[0] or not mass[1]:
+        return None
+    strong = F.greatest(*both)
 
     def fetch(df, n):
         t = df.toArrow()
@@ -177,12 +200,13 @@ def _model(store: Tables, counts: DataFrame, cells: tuple[tuple[str, ...], tuple
             np.stack([t.column(k).to_numpy(), t.column(k + 1).to_numpy()], axis=1).astype(float) for k in range(1, n, 2)]
 
     word = fetch(words.where(strong >= least[0]).select("key", "n0", "n1"), 3)
-    kept = rows.where((F.col("kind") == 1) & (strong >= least[1]))
+    kept = pairs.where(strong >= least[1])
     pair = fetch(kept.select("key", "n0", "n1"), 3)
-    taken = [F.sum(F.least(F.col(n).cast("double"), F.lit(PAIR_DISCOUNT))).alias(f"t_{n}") for n in ("n0", "n1")]
-    heads = rows.where("kind = 1").groupBy("head").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *taken)
-    head = fetch(heads.join(kept.select("head").distinct(), "head", "left_semi").select("head", "n0", "n1", "t_n0", "t_n1"), 5)
-    return Model(word, pair, head, np.array(mass[:2], float), np.array(mass[2:], float))
+    total = pairs.groupBy("head").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    head = fetch(total.join(kept.groupBy("head").agg(left(0, 1), left(1, 1)), "head")
+                 .select("head", "n0", "n1", "left0", "left1"), 5)
+    store.drop(words)
+    return Model(word, pair, head, np.array(mass[:2], float), np.array(mass[2:], float), tuple(off))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -210,8 +234,8 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column
     own = store.write(own.groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"),
                                                             F.max("toxic").alias("toxic"), F.min("fold").alias("fold"))
                       .select("doc_id", "text", "toxic", "fold"), "texts")
-    counts = own.mapInArrow(_counted, "kind int, key long, head long, c0 long, c1 long, c2 long, c3 long") \
-        .groupBy("kind", "key").agg(F.min("head").alias("head"), *[F.sum(f"c{k}").alias(f"c{k}") for k in range(4)])
+    counts = own.mapInArrow(_counted, "key long, head long, word long, c0 long, c1 long, c2 long, c3 long") \
+        .groupBy("key").agg(F.min("head").alias("head"), F.min("word").alias("word"), *[F.sum(f"c{k}").alias(f"c{k}") for k in range(4)])
     counts = store.write(counts, "counts")
     folds = [_model(store, counts, ((f"c{f}",), (f"c{2 + f}",))) for f in (0, 1)]
     final = _model(store, counts, (("c0", "c1"), ("c2", "c3")))
@@ -220,13 +244,16 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column
         def unseen(batches):
             for batch, words, first in _words(batches, 1):
                 fold = batch.column(3).to_numpy()
-                x = np.where(fold[:, None] == 0, folds[1].evidence(words, first), folds[0].evidence(words, first))
-                yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(x[:, 0]), pa.array(x[:, 1])],
-                                                 names=["toxic", "a", "b"])
-
-        got = own.mapInArrow(unseen, "toxic int, a double, b double").toArrow()
+                (x0, has0), (x1, has1) = (m.evidence(words, first) for m in folds)
+                x = np.where(fold[:, None] == 0, x1, x0)[use := np.where(fold == 0, has1, has0)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(2).filter(pa.array(use)), *[pa.array(x[:, k]) for k in range(FEATURES)]],
+                    names=["toxic", *names])
+
+        names = [f"x{k}" for k in range(FEATURES)]
+        got = own.mapInArrow(unseen, "toxic int, " + ", ".join(f"{n} double" for n in names)).toArrow()
         y = got.column(0).to_numpy().astype(float)
-        x = np.stack([got.column(1).to_numpy(), got.column(2).to_numpy()], axis=1)
+        x = np.stack([got.column(n).to_numpy() for n in names], axis=1)
         share = [number[c] / max(1, (y == c).sum()) for c in (0, 1)]
         curve = fit_curve(x, y, np.where(y == 1, share[1], share[0]))
     store.drop(own, counts)
@@ -236,7 +263,9 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column
             if curve is None:
                 p = np.zeros(batch.num_rows)
             else:
-                p = 1 / (1 + np.exp(-np.clip(final.evidence(words, first) @ curve[:2] + curve[2], -30, 30)))
+                x, has = final.evidence(words, first)
+                p = 1 / (1 + np.exp(-np.clip(x @ curve[:-1] + curve[-1], -30, 30)))
+                p = np.where(has, p, number[1] / sum(number))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=["doc_id", "score"])
 
     return texts.mapInArrow(scored, "doc_id long, score double")

@@ -230,6 +230,33 @@ def test_toxicity_learns_and_generalises(spark, docs):
     assert toxicity.score(spark, docs([]), table, learn).collect() == []
 
 
+def test_toxicity_models_are_kneser_ney(spark):
+    r = random.Random(14)
+    texts = [(k, " ".join(r.choice("abcdefgh"[k % 2 * 2:6 + k % 2 * 2]) for _ in range(r.randrange(2, 9))), k % 2, 0) for k in range(14)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, toxic int, fold int")
+    store = toxicity.Tables(spark, "test")
+    counts = store.write(df.mapInArrow(toxicity._counted, "key long, head long, word long, c0 long, c1 long, c2 long, c3 long"), "counts")
+    counts = counts.groupBy("key").agg(F.min("head").alias("head"), F.min("word").alias("word"), *[F.sum(f"c{k}").alias(f"c{k}") for k in range(4)])
+    model = toxicity._model(store, counts, (("c0", "c1"), ("c2", "c3")))
+    pairs = [collections.Counter(p for _, t, y, _ in texts if y == c for p in zip([None, *t.split()], t.split())) for c in (0, 1)]
+    after = [collections.Counter(w for _, w in p) for p in pairs]
+    assert all(max(p.values()) > 1 for p in pairs)
+    rate = lambda n: (sum(x == 1 for x in n) + 0.5) / (sum(x == 1 for x in n) + 2 * sum(x == 2 for x in n) + 1)
+
+    def p(c, u, w):
+        d1, d2, mass = rate(after[c].values()), rate(pairs[c].values()), sum(after[c].values())
+        shared = sum(a[w] for a in after) / sum(sum(a.values()) for a in after)
+        low = (max(after[c][w] - d1, 0) + sum(min(n, d1) for n in after[c].values()) * shared) / mass
+        own = [n for (h, _), n in pairs[c].items() if h == u]
+        return (max(pairs[c][u, w] - d2, 0) + sum(min(n, d2) for n in own) * low) / sum(own) if own else low
+
+    assert math.isclose(sum(p(1, "c", w) for w in "abcdefgh"), 1)
+    for batch, words, first in toxicity._words(df.toArrow().to_batches(), 1):
+        got, _, known = model.difference(words, first)
+        want = [math.log(p(1, u, w) / p(0, u, w)) for t in batch.column(1).to_pylist() for u, w in zip([None, *t.split()], t.split())]
+        assert known.all() and np.allclose(got, want, atol=1e-5)
+
+
 def test_scoring_base_is_exact_and_model_learns(spark, docs):
     r = random.Random(12)
     text = lambda n: " ".join(x for _ in range(n) for x in r.choice([("go", "to", "the", "Sea"), ("we", "eat", "fish."), ("12", "men")]))

@@ -2,7 +2,7 @@
 
 Documents are points in metadata space: size, source, language and doc_id.  Rows
 with equal text are one weighted point (so copies share a shard); a group heavier
-than a small part of a shard is dealt into several points.  The tree halves its
+than an eighth of a shard is dealt into several points.  The tree halves its
 cells at distributed weighted medians: per level one aggregate finds each cell's
 widest dimension, then histogram rounds narrow the median of all cells at once.
 Only histograms (at most 2^16 buckets a round) reach the driver; the finished tree is two
@@ -29,7 +29,7 @@ DIMENSIONS = ("x_size", "x_source", "x_lang", "x_id")
 #: A cut is fine enough when the bucket it falls in weighs less than this share of its cell.
 CLOSE = 1 / 1024
 #: A point weighs at most this share of a shard (heavier groups of copies are dealt out).
-POINT_SHARE = 1 / 256
+POINT_SHARE = 1 / 8
 
 
 def _spread(c: Column) -> Column:

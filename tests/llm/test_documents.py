@@ -72,6 +72,16 @@ def test_sharding_balances_and_keeps_copies_together(spark, docs):
     assert sum(len(s) > 1 for s in where.values()) <= 12
 
 
+def test_sharding_keeps_copies_of_long_texts_together(spark, docs):
+    r = random.Random(6)
+    rows = [(i, prose(r, 40), "en", f"s{i % 7}") for i in range(1500)]
+    rows += [(5000 + 10 * i + k, f"long {i} " + "copied " * 60, "en", f"s{k}") for i in range(12) for k in range(2)]
+    where = collections.defaultdict(set)
+    for x in sharding.shard(spark, docs(rows), leaves=16).collect():
+        where[x["text_crc32"]].add(x["shard"])
+    assert all(len(s) == 1 for s in where.values())
+
+
 def test_quality_matches_oracle(spark, docs, rows):
     r = random.Random(8)
     more = [(1000 + i, prose(r, 60) + "\nsame line\nsame line" * (i % 3) + " ### $$" * (i % 2) * 30, "en", "a") for i in range(140)]

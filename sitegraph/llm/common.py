@@ -160,10 +160,10 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and per document the index of its first
-    word (n+1 values).  A word is a run of bytes outside 0x20 and 0x09-0x0D."""
-    full = ~SPACE[data]
+    word (n+1 values).  A word is a run of bytes outside ``space`` (0x20 and 0x09-0x0D)."""
+    full = ~space[data]
     start, end = full.copy(), full.copy()
     start[1:] &= ~full[:-1]
     end[:-1] &= ~full[1:]

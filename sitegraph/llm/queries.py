@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitegraph.llm import embeddings, minhash, mixing, packing, quality, scoring, sharding, substrings, toxicity, warc
+from sitegraph.llm import (conversations, embeddings, minhash, mixing, packing, quality, retrieval, scoring, sharding,
+                           substrings, toxicity, warc)
 from sitegraph.llm.registry import ORACLES, REGISTRY, register, table
 from sitegraph.llm.tokens import tokenizer_path
 
@@ -69,6 +70,16 @@ def op10(spark, sf_dir):
     return packing.pack(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+@register("op11_reversed_search", retrieval.oracle())
+def op11(spark, sf_dir):
+    return retrieval.search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op13_cyk_conversation_repair", conversations.oracle())
+def op13(spark, sf_dir):
+    return conversations.repaired(spark, table(spark, sf_dir, "conversations"))
+
+
 def queries():
     return dict(REGISTRY)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitegraph.llm import (conversations, embeddings, minhash, mixing, packing, quality, retrieval, scoring, sharding,
-                           substrings, toxicity, warc)
+                           substrings, suffixes, toxicity, warc)
 from sitegraph.llm.registry import ORACLES, REGISTRY, register, table
 from sitegraph.llm.tokens import tokenizer_path
 
@@ -75,6 +75,11 @@ def op11(spark, sf_dir):
     return retrieval.search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@register("op12_suffix_merge_sort")
+def op12(spark, sf_dir):
+    return suffixes.digest(spark, table(spark, sf_dir, "documents"))
+
+
 @register("op13_cyk_conversation_repair", conversations.oracle())
 def op13(spark, sf_dir):
     return conversations.repaired(spark, table(spark, sf_dir, "conversations"))

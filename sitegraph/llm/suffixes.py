@@ -19,8 +19,11 @@ least hash of ``GRAM`` = 200 bytes, so equal windows choose at equal depth.  Sor
 
 1. the suffixes at anchors whose 200 bytes occur again.  One with a common prefix of m bytes
    tells of the windows that start at it up to m - 400 bytes later;
-2. for the windows that start before their anchor and are still undecided, the windows
-   themselves, with those of all anchors with the same 200 bytes at the same depth.
+2. the same anchors with the bytes before and in them read backwards, which tells of the windows
+   that end with the 200 bytes or before, and of how far each anchor's left side occurs again.
+   If the 200 bytes occur just twice, both sides belong to one match, and all is known;
+3. the windows around their anchor that may still be repeated by both sides, with those of all
+   anchors with the same 200 bytes at the same depth.
 
 Every window is thus decided by the sort of bytes; hashes only choose what is sorted.
 
@@ -96,18 +99,32 @@ def _profile(batches):
             names=["digest", "n_bytes", "grams"])
 
 
-def _at_anchors(batches):
-    """(cls, text, ids of anchors) -> suffixes (bytes, cls, place, first window, last window, gram)."""
+def _anchored(batches):
+    """(cls, text, own) -> per class: cls, text, and of its anchors in ``own`` the places, those of
+    the anchors before and after, first and last windows, grams, and whether these occur just twice."""
     for step, data, offsets in _steps(batches, 1):
         place, low, high, gram, first = anchors(data, offsets)
         for k in range(step.num_rows):
-            cls, own, begin, end = step.column(0)[k].as_py(), np.sort(step.column(2)[k].values.to_numpy()), offsets[k], offsets[k + 1]
-            text = data[begin:end].tobytes()
-            at = first[k] + own
+            own, begin = np.sort(step.column(2)[k].values.to_numpy()), offsets[k]
+            at = first[k] + (own >> 1)
+            before = np.where(at > first[k], place[at - 1], begin - 1)
             after = np.where(at + 1 < first[k + 1], place[np.minimum(at + 1, len(place) - 1)], place[at] + 1)
-            columns = (place[at] - begin, after - 1 + WIDTH - begin, low[at] - begin, high[at] - begin, gram[at])
-            for p, to, lo, hi, g in zip(*(c.tolist() for c in columns), strict=True):
-                yield text[p:to], cls, p, lo, hi, g
+            columns = (place[at] - begin, before - begin, after - begin, low[at] - begin, high[at] - begin, gram[at], own & 1)
+            yield step.column(0)[k].as_py(), data[begin:offsets[k + 1]].tobytes(), zip(*(c.tolist() for c in columns), strict=True)
+
+
+def _forward(batches):
+    """Suffixes at anchors: (bytes, cls, place, first window, last window, gram, twice)."""
+    for cls, text, own in _anchored(batches):
+        for p, _, after, lo, hi, g, twice in own:
+            yield text[p:after - 1 + WIDTH], cls, p, lo, hi, g, twice
+
+
+def _backward(batches):
+    """The bytes up to the end of each anchor's gram, backwards."""
+    for cls, text, own in _anchored(batches):
+        for p, before, _, lo, hi, g, twice in own:
+            yield text[max(0, before + 1 + GRAM - WIDTH):p + GRAM][::-1], cls, p, lo, hi, g, twice
 
 
 def _windows(batches):
@@ -119,7 +136,7 @@ def _windows(batches):
             np.add.at(marked, batch.column(2)[k].values.to_numpy(), 1)
             np.add.at(marked, batch.column(3)[k].values.to_numpy() + 1, -1)
             for p in np.flatnonzero(np.cumsum(marked) > 0).tolist():
-                yield text[p:p + WIDTH], cls, p, p, p, 0
+                yield text[p:p + WIDTH], cls, p, p, p, 0, 0
 
 
 # ---- front coding ------------------------------------------------------------------
@@ -135,6 +152,8 @@ def common(a: bytes, b: bytes, known: int = 0) -> int:
 
 
 _CODEC = "zstd"
+#: Numbers that go with a suffix, after cls: at, low, high, gram, twice.
+FIELDS = 5
 
 
 def encode(run: list) -> bytes:
@@ -148,7 +167,7 @@ def encode(run: list) -> bytes:
         tails.append(now[s:])
         before = now
     parts = [np.array([n], np.int64), shared, np.array([len(t) for t in tails], np.int32)]
-    parts += [np.array([r[c] for r in run], np.int64) for c in range(1, 6)]
+    parts += [np.array([r[c] for r in run], np.int64) for c in range(1, 2 + FIELDS)]
     raw = b"".join([*(p.tobytes() for p in parts), *tails])
     return np.int64(len(raw)).tobytes() + pa.compress(raw, codec=_CODEC, asbytes=True)
 
@@ -164,8 +183,8 @@ class Piece:
         self.shared = np.frombuffer(raw, np.int32, n, at).tolist()
         lengths = np.frombuffer(raw, np.int32, n, at + 4 * n)
         at += 8 * n
-        self.columns = [np.frombuffer(raw, np.int64, n, at + 8 * n * c) for c in range(5)]
-        at += 40 * n
+        self.columns = [np.frombuffer(raw, np.int64, n, at + 8 * n * c) for c in range(1 + FIELDS)]
+        at += 8 * n * (1 + FIELDS)
         self.ends = (at + np.cumsum(lengths)).tolist()
         self.starts = (at + np.cumsum(lengths) - lengths).tolist()
         self.places = list(zip(self.columns[0].tolist(), self.columns[1].tolist(), strict=True))
@@ -233,9 +252,9 @@ def merge(pieces: list):
 # ---- the distributed sort ------------------------------------------------------------
 
 _RUN = pa.schema([("part", pa.int64()), ("run", pa.binary())])
-_MERGED = "cls long, at long, low long, high long, gram long, m long, part long, edge int, suffix binary"
+_MERGED = "cls long, at long, low long, high long, gram long, twice long, m long, part long, edge int, suffix binary"
 _MERGED_ARROW = pa.schema([("cls", pa.int64()), ("at", pa.int64()), ("low", pa.int64()), ("high", pa.int64()),
-                           ("gram", pa.int64()), ("m", pa.int64()), ("part", pa.int64()), ("edge", pa.int32()),
+                           ("gram", pa.int64()), ("twice", pa.int64()), ("m", pa.int64()), ("part", pa.int64()), ("edge", pa.int32()),
                            ("suffix", pa.binary())])
 
 
@@ -289,7 +308,7 @@ def merged_part(part: int, pieces: list):
     shared = np.array([*shared, 0], np.int64)
     n = len(run)
     begin = np.cumsum([0, *(p.n for p in pieces)])[:-1]
-    columns = [np.concatenate([p.columns[c] for p in pieces])[begin[run] + ids] for c in range(5)]
+    columns = [np.concatenate([p.columns[c] for p in pieces])[begin[run] + ids] for c in range(1 + FIELDS)]
     edge = np.zeros(n, np.int32)
     edge[0] += 1
     edge[-1] += 2
@@ -316,7 +335,7 @@ def _merged(batches):
 
 
 def neighbours(store: Tables, texts: DataFrame, records, count: int) -> DataFrame:
-    """``cls, at, low, high, gram, m`` of about ``count`` suffixes that ``records`` takes from
+    """``cls, at, low, high, gram, twice, m`` of about ``count`` suffixes that ``records`` takes from
     ``texts(cls, text, ...)``; m: the longest prefix that each shares with any other of them.  A
     suffix beside the edge of a range may have two rows, of which the larger m counts."""
     spark = store.spark
@@ -330,17 +349,17 @@ def neighbours(store: Tables, texts: DataFrame, records, count: int) -> DataFram
     ranged = runs.repartitionById(len(cuts) + 1, F.col("part").cast("int")).sortWithinPartitions("part")
     out = store.write(ranged.mapInArrow(_merged, _MERGED), "merged")
     # suffixes on either side of a range's edge
-    edges = sorted((r["part"], r["edge"], r["cls"], r["at"], r["low"], r["high"], r["gram"], bytes(r["suffix"]))
+    edges = sorted((r["part"], r["edge"], r["cls"], r["at"], r["low"], r["high"], r["gram"], r["twice"], bytes(r["suffix"]))
                    for r in out.where("edge > 0").collect())
     seams = []
     for a, b in zip(edges, edges[1:], strict=False):
         if a[0] != b[0]:
-            m = common(a[7], b[7])
-            seams += [(*x[2:7], m) for x in (a, b)]
-    plain = out.select("cls", "at", "low", "high", "gram", "m")
+            m = common(a[-1], b[-1])
+            seams += [(*x[2:-1], m) for x in (a, b)]
+    plain = out.select("cls", "at", "low", "high", "gram", "twice", "m")
     if not seams:
         return plain
-    return plain.unionAll(spark.createDataFrame(seams, "cls long, at long, low long, high long, gram long, m long"))
+    return plain.unionAll(spark.createDataFrame(seams, "cls long, at long, low long, high long, gram long, twice long, m long"))
 
 
 # ---- windows ------------------------------------------------------------------------
@@ -349,47 +368,60 @@ _OPEN = pa.schema([("cls", pa.int64()), ("gram", pa.int64()), ("near", pa.int64(
 
 
 def _undecided(batches):
-    """Per class the anchors' (at, low, high, gram, m) -> of each anchor with windows before it
-    that may be repeated and are not yet known to be: its gram, and the depths from..to."""
+    """Per class the anchors' (at, low, high, gram, twice, left, m) and the known repeated starts
+    (begin, end) -> of each anchor with windows before it that may be repeated and are not known
+    to be: its gram, and the depths from..to."""
     for b in batches:
         out = []
-        for cls, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            at, low, high, gram, m = (np.array([r[c] for r in rows], np.int64) for c in ("at", "low", "high", "gram", "m"))
-            known = np.zeros(int(max(at.max(), high.max(), (at + m).max())) + 2, np.int64)
-            sure = m >= WIDTH
-            np.add.at(known, at[sure], 1)
-            np.add.at(known, (at + m - WIDTH + 1)[sure], -1)
+        for cls, rows, sure in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+            at, low, high, gram, twice, left, m = (np.array([r[c] for r in rows], np.int64) for c in (
+                "at", "low", "high", "gram", "twice", "left", "m"))
+            known = np.zeros(int(max(high.max(), (at + m).max())) + 2, np.int64)
+            np.add.at(known, np.array([r["begin"] for r in sure], np.int64), 1)
+            np.add.at(known, np.array([r["end"] for r in sure], np.int64) + 1, -1)
             open_ = np.concatenate([[0], np.cumsum(np.cumsum(known) == 0)])  # undecided starts before a place
-            top = np.minimum(np.minimum(high, at - 1), at + m - WIDTH)
-            some = top >= low
-            some[some] = open_[top[some] + 1] > open_[low[some]]
-            out += [(cls, g, p - t, p - lo) for g, p, t, lo in zip(*(x[some].tolist() for x in (gram, at, top, low)), strict=True)]
+            top, bottom = np.minimum(np.minimum(high, at - 1), at + m - WIDTH), np.maximum(low, at - left)
+            some = (twice == 0) & (top >= bottom)
+            some[some] = open_[top[some] + 1] > open_[bottom[some]]
+            out += [(cls, g, p - t, p - lo) for g, p, t, lo in zip(*(x[some].tolist() for x in (gram, at, top, bottom)), strict=True)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=_OPEN)
 
 
 def repeated_windows(store: Tables, texts: DataFrame) -> DataFrame:
     """``cls, starts, ends``: first and last start of runs of repeated windows, of the classes
-    that have any.  ``texts(cls, text, own)``: own, the ids of anchors whose gram occurs again."""
+    that have any.  ``texts(cls, text, own)``: own, of each anchor whose gram occurs again twice
+    its id, plus 1 if the gram occurs just twice."""
+    own = texts.select("cls", "text", "own")
     count = texts.agg(F.sum(F.size("own"))).first()[0] or 0
-    found = neighbours(store, texts.select("cls", "text", "own"), _at_anchors, count)
-    best = found.groupBy("cls", "at").agg(F.max("m").alias("m"), *[F.first(c).alias(c) for c in ("low", "high", "gram")])
-    best = store.write(best, "anchors")
-    rows = best.groupBy("cls").agg(F.collect_list(F.struct("at", "low", "high", "gram", "m")).alias("rows"))
+    right = neighbours(store, own, _forward, count).withColumn("left", F.lit(0).cast("long"))
+    left = neighbours(store, own, _backward, count).withColumn("left", F.col("m") - GRAM).withColumn("m", F.lit(0).cast("long"))
+    best = store.write(right.unionByName(left).groupBy("cls", "at").agg(
+        F.max("m").alias("m"), F.max("left").alias("left"), *[F.first(c).alias(c) for c in ("low", "high", "gram", "twice")]), "anchors")
+
+    def span(begin, end, when):
+        return F.when(when & (begin <= end), F.struct(begin.alias("begin"), end.alias("end")))
+
+    at, first, last = F.col("at"), F.col("at") - F.col("left"), F.col("at") + F.col("m") - WIDTH
+    one_match = F.col("twice") == 1
+    spans = F.array_compact(F.array(span(first, last, one_match), span(at, last, ~one_match), span(first, at - (WIDTH - GRAM), ~one_match)))
+    rows = best.groupBy("cls").agg(F.collect_list(F.struct("at", "low", "high", "gram", "twice", "left", "m")).alias("rows"),
+                                   F.flatten(F.collect_list(spans)).alias("sure"))
+    rows = store.write(rows, "by class")
     open_ = rows.mapInArrow(_undecided, "cls long, gram long, near long, far long")
     depths = store.write(open_.groupBy("gram").agg(F.min("near").alias("near"), F.max("far").alias("far")), "depths")
     # windows to sort: of every anchor with such a gram, those at such depths that may be repeated
-    begin = F.greatest(F.col("low"), F.col("at") - F.col("far"))
-    end = F.least(F.col("high"), F.col("at") - F.col("near"), F.col("at") + F.col("m") - WIDTH)
+    begin = F.greatest(F.col("low"), at - F.col("far"), first)
+    end = F.least(F.col("high"), at - F.col("near"), last)
     ranges = best.join(depths, "gram").select("cls", begin.alias("begin"), end.alias("end")).where("begin <= end")
     ranges = store.write(ranges.groupBy("cls").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"),
                                                    F.sum(F.col("end") - F.col("begin") + 1).alias("n")), "ranges")
     windows = ranges.agg(F.sum("n")).first()[0] or 0
-    sure = best.where(F.col("m") >= WIDTH).select("cls", F.col("at").alias("begin"), (F.col("at") + F.col("m") - WIDTH).alias("end"))
+    sure = rows.select("cls", F.inline("sure"))
     if windows:
         tried = store.write(texts.select("cls", "text").join(ranges.drop("n"), "cls"), "tried")
         pairs = neighbours(store, tried, _windows, windows).where(F.col("m") >= WIDTH)
-        sure = sure.unionAll(pairs.select("cls", F.col("at").alias("begin"), F.col("at").alias("end")))
+        sure = sure.unionAll(pairs.select("cls", at.alias("begin"), at.alias("end")))
     return store.write(sure.groupBy("cls").agg(F.collect_list("begin").alias("starts"), F.collect_list("end").alias("ends")), "repeated")
 
 
@@ -426,8 +458,9 @@ def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
                           .agg(F.count("*").alias("copies"), F.first("grams").alias("grams"))
                           .withColumn("cls", F.monotonically_increasing_id()), "classes")
     each = classes.select("cls", F.posexplode("grams").alias("id", "gram"))
-    grams = store.write(each.groupBy("gram").count().where("count > 1").select("gram"), "grams")
-    own = each.join(grams, "gram").groupBy("cls").agg(F.collect_list("id").alias("own"))
+    grams = store.write(each.groupBy("gram").count().where("count > 1"), "grams")
+    marked = (F.col("id") * 2 + F.when(F.col("count") == 2, 1).otherwise(0)).cast("long")
+    own = each.join(grams, "gram").groupBy("cls").agg(F.collect_list(marked).alias("own"))
     own = classes.select("digest", "cls").join(own, "cls")
     # one text of each such class: all copies of it are equal
     texts = store.write(hashed.join(own.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))

@@ -61,7 +61,7 @@ def test_empty_table(spark, docs):
 
 def test_merge_of_runs():
     r = random.Random(8)
-    records = [("".join(r.choice("ab") for _ in range(r.randrange(12))).encode(), k, r.randrange(3), 0, 0, 0) for k in range(500)]
+    records = [("".join(r.choice("ab") for _ in range(r.randrange(12))).encode(), k, r.randrange(3), 0, 0, 0, 0) for k in range(500)]
     runs = [[] for _ in range(7)]
     for x in records:
         runs[r.choice([0, 1, 2, 4, 5, 6])].append(x)

@@ -11,9 +11,10 @@ expressions that take a page from left to right:
   neither), ``/html/head/...`` selectors look there, ``//...`` selectors in
   the whole page;
 * a tag is its name followed by white space, ``/`` or ``>``, then anything up to
-  the first ``>`` outside quoted attribute values; its attributes are read as
-  name/value tokens from left to right, the first of a name counts; names are
-  case-insensitive, values are compared case-sensitively, as XPath does;
+  the first ``>`` outside quoted attribute values; it is parsed once into its name
+  and its attributes from left to right (``parsed``), which the extractors look up:
+  the first of a name counts; names are case-insensitive, values are compared
+  case-sensitively, as XPath does;
 * "direct text" of an element: a stack of open elements runs over its tokens;
   text outside any child counts, every tag starts a new entry; an end tag closes
   the innermost element of its name and is ignored if there is none;
@@ -50,6 +51,10 @@ VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link",
              "source", "track", "wbr"]
 
 
+def is_void(tag: Column) -> Column:
+    return F.array_contains(F.split(F.lit(" ".join(VOID_TAGS)), " "), tag)
+
+
 def tag_re(name: str) -> str:
     return rf"(?i)<{name}{END_OF_NAME}{REST}(?:>|\z)"
 
@@ -78,19 +83,9 @@ def element_contents(segment, name: str) -> Column:
     return F.transform(closed, lambda p: F.regexp_extract(p, piece_re(name), 1))
 
 
-def _walk_re(name: str) -> str:
-    """A tag up to its first attribute ``name``, attribute by attribute."""
-    value = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
-    return (rf"(?is)^<[a-z][^\s/>]*+(?:[\s/]++(?!{name}[\s=/>])[^\s=/>]++(?:\s*+=\s*+{value})?+)*+"
-            rf"[\s/]++{name}")
-
-
-def attr_re(name: str) -> str:
-    return _walk_re(name) + r"""\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+))"""
-
-
-def has_attr_re(name: str) -> str:
-    return _walk_re(name) + r"[\s=/>]"
+#: One attribute: its name, then its value if it has one (quotes included).  The first match
+#: takes the tag's name along.
+RE_ATTR = r"""(?s)(?:^<[^\s/>]++)?+[\s/]*+([^\s=/>]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
 
 
 def _c(x) -> Column:
@@ -105,7 +100,8 @@ def _character(code: Column) -> Column:
 
 def decode_entities(s: Column) -> Column:
     """Numeric and named entities decoded in one pass (so ``&amp;lt;`` is ``&lt;``)."""
-    named = F.create_map(*[F.lit(x) for pair in NAMED_ENTITIES.items() for x in pair])
+    # two literals, made one map constant when the query is planned
+    named = F.map_from_arrays(F.split(F.lit(" ".join(NAMED_ENTITIES)), " "), F.split(F.lit(" ".join(NAMED_ENTITIES.values())), " "))
 
     def one(t):
         digits = F.regexp_extract(t, r"^&#[xX]?([0-9A-Fa-f]+)", 1)
@@ -149,33 +145,42 @@ def multi_tag_re(names: list[str]) -> str:
 
 
 def start_tags(segment, names: list[str]) -> Column:
-    """Start tags of several kinds in one pass over the markup, document order.
-    Tags never overlap, so filtering this by name equals a pass per kind."""
-    return _whole(F.regexp_extract_all(_c(segment), F.lit(multi_tag_re(names)), F.lit(0)))
+    """Start tags of several kinds in one pass over the markup, document order, each
+    parsed once.  Tags never overlap, so filtering this by name equals a pass per kind."""
+    return F.transform(_whole(F.regexp_extract_all(_c(segment), F.lit(multi_tag_re(names)), F.lit(0))), parsed)
+
+
+def parsed(tag: Column) -> Column:
+    """A start tag as (tag, names, values): its lower-case name, and the names and
+    entity-decoded values of its attributes ('' without a value)."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(RE_ATTR), F.lit(1)), F.lower)
+
+    def value(v):
+        quoted = (F.length(v) >= 2) & (v.startswith('"') & v.endswith('"') | v.startswith("'") & v.endswith("'"))
+        return decode_entities(F.when(quoted, F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v))
+
+    return F.struct(F.lower(F.regexp_extract(tag, RE_TAG_NAME, 1)).alias("tag"), names.alias("names"),
+                    F.transform(F.regexp_extract_all(tag, F.lit(RE_ATTR), F.lit(2)), value).alias("values"))
 
 
 def of_kind(tag_array, name: str) -> Column:
     """The tags of one element name out of a mixed tag array."""
-    return F.filter(_c(tag_array), lambda t: F.lower(F.regexp_extract(t, r"^<([A-Za-z][A-Za-z0-9]*)", 1)) == name)
+    return F.filter(_c(tag_array), lambda t: t["tag"] == name)
 
 
 def attr(tag: Column, name: str) -> Column:
-    """Entity-decoded attribute value ('' when absent; test with has_attr)."""
-    r = attr_re(name)
-    raw = F.concat(F.regexp_extract(tag, r, 1), F.regexp_extract(tag, r, 2), F.regexp_extract(tag, r, 3))
-    return decode_entities(raw)
+    """Value of a parsed tag's attribute (null when absent)."""
+    return F.get(tag["values"], (F.array_position(tag["names"], name) - 1).cast("int"))
 
 
 def has_attr(tag: Column, name: str) -> Column:
-    return tag.rlike(has_attr_re(name))
+    return F.array_contains(tag["names"], name)
 
 
 def attr_values(tag_array: Column, name: str, where=None) -> Column:
     """``attr`` of every tag that has it (and satisfies ``where``)."""
-    def keep(t):
-        cond = has_attr(t, name)
-        return cond if where is None else cond & where(t)
-    return F.transform(F.filter(tag_array, keep), lambda t: attr(t, name))
+    chosen = tag_array if where is None else F.filter(tag_array, where)
+    return F.filter(F.transform(chosen, lambda t: attr(t, name)), lambda v: v.isNotNull())
 
 
 def direct_texts(segment, name: str) -> Column:
@@ -188,7 +193,7 @@ def direct_texts(segment, name: str) -> Column:
         at = F.array_position(acc["open"], tag)
         opened = F.when(t.startswith("</"), F.when(at > 0, F.slice(acc["open"], (at + 1).cast("int"), F.size(acc["open"])))
                         .otherwise(acc["open"])) \
-            .otherwise(F.when(tag.isin(*VOID_TAGS) | t.endswith("/>"), acc["open"])
+            .otherwise(F.when(is_void(tag) | t.endswith("/>"), acc["open"])
                        .otherwise(F.concat(F.array(tag), acc["open"])))
         top = F.size(acc["open"]) == 0
         at_tag = F.struct(opened.alias("open"),
@@ -213,7 +218,7 @@ def joined(arr: Column, sep: str) -> Column:
 # -- link kinds ---------------------------------------------------------------
 
 def rel_is(value: str):
-    return lambda t: has_attr(t, "rel") & (attr(t, "rel") == value)
+    return lambda t: attr(t, "rel") == value
 
 
 def anchor_hrefs(page_tags) -> Column:
@@ -221,7 +226,7 @@ def anchor_hrefs(page_tags) -> Column:
 
 
 def anchor_hrefs_follow(page_tags) -> Column:
-    no_nofollow = lambda t: ~(has_attr(t, "rel") & attr(t, "rel").contains("nofollow"))
+    no_nofollow = lambda t: ~F.coalesce(attr(t, "rel").contains("nofollow"), F.lit(False))
     return attr_values(of_kind(page_tags, "a"), "href", no_nofollow)
 
 
@@ -258,13 +263,11 @@ def base_hrefs(head_tags) -> Column:
 
 def meta_contents(page_tags, name_value: str) -> Column:
     return attr_values(of_kind(page_tags, "meta"), "content",
-                       lambda t: has_attr(t, "name") & (attr(t, "name") == name_value))
+                       lambda t: attr(t, "name") == name_value)
 
 
 def meta_description(head_tags, sep: str) -> Column:
-    metas = attr_values(of_kind(head_tags, "meta"), "content",
-                        lambda t: has_attr(t, "name") & (attr(t, "name") == "description"))
-    return joined(metas, sep)
+    return joined(meta_contents(head_tags, "description"), sep)
 
 
 def meta_robots(page_tags, agent: str) -> Column:
@@ -274,9 +277,7 @@ def meta_robots(page_tags, agent: str) -> Column:
     names = attr_values(metas, "name")
     agent_l = F.lit(agent.lower())
     ua = F.get(F.filter(names, lambda n: agent_l.contains(F.lower(n))), 0)
-    ua_rules = F.transform(
-        F.filter(metas, lambda t: has_attr(t, "name") & (attr(t, "name") == ua) & has_attr(t, "content")),
-        lambda t: attr(t, "content"))
+    ua_rules = attr_values(metas, "content", lambda t: attr(t, "name") == ua)
     ua_rules = F.coalesce(ua_rules, F.array().cast("array<string>"))
     robots = meta_contents(page_tags, "robots")
     return F.array_join(F.concat(ua_rules, robots), ", ")

@@ -1,81 +1,172 @@
-"""The node table: pages -> one row per tag / text token with its tree position.
+"""The element tree of a page, read off its tokens.
 
-Tokens come from ``regexp_extract_all`` over the cleaned markup and are
-``posexplode``-d; the nesting level is a running sum of +1 (start tag of a
-non-void element) / -1 (end tag) over the page's tokens in order.  Tree links
-are a parent pointer and the end-tag position of every start tag, both found
-with windows clustered by page, so the cost does not depend on how deep a
-page nests (no per-node ancestor lists).
+``page_tokens`` is a page as an array of tokens (start tags with their attributes, end tags,
+text), ``nesting`` the tree over them: for each token its level, the start tag of the element
+around it, and for each start tag the token that ends it.  An element's content is thus a slice
+of the token array, and "inside" is a comparison of places.
 
-Approximation (stated in the README): tags the author never closed are not
-closed implicitly, so later siblings appear nested under them.
+Which elements are open is a stack that every tag pushes on and pops from, with the end tags
+that HTML lets an author leave out; no built-in function carries a stack, so this one walk over
+a page's tag names is an Arrow UDF (``nesting``).  It gets names and numbers only; tokens, texts
+and attributes stay in the JVM, and no row meets another one: pages with equal URLs, repeated
+fetches among them, are read each by itself.
+
+What ends an element:
+
+* its end tag, which also ends what is open inside it; an end tag without an open element of its
+  name is ignored, and so is one that would have to leave a heavier element (``WEIGHT``: a
+  ``</b>`` does not end a ``div``);
+* a start tag that may not stand inside it (``ENDS``), looked for inside the nearest element of
+  ``WITHIN``: an ``li`` ends the ``li`` before it, not the one around its list;
+* the end of the page.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegraph.functions import html as H
+from sitegraph.session import workers_find_package
+
+# FIXED VALUES: start tag -> the open elements it ends (HTML's optional end tags).
+_BLOCKS = ("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+           "header hr main menu nav ol p pre section table ul").split()
+ENDS = {
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"),
+    "tr": ("tr", "td", "th"), "thead": ("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"),
+    "tbody": ("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"),
+    "tfoot": ("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"),
+    "option": ("option",), "optgroup": ("option", "optgroup"), "body": ("head",),
+    **{name: ("p",) for name in _BLOCKS},
+}
+# FIXED VALUES: elements that such a search does not leave.
+WITHIN = {
+    **{name: ("ul", "ol", "menu") for name in ("li",)}, **{name: ("dl",) for name in ("dt", "dd")},
+    **{name: ("table",) for name in ("td", "th", "tr", "thead", "tbody", "tfoot")},
+    **{name: ("select", "datalist") for name in ("option", "optgroup")}, "body": (),
+    **{name: ("table", "td", "th", "caption", "button", "object") for name in _BLOCKS},
+}
+# FIXED VALUES: an end tag does not leave an element of more weight than its own (100 where not given).
+WEIGHT = {"p": 10, "div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180, "table": 190,
+          "head": 200, "body": 200, "html": 220}
+
+TREE = "struct<level: array<int>, parent: array<int>, end: array<int>, hits: array<bigint>>"
+
+
+def page_tokens(html) -> Column:
+    """array<struct<tok, kind, tag, void, names, values, text>> of a page; kind: open, close,
+    text, or other (doctype and the like)."""
+    def token(t):
+        kind = (F.when(t.startswith("</"), F.lit("close")).when(t.rlike("^<[A-Za-z]"), F.lit("open"))
+                .when(t.rlike("^<[!?/]"), F.lit("other")).otherwise(F.lit("text")))
+        return F.transform(F.array(F.struct(t.alias("tok"), kind.alias("kind"))), fields)[0]
+
+    def fields(x):
+        t, kind = x["tok"], x["kind"]
+        tag = F.when(kind.isin("open", "close"), F.lower(F.regexp_extract(t, H.RE_TAG_NAME, 1)))
+        start = F.when(kind == "open", H.parsed(t))
+        return F.struct(t.alias("tok"), kind.alias("kind"), tag.alias("tag"),
+                        ((kind == "open") & (H.is_void(tag) | t.endswith("/>"))).alias("void"),
+                        start["names"].alias("names"), start["values"].alias("values"),
+                        F.when(kind == "text", H.decode_entities(t)).alias("text"))
+
+    return F.transform(F.regexp_extract_all(H.clean(html), F.lit(H.RE_TOKEN), F.lit(0)), token)
+
+
+def marks(tokens) -> Column:
+    """Per token what the walk needs: ``b`` a start tag, ``br/`` a void one, ``/b`` an end tag, '' else."""
+    return F.transform(H._c(tokens), lambda t: F.coalesce(
+        F.concat(F.when(t["kind"] == "close", "/").otherwise(""), t["tag"], F.when(t["void"], "/").otherwise("")), F.lit("")))
+
+
+class Steps:
+    """Steps of selectors as bits: bit i is met by an element if it matches step i and, unless
+    the selector starts there, an element around it (``desc``) or its parent (``child``) meets
+    bit i - 1; a selector's ``root`` step is met by outermost elements only."""
+
+    def __init__(self, anywhere: int = 0, root: int = 0, desc: int = 0, child: int = 0):
+        self.anywhere, self.root, self.desc, self.child = anywhere, root, desc, child
+
+
+def walk(names: list[str], matches: list[int] | None, steps: Steps):
+    """(level, parent, end, hits) of a page's tokens: one pass with a stack of open elements."""
+    n = len(names)
+    level, parent, end, hits = [0] * n, [-1] * n, [-1] * n, [0] * n
+    tags, places, met, around = [], [], [0], [0]  # met, around: steps met by the innermost element; by it or one around it
+
+    def leave(to: int, at: int) -> None:
+        for p in places[to:]:
+            end[p] = at
+        del tags[to:], places[to:], met[to + 1:], around[to + 1:]
+
+    for k, mark in enumerate(names):
+        if not mark:
+            level[k] = len(tags)
+        elif mark[0] == "/":
+            name, at = mark[1:], len(tags) - 1
+            weight = WEIGHT.get(name, 100)
+            while at >= 0 and tags[at] != name:
+                at = -1 if WEIGHT.get(tags[at], 100) > weight else at - 1
+            level[k] = len(tags) if at < 0 else at + 1
+            if at >= 0:
+                leave(at, k)
+                parent[k] = places[-1] if places else -1
+                continue
+        else:
+            void = mark[-1] == "/"
+            name = mark[:-1] if void else mark
+            if name in ENDS:
+                to, at = len(tags), len(tags) - 1
+                while at >= 0 and tags[at] not in WITHIN[name]:
+                    if tags[at] in ENDS[name]:
+                        to = at
+                    at -= 1
+                leave(to, k)
+            level[k] = len(tags) + 1
+            if matches:
+                ways = steps.anywhere | (around[-1] << 1 & steps.desc) | (met[-1] << 1 & steps.child)
+                hits[k] = matches[k] & (ways if tags else ways | steps.root)
+            parent[k] = places[-1] if places else -1
+            if void:
+                end[k] = k
+            else:
+                tags.append(name)
+                places.append(k)
+                met.append(hits[k])
+                around.append(around[-1] | hits[k])
+            continue
+        parent[k] = places[-1] if places else -1
+    leave(0, n)
+    return level, parent, end, hits
+
+
+def nesting(tokens, matches: Column | None = None, steps: Steps | None = None) -> Column:
+    """The tree of a token array, and which elements meet which steps (``matches``: per token
+    the steps that it matches by itself)."""
+    steps = steps or Steps()
+
+    def tree(names: pa.Array, matches: pa.Array) -> pa.Array:
+        found = [None if page is None else dict(zip(("level", "parent", "end", "hits"), walk(page, bits, steps), strict=True))
+                 for page, bits in zip(names.to_pylist(), matches.to_pylist(), strict=True)]
+        ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+        return pa.array(found, pa.struct([("level", ints), ("parent", ints), ("end", ints), ("hits", longs)]))
+
+    workers_find_package()
+    bits = matches if matches is not None else F.array().cast("array<bigint>")
+    return F.arrow_udf(tree, TREE)(marks(tokens), bits)
+
 
-VOID_TAGS = H.VOID_TAGS
-
-
-def tokens(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(url, pos, kind, tag, attrs, text, level) without ancestors."""
-    t = (pages.select(url, html)
-         .select(F.col(url).alias("url"),
-                 F.posexplode(F.regexp_extract_all(H.clean(html), F.lit(H.RE_TOKEN), F.lit(0))).alias("pos", "tok")))
-    tag = F.lower(F.regexp_extract("tok", H.RE_TAG_NAME, 1))
-    kind = (F.when(F.col("tok").startswith("</"), F.lit("close"))
-            .when(F.col("tok").rlike(r"^<[A-Za-z]"), F.lit("open"))
-            .when(F.col("tok").rlike("^<[!?/]"), F.lit("other"))
-            .otherwise(F.lit("text")))
-    t = t.withColumn("kind", kind).withColumn("tag", F.when(kind.isin("open", "close"), tag))
-    void = F.col("tag").isin(*VOID_TAGS) | F.col("tok").endswith("/>")
-    t = t.withColumn("void", (F.col("kind") == "open") & void)
-    delta = (F.when((F.col("kind") == "open") & ~F.col("void"), 1)
-             .when(F.col("kind") == "close", -1).otherwise(0))
-    w = Window.partitionBy("url").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("_after", F.sum(delta).over(w))
-    before = F.col("_after") - delta
-    level = F.when(F.col("kind") == "open", before + 1).otherwise(before)
-    return t.select("url", "pos", "kind", "tag", "void", level.cast("int").alias("level"),
-                    F.when(F.col("kind") == "open", F.col("tok")).alias("attrs"),
-                    F.when(F.col("kind") == "text", H.decode_entities(F.col("tok"))).alias("text"))
-
-
-def node_table(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Tokens plus their tree links, independent of nesting depth:
-
-    * ``parent``: position of the enclosing element's start tag (NULL at the
-      root).  The parent of a node whose parent level is k is the last
-      non-void start tag at level k before it: marker rows (start tags, keyed
-      by their level) and query rows (every node, keyed by its parent level)
-      share one window over ``(url, key)``;
-    * ``end``: for a start tag, the position of its end tag (NULL when never
-      closed): the next end tag in the ``(url, level)`` partition.
-
-    Both windows are clustered by ``url``, so one exchange serves them (and
-    the level sum in :func:`tokens`).  No per-node ancestor list is built, so a
-    page nested thousands of levels deep costs no more than a flat one."""
-    t = tokens(pages, url, html)
-    opener = (F.col("kind") == "open") & ~F.col("void")
-    parent_level = F.when(F.col("kind").isin("text", "other"), F.col("level")).otherwise(F.col("level") - 1)
-    markers = t.filter(opener).select("url", "pos", F.col("level").alias("_key"), F.col("pos").alias("_mark"),
-                                      F.lit(0).alias("_q"))
-    queries = t.select("url", "pos", parent_level.alias("_key"), F.lit(None).cast("int").alias("_mark"),
-                       F.lit(1).alias("_q"))
-    wk = (Window.partitionBy("url", "_key").orderBy("pos", "_q")
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    parents = (markers.unionByName(queries)
-               .withColumn("parent", F.last("_mark", ignorenulls=True).over(wk))
-               .filter(F.col("_q") == 1).select("url", "pos", "parent"))
-    wl = Window.partitionBy("url", "level").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    end = F.first(F.when(F.col("kind") == "close", F.col("pos")), ignorenulls=True).over(wl)
-    t = t.withColumn("end", F.when(opener, end))
-    return t.join(parents, ["url", "pos"], "left")
-
-
-def class_list(attrs: Column) -> Column:
-    return F.split(F.trim(H.attr(attrs, "class")), r"\s+", -1)
+def node_table(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple = ()) -> DataFrame:
+    """One row per token: (url, *keep, pos, kind, tag, void, attrs, text, level, parent, end).
+    ``parent``: place of the enclosing element's start tag, null at the root; ``end``: of a start
+    tag, the token that ends the element (its end tag, the start tag that implies it, or the number
+    of tokens); its own place if it is void.  ``keep`` carries columns that tell pages apart."""
+    read = pages.select(F.col(url).alias("url"), *keep, page_tokens(html).alias("_tok"))
+    read = read.withColumn("_tree", nesting("_tok"))
+    at = lambda name: F.get(F.col(f"_tree.{name}"), F.col("pos"))
+    rows = read.select("url", *keep, "_tree", F.posexplode("_tok").alias("pos", "t"))
+    return rows.select("url", *keep, "pos", "t.kind", "t.tag", "t.void", F.when(F.col("t.kind") == "open", F.col("t.tok")).alias("attrs"),
+                       "t.text", at("level").alias("level"), F.when(at("parent") >= 0, at("parent")).alias("parent"),
+                       F.when(at("end") >= 0, at("end")).alias("end"))

@@ -41,8 +41,7 @@ def with_markup(pages: DataFrame, html: str = "html") -> DataFrame:
     and the start tags the extractors read: ``_tags`` (one pass over the
     page) and ``_htags`` (one pass over the head)."""
     return (pages.withColumn("_clean", H.clean(html))
-            .withColumn("_head", H.head("_clean"))
-            .withColumn("_tags", H.start_tags("_clean", H.PAGE_TAGS))
+            .withColumns({"_head": H.head("_clean"), "_tags": H.start_tags("_clean", H.PAGE_TAGS)})
             .withColumn("_htags", H.start_tags("_head", H.HEAD_TAGS)))
 
 
@@ -104,7 +103,7 @@ def link_arrays(df: DataFrame, settings: CrawlSettings, base: str = "_base", roo
 
     Each stage is its own array column so every element is resolved once and
     normalised once (no re-evaluation of a nested expression)."""
-    raw = F.concat(*[link_kind(k) for k in enabled_kinds(settings)])
+    raw = F.array_distinct(F.concat(*[link_kind(k) for k in enabled_kinds(settings)]))
 
     def valid(u):
         ok = u.isNotNull() & U.is_crawlable(u) & ~exclusion_predicate(u, settings.exclusions)
@@ -129,9 +128,8 @@ def extract_links(pages: DataFrame, settings: CrawlSettings, robots_rules: DataF
         # List mode follows no links: an empty link set with the same schema
         return pages.select(F.col(url).alias("url_from"), F.lit(None).cast("string").alias("url_to")) \
             .where(F.lit(False))
-    staged = (with_markup(pages.select(url, html), html)
-              .withColumn("_base", base_url(url))
-              .withColumn("_root", root_domain(settings, url)))
+    staged = with_markup(pages.select(url, html), html).withColumns(
+        {"_base": base_url(url), "_root": root_domain(settings, url)})
     staged = link_arrays(staged, settings).select(F.col(url).alias("url_from"), "_links")
     # explode_outer: an inner explode makes the optimizer infer a size(_links) > 0
     # filter and push it below the projection, copying the whole array
@@ -148,7 +146,7 @@ def extract_links(pages: DataFrame, settings: CrawlSettings, robots_rules: DataF
 
 def page_items(pages: DataFrame, settings: CrawlSettings, url: str = "url", html: str = "html") -> DataFrame:
     """On-page items (h1, h2, title, description, canonical, meta robots) for
-    every page; pages without a body get ''.  Custom extractions are joined
+    every page; pages without a body get ''.  Custom extractions are added
     by :func:`page_rows`."""
     sep = settings.extraction_separator
     staged = (with_markup(pages, html).withColumn("_base", base_url(url)))
@@ -167,10 +165,7 @@ def page_items(pages: DataFrame, settings: CrawlSettings, url: str = "url", html
                                          F.lit(""))),
         "meta_robots": item(H.meta_robots("_tags", settings.agent)),
     }
-    out = staged
-    for name, expr in cols.items():
-        out = out.withColumn(name, expr)
-    return out.drop("_clean", "_head", "_tags", "_htags", "_base")
+    return staged.withColumns(cols).drop("_clean", "_head", "_tags", "_htags", "_base")
 
 
 def header_info(fetches: DataFrame, url: str = "url") -> DataFrame:
@@ -200,12 +195,11 @@ def page_rows(fetches: DataFrame, settings: CrawlSettings, robots_rules: DataFra
     directives, custom extractions, robots status and crawl status, projected
     to the enabled columns (blanks as '')."""
     gated = body_gate(header_info(fetches, url), settings, url)
-    rows = page_items(gated, settings, url).drop("html")
     if settings.extractions:
-        from sitegraph.operators.selectors import extraction_table
+        from sitegraph.operators.selectors import with_extractions
 
-        custom = extraction_table(gated.filter(F.col("html").isNotNull()), settings, url)
-        rows = rows.join(custom.withColumnRenamed("url", url), url, "left")
+        gated = with_extractions(gated, settings)
+    rows = page_items(gated, settings, url).drop("html")
     if settings.list_mode or robots_rules is None:
         rows = rows.withColumn("robots_txt", F.lit("allowed"))
     else:

@@ -15,11 +15,10 @@ Semantics (as the crawler applies them):
   text) in document order, cleaned (blank entries dropped, whitespace
   collapsed) and joined by the extraction separator.
 
-Selectors are short settings strings; they are translated on the driver into
-Column predicates once, and all matching runs on the executors.  Combinator
-chains are matched step by step with windows and joins over the node table
-(running counts of open matched elements, parent pointers), so the work does
-not grow with how deep pages nest.
+Selectors are short settings strings.  All selectors of a page are matched together: their
+steps are bits, a token's own matches are one number, and the walk that builds the element tree
+(``dom.nesting``) carries the steps met so far along its stack.  An element's text is a slice of
+the token array.  Everything stays inside the page's row: no join, no exchange, no page key.
 """
 
 from __future__ import annotations
@@ -27,14 +26,19 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegraph.functions import html as H
 from sitegraph.functions.text import collapse_ws
-from sitegraph.operators.dom import class_list, node_table
+from sitegraph.operators.dom import Steps, nesting, page_tokens
 from sitegraph.settings import CrawlSettings, extraction_column_name
 
+#: Steps matched by one walk (bits of a long); more selectors take further walks.
+MOST_STEPS = 62
+
 
 @dataclass(frozen=True)
 class Compound:
@@ -118,148 +122,100 @@ def parse_xpath(text: str) -> Selector:
     return Selector(tuple(steps), output, attr)
 
 
-def _matches(c: Compound, tag: Column, attrs: Column) -> Column:
-    cond = F.lit(True) if c.tag == "*" else (tag == c.tag)
+def parse(kind: str, selector: str) -> Selector:
+    if kind == "CSS Selector":
+        return parse_css(selector)
+    if kind == "XPath":
+        return parse_xpath(selector)
+    raise SelectorError(f"extraction type {kind!r} is not evaluated")
+
+
+def _matches(c: Compound, t: Column) -> Column:
+    cond = t["kind"] == "open" if c.tag == "*" else (t["kind"] == "open") & (t["tag"] == c.tag)
     for kind, a, v in c.preds:
         if kind == "has":
-            cond = cond & H.has_attr(attrs, a)
+            cond = cond & H.has_attr(t, a)
         elif kind == "eq":
-            cond = cond & H.has_attr(attrs, a) & (H.attr(attrs, a) == v)
+            cond = cond & (H.attr(t, a) == v)
         elif kind == "contains":
-            cond = cond & H.has_attr(attrs, a) & H.attr(attrs, a).contains(v)
+            cond = cond & H.attr(t, a).contains(v)
         else:  # class
-            cond = cond & F.array_contains(class_list(attrs), v)
+            cond = cond & F.array_contains(F.split(F.trim(H.attr(t, a)), r"\s+", -1), v)
     return cond
 
 
-def _opener() -> Column:
-    return (F.col("kind") == "open") & ~F.col("void")
-
-
-def _open_count_before(flag: str) -> Column:
-    """How many elements with ``flag`` enclose each row.  A start tag adds
-    one, its end tag (found as the last start tag before it at the same
-    level) removes one; the running sum before the row is the count."""
-    same_level = (Window.partitionBy("url", "level").orderBy("pos")
-                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    opener_flag = F.last(F.when(_opener(), F.col(flag)), ignorenulls=True).over(same_level)
-    delta = (F.when(_opener() & F.col(flag), 1)
-             .when((F.col("kind") == "close") & F.coalesce(opener_flag, F.lit(False)), -1).otherwise(0))
-    before = Window.partitionBy("url").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(delta).over(before), F.lit(0))
-
-
-def match_elements(nodes: DataFrame, sel: Selector, xpath_root: bool) -> DataFrame:
-    """Node table with ``_hit``: start tags matching the selector.
-
-    Steps are matched left to right: a descendant step requires an enclosing
-    element that matched the previous step (running count > 0), a child step
-    requires the parent to have matched it (equi-join on the parent pointer).
-    Every step is linear in the page, whatever the nesting depth."""
-    comb0, comp0 = sel.steps[0]
-    first = (F.col("kind") == "open") & _matches(comp0, F.col("tag"), F.col("attrs"))
-    if xpath_root and comb0 == "child":
-        first = first & (F.col("level") == 1)
-    df = nodes.withColumn("_f", first)
-    for comb, comp in sel.steps[1:]:
-        here = (F.col("kind") == "open") & _matches(comp, F.col("tag"), F.col("attrs"))
-        if comb == "desc":
-            df = df.withColumn("_f", here & (_open_count_before("_f") > 0))
-        else:
-            parent_flag = df.filter(_opener()).select("url", F.col("pos").alias("parent"),
-                                                      F.col("_f").alias("_pf"))
-            df = (df.join(parent_flag, ["url", "parent"], "left")
-                  .withColumn("_f", here & F.coalesce(F.col("_pf"), F.lit(False))).drop("_pf"))
-    return df.withColumnRenamed("_f", "_hit")
-
-
-def _innermost(keys_marks: DataFrame, keys_queries: DataFrame) -> DataFrame:
-    """For each query row (url, pos, _key) the last marker (url, pos, _key)
-    before it with the same key: the innermost enclosing marked element."""
-    u = (keys_marks.select("url", "pos", "_key", F.col("pos").alias("_mark"), F.lit(0).alias("_q"))
-         .unionByName(keys_queries.select("url", "pos", "_key", F.lit(None).cast("int").alias("_mark"),
-                                          F.lit(1).alias("_q"))))
-    w = (Window.partitionBy("url", "_key").orderBy("pos", "_q")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (u.withColumn("inner", F.last("_mark", ignorenulls=True).over(w))
-            .filter(F.col("_q") == 1).select("url", "pos", "inner"))
-
-
-def _element_texts(df: DataFrame) -> DataFrame:
-    """(url, vpos = element position, v = whole text) for every hit.
-
-    Each text node goes to its innermost enclosing hit (match level keyed
-    lookup); texts of nested hits are then handed up to the enclosing hits
-    along the match-parent pointers, one join per nesting level of matches."""
-    counted = df.withColumn("_c", _open_count_before("_hit"))
-    hits = counted.filter(F.col("_hit")).select("url", "pos", (F.col("_c") + 1).alias("_key"))
-    texts = counted.filter((F.col("kind") == "text") & (F.col("_c") > 0)).select(
-        "url", "pos", F.col("_c").alias("_key"), "text")
-    owner = _innermost(hits, texts)
-    pieces = texts.join(owner, ["url", "pos"]).select("url", F.col("inner").alias("elem"),
-                                                      F.col("pos").alias("tpos"), "text")
-    nested = hits.filter(F.col("_key") > 1)
-    up = _innermost(hits, nested.withColumn("_key", F.col("_key") - 1)).select(
-        "url", F.col("pos").alias("elem"), F.col("inner").alias("_up"))
-    depth = hits.agg(F.max("_key")).first()[0] or 1
-    frontier, allp = pieces, pieces
-    for _ in range(depth - 1):  # nesting depth of matches, usually 0 rounds
-        frontier = frontier.join(up, ["url", "elem"]).select("url", F.col("_up").alias("elem"), "tpos", "text")
-        allp = allp.unionByName(frontier)
-    return (allp.groupBy("url", "elem")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tpos", "text"))),
-                                          lambda x: x["text"]), "").alias("v"))
-            .select("url", F.col("elem").alias("vpos"), "v"))
-
-
-def extract(pages: DataFrame, name: str, kind: str, selector: str, sep: str,
-            url: str = "url", html: str = "html", nodes: DataFrame | None = None) -> DataFrame:
-    """(url, value) for one custom extraction over every page."""
+def _program(selectors: list[tuple[str, Selector]]) -> tuple[Column, Steps, list[int]]:
+    """Own matches per token, the steps, and the bit of each selector's last step."""
+    steps, last, tests = Steps(), [], []
+    for kind, sel in selectors:
+        for k, (comb, compound) in enumerate(sel.steps):
+            bit = 1 << len(tests)
+            if k:
+                where = comb
+            else:
+                where = "root" if kind == "XPath" and comb == "child" else "anywhere"
+            setattr(steps, where, getattr(steps, where) | bit)
+            tests.append((bit, compound))
+        last.append(bit)
+
+    def own(t):
+        return reduce(lambda a, b: a.bitwiseOR(b), [F.when(_matches(c, t), F.lit(bit)).otherwise(F.lit(0)).cast("bigint")
+                                                    for bit, c in tests])
+
+    return F.transform("_tok", own), steps, last
+
+
+def _value(kind: str, sel: Selector, bit: int, sep: str) -> Column:
+    """The extraction of one selector from ``_tok``, ``_texts`` and ``_tree``."""
+    tree, tokens, texts = F.col("_tree"), F.col("_tok"), F.col("_texts")
+    met = lambda mask: mask.bitwiseAND(F.lit(bit).cast("bigint")) != 0
+    hits = F.array_compact(F.transform(tree["hits"], lambda h, k: F.when(met(h), k)))
+
+    def text(k):
+        return F.array_join(F.slice(texts, k + 2, F.greatest(F.get(tree["end"], k) - k - 1, F.lit(0))), "")
+
     if kind == "CSS Selector":
-        sel, first_only = parse_css(selector), True
-    elif kind == "XPath":
-        sel, first_only = parse_xpath(selector), False
-    else:
-        raise SelectorError(f"extraction type {kind!r} is not evaluated")
-    nodes = nodes if nodes is not None else node_table(pages, url, html)
-    df = match_elements(nodes, sel, xpath_root=kind == "XPath")
-    hits = df.filter(F.col("_hit")).select("url", F.col("pos").alias("epos"), "attrs",
-                                          F.when(F.col("void"), F.col("pos")).otherwise(F.col("end")).alias("end"))
-    if first_only:
-        hits = hits.groupBy("url").agg(F.min_by(F.struct("epos", "attrs", "end"), F.col("epos")).alias("h")) \
-            .select("url", "h.*")
-    texts = df.filter(F.col("kind") == "text").select("url", F.col("pos").alias("tpos"), "text", "parent")
+        first = F.get(hits, 0)
+        return F.when(first.isNotNull(), collapse_ws(text(first))).otherwise(F.lit(""))
     if sel.output == "attr":
-        vals = hits.filter(H.has_attr(F.col("attrs"), sel.attr)).select(
-            "url", F.col("epos").alias("vpos"), H.attr(F.col("attrs"), sel.attr).alias("v"))
-    elif sel.output == "text":  # direct text children: parent pointer = element position
-        j = texts.join(hits.select("url", F.col("epos").alias("parent")), ["url", "parent"])
-        vals = j.select("url", F.col("tpos").alias("vpos"), F.col("text").alias("v"))
-    elif first_only:  # whole text of the first match: texts between its start and end tag
-        j = texts.join(hits.select("url", "epos", "end"), "url").filter(
-            (F.col("tpos") > F.col("epos")) & (F.col("end").isNull() | (F.col("tpos") < F.col("end"))))
-        vals = (j.groupBy("url", "epos")
-                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tpos", "text"))),
-                                              lambda x: x["text"]), "").alias("v"))
-                .select("url", F.col("epos").alias("vpos"), "v"))
-    else:  # whole text of every match
-        vals = _element_texts(df)
-    if first_only:
-        out = vals.groupBy("url").agg(F.min_by("v", "vpos").alias("v")).select("url", collapse_ws(F.col("v")).alias("v"))
+        values = F.filter(F.transform(hits, lambda k: H.attr(F.get(tokens, k), sel.attr)), lambda v: v.isNotNull())
+    elif sel.output == "text":  # text tokens right inside a hit
+        def inside(t, k):
+            around = F.get(tree["parent"], k)
+            return F.when((t["kind"] == "text") & (around >= 0), F.when(met(F.get(tree["hits"], around)), t["text"]))
+        values = F.array_compact(F.transform(tokens, inside))
     else:
-        cleaned = vals.select("url", "vpos", collapse_ws(F.col("v")).alias("v")).filter(F.col("v") != "")
-        out = cleaned.groupBy("url").agg(F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("vpos", "v"))), lambda x: x["v"]), sep).alias("v"))
-    col = extraction_column_name(name, [])
-    return (pages.select(F.col(url).alias("url")).distinct().join(out, "url", "left")
-            .select("url", F.coalesce("v", F.lit("")).alias(col)))
-
-
-def extraction_table(pages: DataFrame, settings: CrawlSettings, url: str = "url", html: str = "html") -> DataFrame:
-    """(url, one column per extraction), every extraction evaluated."""
-    nodes = node_table(pages, url, html)
-    out = None
-    for name, kind, value in settings.extractions:
-        e = extract(pages, name, kind, value, settings.extraction_separator, url, html, nodes)
-        out = e if out is None else out.join(e, "url", "full_outer")
-    return out
+        values = F.transform(hits, text)
+    return H.joined(values, sep)
+
+
+def with_extractions(pages: DataFrame, settings: CrawlSettings, html: str = "html") -> DataFrame:
+    """``pages`` with a column per custom extraction ('' where nothing is found or there is no body)."""
+    chosen = [(extraction_column_name(name, []), kind, parse(kind, value)) for name, kind, value in settings.extractions]
+    out = pages.withColumn("_tok", page_tokens(html)) \
+        .withColumn("_texts", F.transform("_tok", lambda t: F.coalesce(t["text"], F.lit(""))))
+    while chosen:
+        n, used = 1, len(chosen[0][2].steps)
+        if used > MOST_STEPS:
+            raise SelectorError(f"a selector of more than {MOST_STEPS} steps")
+        while n < len(chosen) and used + len(chosen[n][2].steps) <= MOST_STEPS:
+            used += len(chosen[n][2].steps)
+            n += 1
+        own, steps, last = _program([(kind, sel) for _, kind, sel in chosen[:n]])
+        out = out.withColumn("_tree", nesting("_tok", own, steps))
+        out = out.withColumns({name: F.coalesce(_value(kind, sel, bit, settings.extraction_separator), F.lit(""))
+                               for (name, kind, sel), bit in zip(chosen[:n], last, strict=True)}).drop("_tree")
+        chosen = chosen[n:]
+    return out.drop("_tok", "_texts")
+
+
+def extraction_table(pages: DataFrame, settings: CrawlSettings, url: str = "url", html: str = "html",
+                     keep: tuple = ()) -> DataFrame:
+    """(url, *keep, one column per extraction) of every page row."""
+    return with_extractions(pages.select(F.col(url).alias("url"), *keep, F.col(html).alias("html")), settings).drop("html")
+
+
+def extract(pages: DataFrame, name: str, kind: str, selector: str, sep: str, url: str = "url", html: str = "html") -> DataFrame:
+    """(url, value) of one custom extraction from every page row."""
+    settings = CrawlSettings(extractions=((name, kind, selector),), extraction_separator=sep)
+    return extraction_table(pages, settings, url, html)

@@ -42,6 +42,22 @@ RE_TAG_NAME = r"^</?([A-Za-z][A-Za-z0-9]*)"
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
              "source", "track", "wbr"]
 
+# FIXED VALUES: HTML's optional end tags: start tag -> what it ends, and what bounds the search.
+ENDED_BY = {
+    "li": (["li"], ["ul", "ol", "menu"]), "dt": (["dt", "dd"], ["dl"]), "dd": (["dt", "dd"], ["dl"]),
+    "td": (["td", "th"], ["table"]), "th": (["td", "th"], ["table"]), "tr": (["tr", "td", "th"], ["table"]),
+    "option": (["option"], ["select", "datalist"]), "optgroup": (["option", "optgroup"], ["select", "datalist"]),
+    "body": (["head"], []),
+    **{t: (["thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"], ["table"]) for t in ("thead", "tbody", "tfoot")},
+    **{t: (["p"], ["table", "td", "th", "caption", "button", "object"]) for t in (
+        "address", "article", "aside", "blockquote", "center", "details", "div", "dl", "fieldset", "figcaption", "figure",
+        "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre",
+        "section", "table", "ul")},
+}
+# FIXED VALUES: weights of elements (100 where not given): an end tag does not leave a heavier one.
+WEIGHTS = {"p": 10, "div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180, "table": 190,
+           "head": 200, "body": 200, "html": 220}
+
 RE_AGENT = r"(?i)^user-agent\s*:"
 RE_ALLOW = r"(?i)^allow\s*:"
 RE_DISALLOW = r"(?i)^disallow\s*:"

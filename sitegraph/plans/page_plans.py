@@ -294,29 +294,57 @@ from sitegraph.operators import dom as D  # noqa: E402
 from sitegraph.operators import selectors as SEL  # noqa: E402
 
 
-def _dom_sql() -> str:
+def _tree_ctes(source: str, key: str) -> tuple:
+    """``tree``: the tokens of ``source(key, c)`` with their levels, by a recursion over the tokens
+    of a page that carries the list of open elements."""
     toks = f"regexp_extract_all(c, {S.lit(OP.RE_TOKEN)}, 0)"
     kind = (f"CASE WHEN starts_with(tok, '</') THEN 'close' WHEN regexp_matches(tok, '^<[A-Za-z]') THEN 'open' "
             f"WHEN starts_with(tok, '<') THEN 'other' ELSE 'text' END")
     voids = ", ".join(S.lit(t) for t in OP.VOID_TAGS)
-    return sql_with_pages(f"""
-WITH t0 AS (SELECT url, unnest({toks}) AS tok, unnest(range(0, len({toks}))) AS pos FROM pg),
-t1 AS (SELECT *, {kind} AS kind, lower(regexp_extract(tok, {S.lit(OP.RE_TAG_NAME)}, 1)) AS tg FROM t0),
-t2 AS (SELECT *, CASE WHEN kind IN ('open', 'close') THEN tg END AS tag,
-              kind = 'open' AND (tg IN ({voids}) OR ends_with(tok, '/>')) AS void FROM t1),
-t3 AS (SELECT *, CASE WHEN kind = 'open' AND NOT void THEN 1 WHEN kind = 'close' THEN -1 ELSE 0 END AS delta FROM t2),
-t4 AS (SELECT *, sum(delta) OVER (PARTITION BY url ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-              AS after FROM t3)
-SELECT url, CAST(pos AS BIGINT) AS pos, kind, tag,
-       CAST(CASE WHEN kind = 'open' THEN after - delta + 1 ELSE after - delta END AS INTEGER) AS level,
+
+    def table(name: str, values: dict) -> str:
+        rows = "".join(f" WHEN {S.lit(t)} THEN {v}" for t, v in values.items())
+        return f"CASE {name}{rows}"
+
+    def names(which: int) -> dict:
+        return {t: "[" + ", ".join(S.lit(x) for x in v[which]) + "]::VARCHAR[]" for t, v in OP.ENDED_BY.items()}
+
+    weight = lambda x: table(x, OP.WEIGHTS) + " ELSE 100 END"
+    places = "range(1, len(open) + 1)"
+    return (
+        f"t0 AS (SELECT {key}, unnest({toks}) AS tok, unnest(range(0, len({toks}))) AS pos FROM {source})",
+        f"t1 AS (SELECT *, {kind} AS kind, lower(regexp_extract(tok, {S.lit(OP.RE_TAG_NAME)}, 1)) AS tg FROM t0)",
+        f"t2 AS (SELECT *, CASE WHEN kind IN ('open', 'close') THEN tg END AS tag, "
+        f"kind = 'open' AND (tg IN ({voids}) OR ends_with(tok, '/>')) AS void, "
+        f"{table('tg', names(0))} ELSE [] END AS ended, {table('tg', names(1))} ELSE [] END AS bounds FROM t1)",
+        f"tree AS (SELECT DISTINCT {key}, -1::BIGINT AS pos, ''::VARCHAR AS tok, ''::VARCHAR AS kind, NULL::VARCHAR AS tag, "
+        f"0::BIGINT AS level, []::VARCHAR[] AS open FROM t2 UNION ALL "
+        f"SELECT {key}, pos, tok, kind, tag, "
+        f"CASE WHEN kind = 'open' THEN len(cut) + 1 WHEN kind = 'close' AND near IS NOT NULL THEN near ELSE len(open) END AS level, "
+        f"CASE WHEN kind = 'open' AND NOT void THEN list_append(cut, tag) WHEN kind = 'open' THEN cut "
+        f"WHEN kind = 'close' AND near IS NOT NULL THEN open[:near - 1] ELSE open END AS open FROM ("
+        f"SELECT *, CASE WHEN fence IS NULL THEN open ELSE open[:fence - 1] END AS cut, "
+        f"CASE WHEN len(list_filter({places}, lambda i: i > own AND {weight('open[i]')} > {weight('tag')})) = 0 THEN own END AS near "
+        f"FROM (SELECT *, list_min(list_filter({places}, lambda i: i > bound AND list_contains(ended, open[i]))) AS fence FROM ("
+        f"SELECT t.{key}, t.pos, t.tok, t.kind, t.tag, t.void, t.ended, r.open, "
+        f"coalesce(list_max(list_filter(range(1, len(r.open) + 1), lambda i: list_contains(t.bounds, r.open[i]))), 0) AS bound, "
+        f"list_max(list_filter(range(1, len(r.open) + 1), lambda i: r.open[i] = t.tag)) AS own "
+        f"FROM tree r JOIN t2 t ON t.{key} = r.{key} AND t.pos = r.pos + 1))))",
+    )
+
+
+def _dom_sql() -> str:
+    text = sql_with_pages(f"""
+SELECT url, CAST(pos AS BIGINT) AS pos, kind, tag, CAST(level AS INTEGER) AS level,
        CASE WHEN kind = 'text' THEN {S.decode_sql('tok')} END AS text
-FROM t4""")
+FROM tree JOIN pg USING (page_id) WHERE pos >= 0""", _tree_ctes("pg", "page_id"))
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @register("dom_nodes", _dom_sql())
 def q_dom_nodes(spark, sf):
     pages = fixture(spark, sf, "fx_html").select("url", "html")
-    return D.tokens(pages).select("url", F.col("pos").cast("bigint").alias("pos"), "kind", "tag", "level", "text")
+    return D.node_table(pages).select("url", F.col("pos").cast("bigint").alias("pos"), "kind", "tag", "level", "text")
 
 
 # Custom extractions used by the registered selector queries.
@@ -385,3 +413,53 @@ EXTRACTION_SQL[("XPath", "//h2/text()")] = S.joined_sql(S.direct_texts_sql("c",
 @register("custom_extractions", _page_rows_sql(EXTRACTION_SETTINGS))
 def q_custom_extractions(spark, sf):
     return X.page_rows(fetches_frame(spark, sf), EXTRACTION_SETTINGS, fixture(spark, sf, "fx_robots"))
+
+
+# What the markup of fx_open says with implied end tags, stated from the page's own values.
+OPEN_EXTRACTIONS = {
+    ("First li", "CSS Selector", "li.a"): ["'one ' || page_id || '.' || visit"],
+    ("All li", "XPath", "//li"): ["'one ' || page_id || '.' || visit", "'twoin'", "'in'", "'three'"],
+    ("Child li", "XPath", "//body/ul/li/text()"): ["'one ' || page_id || '.' || visit", "'two'", "'three'"],
+    ("Inner li", "CSS Selector", "ul ul > li.a"): ["'in'"],
+    ("Paragraphs", "XPath", "//p"): ["'p1 x'", "'p2'"],
+    ("Divs", "XPath", "/html/body/div"): ["'d'"],
+    ("Cells", "XPath", "//table/tr/td/text()"): ["'c1'", "page_id", "'c3'"],
+    ("Rows", "XPath", "//tr"): ["'c1' || page_id", "'c3'"],
+    ("Options", "XPath", "//select/option"): ["'o1'", "visit"],
+    ("Terms", "XPath", "//dl/dt"): ["'t1'", "'t2'"],
+    ("Bold", "XPath", "//b/text()"): ["'x'", "'y'"],
+}
+
+
+def _open_sql() -> str:
+    from sitegraph.settings import extraction_column_name
+
+    columns = ", ".join(f"{f' || {S.lit(SEP)} || '.join(parts)} AS {extraction_column_name(name, [])}"
+                        for (name, _, _), parts in OPEN_EXTRACTIONS.items())
+    return with_fixtures(["fx_open"], f"SELECT url, visit, {columns} FROM fx_open")
+
+
+@register("custom_unclosed", _open_sql())
+def q_custom_unclosed(spark, sf):
+    """Eleven selectors in one pass over pages with implied end tags, two visits per URL."""
+    settings = CrawlSettings(extractions=tuple(OPEN_EXTRACTIONS))
+    return SEL.extraction_table(fixture(spark, sf, "fx_open"), settings, keep=("visit",))
+
+
+# Places of fx_open's start tags: element, level, parent and the token that ends it.
+OPEN_ELEMENTS = [
+    (0, "html", 1, None, 51), (1, "body", 2, 0, 50), (2, "ul", 3, 1, 13), (3, "li", 4, 2, 5), (5, "li", 4, 2, 11),
+    (7, "ul", 5, 5, 10), (8, "li", 6, 7, 10), (11, "li", 4, 2, 13), (14, "p", 3, 1, 19), (16, "b", 4, 14, 18),
+    (19, "p", 3, 1, 21), (21, "div", 3, 1, 23), (24, "table", 3, 1, 33), (25, "tr", 4, 24, 30), (26, "td", 5, 25, 28),
+    (28, "td", 5, 25, 30), (30, "tr", 4, 24, 33), (31, "td", 5, 30, 33), (34, "select", 3, 1, 39), (35, "option", 4, 34, 37),
+    (37, "option", 4, 34, 39), (40, "dl", 3, 1, 47), (41, "dt", 4, 40, 43), (43, "dd", 4, 40, 45), (45, "dt", 4, 40, 47),
+    (48, "b", 3, 1, 50),
+]
+
+
+@register("dom_unclosed", with_fixtures(["fx_open"], "SELECT url, visit, pos, tag, level, parent, stop FROM fx_open, (VALUES "
+          + ", ".join("(" + ", ".join("NULL" if v is None else S.lit(v) if isinstance(v, str) else f"{v}::INTEGER" for v in row) + ")"
+                      for row in OPEN_ELEMENTS) + ") v(pos, tag, level, parent, stop)"))
+def q_dom_unclosed(spark, sf):
+    nodes = D.node_table(fixture(spark, sf, "fx_open"), keep=("visit",)).where("kind = 'open'")
+    return nodes.select("url", "visit", "pos", "tag", "level", "parent", F.col("end").alias("stop"))

@@ -76,3 +76,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the shared checkpoint folder."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def workers_find_package() -> None:
+    """Python workers find this package where the driver found it (a cluster without that
+    path gets it by --py-files)."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = SparkSession.getActiveSession().sparkContext.environment
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), home]))

@@ -51,6 +51,10 @@ SELECT page_id, url, replace(replace(html, '<meta charset="utf-8">', '<meta char
  CASE WHEN page_id % 9 = 0 THEN '<base href="/base/' || page_id || '/">' ELSE '' END ||
  '<link rel="stylesheet" href="/s.css"><script src="/app.js"></script>'),
  '</article>', '<h2>Two ' || page_id || ' <i>x</i> tail</h2><h2> </h2><img src="img/' || page_id || '.png"><a rel="nofollow" href="/nf/' || page_id || '">n</a><a href=''../up''>u</a><a href="mailto:a@example.com">m</a><a href="//cdn.example.com/x">c</a><a href="https://other.example.org/o#f">o</a></article>') AS html FROM {pages}""",
+    # every page fetched twice, its markup without the end tags that HTML leaves out
+    "fx_open": """
+SELECT page_id, url, visit, '<html><body><ul><li class=a>one ' || page_id || '.' || visit || '<li>two<ul><li class=a>in</ul><li class=a>three</ul><p>p1 <b>x</b><p>p2<div>d</div><table><tr><td>c1<td>' || page_id || '<tr><td>c3</table><select><option>o1<option>' || visit || '</select><dl><dt>t1<dd>d1<dt>t2</dl><b>y</body></html>' AS html
+ FROM (SELECT page_id, url, 0 AS visit FROM {pages} UNION ALL SELECT page_id, url, 1 AS visit FROM {pages}) f""",
 }
 
 # Spark-side texts where the shared text multiplies rows with a CROSS JOIN
@@ -74,6 +78,7 @@ _USES = {
     "fx_hops": ("pages",),
     "fx_attempts": ("events",),
     "fx_html": ("pages",),
+    "fx_open": ("pages",),
 }
 
 

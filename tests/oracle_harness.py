@@ -98,7 +98,7 @@ def main(argv):
             r = compare(spark, con, name, qs[name], os_.get(name), sf_dir)
         except Exception as e:  # report and go on
             r = {"name": name, "error": f"{type(e).__name__}: {str(e)[:600]}"}
-        ok = r.get("oracle") is None and "error" not in r or (r.get("cols_ok") and r.get("rows_ok"))
+        ok = "error" not in r and ("oracle_rows" not in r or (r["cols_ok"] and r["rows_ok"]))
         bad += not ok
         print(("OK  " if ok else "BAD ") + str(r), flush=True)
     print(f"{len(names or qs) - bad} ok, {bad} bad")

@@ -82,3 +82,84 @@ def test_no_job_runs_while_a_query_is_built(spark):
         .select(F.concat(F.lit("http://e.com/"), "k").alias("url"), F.lit("<a href=/x>").alias("html"))
     extract_links(pages, CrawlSettings())
     assert len(tracker.getJobIdsForGroup(None)) == before
+
+
+OPEN_LIST = "<ul><li class=a>one<li>two<li>three</ul>end"
+
+
+def pick(spark, html, kind, selector):
+    pages = spark.createDataFrame([("u", html)], "url string, html string")
+    return extract(pages, "x", kind, selector, " | ").first()["x"]
+
+
+@pytest.mark.parametrize("html, selector, want", [
+    (OPEN_LIST, "//li", "one | two | three"),
+    ("<ul><li>a<ul><li>b<li>c</ul>d<li>e</ul>", "//li", "abcd | b | c | e"),
+    ("<p>a<p>b<div>c</div>d", "//p", "a | b"),
+    ("<p>a<span>b<table><tr><td><p>c<p>d</table>e", "//p", "ab | c | d"),
+    ("<table><tr><td>1<td>2<tr><th>3<td>4</table>", "//tr", "12 | 34"),
+    ("<table><tr><td>a<table><tr><td>b</table>c<td>d</table>", "//td", "abc | b | d"),
+    ("<table><thead><tr><td>h<tbody><tr><td>b</table>", "/table/tbody/tr/td", "b"),
+    ("<dl><dt>t<dd>d<dt>u</dl>x", "//dt", "t | u"),
+    ("<select><optgroup><option>1<option>2<optgroup><option>3</select>", "//optgroup", "12 | 3"),
+    ("<div><b>x</div>y</b>z", "//b", "x"),
+    ("<b>x<div>y</b>z</div>w", "//div", "yz"),
+    ("</p>a<p>b</p></p>c", "//p", "b"),
+    ("<div>never closed <i>x", "//div", "never closed x"),
+    ("<a><img src=/1/>t</a>", "//img/@src", "/1/"),
+    ("<a href='/x'title=t>q</a>", "//a/@title", "t"),
+])
+def test_implied_ends(spark, html, selector, want):
+    assert pick(spark, html, "XPath", selector) == want
+
+
+def test_first_open_item(spark):
+    assert pick(spark, OPEN_LIST, "CSS Selector", "li.a") == "one"
+
+
+def test_visits_of_one_url_stay_apart(spark):
+    from sitegraph.operators.selectors import extraction_table
+    from sitegraph.settings import CrawlSettings
+
+    pages = spark.createDataFrame([("u", "<b>A</b>1<b>x</b>"), ("u", "<b>B</b>1"), ("u", None), ("u", "")], "url string, html string")
+    settings = CrawlSettings(extractions=(("c", "CSS Selector", "b"), ("x", "XPath", "//b")), extraction_separator="|")
+    assert sorted((r["c"], r["x"]) for r in extraction_table(pages, settings).collect()) == [
+        ("", ""), ("", ""), ("A", "A|x"), ("B", "B")]
+
+
+def test_more_selectors_than_one_walk_takes(spark):
+    from sitegraph.operators.selectors import extraction_table
+    from sitegraph.settings import CrawlSettings
+
+    html = "".join(f"<div><i class=k{k}>v{k}</i></div>" for k in range(50))
+    chosen = tuple((f"x{k}", "CSS Selector", f"div i.k{k}") for k in range(50))
+    row = extraction_table(spark.createDataFrame([("u", html)], "url string, html string"), CrawlSettings(extractions=chosen)).first()
+    assert [row[f"x{k}"] for k in range(50)] == [f"v{k}" for k in range(50)]
+
+
+def test_depth_and_selector_count_cost_little(spark):
+    def seconds(html, n):
+        from sitegraph.operators.selectors import extraction_table
+        from sitegraph.settings import CrawlSettings
+
+        chosen = tuple((f"x{k}", "XPath", "//div/div") for k in range(n))
+        pages = spark.createDataFrame([("u", html)] * 20, "url string, html string")
+        t = time.time()
+        extraction_table(pages, CrawlSettings(extractions=chosen)).collect()
+        return time.time() - t
+
+    seconds("<div>x</div>", 1)
+    nested = "<div>" * 40 + "x" + "</div>" * 40
+    assert seconds(nested, 1) < 10 + 3 * seconds("<div>" * 10 + "x" + "</div>" * 10, 1)
+    assert seconds("<li>" * 20_000 + "<div>" * 500, 1) < 60
+
+
+def test_selectors_need_no_exchange_and_read_pages_once(spark):
+    from sitegraph.operators.selectors import extraction_table
+    from sitegraph.settings import CrawlSettings
+
+    pages = spark.createDataFrame([("u", "<b>x</b>")], "url string, html string")
+    chosen = tuple((f"x{k}", "XPath", "//b") for k in range(4))
+    plan = extraction_table(pages, CrawlSettings(extractions=chosen))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") == 1

@@ -3,8 +3,8 @@
 A breadth-first fixpoint driven from the driver (the loop only decides
 whether to go on; the data never leaves the executors):
 
-* the distinct edges are checkpointed once; each round joins the (small)
-  frontier with them, and a hub source is split by the skew join;
+* the distinct edges are checkpointed once, as (source, target) pairs; each round joins
+  the (small) frontier with them, and a hub source is split by the skew join;
 * each round's new frontier = targets of the frontier minus everything seen
   (a ``left_anti`` join), de-duplicated;
 * every round's new URLs are cut from their lineage with a reliable

@@ -11,7 +11,7 @@ extraction so it never reaches a shuffle.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,13 +36,20 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# Expressions over column names alone are built once per process (each takes thousands of calls
+# to the JVM) and used again by every batch.
+
+@lru_cache(maxsize=16)
+def _markup(html: str) -> tuple:
+    return (H.clean(html), H.head("_clean"), H.start_tags("_clean", H.PAGE_TAGS), H.start_tags("_head", H.HEAD_TAGS))
+
+
 def with_markup(pages: DataFrame, html: str = "html") -> DataFrame:
     """Add ``_clean`` (comments, script and style bodies removed), ``_head``,
     and the start tags the extractors read: ``_tags`` (one pass over the
     page) and ``_htags`` (one pass over the head)."""
-    return (pages.withColumn("_clean", H.clean(html))
-            .withColumns({"_head": H.head("_clean"), "_tags": H.start_tags("_clean", H.PAGE_TAGS)})
-            .withColumn("_htags", H.start_tags("_head", H.HEAD_TAGS)))
+    clean, head, tags, head_tags = _markup(html)
+    return pages.withColumn("_clean", clean).withColumns({"_head": head, "_tags": tags}).withColumn("_htags", head_tags)
 
 
 def link_kind(kind: str, cleaned="_tags", head="_htags") -> Column:
@@ -64,6 +71,7 @@ def enabled_kinds(settings: CrawlSettings) -> list[str]:
     return kinds + [k for k, item in LINK_KIND_ITEMS if settings.has(item)]
 
 
+@lru_cache(maxsize=16)
 def base_url(url="url", head="_htags") -> Column:
     """First ``base@href`` in the head, normalised against the page URL;
     otherwise the page URL itself."""
@@ -96,6 +104,20 @@ def exclusion_predicate(url, rules) -> Column:
     return reduce(lambda a, b: a | b, preds, F.lit(False))
 
 
+@lru_cache(maxsize=16)
+def _link_stages(kinds: tuple, exclusions: tuple, internal: bool, base: str, root: str) -> tuple:
+    raw = F.array_distinct(F.concat(*[link_kind(k) for k in kinds]))
+
+    def valid(u):
+        ok = u.isNotNull() & U.is_crawlable(u) & ~exclusion_predicate(u, exclusions)
+        if internal:
+            ok = ok & ~U.is_external(u, F.col(root))
+        return ok
+
+    return (F.transform(raw, lambda h: U.resolve(F.col(base), h)), F.transform("_abs", lambda u: U.normalise(u)),
+            F.array_distinct(F.filter("_norm", valid)))
+
+
 def link_arrays(df: DataFrame, settings: CrawlSettings, base: str = "_base", root: str = "_root") -> DataFrame:
     """Adds ``_links``: per page the distinct valid links (resolved against
     the base, normalised, http(s) with a host, internal unless external links
@@ -103,38 +125,24 @@ def link_arrays(df: DataFrame, settings: CrawlSettings, base: str = "_base", roo
 
     Each stage is its own array column so every element is resolved once and
     normalised once (no re-evaluation of a nested expression)."""
-    raw = F.array_distinct(F.concat(*[link_kind(k) for k in enabled_kinds(settings)]))
+    internal = not settings.has("external_links") and not settings.list_mode
+    absolute, normal, links = _link_stages(tuple(enabled_kinds(settings)), tuple(map(tuple, settings.exclusions)), internal, base, root)
+    return df.withColumn("_abs", absolute).withColumn("_norm", normal).withColumn("_links", links).drop("_abs", "_norm")
 
-    def valid(u):
-        ok = u.isNotNull() & U.is_crawlable(u) & ~exclusion_predicate(u, settings.exclusions)
-        if not settings.has("external_links") and not settings.list_mode:
-            ok = ok & ~U.is_external(u, F.col(root))
-        return ok
 
-    return (df.withColumn("_abs", F.transform(raw, lambda h: U.resolve(F.col(base), h)))
-              .withColumn("_norm", F.transform("_abs", lambda u: U.normalise(u)))
-              .withColumn("_links", F.array_distinct(F.filter("_norm", valid)))
-              .drop("_abs", "_norm"))
+def _staged(pages: DataFrame, settings: CrawlSettings, url: str, html: str) -> DataFrame:
+    return with_markup(pages, html).withColumns({"_base": base_url(url), "_root": root_domain(settings, url)})
 
 
-def extract_links(pages: DataFrame, settings: CrawlSettings, robots_rules: DataFrame | None = None,
-                  url: str = "url", html: str = "html") -> DataFrame:
-    """(url_from, url_to): the links a crawl would follow from each page.
+_STAGED = ("_clean", "_head", "_tags", "_htags", "_base", "_root")
 
-    Spider mode only (List mode follows nothing).  When robots rules are given
-    and ``check_blocked_urls`` is off, links blocked for the agent are dropped.
-    """
-    if not settings.spider:
-        # List mode follows no links: an empty link set with the same schema
-        return pages.select(F.col(url).alias("url_from"), F.lit(None).cast("string").alias("url_to")) \
-            .where(F.lit(False))
-    staged = with_markup(pages.select(url, html), html).withColumns(
-        {"_base": base_url(url), "_root": root_domain(settings, url)})
-    staged = link_arrays(staged, settings).select(F.col(url).alias("url_from"), "_links")
+
+def links_of(read: DataFrame, settings: CrawlSettings, robots_rules: DataFrame | None = None, url: str = "url") -> DataFrame:
+    """(url_from, url_to) from the ``_links`` of read pages, those allowed by robots.txt."""
     # explode_outer: an inner explode makes the optimizer infer a size(_links) > 0
     # filter and push it below the projection, copying the whole array
     # expression into it.
-    links = staged.select("url_from", F.explode_outer("_links").alias("url_to")) \
+    links = read.select(F.col(url).alias("url_from"), F.explode_outer("_links").alias("url_to")) \
         .filter(F.col("url_to").isNotNull())
     if robots_rules is not None and not settings.has("check_blocked_urls"):
         from sitegraph.operators.robots import with_robots_status
@@ -144,28 +152,48 @@ def extract_links(pages: DataFrame, settings: CrawlSettings, robots_rules: DataF
     return links
 
 
-def page_items(pages: DataFrame, settings: CrawlSettings, url: str = "url", html: str = "html") -> DataFrame:
-    """On-page items (h1, h2, title, description, canonical, meta robots) for
-    every page; pages without a body get ''.  Custom extractions are added
-    by :func:`page_rows`."""
-    sep = settings.extraction_separator
-    staged = (with_markup(pages, html).withColumn("_base", base_url(url)))
+def extract_links(pages: DataFrame, settings: CrawlSettings, robots_rules: DataFrame | None = None,
+                  url: str = "url", html: str = "html") -> DataFrame:
+    """(url_from, url_to): the links a crawl would follow from each page.
+
+    Spider mode only (List mode follows nothing).  When robots rules are given
+    and ``check_blocked_urls`` is off, links blocked for the agent are dropped.
+    """
+    if not settings.spider:
+        # List mode follows no links: an empty link set with the same schema
+        return pages.select(F.col(url).alias("url_from"), F.lit(None).cast("string").alias("url_to")) \
+            .where(F.lit(False))
+    read = link_arrays(_staged(pages.select(url, html), settings, url, html), settings).select(url, "_links")
+    return links_of(read, settings, robots_rules, url)
+
+
+@lru_cache(maxsize=16)
+def _item_columns(sep: str, agent: str, html: str) -> dict:
     body = F.col(html).isNotNull() & (F.length(F.col(html)) > 0)
 
     def item(expr):
         return F.when(body, expr).otherwise(F.lit(""))
 
     canon = F.get(H.canonical_hrefs("_htags"), 0)
-    cols = {
+    return {
         "h1": item(H.joined(H.direct_texts("_clean", "h1"), sep)),
         "h2": item(H.joined(H.direct_texts("_clean", "h2"), sep)),
         "page_title": item(H.joined(H.direct_texts("_head", "title"), sep)),
         "meta_description": item(H.meta_description("_htags", sep)),
         "canonical_tag": item(F.coalesce(F.when(canon.isNotNull(), U.normalise(canon, base=F.col("_base"))),
                                          F.lit(""))),
-        "meta_robots": item(H.meta_robots("_tags", settings.agent)),
+        "meta_robots": item(H.meta_robots("_tags", agent)),
     }
-    return staged.withColumns(cols).drop("_clean", "_head", "_tags", "_htags", "_base")
+
+
+def _items(staged: DataFrame, settings: CrawlSettings, html: str) -> DataFrame:
+    return staged.withColumns(_item_columns(settings.extraction_separator, settings.agent, html))
+
+
+def page_items(pages: DataFrame, settings: CrawlSettings, url: str = "url", html: str = "html") -> DataFrame:
+    """On-page items (h1, h2, title, description, canonical, meta robots) for
+    every page; pages without a body get ''."""
+    return _items(_staged(pages, settings, url, html), settings, html).drop(*_STAGED)
 
 
 def header_info(fetches: DataFrame, url: str = "url") -> DataFrame:
@@ -189,25 +217,41 @@ def body_gate(fetches: DataFrame, settings: CrawlSettings, url: str = "url") ->
     return fetches.withColumn("html", F.when(keep, F.col("html")))
 
 
-def page_rows(fetches: DataFrame, settings: CrawlSettings, robots_rules: DataFrame | None = None,
-              url: str = "url") -> DataFrame:
-    """Full crawl row of every fetched page: header info, on-page items,
-    directives, custom extractions, robots status and crawl status, projected
-    to the enabled columns (blanks as '')."""
+def read_pages(fetches: DataFrame, settings: CrawlSettings, url: str = "url", links: bool = True) -> DataFrame:
+    """Everything that a crawl takes from a fetch's headers and body, in one reading of the
+    body: header info, on-page items, custom extractions and (``links``) the array ``_links``.
+    The body itself is left behind; rows and links are taken from the result."""
     gated = body_gate(header_info(fetches, url), settings, url)
     if settings.extractions:
         from sitegraph.operators.selectors import with_extractions
 
         gated = with_extractions(gated, settings)
-    rows = page_items(gated, settings, url).drop("html")
+    read = _items(_staged(gated, settings, url, "html"), settings, "html")
+    if links and settings.spider:
+        read = link_arrays(read, settings)
+    elif links:
+        read = read.withColumn("_links", F.array().cast("array<string>"))
+    return read.drop("html", *_STAGED)
+
+
+def rows_of(read: DataFrame, settings: CrawlSettings, robots_rules: DataFrame | None = None, url: str = "url",
+            keep: tuple = ()) -> DataFrame:
+    """Crawl rows of read pages: robots status, crawl status, enabled columns (blanks as '')."""
     if settings.list_mode or robots_rules is None:
-        rows = rows.withColumn("robots_txt", F.lit("allowed"))
+        rows = read.withColumn("robots_txt", F.lit("allowed"))
     else:
         from sitegraph.operators.robots import with_robots_status
 
-        rows = with_robots_status(rows, url, robots_rules, settings.agent)
+        rows = with_robots_status(read, url, robots_rules, settings.agent)
     rows = rows.withColumn("redirect_url", F.lit("")).withColumn("crawl_status", crawl_status(url))
-    return project_items(rows, settings, keep=["page_id"] if "page_id" in rows.columns else [])
+    return project_items(rows, settings, keep=[c for c in dict.fromkeys(("page_id", *keep)) if c in rows.columns])
+
+
+def page_rows(fetches: DataFrame, settings: CrawlSettings, robots_rules: DataFrame | None = None,
+              url: str = "url") -> DataFrame:
+    """Full crawl row of every fetched page: header info, on-page items,
+    directives, custom extractions, robots status and crawl status."""
+    return rows_of(read_pages(fetches, settings, url, links=False), settings, robots_rules, url)
 
 
 def project_items(rows: DataFrame, settings: CrawlSettings, keep: list[str] = ()) -> DataFrame:

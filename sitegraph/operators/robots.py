@@ -41,7 +41,7 @@ def parse_rules(robots: DataFrame, host: str = "host", text: str = "robots_text"
     """(host, line, grp, kind, value): agent and rule lines with their group."""
     # one response per host: an answered one if there is any, the first by text among several
     answers = robots.groupBy(F.lower(F.col(host)).alias("host")).agg(
-        F.min(F.struct((F.col(status) != 200).alias("failed"), F.col(text).alias("text"))).alias("r"))
+        F.min(F.struct(F.coalesce(F.col(status) != 200, F.lit(True)).alias("failed"), F.col(text).alias("text"))).alias("r"))
     lines = (answers.filter(~F.col("r.failed"))
              .select("host", F.posexplode(F.split(F.col("r.text"), r"\r?\n", -1)).alias("line", "raw")))
     s = F.trim(F.regexp_replace(F.regexp_replace("raw", r"#.*$", ""), r"\s+$", ""))

@@ -1,23 +1,18 @@
 """Spider crawl: from the start URLs over the links that the fetched pages hold.
 
-Every round joins the frontier with the fetched pages, extracts their links
-(resolved, normalised, internal, not excluded, allowed by robots.txt as the
-settings say) and goes on with the targets not seen before.  The loop decides only
-whether to go on; each round's new URLs are a checkpointed frame, and the seen set
-is merged every few rounds (see ``closure``).  Pages are read once per round they
-are reached in, and only those: the join keeps just the frontier's pages.
+The links of all fetched pages are extracted once (resolved, normalised, internal, not
+excluded, allowed by robots.txt as the settings say) and written; the closure over them
+(``closure``) then moves only URLs: no round reads a body or the fetch table again, and no
+body is ever in an exchange.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegraph.operators.closure import MERGE
+from sitegraph.operators.closure import spider_closure
 from sitegraph.operators.crawl import crawl_links
-from sitegraph.session import checkpoint_root
 from sitegraph.settings import CrawlSettings
 
 
@@ -25,21 +20,6 @@ def spider_crawl(fetches: DataFrame, start: DataFrame, settings: CrawlSettings,
                  robots: DataFrame | None = None) -> DataFrame:
     """(url, depth, fetched): every URL a crawl from ``start(url)`` comes to; those
     without a row in ``fetches`` are reached but hold no links."""
-    checkpoint_root(fetches.sparkSession)
-    frontier = start.select("url").distinct().checkpoint()
-    seen = [frontier.withColumn("depth", F.lit(0))]
-    depth = 0
-    while True:
-        depth += 1
-        pages = fetches.join(frontier, "url", "left_semi")
-        targets = crawl_links(pages, settings, robots).select(F.col("url_to").alias("url")).distinct()
-        known = reduce(DataFrame.unionByName, seen).select("url")
-        frontier = targets.join(known, "url", "left_anti").checkpoint()
-        if frontier.isEmpty():
-            break
-        seen.append(frontier.withColumn("depth", F.lit(depth)))
-        if len(seen) > MERGE:
-            seen = [reduce(DataFrame.unionByName, seen).checkpoint()]
+    reached = spider_closure(crawl_links(fetches, settings, robots), start)
     crawled = fetches.select("url", F.lit(True).alias("fetched")).distinct()
-    return reduce(DataFrame.unionByName, seen).join(crawled, "url", "left") \
-        .select("url", "depth", F.coalesce("fetched", F.lit(False)).alias("fetched"))
+    return reached.join(crawled, "url", "left").select("url", "depth", F.coalesce("fetched", F.lit(False)).alias("fetched"))

@@ -125,22 +125,25 @@ class CrawlStore:
             return None
         return self.spark.read.parquet(path).select("url_from", "url_to").distinct()
 
-    def apply_fetches(self, fetches: DataFrame, batch_id: int, settings, robots: DataFrame | None = None,
-                      order: str = "url", stream: str = "main") -> int:
+    def apply_fetches(self, fetches: DataFrame, batch_id: int, settings, robots: DataFrame | None = None, *,
+                      order: str, stream: str = "main") -> int:
         """One crawl step: page and redirect rows upserted (first write wins),
         link targets not yet known inserted as discovered, and (with
         ``unique_inlinks``) the batch's unique edges recorded.  Idempotent per
-        stream and batch id like :meth:`apply`.  Rows and links are extracted once
-        and written; what follows reads those files."""
-        from sitegraph.operators.crawl import crawl_links, crawl_rows
+        stream and batch id like :meth:`apply`.  ``order``: the column that says in which
+        order the fetches arrived.  The bodies are read once, into a written table of items
+        and link arrays; rows and links are taken from that."""
+        from sitegraph.operators.crawl import crawl_rows
+        from sitegraph.operators.extract import links_of, read_pages
 
         target = self._batch_path("log", stream, batch_id)
         if self._exists(target):
             return 0
         work = f"{self.folder}/_work/{uuid.uuid4().hex}"
-        dedupe_batch(crawl_rows(fetches, settings, robots, order), "_seq").drop("_seq").write.parquet(f"{work}/rows")
-        crawl_links(fetches, settings, robots).distinct().write.parquet(f"{work}/links")
-        rows, links = self.spark.read.parquet(f"{work}/rows"), self.spark.read.parquet(f"{work}/links")
+        written = lambda df, name: (df.write.parquet(f"{work}/{name}"), self.spark.read.parquet(f"{work}/{name}"))[1]
+        read = written(read_pages(fetches, settings), "read")
+        rows = written(dedupe_batch(crawl_rows(read, settings, order, robots), "_seq").drop("_seq"), "rows")
+        links = written(links_of(read, settings, robots).distinct(), "links")
         targets = links.select(F.col("url_to").alias("url")).distinct()
         known = self.current(only=rows.select("url").unionByName(targets))
         discovered = (targets.join(known.select("url"), "url", "left_anti")
@@ -161,14 +164,14 @@ class CrawlStore:
         return stream, f"{self.folder}/checkpoint/{stream}"
 
 
-def run_crawl(spark: SparkSession, source: str, store: CrawlStore, settings, robots: DataFrame | None = None,
-              order: str = "url", max_files: int = 1) -> CrawlStore:
+def run_crawl(spark: SparkSession, source: str, store: CrawlStore, settings, robots: DataFrame | None = None, *,
+              order: str, max_files: int = 1) -> CrawlStore:
     """Continuous crawl ingest: a file stream of fetches, one crawl step per
     micro-batch, until no input is left.  A later run goes on where this one ended."""
     name, checkpoint = store.stream_of(source)
     stream = _file_stream(spark, source, max_files)
     q = (stream.writeStream
-         .foreachBatch(lambda df, bid: store.apply_fetches(df, bid, settings, robots, order, name))
+         .foreachBatch(lambda df, bid: store.apply_fetches(df, bid, settings, robots, order=order, stream=name))
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -4,6 +4,7 @@ selectors and streaming idempotency on hand-made frames."""
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from sitegraph.functions.filters import apply_filters
 from sitegraph.operators import state as ST
@@ -294,3 +295,46 @@ def test_selectors_on_deeply_unclosed_page(spark):
     html = "<html><body>" + "<p>para " * 3000 + "<b class=x>end</b></body></html>"
     pages = spark.createDataFrame([("u", html)], "url string, html string")
     assert extract(pages, "x", "CSS Selector", "body p b.x", " | ").first()["x"] == "end"
+
+
+def _fetch(spark, rows):
+    """Fetches (n, url, status, html) as a crawl gets them."""
+    kind = "n int, url string, status_code int, html string"
+    return spark.createDataFrame(rows, kind).select("*", F.create_map(F.lit("Content-Type"), F.lit("text/html")).alias("headers"),
+                                                    F.array().cast("array<struct<url:string,status_code:int,headers:map<string,string>>>").alias("history"))
+
+
+@pytest.mark.parametrize("swap", [False, True])
+def test_the_first_fetch_to_arrive_counts(spark, swap):
+    from sitegraph.operators.crawl import build_crawl
+
+    a, b = "<a href=/one>", "<h1>late</h1><a href=/two>"
+    rows = [(1, "http://a.com/", 200, a), (2, "http://a.com/", 404, b)]
+    fetches = _fetch(spark, rows[::-1] if swap else rows).coalesce(1)
+    crawl, links = build_crawl(fetches, CrawlSettings(), order="n")
+    got = {r["url"]: r["status_code"] for r in crawl.collect()}
+    assert got == {"http://a.com/": 200, "http://a.com/one": None, "http://a.com/two": None}
+    assert links.count() == 2
+    with pytest.raises(TypeError):
+        build_crawl(fetches, CrawlSettings())
+
+
+def test_bodies_are_read_once(spark):
+    from sitegraph.operators.extract import read_pages
+
+    plan = read_pages(_fetch(spark, [(1, "http://a.com/", 200, "<a href=/x>")]), CrawlSettings())._jdf.queryExecution() \
+        .optimizedPlan().toString()
+    assert plan.count("regexp_replace(html") <= 1 and plan.count("never closed") == 0
+    assert plan.count("<script") == 1  # the pattern that cleans a page
+
+
+def test_no_body_meets_an_exchange_in_a_spider_crawl(spark):
+    from sitegraph.operators.crawl import crawl_links
+
+    robots = spark.createDataFrame([("a.com", "User-agent: *\nDisallow: /p", 200)], "host string, robots_text string, status_code int")
+    fetches = _fetch(spark, [(1, "http://a.com/", 200, "<a href=/x>")])
+    plan = crawl_links(fetches, CrawlSettings(), robots).distinct()._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.split("\n"):  # what joins and aggregates see
+        if "Join" in line or "Aggregate" in line:
+            assert "html" not in line, line
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") + plan.count("ExternalRDD") <= 2  # fetches and robots, once each

@@ -34,10 +34,12 @@ def q_stream_ingest(spark, sf):
     return store.current().select("url", "page_id", "status_code", "content_type", "change")
 
 
-@register("stream_dedupe", with_fixtures(["fx_hops"], f"WITH {BATCH_CTE} SELECT DISTINCT url FROM batch"))
+@register("stream_dedupe", with_fixtures(["fx_hops"], f"WITH {BATCH_CTE} SELECT url, status_code, content_type FROM b"))
 def q_stream_dedupe(spark, sf):
-    source = T.write_chunks(_batch_chunks(spark, sf), scratch_path(spark, "dedupe-src"))
-    return T.run_dedupe(spark, source).select("url")
+    """The first row of each URL to arrive, whole."""
+    chunks = [c.coalesce(1).sortWithinPartitions("seq") for c in _batch_chunks(spark, sf)]
+    source = T.write_chunks(chunks, scratch_path(spark, "dedupe-src"))
+    return T.run_dedupe(spark, source, order="seq").select("url", "status_code", "content_type")
 
 
 @register("stream_changes", f"SELECT url, status_code, change FROM ({UPSERT_SQL.strip()}) WHERE change IS NOT NULL")
@@ -92,8 +94,15 @@ FROM (SELECT *, count_if(outcome = 'ok') OVER (PARTITION BY url ORDER BY ts, eve
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 0 AS before_ok FROM fx_attempts) GROUP BY url"""))
 def q_stream_attempts(spark, sf):
     att = fixture(spark, sf, "fx_attempts").select("url", "outcome", "ts", "event_id")
-    source = T.write_chunks([att], scratch_path(spark, "attempts-src"))
-    return T.run_attempt_counter(spark, source, max_files=2)
+    # three files in the order of their times: a micro-batch each, the last one read by a second run
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = att.agg(F.percentile_approx(at, [0.3, 0.7])).first()[0] or (0, 0)
+    parts = [at < lo, (at >= lo) & (at < hi), at >= hi]
+    source, folder = scratch_path(spark, "attempts-src"), scratch_path(spark, "attempts")
+    T.write_chunks([att.filter(p).coalesce(1) for p in parts[:2]], source)
+    T.run_attempt_counter(spark, source, folder=folder)
+    T.write_chunks([att.filter(parts[2]).coalesce(1)], source)
+    return T.run_attempt_counter(spark, source, folder=folder)
 
 
 # -- T1 in full: fetches -> crawl step per micro-batch -------------------------

@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -213,16 +214,50 @@ def run_ingest(spark: SparkSession, source: str, store: CrawlStore, seq: str = "
     return store
 
 
-def run_dedupe(spark: SparkSession, source: str, key: str = "url", max_files: int = 2) -> DataFrame:
-    """Pure-stream variant of first-write-wins: ``dropDuplicates`` keeps the
-    first row seen per key across micro-batches (state in the state store)."""
-    sink = scratch_path(spark, "dedupe-sink")
-    stream = _file_stream(spark, source, max_files).dropDuplicates([key])
-    q = (stream.writeStream.format("parquet").option("path", sink)
-         .option("checkpointLocation", scratch_path(spark, "dedupe-ckpt"))
+def run_dedupe(spark: SparkSession, source: str, order: str, key: str = "url", ts: str | None = None,
+               delay: str | None = None, max_files: int = 2, folder: str | None = None) -> DataFrame:
+    """First write wins as a pure stream: of each key the row that arrives first, by micro-batch
+    and inside one by ``order``.  The state is a flag per key.  With an event time ``ts`` and a
+    ``delay`` a row counts for ``delay`` from its time on: a row of its key after that is a first
+    one again, and the key leaves the state when the watermark (``delay`` behind the latest row)
+    has passed, so the state is bounded by the keys of a few delays.  ``folder`` keeps sink and
+    checkpoint: a later run goes on where this one ended."""
+    folder = folder or scratch_path(spark, "dedupe")
+    stream = _file_stream(spark, source, max_files)
+    schema = stream.schema
+    timed = ts is not None and delay is not None
+    if timed:
+        stream = stream.withWatermark(ts, delay)
+        wait = pd.Timedelta(delay).value // 1_000_000
+
+    def first(keys, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = state.get[0] if state.exists else None  # until when (ms); for ever without an event time
+        if known is not None and not timed:
+            return
+        rows = []
+        for f in frames:
+            fresh = f if known is None else f[f[ts] >= pd.Timestamp(known, unit="ms")]
+            if len(fresh):
+                rows.append(fresh.loc[[fresh[order].idxmin()]])
+        if not rows:
+            return
+        best = min(rows, key=lambda r: r[order].iloc[0])
+        until = int(best[ts].iloc[0].value // 1_000_000) + wait if timed else 0
+        state.update((until,))
+        if timed:
+            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        yield best
+
+    kept = stream.groupBy(key).applyInPandasWithState(
+        first, schema, "until bigint", "append", "EventTimeTimeout" if timed else "NoTimeout")
+    q = (kept.writeStream.format("parquet").option("path", f"{folder}/rows")
+         .option("checkpointLocation", f"{folder}/checkpoint")
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(sink)
+    return spark.read.parquet(f"{folder}/rows")
 
 
 def throughput(df: DataFrame, ts: str = "ts", window: str = "1 hour") -> DataFrame:
@@ -263,25 +298,43 @@ def run_throughput(spark: SparkSession, source: str, ts: str = "ts", window: str
     return _latest_per_key(spark.read.parquet(sink), ["window_start", "window_end"])
 
 
+ATTEMPTS = "failures bigint, successes bigint, before_ok bigint"
+
+
 def run_attempt_counter(spark: SparkSession, source: str, url: str = "url", outcome: str = "outcome",
                         ok_value: str = "ok", ts: str = "ts", seq: str = "event_id", max_files: int = 1,
-                        max_retries: int = 5) -> DataFrame:
+                        max_retries: int = 5, folder: str | None = None) -> DataFrame:
     """Per-URL attempt counters over a stream of attempts, with ``over_limit`` by the
     rule of the failure rows (``failed_urls``: more failures before the first success
-    than the retry limit).  A micro-batch is logged under its batch id, so a replay
-    overwrites it; the counts are partial aggregates over that log."""
-    from sitegraph.operators.state import failed_urls
+    than the retry limit).
+
+    The state of a URL is three counts: failures, successes, failures before its first
+    success.  Attempts count in the order they arrive: micro-batch by micro-batch, inside one
+    by (ts, seq).  Each micro-batch emits the URLs it touched; ``folder`` keeps that and the
+    checkpoint, so a later run reads only the files that are new."""
+    folder = folder or scratch_path(spark, "attempts")
+
+    def count(keys, frames, state):
+        failures, successes, before = state.get if state.exists else (0, 0, 0)
+        times = pd.concat([pd.DataFrame({"ts": f[ts], "seq": f[seq], "ok": f[outcome] == ok_value}) for f in frames])
+        ok = times[times["ok"]]
+        failed = times[~times["ok"]]
+        if not successes:
+            first = ok.sort_values(["ts", "seq"]).iloc[:1]
+            early = failed if not len(first) else failed[(failed["ts"] < first["ts"].iloc[0]) | (
+                (failed["ts"] == first["ts"].iloc[0]) & (failed["seq"] < first["seq"].iloc[0]))]
+            before += len(early)
+        now = (failures + len(failed), successes + len(ok), before)
+        state.update(now)
+        yield pd.DataFrame([(*keys, *now)], columns=["url", "failures", "successes", "before_ok"])
 
-    sink = scratch_path(spark, "attempts-sink")
     rows = _file_stream(spark, source, max_files).select(url, outcome, ts, seq)
-    q = (rows.writeStream
-         .foreachBatch(lambda df, bid: df.write.mode("overwrite").parquet(f"{sink}/batch_id={bid}"))
-         .option("checkpointLocation", scratch_path(spark, "attempts-ckpt"))
+    counts = rows.groupBy(F.col(url).alias("url")).applyInPandasWithState(
+        count, f"url string, {ATTEMPTS}", ATTEMPTS, "update", "NoTimeout")
+    q = (counts.writeStream.outputMode("update")
+         .foreachBatch(lambda df, bid: df.write.mode("overwrite").parquet(f"{folder}/counts/batch_id={bid}"))
+         .option("checkpointLocation", f"{folder}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    log = spark.read.parquet(sink)
-    counts = log.groupBy(url).agg(F.count_if(F.col(outcome) != ok_value).alias("failures"),
-                                  F.count_if(F.col(outcome) == ok_value).alias("successes"))
-    over = failed_urls(log, max_retries, url, ts, outcome, ok_value, seq).select(
-        F.col("url").alias(url), F.lit(True).alias("over_limit"))
-    return counts.join(over, url, "left").withColumn("over_limit", F.coalesce("over_limit", F.lit(False)))
+    now = _latest_per_key(spark.read.parquet(f"{folder}/counts"), ["url"])
+    return now.select(F.col("url").alias(url), "failures", "successes", (F.col("before_ok") > max_retries).alias("over_limit"))

@@ -338,3 +338,71 @@ def test_no_body_meets_an_exchange_in_a_spider_crawl(spark):
         if "Join" in line or "Aggregate" in line:
             assert "html" not in line, line
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") + plan.count("ExternalRDD") <= 2  # fetches and robots, once each
+
+
+def _chunk(spark, rows, kind):
+    return spark.createDataFrame(rows, kind).coalesce(1)
+
+
+def test_first_row_of_a_key_in_either_order(spark):
+    from sitegraph.streaming.ingest import run_dedupe, write_chunks
+
+    kind, src = "url string, status_code int, seq int", scratch_path(spark, "dd-src")
+    write_chunks([_chunk(spark, [("a", 404, 7), ("a", 200, 3), ("b", 301, 9)], kind)], src)
+    folder = scratch_path(spark, "dd")
+    run_dedupe(spark, src, order="seq", max_files=1, folder=folder)
+    write_chunks([_chunk(spark, [("a", 500, 1), ("c", 200, 2)], kind)], src)  # later to arrive, whatever its number
+    got = {r["url"]: r["status_code"] for r in run_dedupe(spark, src, order="seq", max_files=1, folder=folder).collect()}
+    assert got == {"a": 200, "b": 301, "c": 200}
+
+
+def test_dedupe_state_is_bounded_by_the_delay(spark):
+    from sitegraph.streaming import ingest as T
+
+    src, kind = scratch_path(spark, "ddb-src"), "url string, ts timestamp, seq int"
+    day = dt.datetime(2024, 1, 1)
+    for k in range(6):  # new keys every 3 hours, and one that comes again after each
+        rows = [(f"u{k}-{i}", day + dt.timedelta(hours=3 * k), i) for i in range(10)] + [("again", day + dt.timedelta(hours=3 * k), 99)]
+        T.write_chunks([_chunk(spark, rows, kind)], src)
+    folder, held = scratch_path(spark, "ddb"), []
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    class Watch(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            pass
+
+        def onQueryProgress(self, event):
+            held.extend(s.numRowsTotal for s in event.progress.stateOperators)
+
+        def onQueryIdle(self, event):
+            pass
+
+        def onQueryTerminated(self, event):
+            pass
+
+    watch = Watch()
+    spark.streams.addListener(watch)
+    try:
+        out = T.run_dedupe(spark, src, order="seq", ts="ts", delay="1 hour", max_files=1, folder=folder)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    finally:
+        spark.streams.removeListener(watch)
+    assert out.where("url <> 'again'").count() == 60
+    assert out.where("url = 'again'").count() == 6  # a first one each time, three delays later
+    assert held and max(held) <= 3 * 11  # the keys of a few files, not of all six
+
+
+def test_attempts_of_a_second_run_go_on(spark):
+    from sitegraph.streaming.ingest import run_attempt_counter, write_chunks
+
+    kind, src, folder = "url string, outcome string, ts int, event_id int", scratch_path(spark, "at-src"), scratch_path(spark, "at")
+    rows = [("a", "x", k, k) for k in range(4)] + [("b", "x", k, k) for k in range(3)] + [("b", "ok", 1, 9)]
+    write_chunks([_chunk(spark, rows, kind)], src)
+    run_attempt_counter(spark, src, folder=folder)
+    more = [("a", "x", 5, 5), ("a", "x", 6, 6), ("a", "ok", 7, 7), ("a", "x", 8, 8), *[("b", "x", 9, k) for k in range(9)], ("c", "ok", 1, 1)]
+    write_chunks([_chunk(spark, more, kind)], src)
+    got = run_attempt_counter(spark, src, folder=folder)
+    assert {tuple(r) for r in got.collect()} == {("a", 7, 1, True), ("b", 12, 1, False), ("c", 0, 1, False)}
+    rows += more
+    failed = ST.failed_urls(spark.createDataFrame(rows, kind))
+    assert {r["url"] for r in failed.collect()} == {"a"}

@@ -110,15 +110,44 @@ def rule_patterns(rules: DataFrame) -> DataFrame:
 
 
 def rules_by_host(robots: DataFrame, agent: str, **kw) -> DataFrame:
-    """(host, rules ARRAY<STRUCT<allow, len, first, rest, ends>>): a rule's path cut at
-    its wildcards, and whether it is anchored at the end."""
+    """(host, rules STRUCT<wild, allow, allow_lens, deny, deny_lens>), one row per host with rules.
+
+    * ``wild``: the rules with a wildcard or an end anchor, cut at their wildcards, which
+      every URL is matched against;
+    * the other rules are prefixes: the sorted paths that allow and that deny, and the lengths
+      there are.  A URL looks its own prefixes of those lengths up by bisection, so its cost
+      grows with the number of lengths, hardly with the number of rules."""
     r = agent_rules(parse_rules(robots, **kw), agent)
-    ends = F.col("path").endswith("$")
+    ends, allow = F.col("path").endswith("$"), F.col("kind") == "allow"
+    plain = ~ends & ~F.col("path").contains("*")
     body = F.when(ends, F.expr("substr(path, 1, length(path) - 1)")).otherwise(F.col("path"))
     pieces = F.split(body, r"\*", -1)
-    return r.groupBy("host").agg(F.collect_list(F.struct(
-        (F.col("kind") == "allow").alias("allow"), F.length("path").alias("len"), F.get(pieces, 0).alias("first"),
-        F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))).alias("rest"), ends.alias("ends"))).alias("rules"))
+    cut = F.struct(allow.alias("allow"), F.length("path").alias("len"), F.get(pieces, 0).alias("first"),
+                   F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))).alias("rest"), ends.alias("ends"))
+    held = r.groupBy("host").agg(F.collect_list(F.when(~plain, cut)).alias("wild"),
+                                 F.sort_array(F.collect_set(F.when(plain & allow, F.col("path")))).alias("allow"),
+                                 F.sort_array(F.collect_set(F.when(plain & ~allow, F.col("path")))).alias("deny"))
+    lens = lambda paths: F.sort_array(F.array_distinct(F.transform(paths, F.length)))
+    return held.select("host", F.struct("wild", "allow", lens("allow").alias("allow_lens"), "deny",
+                                        lens("deny").alias("deny_lens")).alias("rules"))
+
+
+def _holds(paths: Column, path: Column) -> Column:
+    """Is ``path`` in a sorted array: bisection."""
+    def halve(acc, _):
+        middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        low = F.get(paths, middle) < path
+        return F.struct(F.when(low, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(low, acc["hi"]).otherwise(middle).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(paths).alias("hi"))
+    rounds = F.sequence(F.lit(0), F.length(F.bin(F.size(paths))))
+    return F.aggregate(rounds, start, halve, lambda acc: F.coalesce(F.get(paths, acc["lo"]) == path, F.lit(False)))
+
+
+def longest_prefix(paths: Column, lens: Column, target: Column) -> Column:
+    """Length of the longest of the sorted ``paths`` that ``target`` starts with, -1 if none does."""
+    return F.aggregate(F.filter(lens, lambda n: n <= F.length(target)), F.lit(-1), lambda best, n: F.when(
+        _holds(paths, F.substr(target, F.lit(1), n)), n).otherwise(best))
 
 
 def rule_matches(rule: Column, target: Column) -> Column:
@@ -140,10 +169,11 @@ def rule_matches(rule: Column, target: Column) -> Column:
 
 
 def allowed_by(rules: Column, target: Column) -> Column:
-    """Longest-match decision for one path+query against a rules array."""
-    hits = F.filter(rules, lambda r: rule_matches(r, target))
+    """Longest-match decision for one path+query against a host's rules."""
+    start = F.struct(longest_prefix(rules["allow"], rules["allow_lens"], target).alias("a"),
+                     longest_prefix(rules["deny"], rules["deny_lens"], target).alias("d"))
     longest = F.aggregate(
-        hits, F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("d")),
+        F.filter(rules["wild"], lambda r: rule_matches(r, target)), start,
         lambda acc, r: F.struct(F.when(r["allow"], F.greatest(acc["a"], r["len"])).otherwise(acc["a"]).alias("a"),
                                 F.when(r["allow"], acc["d"]).otherwise(F.greatest(acc["d"], r["len"])).alias("d")),
         lambda acc: (acc["d"] < 0) | (acc["a"] >= acc["d"]))

@@ -2,6 +2,7 @@
 situations re-created with our own texts, plus edge cases)."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from sitegraph.operators.robots import parse_rules, with_robots_status
 
@@ -118,3 +119,58 @@ def test_two_responses_of_a_host_are_not_interleaved(spark):
         "host string, robots_text string, status_code int")
     rules = R.parse_rules(table).collect()
     assert {(r["kind"], r["value"]) for r in rules} == {("agent", "a"), ("disallow", "/a")}
+
+
+def test_an_unanswered_response_does_not_hide_an_answered_one(spark):
+    from sitegraph.operators import robots as R
+
+    table = spark.createDataFrame([("e.com", "User-agent: a\nDisallow: /a", 200), ("e.com", None, None), ("e.com", "x", None)],
+                                  "host string, robots_text string, status_code int")
+    assert {(r["kind"], r["value"]) for r in R.parse_rules(table).collect()} == {("agent", "a"), ("disallow", "/a")}
+
+
+def test_prefix_rules_against_a_plain_scan(spark):
+    import random
+
+    r = random.Random(6)
+    word = lambda: "/" + "/".join(r.choice(["a", "b", "ab", "é", "x%20y", ""]) for _ in range(r.randrange(1, 4)))
+    rules = [(r.choice(["Allow", "Disallow"]), word() + r.choice(["", "", "", "*", "$", "*b"])) for _ in range(60)]
+    targets = [word() + r.choice(["", "/a", "?q=1"]) for _ in range(80)]
+
+    def says(target):
+        import re
+
+        best = {"Allow": -1, "Disallow": -1}
+        for kind, path in rules:
+            body = path[:-1] if path.endswith("$") else path
+            pattern = ".*".join(map(re.escape, body.split("*"))) + (r"\Z" if path.endswith("$") else "")
+            if re.match(pattern, target):
+                best[kind] = max(best[kind], len(path))
+        return best["Disallow"] < 0 or best["Allow"] >= best["Disallow"]
+
+    table = spark.createDataFrame([("e.com", "User-agent: *\n" + "\n".join(f"{k}: {p}" for k, p in rules), 200)],
+                                  "host string, robots_text string, status_code int")
+    from sitegraph.operators import robots as R
+
+    urls = spark.createDataFrame([(k, "e.com", t) for k, t in enumerate(targets)], "k int, host string, target string")
+    got = urls.join(R.rules_by_host(table, "Bot"), "host").select("k", R.allowed_by(F.col("rules"), F.col("target")).alias("ok"))
+    assert [r["ok"] for r in got.orderBy("k").collect()] == [says(t) for t in targets]
+
+
+def test_many_prefix_rules_cost_what_few_do(spark):
+    import time
+
+    from sitegraph.operators import robots as R
+
+    def seconds(n):
+        text = "User-agent: *\n" + "\n".join(f"Disallow: /dir{k:05d}/" for k in range(n))
+        table = R.rules_by_host(spark.createDataFrame([("e.com", text, 200)], "host string, robots_text string, status_code int"),
+                                "Bot").checkpoint()
+        urls = spark.range(20_000).select(F.concat(F.lit("http://e.com/dir"), F.lpad("id", 5, "0"), F.lit("/x")).alias("url"))
+        out = R.with_robots_status(urls, "url", table, "Bot").groupBy("robots_txt").count()
+        out.collect()
+        t = time.time()
+        assert {r["robots_txt"]: r["count"] for r in out.collect()} == {"blocked": n, "allowed": 20_000 - n}
+        return time.time() - t
+
+    assert seconds(10_000) < 5 + 3 * seconds(100)

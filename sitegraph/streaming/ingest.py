@@ -14,7 +14,12 @@ Reading the current table resolves every URL to its first crawled version
 (``min_by``, partially aggregated, so a hot URL is pre-reduced on the map
 side).  A micro-batch resolves only its own URLs: base and log are
 semi-joined with the batch's URL set first (the small side AQE broadcasts),
-so a batch never aggregates the whole table.
+so a batch never aggregates the whole table, and of the base only the buckets (hash of
+the URL, one folder each) that the batch touches are read.
+
+After ``COMPACT`` batches the log is merged into a new base (``compact``): base and pointer
+are written first, then the merged batch folders move out of the log, so the table can be
+read at any moment in between and a batch costs the same however many came before it.
 """
 
 from __future__ import annotations
@@ -23,12 +28,20 @@ import hashlib
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegraph.operators.state import dedupe_batch
 from sitegraph.session import scratch_path
-from sitegraph.sources.io import _fs
+from sitegraph.sources.io import _fs, _write_pointer, current_version
+
+#: Folders of the base, by hash of the URL, and batches after which the log is merged into it.
+BUCKETS = 64
+COMPACT = 32
+
+
+def _bucket(url) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(BUCKETS)).cast("int")
 
 
 class CrawlStore:
@@ -38,43 +51,81 @@ class CrawlStore:
         self.spark = spark
         self.folder = folder.rstrip("/")
 
-    @property
-    def base_path(self) -> str:
-        return f"{self.folder}/base"
-
     @property
     def log_path(self) -> str:
         return f"{self.folder}/log"
 
+    @property
+    def merged_path(self) -> str:
+        return f"{self.folder}/merged"
+
     def create(self, base: DataFrame) -> "CrawlStore":
-        base.write.mode("overwrite").parquet(self.base_path)
+        self._write_base(base.withColumn("change", F.lit(None).cast("string")))
         return self
 
+    def _write_base(self, rows: DataFrame) -> None:
+        version = f"base-{uuid.uuid4().hex}"
+        # the schema apart: a base without rows has no files
+        self.spark.createDataFrame([], rows.schema).write.parquet(f"{self.folder}/{version}-schema")
+        bucketed = rows.withColumn("bucket", _bucket("url"))
+        bucketed.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{version}")
+        _write_pointer(self.spark, self.folder, version)
+
+    def base(self, buckets: list[int] | None = None) -> DataFrame:
+        """The base table, or those buckets of it."""
+        version = current_version(self.spark, self.folder)
+        schema = self.spark.read.parquet(f"{self.folder}/{version}-schema").schema.add("bucket", "integer")
+        rows = self.spark.read.schema(schema).parquet(f"{self.folder}/{version}")
+        return (rows if buckets is None else rows.where(F.col("bucket").isin(buckets))).drop("bucket")
+
     def _exists(self, path: str) -> bool:
         fs, p = _fs(self.spark, path)
         return fs.exists(p)
 
-    def log(self) -> DataFrame | None:
-        if not self._exists(self.log_path):
+    def _batches(self, path: str) -> list[str]:
+        fs, p = _fs(self.spark, f"{path}/stream=*/batch_id=*")
+        return [f.getPath().toString() for f in fs.globStatus(p) or []]
+
+    def log(self, merged: bool = True) -> DataFrame | None:
+        """The change log, with or without what is merged into the base."""
+        paths = [p for p in ([self.log_path, self.merged_path] if merged else [self.log_path]) if self._batches(p)]
+        parts = [self.spark.read.parquet(p) for p in paths]
+        if not parts:
             return None
-        return self.spark.read.parquet(self.log_path)
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+    def compact(self) -> int:
+        """Merge the log into a new base; returns the number of batches merged."""
+        batches = self._batches(self.log_path)
+        if not batches:
+            return 0
+        self._write_base(self.current())
+        for path in batches:
+            fs, src = _fs(self.spark, path)
+            dst = _fs(self.spark, f"{self.merged_path}/{src.getParent().getName()}/{src.getName()}")[1]
+            fs.mkdirs(dst.getParent())
+            if not fs.rename(src, dst):
+                raise OSError(f"cannot rename {src} to {dst}")
+        return len(batches)
 
     def current(self, only: DataFrame | None = None) -> DataFrame:
         """The crawl table now: every URL at its first crawled version.
         ``only`` (a frame with ``url``) restricts the resolution to those URLs
         before any aggregation."""
-        base = self.spark.read.parquet(self.base_path)
-        log = self.log()
-        if only is not None:
+        log = self.log(merged=False)
+        if only is None:
+            base = self.base()
+        else:
             keys = only.select("url").distinct()
-            base = base.join(keys, "url", "left_semi")
+            buckets = [r[0] for r in keys.select(_bucket("url")).distinct().collect()]  # at most BUCKETS
+            base = self.base(buckets).join(keys, "url", "left_semi")
             log = None if log is None else log.join(keys, "url", "left_semi")
         if log is None:
-            return base.withColumn("change", F.lit(None).cast("string"))
-        cols = [c for c in base.columns if c != "url"]
+            return base
+        cols = [c for c in base.columns if c not in ("url", "change")]
         extra = [c for c in log.columns if c not in base.columns and c not in ("url", "change", "batch_id", "stream", "_at")]
         b = base.select("url", *cols, *[F.lit(None).alias(c) for c in extra],
-                        F.lit(None).cast("string").alias("change"), F.lit(-1).cast("bigint").alias("_batch"))
+                        "change", F.lit(-1).cast("bigint").alias("_batch"))
         lg = log.select("url", *[F.col(c) if c in log.columns else F.lit(None).alias(c) for c in cols],
                         *extra, "change", F.col("_at").alias("_batch"))
         rows = b.unionByName(lg)
@@ -96,9 +147,15 @@ class CrawlStore:
             raise OSError(f"cannot rename {tmp} to {target}")
 
     def _written(self) -> int:
-        """Number of batches in the log: the place of the next one."""
-        fs, p = _fs(self.spark, f"{self.log_path}/stream=*/batch_id=*")
-        return len(fs.globStatus(p) or [])
+        """Number of batches so far: the place of the next one."""
+        return len(self._batches(self.log_path)) + len(self._batches(self.merged_path))
+
+    def _applied(self, stream: str, batch_id: int) -> bool:
+        return any(self._exists(self._batch_path(t, stream, batch_id)) for t in ("log", "merged"))
+
+    def _compact_at_times(self) -> None:
+        if len(self._batches(self.log_path)) >= COMPACT:
+            self.compact()
 
     def _changes(self, rows: DataFrame, known: DataFrame) -> DataFrame:
         """The rows that are new or complete a discovered URL (first write wins)."""
@@ -112,12 +169,13 @@ class CrawlStore:
     def apply(self, batch: DataFrame, batch_id: int, seq: str = "seq", stream: str = "main") -> int:
         """First-write-wins upsert of one micro-batch; returns rows logged.
         Replays of an already applied batch of the same stream do nothing."""
-        target = self._batch_path("log", stream, batch_id)
-        if self._exists(target):
+        if self._applied(stream, batch_id):
             return 0
+        target = self._batch_path("log", stream, batch_id)
         fresh = dedupe_batch(batch, seq).drop(seq)
         out = self._changes(fresh, self.current(only=fresh))
         self._publish(out.withColumn("_at", F.lit(self._written()).cast("bigint")), target)
+        self._compact_at_times()
         return 1
 
     def edges(self) -> DataFrame | None:
@@ -137,9 +195,9 @@ class CrawlStore:
         from sitegraph.operators.crawl import crawl_rows
         from sitegraph.operators.extract import links_of, read_pages
 
-        target = self._batch_path("log", stream, batch_id)
-        if self._exists(target):
+        if self._applied(stream, batch_id):
             return 0
+        target = self._batch_path("log", stream, batch_id)
         work = f"{self.folder}/_work/{uuid.uuid4().hex}"
         written = lambda df, name: (df.write.parquet(f"{work}/{name}"), self.spark.read.parquet(f"{work}/{name}"))[1]
         read = written(read_pages(fetches, settings), "read")
@@ -156,6 +214,7 @@ class CrawlStore:
         self._publish(out.withColumn("_at", F.lit(self._written()).cast("bigint")), target)
         fs, p = _fs(self.spark, work)
         fs.delete(p, True)
+        self._compact_at_times()
         return 1
 
     def stream_of(self, source: str) -> tuple[str, str]:

@@ -406,3 +406,40 @@ def test_attempts_of_a_second_run_go_on(spark):
     rows += more
     failed = ST.failed_urls(spark.createDataFrame(rows, kind))
     assert {r["url"] for r in failed.collect()} == {"a"}
+
+
+def test_compaction_keeps_table_feed_and_replays(spark, monkeypatch):
+    from sitegraph.streaming import ingest as T
+
+    kind = "url string, status_code int, seq int"
+    base = spark.createDataFrame([("a", 200), ("b", None)], "url string, status_code int")
+    batches = [[("b", 301, 1), ("n0", 200, 2)], [("n0", 500, 1), ("n1", 404, 2)], [("n2", 200, 1)], [("a", 500, 1), ("n3", 200, 2)]]
+
+    def run(every):
+        monkeypatch.setattr(T, "COMPACT", every)
+        store = CrawlStore(spark, scratch_path(spark, f"compact-{every}")).create(base)
+        for k, rows in enumerate(batches):
+            assert store.apply(spark.createDataFrame(rows, kind), k) == 1
+        for k, rows in enumerate(batches):  # replays, merged or not
+            assert store.apply(spark.createDataFrame(rows, kind), k) == 0
+        return store
+
+    plain, compacted = run(100), run(2)
+    table = lambda s: {tuple(r) for r in s.current().select("url", "status_code", "change").collect()}
+    feed = lambda s: {tuple(r) for r in s.log().select("url", "status_code", "change").collect()}
+    assert table(plain) == table(compacted) == {
+        ("a", 200, None), ("b", 301, "updated"), ("n0", 200, "new"), ("n1", 404, "new"), ("n2", 200, "new"), ("n3", 200, "new")}
+    assert feed(plain) == feed(compacted)
+    assert compacted.log(merged=False) is None and len(compacted._batches(compacted.merged_path)) == 4
+    # a batch reads its own buckets of the base only
+    plan = compacted.current(only=spark.createDataFrame([("a",)], "url string"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_a_crash_while_compacting_loses_nothing(spark, monkeypatch):
+    base = spark.createDataFrame([("a", None)], "url string, status_code int")
+    store = CrawlStore(spark, scratch_path(spark, "compact-crash")).create(base)
+    store.apply(spark.createDataFrame([("a", 200, 1), ("b", 404, 2)], "url string, status_code int, seq int"), 0)
+    want = {tuple(r) for r in store.current().collect()}
+    store._write_base(store.current())  # the new base stands, the batch is still in the log
+    assert {tuple(r) for r in store.current().collect()} == want

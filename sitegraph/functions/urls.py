@@ -50,28 +50,29 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _group(u: Column, i: int) -> Column:
-    return F.regexp_extract(u, URL_RE, i)
+#: Stands between the pieces of a URL while it is taken apart (in no URL that a page can hold as text).
+_CUT = "\u0001\uffff\u0001"
 
 
-def parts(url) -> dict:
-    """Components of a URL as Columns (strings; '' when absent)."""
-    u = _c(url)
-    auth = _group(u, 2)
-    hostport = F.regexp_replace(auth, r"^.*@", "")
-    return {
-        "scheme": _group(u, 1),
-        "has_authority": u.rlike(HAS_AUTHORITY),
-        "authority": auth,
-        "userinfo": F.regexp_extract(auth, r"^(.*)@", 1),
-        "has_userinfo": auth.contains("@"),
-        "host": F.regexp_extract(hostport, r"^(\[[^\]]*\]|[^:]*)", 1),
-        "port": F.regexp_extract(hostport, r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1),
-        "path": _group(u, 3),
-        "query": _group(u, 4),
-        "has_query": u.rlike(HAS_QUERY),
-        "fragment": _group(u, 5),
-    }
+def parts(url) -> Column:
+    """Components of a URL as a struct (strings; '' when absent), by one match of URL_RE.
+    Bind it with ``let`` before its fields are used."""
+    def fields(x):
+        v, a, auth = x["u"], x["a"], F.get(x["a"], 1)
+        hostport = F.regexp_replace(auth, r"^.*@", "")
+        return F.struct(
+            F.get(a, 0).alias("scheme"), v.rlike(HAS_AUTHORITY).alias("has_authority"), auth.alias("authority"),
+            F.regexp_extract(auth, r"^(.*)@", 1).alias("userinfo"), auth.contains("@").alias("has_userinfo"),
+            F.regexp_extract(hostport, r"^(\[[^\]]*\]|[^:]*)", 1).alias("host"),
+            F.regexp_extract(hostport, r"^(?>\[[^\]]*\]|[^:]*):(.*)$", 1).alias("port"),
+            F.get(a, 2).alias("path"), F.get(a, 3).alias("query"), v.rlike(HAS_QUERY).alias("has_query"),
+            F.get(a, 4).alias("fragment"))
+
+    def cut(v):
+        pieces = F.split(F.regexp_replace(v, URL_RE, _CUT.join(f"${k}" for k in range(1, 6))), _CUT, 5)
+        return F.struct(v.alias("u"), pieces.alias("a"))
+
+    return let(let(_c(url), cut), fields)
 
 
 def host(url) -> Column:
@@ -80,7 +81,7 @@ def host(url) -> Column:
     ``page.html``)."""
     u = _c(url)
     u = F.when(u.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+\-]*:|/)"), u).otherwise(F.concat(F.lit("//"), u))
-    return let(u, lambda v: F.lower(parts(v)["host"]))
+    return F.lower(parts(u)["host"])
 
 
 def _port_ok(port: Column) -> Column:
@@ -92,13 +93,12 @@ def domain(url) -> Column:
     u = _c(url)
     u2 = F.when(u.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+\-]*:|/)"), u).otherwise(F.concat(F.lit("//"), u))
 
-    def dom(v):
-        p = parts(v)
+    def dom(p):
         h = F.lower(p["host"])
-        ok = v.isNotNull() & _port_ok(p["port"]) & ~h.rlike(WS_CLASS)
+        ok = h.isNotNull() & _port_ok(p["port"]) & ~h.rlike(WS_CLASS)
         return F.when(ok, F.regexp_replace(h, r"^www\.", "")).otherwise(F.lit(""))
 
-    return let(u2, dom)
+    return let(parts(u2), dom)
 
 
 def remove_dot_segments(path: Column, drop_empty_middle: bool = False) -> Column:
@@ -107,7 +107,13 @@ def remove_dot_segments(path: Column, drop_empty_middle: bool = False) -> Column
     ``drop_empty_middle=True`` is the merge rule of ``urljoin`` (empty middle
     segments vanish, a ``..`` may pop the root, the leading ``/`` is restored
     by the caller); ``False`` is the parser's rule (root kept)."""
-    return let(path, lambda p: _remove_dots(p, drop_empty_middle))
+    def short(p):
+        work = p.contains("/.") | ~p.startswith("/")
+        if drop_empty_middle:
+            work = work | p.contains("//")
+        return F.when(work, _remove_dots(p, drop_empty_middle)).otherwise(p)
+
+    return let(path, short)
 
 
 def _remove_dots(path: Column, drop_empty_middle: bool) -> Column:
@@ -142,18 +148,26 @@ STRIP_ANYWHERE = r"[\t\r\n]"  # removed from URLs before splitting, as Python's
 
 def resolve(base, href) -> Column:
     """Resolve ``href`` (left-trimmed, tab/CR/LF removed) against the absolute URL ``base``."""
+    return let(base_parts(base), lambda b: resolve_at(b, href))
+
+
+def base_parts(base) -> Column:
+    """What ``resolve_at`` needs of a base URL: taken apart once for all links of a page."""
+    return F.struct(_c(base).alias("url"), parts(base).alias("p"))
+
+
+def resolve_at(base: Column, href) -> Column:
+    """``resolve`` against a base taken apart by ``base_parts``."""
     h = F.regexp_replace(F.regexp_replace(_c(href), STRIP_ANYWHERE, ""), "^" + WS_CLASS + "+", "")
-    return let(h, lambda v: _resolve(_c(base), v))
+    return let(h, lambda v: _resolve(base["url"], base["p"], v))
 
 
-def _resolve(base: Column, h: Column) -> Column:
-    b = parts(base)
-    hp = parts(h)
+def _resolve(base: Column, b: Column, h: Column) -> Column:
     b_root = F.concat(b["scheme"], F.lit("://"), b["authority"])
     b_noquery = F.concat(b_root, b["path"])
     b_nofrag = F.concat(b_noquery, F.when(b["has_query"], F.concat(F.lit("?"), b["query"])).otherwise(F.lit("")))
     h_rest = F.regexp_extract(h, r"(?s)^[^?#]*(.*)$", 1)
-    h_path = hp["path"]
+    h_path = F.regexp_extract(h, r"(?s)^([^?#]*)", 1)  # read where h has no scheme and no host
     base_dir = F.regexp_extract(b["path"], r"^(.*/)", 1)
     merged = F.concat(F.when(base_dir == "", F.lit("/")).otherwise(base_dir), h_path)
     return (
@@ -183,7 +197,7 @@ def percent_encode(s: Column, safe: str) -> Column:
       every ``%`` encoded as ``%25`` (existing escapes included);
     * otherwise existing escapes are upper-cased, and escapes of unreserved
       characters (letters, digits, ``-._~``) are decoded."""
-    return let(s, lambda v: _percent_encode(v, safe))
+    return let(s, lambda v: F.when(v.rlike(f"^[{safe}]*+\\z"), v).otherwise(_percent_encode(v, safe)))
 
 
 def _percent_encode(s: Column, safe: str) -> Column:
@@ -211,11 +225,10 @@ def normalise(url, base=None) -> Column:
     u = F.regexp_replace(F.regexp_replace(_c(url), STRIP_ANYWHERE, ""), "^" + WS_CLASS + "+", "")
     if base is not None:
         u = resolve(base, u)
-    return let(u, _normalise)
+    return let(parts(u), _normalise)
 
 
-def _normalise(u: Column) -> Column:
-    p = parts(u)
+def _normalise(p: Column) -> Column:
     scheme = F.lower(p["scheme"])
     h = F.lower(p["host"])
     port_num = p["port"].try_cast("int")
@@ -228,21 +241,21 @@ def _normalise(u: Column) -> Column:
     query = let(percent_encode(p["query"], QUERY_SAFE),
                 lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
     out = F.concat(scheme, F.lit("://"), userinfo, h, port, path, query)
-    ok = u.isNotNull() & p["has_authority"] & (h != "") & _port_ok(p["port"]) & ~h.rlike(WS_CLASS) & (scheme != "")
+    ok = p["has_authority"] & (h != "") & _port_ok(p["port"]) & ~h.rlike(WS_CLASS) & (scheme != "")
     return F.when(ok, out)
 
 
 def robots_url(url) -> Column:
     """``scheme://host/robots.txt`` of a URL (no port, no query)."""
-    p = parts(url)
-    return F.when(F.lower(p["host"]) != "",
-                  F.concat(F.lower(p["scheme"]), F.lit("://"), F.lower(p["host"]), F.lit("/robots.txt")))
+    return let(parts(url), lambda p: F.when(
+        F.lower(p["host"]) != "",
+        F.concat(F.lower(p["scheme"]), F.lit("://"), F.lower(p["host"]), F.lit("/robots.txt"))))
 
 
 def path_and_query(url) -> Column:
     """Path plus ``?query`` (the part robots rules are matched against)."""
-    p = parts(url)
-    return F.concat(p["path"], F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise(F.lit("")))
+    return let(parts(url), lambda p: F.concat(
+        p["path"], F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise(F.lit(""))))
 
 
 def is_external(url, root_domain, list_mode: bool = False) -> Column:
@@ -255,8 +268,17 @@ def is_external(url, root_domain, list_mode: bool = False) -> Column:
 
 def is_crawlable(url) -> Column:
     """http(s) scheme with a non-empty host."""
-    p = parts(url)
-    return F.lower(p["scheme"]).isin("http", "https") & p["has_authority"] & (p["host"] != "")
+    return let(parts(url), lambda p: F.lower(p["scheme"]).isin("http", "https") & p["has_authority"] & (p["host"] != ""))
+
+
+def normal_domain(url) -> Column:
+    """``domain`` of a normalised URL, whose scheme and host are plain to see."""
+    return F.regexp_extract(_c(url), r"^[^:/]++://(?:[^/?#]*@)?(?:www\.)?(\[[^\]]*\]|[^:/?#]*+)", 1)
+
+
+def is_normal_crawlable(url) -> Column:
+    """``is_crawlable`` of a normalised URL."""
+    return _c(url).startswith("http://") | _c(url).startswith("https://")
 
 
 def is_robots_page(url, root_domain, list_mode: bool = False) -> Column:

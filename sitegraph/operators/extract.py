@@ -109,13 +109,13 @@ def _link_stages(kinds: tuple, exclusions: tuple, internal: bool, base: str, roo
     raw = F.array_distinct(F.concat(*[link_kind(k) for k in kinds]))
 
     def valid(u):
-        ok = u.isNotNull() & U.is_crawlable(u) & ~exclusion_predicate(u, exclusions)
+        ok = u.isNotNull() & U.is_normal_crawlable(u) & ~exclusion_predicate(u, exclusions)
         if internal:
-            ok = ok & ~U.is_external(u, F.col(root))
+            ok = ok & (U.normal_domain(u) == F.col(root))
         return ok
 
-    return (F.transform(raw, lambda h: U.resolve(F.col(base), h)), F.transform("_abs", lambda u: U.normalise(u)),
-            F.array_distinct(F.filter("_norm", valid)))
+    return (U.base_parts(base), F.transform(raw, lambda h: U.resolve_at(F.col("_at"), h)),
+            F.transform("_abs", lambda u: U.normalise(u)), F.filter(F.array_distinct("_norm"), valid))
 
 
 def link_arrays(df: DataFrame, settings: CrawlSettings, base: str = "_base", root: str = "_root") -> DataFrame:
@@ -126,8 +126,9 @@ def link_arrays(df: DataFrame, settings: CrawlSettings, base: str = "_base", roo
     Each stage is its own array column so every element is resolved once and
     normalised once (no re-evaluation of a nested expression)."""
     internal = not settings.has("external_links") and not settings.list_mode
-    absolute, normal, links = _link_stages(tuple(enabled_kinds(settings)), tuple(map(tuple, settings.exclusions)), internal, base, root)
-    return df.withColumn("_abs", absolute).withColumn("_norm", normal).withColumn("_links", links).drop("_abs", "_norm")
+    at, absolute, normal, links = _link_stages(tuple(enabled_kinds(settings)), tuple(map(tuple, settings.exclusions)), internal, base, root)
+    staged = df.withColumn("_at", at).withColumn("_abs", absolute).withColumn("_norm", normal)
+    return staged.withColumn("_links", links).drop("_at", "_abs", "_norm")
 
 
 def _staged(pages: DataFrame, settings: CrawlSettings, url: str, html: str) -> DataFrame:

@@ -125,3 +125,25 @@ def test_crawl_status_order(spark):
     got = [r[0] for r in df.select(crawl_status("url", "status_code", "x", "r", "m", "c", "h")).collect()]
     assert got == ["moved permanently, blocked by x-robots-tag, blocked by robots.txt, noindex, canonicalised, "
                    "header canonicalised", "ok", "non-standard response"]
+
+
+def test_short_ways_agree_with_the_long_ones(spark):
+    """What a plain URL skips gives what the whole rule gives."""
+    from sitegraph.functions.urls import _percent_encode, _remove_dots
+
+    paths = ["", "/", "/a", "/a/", "/a/b.c", "/a/./b", "/a/../b", "/..", "/.", "//", "/a//b", "/a/b/..", "a/b", ".", "..", "./x",
+             "/.a/b", "/a.b/c..d", "/a%20b", "/é", "/a b", "/%zz", "/a;b=c,d!$&'()*+:@~_-", "/a\nb", "/a?"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    for drop in (False, True):
+        rows = df.select("p", U.remove_dot_segments(F.col("p"), drop).alias("x"), _remove_dots(F.col("p"), drop).alias("y")).collect()
+        assert [(r["p"], r["x"]) for r in rows] == [(r["p"], r["y"]) for r in rows]
+    rows = df.select("p", U.percent_encode(F.col("p"), U.PATH_SAFE).alias("x"), _percent_encode(F.col("p"), U.PATH_SAFE).alias("y")).collect()
+    assert [(r["p"], r["x"]) for r in rows] == [(r["p"], r["y"]) for r in rows]
+    urls = ["http://www.a.com/", "https://www.www.b.com:8080/x?y=http://c.d/", "http://u:p@www.e.com/", "http://[::1]:80/x", "ftp://f.g/",
+            "http://h.com?x#@z", "mailto:x@y.z", "HTTP://Upper.COM/%7ea/../b"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string").select(U.normalise("u").alias("n")).where("n is not null")
+    rows = df.select("n", U.domain("n").alias("d"), U.normal_domain("n").alias("e"), U.is_crawlable("n").alias("c"),
+                     U.is_normal_crawlable("n").alias("f")).collect()
+    assert len(rows) >= 6
+    for r in rows:
+        assert (r["d"], r["c"]) == (r["e"], r["f"]), r

@@ -137,27 +137,61 @@ NULL_MARK = "\\N"
 
 
 BOM = "\ufeff"
+#: Name of the part with the header: it sorts before Spark's own ``part-00000-...``.
+HEADER_PART = "part-0-header.csv"
 
 
-def export_csv(df: DataFrame, path: str, bom: bool = True) -> None:
+def export_csv(df: DataFrame, path: str, bom: bool = True, one_header: bool = True) -> None:
     """CSV export of any view: header row, comma separated, quoted only
-    where needed, UTF-8.  With ``bom`` every part file starts with the UTF-8
-    byte-order mark spreadsheet programs look for (it is carried by the first
-    header name, so no file is rewritten on the driver)."""
-    if bom and df.columns:
+    where needed, UTF-8, with the byte-order mark spreadsheet programs look
+    for (``bom``).
+
+    With ``one_header`` the folder is one file in pieces: a first part holds
+    the mark and the header, the parts after it hold rows only, in the order
+    of the view.  All parts put together in the order of their names
+    (``cat part-*``, ``hadoop fs -getmerge``) are the one file a user opens;
+    the tasks write them in parallel and nothing passes through one of them.
+    Without it every part is a file of its own, with mark and header."""
+    if bom and not one_header and df.columns:
         df = df.withColumnRenamed(df.columns[0], BOM + df.columns[0])
-    df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8") \
+    df.write.mode("overwrite").option("header", not one_header).option("encoding", "UTF-8") \
         .option("quoteAll", False).option("escape", '"').option("nullValue", NULL_MARK).csv(path)
+    if one_header:
+        fs, folder = _fs(df.sparkSession, path)
+        head = (BOM if bom else "") + ",".join(_csv_name(c) for c in df.columns) + "\n"
+        out = fs.create(df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder, HEADER_PART), True)
+        try:
+            out.write(bytearray(head.encode()))
+        finally:
+            out.close()
+
+
+def _csv_name(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"' if any(c in name for c in ',"\r\n') else name
 
 
 def read_csv_export(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    reader = (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
-              .option("nullValue", NULL_MARK).option("emptyValue", ""))
+    """A CSV export of either form; without ``schema`` all columns are strings."""
+    def reader(header):
+        return (spark.read.option("header", header).option("escape", '"').option("multiLine", True)
+                .option("nullValue", NULL_MARK).option("emptyValue", ""))
+
+    fs, folder = _fs(spark, path)
+    head = spark._jvm.org.apache.hadoop.fs.Path(folder, HEADER_PART)
+    if fs.exists(head):
+        rows = reader(False).option("pathGlobFilter", "part-[0-9][0-9]*")
+        if schema is not None:
+            return rows.schema(schema).csv(path)
+        names = [_unmarked(n) for n in reader(True).csv(head.toString()).columns]
+        return rows.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
     if schema is not None:
-        return reader.schema(schema).csv(path)
-    df = reader.csv(path)
-    first = df.columns[0] if df.columns else None
-    return df.withColumnRenamed(first, first.lstrip(BOM)) if first and first.startswith(BOM) else df
+        return reader(True).schema(schema).csv(path)
+    df = reader(True).csv(path)
+    return df.withColumnRenamed(df.columns[0], _unmarked(df.columns[0])) if df.columns else df
+
+
+def _unmarked(name: str) -> str:
+    return name.lstrip(BOM)
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:

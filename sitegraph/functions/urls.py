@@ -8,7 +8,8 @@ UDF.  Behaviour follows the crawler being re-expressed:
   it (left-trimmed href; scheme-relative, absolute-path, query-only,
   fragment-only and relative paths; dot segments removed, empty middle
   segments dropped on a merge).
-* ``normalise(url)``: lower-case scheme and host, default port removed, dot
+* ``normalise(url)``: lower-case scheme and host, hosts beyond ASCII in their ``xn--``
+  form, default port removed, dot
   segments removed, path and query percent-encoded (see ``percent_encode``),
   empty path -> ``/``, userinfo kept, fragment dropped; NULL when there is no
   host or the port is not a number in 0..65535.
@@ -19,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitegraph.functions.idna import ascii_host
 from sitegraph.functions.text import WS_CLASS
 
 SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
@@ -81,7 +83,7 @@ def host(url) -> Column:
     ``page.html``)."""
     u = _c(url)
     u = F.when(u.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+\-]*:|/)"), u).otherwise(F.concat(F.lit("//"), u))
-    return F.lower(parts(u)["host"])
+    return let(F.lower(parts(u)["host"]), ascii_host)
 
 
 def _port_ok(port: Column) -> Column:
@@ -93,12 +95,11 @@ def domain(url) -> Column:
     u = _c(url)
     u2 = F.when(u.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+\-]*:|/)"), u).otherwise(F.concat(F.lit("//"), u))
 
-    def dom(p):
-        h = F.lower(p["host"])
+    def dom(p, h):
         ok = h.isNotNull() & _port_ok(p["port"]) & ~h.rlike(WS_CLASS)
         return F.when(ok, F.regexp_replace(h, r"^www\.", "")).otherwise(F.lit(""))
 
-    return let(parts(u2), dom)
+    return let(parts(u2), lambda p: let(ascii_host(F.lower(p["host"])), lambda h: dom(p, h)))
 
 
 def remove_dot_segments(path: Column, drop_empty_middle: bool = False) -> Column:
@@ -229,8 +230,11 @@ def normalise(url, base=None) -> Column:
 
 
 def _normalise(p: Column) -> Column:
+    return let(ascii_host(F.lower(p["host"])), lambda h: _joined(p, h))
+
+
+def _joined(p: Column, h: Column) -> Column:
     scheme = F.lower(p["scheme"])
-    h = F.lower(p["host"])
     port_num = p["port"].try_cast("int")
     default_port = (((scheme == "http") & (port_num == 80)) | ((scheme == "https") & (port_num == 443)))
     port = F.when((p["port"] == "") | default_port, F.lit("")).otherwise(
@@ -247,9 +251,8 @@ def _normalise(p: Column) -> Column:
 
 def robots_url(url) -> Column:
     """``scheme://host/robots.txt`` of a URL (no port, no query)."""
-    return let(parts(url), lambda p: F.when(
-        F.lower(p["host"]) != "",
-        F.concat(F.lower(p["scheme"]), F.lit("://"), F.lower(p["host"]), F.lit("/robots.txt"))))
+    return let(parts(url), lambda p: let(ascii_host(F.lower(p["host"])), lambda h: F.when(
+        h != "", F.concat(F.lower(p["scheme"]), F.lit("://"), h, F.lit("/robots.txt")))))
 
 
 def path_and_query(url) -> Column:

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitegraph.functions import urls as U
+from sitegraph.functions.idna import ascii_host
 
 RE_AGENT = r"(?i)^user-agent\s*:"
 RE_ALLOW = r"(?i)^allow\s*:"
@@ -44,7 +45,7 @@ def parse_rules(robots: DataFrame, host: str = "host", text: str = "robots_text"
                 status: str = "status_code") -> DataFrame:
     """(host, line, grp, kind, value): agent and rule lines with their group."""
     # one response per host: an answered one if there is any, the first by text among several
-    answers = robots.groupBy(F.lower(F.col(host)).alias("host")).agg(
+    answers = robots.groupBy(ascii_host(F.lower(F.col(host))).alias("host")).agg(
         F.min(F.struct(F.coalesce(F.col(status) != 200, F.lit(True)).alias("failed"), F.col(text).alias("text"))).alias("r"))
     lines = (answers.filter(~F.col("r.failed"))
              .select("host", F.posexplode(F.split(F.col("r.text"), r"\r?\n", -1)).alias("line", "raw")))

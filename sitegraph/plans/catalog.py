@@ -27,7 +27,7 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every plan module so that its queries register."""
     from sitegraph.plans import (  # noqa: F401
-        crawl_reports, discovery, url_plans, page_plans, robots_plans, stream_plans,
+        crawl_reports, discovery, url_plans, page_plans, robots_plans, stream_plans, idna_plans,
     )
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitegraph.functions import urls as U
+from sitegraph.functions.idna import ascii_host
 from sitegraph.settings import CrawlSettings
 
 FETCH_SCHEMA = T.StructType([
@@ -203,7 +204,7 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
 def robots_source(robots: DataFrame) -> DataFrame:
     """robots.txt responses keyed by host: the text counts only with status
     200; other statuses mean "no rules" (text NULL)."""
-    return robots.select(F.lower("host").alias("host"),
+    return robots.select(ascii_host(F.lower("host")).alias("host"),
                          F.when(F.col("status_code") == 200, F.col("robots_text")).alias("robots_text"),
                          "status_code")
 

@@ -5,8 +5,8 @@ with equal text are one weighted point (so copies share a shard); a group heavie
 than an eighth of a shard is dealt into several points.  The tree halves its
 cells at distributed weighted medians: per level one aggregate finds each cell's
 widest dimension, then histogram rounds narrow the median of all cells at once.
-Only histograms (at most 2^16 buckets a round) reach the driver; the finished tree is two
-constant arrays, and every row finds its leaf by expression.
+The cells are a table, joined with the rows by the cell that each row carries, so
+plans do not grow with the number of leaves; only row counts reach the driver.
 
 Cases: null text has size 1 and the group of the empty text; null source or
 language is a coordinate of its own; repeated rows are separate rows of one group;
@@ -20,11 +20,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import Tables, tasks, utf8
+from sitegraph.llm.common import Tables, positions, utf8
 
 GRID = 31                       # bits of a coordinate
-HISTOGRAM_BITS = 16             # a histogram round collects at most 2^this buckets over all cells
-ROWS_PER_RUN = 1 << 16          # rows that one slot-numbering group should hold
+FAN_BITS = 12                   # a histogram round cuts the range of each open cell into 2^this buckets
 DIMENSIONS = ("x_size", "x_source", "x_lang", "x_id")
 #: A cut is fine enough when the bucket it falls in weighs less than this share of its cell.
 CLOSE = 1 / 1024
@@ -70,105 +69,79 @@ def shard(spark: SparkSession, docs: DataFrame, leaves: int | None = None,
         "doc_id", "size", "text_crc32",
         *[F.shiftleft(c.cast("long"), 63 - GRID - 1).bitwiseOR(
             F.shiftrightunsigned(F.xxhash64("digest", "deal", F.lit(k)), GRID + 2)).alias(d)
-          for k, (d, c) in enumerate(coordinate.items())])
+          for k, (d, c) in enumerate(coordinate.items())], F.lit(0).cast("int").alias("shard"))
     points = store.write(placed, "points")
     store.drop(rows)
 
-    tree = _grow(points, leaves)
-    out = points.withColumn("shard", _leaf(tree))
-    return _number(store, out.select("doc_id", "size", "text_crc32", "shard"))
-
-
-def _grow(points: DataFrame, leaves: int) -> list[dict]:
-    """Cells of the tree by heap number (children of i: 2i+1, 2i+2); an inner cell
-    has ``dim`` and ``cut`` (keys up to the cut go left), a leaf its ``shard``."""
-    cells: dict[int, dict] = {0: {"leaves": leaves, "first": 0}}
-    level = [0]
-    while level := [i for i in level if cells[i]["leaves"] > 1]:
-        here = points.withColumn("cell", _walk(cells)).where(F.col("cell").isin(level))
-        wide = here.groupBy("cell").agg(F.sum("size").alias("w"), *[
-            f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))]).collect()
-        search = {}
-        for r in wide:
-            spread = [r[f"hi_{d}"] - r[f"lo_{d}"] for d in DIMENSIONS]
-            k = max(range(len(spread)), key=lambda j: (spread[j], -j))
-            n = cells[r["cell"]]["leaves"]
-            search[r["cell"]] = {"dim": k, "lo": r[f"lo_{DIMENSIONS[k]}"], "hi": r[f"hi_{DIMENSIONS[k]}"],
-                                 "need": r["w"] * (n // 2) / n, "close": r["w"] * CLOSE, "below": 0, "cut": None}
-        while open_ := {i: s for i, s in search.items() if s["cut"] is None}:
-            fan = max(4, HISTOGRAM_BITS - len(open_).bit_length())
-            for s in open_.values():
-                s["step"] = ((s["hi"] - s["lo"]) >> fan) + 1
-            key, bucket = F.lit(None).cast("long"), F.lit(None).cast("long")
-            for i, s in open_.items():
-                at = F.col(DIMENSIONS[s["dim"]])
-                inside = (F.col("cell") == i) & at.between(s["lo"], s["hi"])
-                bucket = F.when(inside, F.expr(f"({DIMENSIONS[s['dim']]} - {s['lo']}L) div {s['step']}L")).otherwise(bucket)
-                key = F.when(inside, F.lit(i).cast("long")).otherwise(key)
-            hist: dict[int, list] = {i: [] for i in open_}
-            for r in here.select(key.alias("key"), bucket.alias("bucket"), "size").where("key is not null") \
-                    .groupBy("key", "bucket").agg(F.sum("size").alias("w")).collect():
-                hist[r["key"]].append((r["bucket"], r["w"]))
-            for i, s in open_.items():
-                _narrow(s, sorted(hist[i]))
-        following = []
-        for i in level:
-            s, n, first = search.get(i), cells[i]["leaves"], cells[i]["first"]
-            half = n // 2
-            cells[i] |= {"dim": s["dim"], "cut": s["cut"]} if s else {"dim": 0, "cut": 0}
-            cells[2 * i + 1] = {"leaves": half, "first": first}
-            cells[2 * i + 2] = {"leaves": n - half, "first": first + half}
-            following += [2 * i + 1, 2 * i + 2]
-        level = following
-    return cells
-
-
-def _narrow(s: dict, hist: list[tuple[int, int]]) -> None:
-    """Go into the bucket where the running weight passes ``need``, or set the cut."""
-    below = s["below"]
-    for bucket, w in hist:
-        if below + w >= s["need"]:
-            lo = s["lo"] + bucket * s["step"]
-            if s["step"] == 1 or w <= s["close"]:
-                s["cut"] = lo + s["step"] - 1 if below + w - s["need"] <= s["need"] - below else lo - 1
-            else:
-                s |= {"below": below, "lo": lo, "hi": min(s["hi"], lo + s["step"] - 1)}
-            return
-        below += w
-    s["cut"] = s["hi"]
-
-
-def _walk(cells: dict[int, dict]) -> Column:
-    """The deepest cell of a row, one step per level; constant arrays by heap number."""
-    top = max(cells)
-    deep = (top + 1).bit_length() - 1
-    dims = F.array(*[F.lit(cells.get(i, {}).get("dim", -1)) for i in range(top + 1)])
-    cuts = F.array(*[F.lit(int(cells.get(i, {}).get("cut") or 0)).cast("long") for i in range(top + 1)])
-    at = F.lit(0)
-    for _ in range(deep):
-        step = F.transform(F.array(at), lambda c: F.when(F.element_at(dims, c + 1) < 0, c).otherwise(
-            c * 2 + 1 + (F.element_at(F.array(*DIMENSIONS), F.element_at(dims, c + 1) + 1)
-                         > F.element_at(cuts, c + 1)).cast("int")))
-        at = F.element_at(step, 1)
-    return at
-
-
-def _leaf(cells: dict[int, dict]) -> Column:
-    shards = F.array(*[F.lit(cells.get(i, {}).get("first", 0)) for i in range(max(cells) + 1)])
-    return F.element_at(shards, _walk(cells) + 1)
+    return _number(store, _grow(store, points, leaves))
+
+
+def _grow(store: Tables, points: DataFrame, leaves: int) -> DataFrame:
+    """``points`` (a table, all in ``shard`` 0) in their leaves.  A level halves every cell of two
+    or more leaves; a cell is named by its first leaf, and each row carries the name of its
+    cell on."""
+    cells = store.write(store.spark.range(1).select(F.lit(0).cast("int").alias("shard"), F.lit(leaves).alias("leaves")), "cells")
+    for _ in range((leaves - 1).bit_length()):
+        cuts = _cuts(store, points, cells.where("leaves > 1"))
+        right = F.element_at(F.array(*DIMENSIONS), F.col("dim") + 1) > F.col("cut")
+        moved = points.join(cuts, "shard", "left").select(
+            "doc_id", "size", "text_crc32", *DIMENSIONS,
+            F.when(right, F.col("shard") + F.expr("leaves div 2")).otherwise(F.col("shard")).cast("int").alias("shard"))
+        below = store.write(moved, "level")
+        half = F.expr("cast(leaves div 2 as int)")
+        cells = store.write(cuts.select("shard", half.alias("leaves")).unionAll(
+            cuts.select((F.col("shard") + half).alias("shard"), (F.col("leaves") - half).alias("leaves"))), "cells")
+        store.drop(points, cuts)
+        points = below
+    return points
+
+
+def _cuts(store: Tables, points: DataFrame, cells: DataFrame) -> DataFrame:
+    """(shard, leaves, dim, cut): the weighted median of each cell along its widest dimension;
+    keys up to the cut stay left.  All cells are narrowed together: a round cuts the range of
+    each open cell into buckets, sums the sizes in them and goes into the bucket that holds the
+    median.  The table of cells stays in Spark; a round tells the driver how many are open."""
+    ends = points.join(cells, "shard").groupBy("shard").agg(
+        F.max("leaves").alias("leaves"), F.sum("size").alias("w"),
+        *[f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))])
+    # the widest dimension, the first of equals
+    wide = F.array_max(F.array(*[F.struct(
+        (F.col(f"hi_{d}") - F.col(f"lo_{d}")).alias("spread"), F.lit(-k).alias("k"),
+        F.col(f"lo_{d}").alias("lo"), F.col(f"hi_{d}").alias("hi")) for k, d in enumerate(DIMENSIONS)]))
+    now = store.write(ends.withColumn("v", wide).selectExpr(
+        "shard", "leaves", "-v.k as dim", "v.lo as lo", "v.hi as hi", "cast(null as bigint) as cut", "0L as below",
+        "cast(w as double) * (leaves div 2) / leaves as need", f"w * {CLOSE} as close"), "cuts")
+    while now.where("cut is null").limit(1).count():
+        open_ = now.where("cut is null").withColumn("step", F.expr(f"shiftright(hi - lo, {FAN_BITS}) + 1"))
+        at = F.element_at(F.array(*DIMENSIONS), F.col("dim") + 1)
+        hist = points.join(open_.select("shard", "dim", "lo", "hi", "step"), "shard").withColumn("at", at) \
+            .where("at between lo and hi").groupBy("shard", F.expr("(at - lo) div step").alias("bucket")) \
+            .agg(F.sum("size").alias("w"))
+        upto = hist.selectExpr("shard", "bucket", "w", "sum(w) over (partition by shard order by bucket"
+                               " rows between unbounded preceding and current row) as upto")
+        found = upto.join(open_.select("shard", "below", "need"), "shard").where("below + upto >= need") \
+            .groupBy("shard").agg(F.min(F.struct("bucket", "w", "upto")).alias("m"))
+        met = now.join(open_.select("shard", "step"), "shard", "left").join(found, "shard", "left").selectExpr(
+            "shard", "leaves", "dim", "lo", "hi", "cut", "below", "need", "close", "step",
+            "lo + m.bucket * step as first", "m.w as w", "below + m.upto as after")
+        after = store.write(met.selectExpr(
+            "shard", "leaves", "dim", "coalesce(if(cut is null, first, null), lo) as lo",
+            "if(cut is null, least(hi, first + step - 1), hi) as hi",
+            # a bucket that is light enough, or a single key, is the cut: on the side nearer to the median
+            "case when cut is not null then cut when first is null then hi when step = 1 or w <= close then"
+            " if(after - need <= need - (after - w), first + step - 1, first - 1) end as cut",
+            "if(cut is null, coalesce(after - w, below), below) as below", "need", "close"), "cuts")
+        store.drop(now)
+        now = after
+    return now
 
 
 def _number(store: Tables, rows: DataFrame) -> DataFrame:
-    """Add ``slot``: gapless from 0 in each shard.  Rows are numbered in hashed runs
-    of a shard; a running count over the runs (a table of counts) shifts them."""
-    kept = store.write(rows, "leaves")
-    n = kept.count()
-    runs = max(tasks(store.spark), n // ROWS_PER_RUN)
-    kept = kept.withColumn("run", F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), runs))
-    kept = store.write(kept, "runs")
-    counts = kept.groupBy("shard", "run").agg(F.count("*").alias("rows")).selectExpr(
-        "shard", "run", "sum(rows) over (partition by shard order by run rows between unbounded preceding"
-                        " and current row) - rows as before")
-    return kept.join(counts, ["shard", "run"]).selectExpr(
-        "doc_id", "size", "text_crc32", "shard",
-        "before + row_number() over (partition by shard, run order by doc_id, text_crc32) - 1 as slot")
+    """Add ``slot``: gapless from 0 in each shard, in the order of doc_id and text_crc32, so slots
+    do not depend on how files are split (rows alike in both are exchangeable; the row number
+    that ends the order only keeps many of them out of one task)."""
+    named = rows.select("doc_id", "size", "text_crc32", "shard", F.monotonically_increasing_id().alias("row"))
+    placed = positions(store, named, ["shard", "doc_id", "text_crc32", "size", "row"])
+    store.drop(rows)
+    first = placed.groupBy("shard").agg(F.min("pos").alias("first"))
+    return placed.join(first, "shard").selectExpr("doc_id", "size", "text_crc32", "shard", "pos - first as slot")

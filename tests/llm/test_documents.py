@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tables import docs  # noqa: F401
 
 from sitegraph.llm import attention, mixing, packing, quality, scoring, sharding, toxicity, warc
+from sitegraph.llm.common import Tables
 from sitegraph.llm.tokens import encoder, tokenizer_path
 
 TOKENIZER = tokenizer_path("word_bpe_49k.json")
@@ -391,3 +392,62 @@ def test_pipeline_equals_brute_force(spark, docs, tmp_path):
     packed = corpus_pipeline.run(spark, path).collect()
     e = encoder(TOKENIZER).tokenizer
     assert sum(x["length"] for x in packed) == sum(len(e.encode(t, add_special_tokens=False).ids) + 1 for _, t in steps[3])
+
+
+def kd_cells(points, leaves, first=0):
+    """Brute force: (row, shard) of points (row, size, key, key, ...), cut by the definition with
+    the same bucket widths."""
+    if leaves == 1 or not points:
+        return [(p[0], first) for p in points]
+    spread = [max(p[k] for p in points) - min(p[k] for p in points) for k in range(2, 6)]
+    dim = 2 + spread.index(max(spread))
+    total, half = sum(p[1] for p in points), leaves // 2
+    need, lo, hi = total * half / leaves, min(p[dim] for p in points), max(p[dim] for p in points)
+    cut = None
+    while cut is None:
+        step = ((hi - lo) >> sharding.FAN_BITS) + 1
+        below = sum(p[1] for p in points if p[dim] < lo)
+        for p in sorted((p for p in points if lo <= p[dim] <= hi), key=lambda p: p[dim]):
+            bucket = (p[dim] - lo) // step
+            inside = sum(q[1] for q in points if lo <= q[dim] <= hi and (q[dim] - lo) // step == bucket)
+            before = sum(q[1] for q in points if q[dim] < lo + bucket * step)
+            if before + inside >= need:
+                break
+        start = lo + bucket * step
+        if step == 1 or inside <= total * sharding.CLOSE:
+            cut = start + step - 1 if before + inside - need <= need - before else start - 1
+        else:
+            assert below <= before
+            lo, hi = start, min(hi, start + step - 1)
+    left, right = [p for p in points if p[dim] <= cut], [p for p in points if p[dim] > cut]
+    return kd_cells(left, half, first) + kd_cells(right, leaves - half, first + half)
+
+
+@pytest.mark.parametrize("leaves", [1, 2, 5, 16])
+def test_sharding_cuts_as_brute_force(spark, leaves):
+    rng = random.Random(leaves)
+    few = [0, 1 << 40, (1 << 62) - 1]
+    rows = [(k, rng.choice([1, 5, 900]), rng.randrange(1 << 62), rng.choice(few), rng.choice(few) + rng.randrange(9), k << 40)
+            for k in range(180)]
+    store = Tables(spark, "test")
+    points = store.write(spark.createDataFrame([(r[0], r[1], 7, *r[2:], 0) for r in rows], "doc_id long, size long, text_crc32 long, "
+                                               + "".join(f"{d} long, " for d in sharding.DIMENSIONS) + "shard int").repartition(3), "points")
+    got = sharding._grow(store, points, leaves).collect()
+    assert sorted((r["doc_id"], r["shard"]) for r in got) == sorted(kd_cells(rows, leaves))
+
+
+def test_sharding_into_many_leaves(spark, docs):
+    rng = random.Random(3)
+    made = docs([(k, "w" * rng.randint(1, 60) + f" {k}", "en", f"s{k % 7}") for k in range(20_000)], extra=False)
+    out = sharding.shard(spark, made, leaves=1024)
+    rows = out.groupBy("shard").agg(F.sum("size").alias("b"), F.min("slot").alias("lo"), F.max("slot").alias("hi"),
+                                    F.countDistinct("slot").alias("n")).collect()
+    assert len(rows) == 1024 and all((r["lo"], r["hi"]) == (0, r["n"] - 1) for r in rows)
+    mean = sum(r["b"] for r in rows) / 1024
+    assert max(r["b"] for r in rows) < 1.5 * mean and min(r["b"] for r in rows) > 0.5 * mean
+
+
+def test_slots_do_not_depend_on_the_file_split(spark, docs, rows):
+    made = docs(rows)
+    one, many = (sorted(sharding.shard(spark, made.repartition(n), leaves=4).collect(), key=str) for n in (1, 11))
+    assert one == many

@@ -10,6 +10,8 @@ Which characters IDNA allows is not checked.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
 MOST_DIGITS = 9
 
 
+@lru_cache(maxsize=64)
 def _long(v) -> Column:
     return F.lit(v).cast("long")
 

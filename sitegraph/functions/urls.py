@@ -17,6 +17,8 @@ UDF.  Behaviour follows the crawler being re-expressed:
 
 from __future__ import annotations
 
+from functools import lru_cache, wraps
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,6 +58,18 @@ def let(value: Column, body) -> Column:
 _CUT = "\u0001\uffff\u0001"
 
 
+def once_per_name(build):
+    """Expressions over column names alone are built once per process (a build is some hundred
+    calls to the JVM)."""
+    kept = lru_cache(maxsize=64)(build)
+
+    @wraps(build)
+    def call(url, base=None):
+        args = (url,) if base is None else (url, base)
+        return (kept if all(isinstance(a, str) for a in args) else build)(*args)
+    return call
+
+
 def parts(url) -> Column:
     """Components of a URL as a struct (strings; '' when absent), by one match of URL_RE.
     Bind it with ``let`` before its fields are used."""
@@ -77,6 +91,7 @@ def parts(url) -> Column:
     return let(let(_c(url), cut), fields)
 
 
+@once_per_name
 def host(url) -> Column:
     """Lower-cased host as a lenient parser sees it: a string with no scheme
     and no leading ``/`` is read as ``//`` + string (so ``page.html`` has host
@@ -90,6 +105,7 @@ def _port_ok(port: Column) -> Column:
     return (port == "") | (port.rlike(r"^[0-9]{1,5}$") & (port.try_cast("int") <= 65535))
 
 
+@once_per_name
 def domain(url) -> Column:
     """Host without one leading ``www.``; '' when there is none or it is unparsable."""
     u = _c(url)
@@ -221,6 +237,7 @@ def _percent_encode(s: Column, safe: str) -> Column:
     return F.array_join(F.transform(tokens, enc), "")
 
 
+@once_per_name
 def normalise(url, base=None) -> Column:
     """Clean a URL (optionally resolving it against ``base`` first)."""
     u = F.regexp_replace(F.regexp_replace(_c(url), STRIP_ANYWHERE, ""), "^" + WS_CLASS + "+", "")
@@ -249,6 +266,7 @@ def _joined(p: Column, h: Column) -> Column:
     return F.when(ok, out)
 
 
+@once_per_name
 def robots_url(url) -> Column:
     """``scheme://host/robots.txt`` of a URL (no port, no query)."""
     return let(parts(url), lambda p: let(ascii_host(F.lower(p["host"])), lambda h: F.when(

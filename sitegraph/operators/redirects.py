@@ -16,6 +16,8 @@ fetcher.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,18 +38,32 @@ def _header(headers: Column, name: str) -> Column:
     return F.coalesce(F.try_element_at(lowered, F.lit(name)), F.lit(""))
 
 
+@lru_cache(maxsize=16)
+def _first_domain(url: str) -> Column:
+    return U.domain(initial_url("history", url))
+
+
+@lru_cache(maxsize=1)
+def _hop_urls() -> Column:
+    return F.transform("history", lambda h: U.normalise(h["url"]))
+
+
+def _leaves(hop: Column, root: Column) -> Column:
+    """``is_external`` of a normalised hop (NULL: no URL, not external)."""
+    return F.coalesce((U.normal_domain(hop) != "") & (U.normal_domain(hop) != root), F.lit(False))
+
+
 def redirect_rows(fetches: DataFrame, settings: CrawlSettings, robots: DataFrame | None = None,
                   url: str = "url", keep: tuple = ("page_id",)) -> DataFrame:
     """Hop rows of every redirected fetch."""
     keep = [k for k in keep if k in fetches.columns]
     f = fetches.filter(F.size("history") > 0).select(*keep, url, "history")
     root = (F.lit(settings.root_domain) if settings.root_domain is not None
-            else U.domain(initial_url("history", url)))
-    f = f.withColumn("_root", root).withColumn(
-        "_hop_urls", F.transform("history", lambda h: U.normalise(h["url"])))
+            else _first_domain(url))
+    f = f.withColumn("_root", root).withColumn("_hop_urls", _hop_urls())
     if not settings.has("external_links"):
         # 1-based position of the first external hop, 0 when none
-        first_ext = F.array_position(F.transform("_hop_urls", lambda u: U.is_external(u, F.col("_root"))), True)
+        first_ext = F.array_position(F.transform("_hop_urls", lambda u: _leaves(u, F.col("_root"))), True)
         f = f.withColumn("_cut", F.when(first_ext > 0, first_ext - 1))
     else:
         f = f.withColumn("_cut", F.lit(None).cast("int"))

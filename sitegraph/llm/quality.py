@@ -6,7 +6,9 @@ source: a value keeps its first 7 binary digits, so a bucket is within 1/128 of
 values, counts of any two parts add up to the count of the whole, and quantiles come
 from running counts.  A document fails a rate that lies far outside the quartiles of
 its own language and source (``REACH`` interquartile ranges, plus a slack, beyond
-them); a group with fewer than ``LEAST_ROWS`` rows is judged by the sketch of all.
+them).  The quartiles of a group of n rows stand for n rows, those of its language for
+``PRIOR`` rows more: they are averaged with these weights at every size, so a small group
+leans on its language, a large one on itself, and nothing switches in between.
 
 Cases: null text counts as empty (no words: the base rule fails); null language or
 source is a group of its own; repeated rows are judged alike; an empty table gives
@@ -26,7 +28,7 @@ SYMBOL = r"[#*$%&|<>]"
 WINDOW = 5
 DIGITS = 7                      # binary digits a bucket keeps
 REACH = 6
-LEAST_ROWS = 100
+PRIOR = 100                     # rows that the quartiles of the language count for
 #: rate -> (numerator, denominator, scale, slack); a rate is an integer in 1/scale.
 RATES = {
     "symbol_rate": ("n_symbols", "word_chars", 1_000_000, 20_000),
@@ -99,12 +101,12 @@ def fences(measured: DataFrame) -> DataFrame:
                                 for r in RATES]))
     sketch = measured.select("lang", "source", rates.alias("v")).groupBy("lang", "source", "v.rate", "v.bucket") \
         .agg(F.count("*").alias("n"))
-    whole = sketch.groupBy("rate", "bucket").agg(F.sum("n").alias("n"))
+    spoken = sketch.groupBy("lang", "rate", "bucket").agg(F.sum("n").alias("n"))
     own = _quartiles(sketch, ["lang", "source"])
-    every = _quartiles(whole, []).drop("rows")
-    joined = own.join(every.select("rate", *[F.col(q).alias(f"all_{q}") for q in ("q1", "q3")]), "rate")
-    for q in ("q1", "q3"):
-        joined = joined.withColumn(q, F.when(F.col("rows") >= LEAST_ROWS, F.col(q)).otherwise(F.col(f"all_{q}")))
+    wide = _quartiles(spoken, ["lang"]).selectExpr("lang as _lang", "rate as _rate", "q1 as l1", "q3 as l3")
+    joined = own.join(wide, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("rate") == F.col("_rate")))
+    for q, of_language in (("q1", "l1"), ("q3", "l3")):
+        joined = joined.withColumn(q, F.expr(f"(rows * {q} + {PRIOR} * {of_language}) div (rows + {PRIOR})"))
     slack = F.element_at(F.create_map(*[F.lit(x) for r, v in RATES.items() for x in (r, v[3])]), F.col("rate"))
     reach = (F.col("q3") - F.col("q1")) * REACH + slack
     ranges = joined.select("lang", "source", "rate", (F.col("q1") - reach).alias("lo"), (F.col("q3") + reach).alias("hi"))
@@ -182,12 +184,12 @@ own AS (SELECT lang, source, rate, count(*) AS n,
                min(CASE WHEN 4 * upto >= n_all THEN bucket END) AS q1, min(CASE WHEN 4 * upto >= 3 * n_all THEN bucket END) AS q3
         FROM (SELECT *, count(*) OVER (PARTITION BY lang, source, rate ORDER BY bucket) AS upto,
                      count(*) OVER (PARTITION BY lang, source, rate) AS n_all FROM b) GROUP BY lang, source, rate),
-every AS (SELECT rate, min(CASE WHEN 4 * upto >= n_all THEN bucket END) AS a1,
-                 min(CASE WHEN 4 * upto >= 3 * n_all THEN bucket END) AS a3
-          FROM (SELECT *, count(*) OVER (PARTITION BY rate ORDER BY bucket) AS upto,
-                       count(*) OVER (PARTITION BY rate) AS n_all FROM b) GROUP BY rate),
-q AS (SELECT lang, source, rate, CASE WHEN n >= {LEAST_ROWS} THEN q1 ELSE a1 END AS q1,
-             CASE WHEN n >= {LEAST_ROWS} THEN q3 ELSE a3 END AS q3 FROM own JOIN every USING (rate)),
+wide AS (SELECT lang, rate, min(CASE WHEN 4 * upto >= n_all THEN bucket END) AS l1,
+                min(CASE WHEN 4 * upto >= 3 * n_all THEN bucket END) AS l3
+         FROM (SELECT *, count(*) OVER (PARTITION BY lang, rate ORDER BY bucket) AS upto,
+                      count(*) OVER (PARTITION BY lang, rate) AS n_all FROM b) GROUP BY lang, rate),
+q AS (SELECT own.lang, source, own.rate, (n * q1 + {PRIOR} * l1) // (n + {PRIOR}) AS q1, (n * q3 + {PRIOR} * l3) // (n + {PRIOR}) AS q3
+      FROM own JOIN wide ON own.rate = wide.rate AND own.lang IS NOT DISTINCT FROM wide.lang),
 f AS (SELECT *, {REACH} * (q3 - q1) + CASE rate {slack} END AS reach FROM q),
 ok AS (SELECT r.doc_id, bool_and(r.v <= q3 + reach AND (r.rate NOT IN ({low}) OR r.v >= q1 - reach)) AS inside
        FROM r JOIN f ON r.rate = f.rate AND r.lang IS NOT DISTINCT FROM f.lang

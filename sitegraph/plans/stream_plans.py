@@ -94,15 +94,14 @@ FROM (SELECT *, count_if(outcome = 'ok') OVER (PARTITION BY url ORDER BY ts, eve
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 0 AS before_ok FROM fx_attempts) GROUP BY url"""))
 def q_stream_attempts(spark, sf):
     att = fixture(spark, sf, "fx_attempts").select("url", "outcome", "ts", "event_id")
-    # three files in the order of their times: a micro-batch each, the last one read by a second run
+    # three parts in the order of their times: a micro-batch each (all files that are new), read by three runs
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     lo, hi = att.agg(F.percentile_approx(at, [0.3, 0.7])).first()[0] or (0, 0)
-    parts = [at < lo, (at >= lo) & (at < hi), at >= hi]
     source, folder = scratch_path(spark, "attempts-src"), scratch_path(spark, "attempts")
-    T.write_chunks([att.filter(p).coalesce(1) for p in parts[:2]], source)
-    T.run_attempt_counter(spark, source, folder=folder)
-    T.write_chunks([att.filter(parts[2]).coalesce(1)], source)
-    return T.run_attempt_counter(spark, source, folder=folder)
+    for part in (at < lo, (at >= lo) & (at < hi), at >= hi):
+        T.write_chunks([att.filter(part)], source)
+        out = T.run_attempt_counter(spark, source, max_files=1 << 20, folder=folder)
+    return out
 
 
 # -- T1 in full: fetches -> crawl step per micro-batch -------------------------

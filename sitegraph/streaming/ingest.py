@@ -357,7 +357,19 @@ def run_throughput(spark: SparkSession, source: str, ts: str = "ts", window: str
     return _latest_per_key(spark.read.parquet(sink), ["window_start", "window_end"])
 
 
-ATTEMPTS = "failures bigint, successes bigint, before_ok bigint"
+def attempt_counts(rows: DataFrame, url: str, outcome: str, ok_value: str, ts: str, seq: str) -> DataFrame:
+    """``url, failures, successes, early`` of a set of attempts; early: the failures before the
+    first success by (ts, seq), all if there is none.  Aggregates and one join that AQE may split,
+    so neither many URLs nor a hot one need more than their rows."""
+    at = F.struct(F.col(ts).isNull(), F.col(ts), F.col(seq).isNull(), F.col(seq))  # nulls last
+    each = rows.select(F.col(url).alias("url"), F.coalesce(F.col(outcome) == ok_value, F.lit(False)).alias("ok"), at.alias("at"))
+    total = each.groupBy("url").agg(F.count_if(~F.col("ok")).alias("failures"), F.count_if("ok").alias("successes"),
+                                    F.min(F.when(F.col("ok"), F.col("at"))).alias("first"))
+    first = total.where("successes > 0").select(F.col("url").alias("key"), "first")
+    late = each.where("not ok").join(first, F.col("url").eqNullSafe(F.col("key"))).where("at >= first") \
+        .groupBy("key").agg(F.count("*").alias("late"))
+    return total.join(late, F.col("url").eqNullSafe(F.col("key")), "left").select(
+        "url", "failures", "successes", (F.col("failures") - F.coalesce("late", F.lit(0))).alias("early"))
 
 
 def run_attempt_counter(spark: SparkSession, source: str, url: str = "url", outcome: str = "outcome",
@@ -367,33 +379,25 @@ def run_attempt_counter(spark: SparkSession, source: str, url: str = "url", outc
     rule of the failure rows (``failed_urls``: more failures before the first success
     than the retry limit).
 
-    The state of a URL is three counts: failures, successes, failures before its first
-    success.  Attempts count in the order they arrive: micro-batch by micro-batch, inside one
-    by (ts, seq).  Each micro-batch emits the URLs it touched; ``folder`` keeps that and the
-    checkpoint, so a later run reads only the files that are new."""
+    Attempts count in the order they arrive: micro-batch by micro-batch, inside one by (ts, seq).
+    Each micro-batch emits three counts of each URL it touched: its failures, successes, and
+    failures before its first success.  They add up: a URL's failures before its first success
+    are those of its batches up to the first with a success.  ``folder`` keeps them and the
+    checkpoint, so a later run reads only the files that are new, and a replayed batch
+    overwrites its own counts."""
     folder = folder or scratch_path(spark, "attempts")
-
-    def count(keys, frames, state):
-        failures, successes, before = state.get if state.exists else (0, 0, 0)
-        times = pd.concat([pd.DataFrame({"ts": f[ts], "seq": f[seq], "ok": f[outcome] == ok_value}) for f in frames])
-        ok = times[times["ok"]]
-        failed = times[~times["ok"]]
-        if not successes:
-            first = ok.sort_values(["ts", "seq"]).iloc[:1]
-            early = failed if not len(first) else failed[(failed["ts"] < first["ts"].iloc[0]) | (
-                (failed["ts"] == first["ts"].iloc[0]) & (failed["seq"] < first["seq"].iloc[0]))]
-            before += len(early)
-        now = (failures + len(failed), successes + len(ok), before)
-        state.update(now)
-        yield pd.DataFrame([(*keys, *now)], columns=["url", "failures", "successes", "before_ok"])
-
-    rows = _file_stream(spark, source, max_files).select(url, outcome, ts, seq)
-    counts = rows.groupBy(F.col(url).alias("url")).applyInPandasWithState(
-        count, f"url string, {ATTEMPTS}", ATTEMPTS, "update", "NoTimeout")
-    q = (counts.writeStream.outputMode("update")
-         .foreachBatch(lambda df, bid: df.write.mode("overwrite").parquet(f"{folder}/counts/batch_id={bid}"))
+    q = (_file_stream(spark, source, max_files).writeStream
+         .foreachBatch(lambda df, bid: attempt_counts(df, url, outcome, ok_value, ts, seq)
+                       .write.mode("overwrite").parquet(f"{folder}/counts/batch_id={bid}"))
          .option("checkpointLocation", f"{folder}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    now = _latest_per_key(spark.read.parquet(f"{folder}/counts"), ["url"])
-    return now.select(F.col("url").alias(url), "failures", "successes", (F.col("before_ok") > max_retries).alias("over_limit"))
+    # per URL the batches in order of arrival, three numbers each
+    batch = F.struct("batch_id", "successes", "early")
+    now = spark.read.parquet(f"{folder}/counts").groupBy("url").agg(
+        F.sum("failures").alias("failures"), F.sum("successes").alias("successes"), F.collect_list(batch).alias("batches"))
+    ended = F.array_min(F.transform(F.filter("batches", lambda b: b["successes"] > 0), lambda b: b["batch_id"]))
+    before = F.aggregate(F.filter("batches", lambda b: F.col("ended").isNull() | (b["batch_id"] <= F.col("ended"))),
+                         F.lit(0).cast("long"), lambda sum_, b: sum_ + b["early"])
+    return now.withColumn("ended", ended).select(F.col("url").alias(url), "failures", "successes",
+                                                 (before > max_retries).alias("over_limit"))

@@ -443,3 +443,33 @@ def test_a_crash_while_compacting_loses_nothing(spark, monkeypatch):
     want = {tuple(r) for r in store.current().collect()}
     store._write_base(store.current())  # the new base stands, the batch is still in the log
     assert {tuple(r) for r in store.current().collect()} == want
+
+
+def test_attempts_of_many_urls_count_like_the_rows_in_order(spark):
+    import random
+    from sitegraph.streaming.ingest import run_attempt_counter, write_chunks
+
+    r, kind = random.Random(8), "url string, outcome string, ts int, event_id int"
+    src, folder = scratch_path(spark, "at-many"), scratch_path(spark, "at-many-out")
+    state, got = {}, None
+    for _ in range(3):
+        rows = [(r.choice([None, *"abcdefghijkl"]), r.choice(["ok", "x", "x", "x", None]), r.choice([None, *range(30)]),
+                 k) for k in range(150)]
+        for url, outcome, *_ in sorted(rows, key=lambda x: (x[2] is None, x[2] or 0, x[3])):  # no time: last, as in the SQL
+            failures, successes, before = state.get(url, (0, 0, 0))
+            ok = outcome == "ok"
+            state[url] = (failures + (not ok), successes + ok, before + (not ok and not successes))
+        write_chunks([spark.createDataFrame(rows, kind).repartition(3)], src)
+        got = run_attempt_counter(spark, src, folder=folder, max_files=100, max_retries=3)
+    assert {tuple(x) for x in got.collect()} == {(u, f, s, b > 3) for u, (f, s, b) in state.items()}
+    # no Python per URL: the counts are aggregates
+    assert "Pandas" not in got._jdf.queryExecution().toString()
+
+
+def test_attempts_with_a_missing_time_come_last(spark):
+    from sitegraph.streaming.ingest import run_attempt_counter, write_chunks
+
+    src = scratch_path(spark, "at-null")
+    rows = [("a", "x", k, k) for k in range(6)] + [("a", "ok", None, 1)]
+    write_chunks([_chunk(spark, rows, "url string, outcome string, ts int, event_id int")], src)
+    assert {tuple(x) for x in run_attempt_counter(spark, src).collect()} == {("a", 6, 1, True)}

@@ -23,6 +23,9 @@ What ends an element:
 
 from __future__ import annotations
 
+from array import array
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +55,9 @@ WITHIN = {
 WEIGHT = {"p": 10, "div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180, "table": 190,
           "head": 200, "body": 200, "html": 220}
 
+#: Pages of an Arrow batch that are Python objects at a time.
+PAGES = 16
+
 TREE = "struct<level: array<int>, parent: array<int>, end: array<int>, hits: array<bigint>>"
 
 
@@ -142,16 +148,30 @@ def walk(names: list[str], matches: list[int] | None, steps: Steps):
     return level, parent, end, hits
 
 
+def trees(names: pa.Array, matches: pa.Array, steps: Steps) -> pa.StructArray:
+    """``walk`` of every page of a batch.  Only PAGES pages are Python objects at a time; what
+    is found grows as plain numbers."""
+    columns = {"level": array("i"), "parent": array("i"), "end": array("i"), "hits": array("q")}
+    ends, missing = array("i", [0]), []
+    for at in range(0, len(names), PAGES):
+        for page, bits in zip(names.slice(at, PAGES).to_pylist(), matches.slice(at, PAGES).to_pylist(), strict=True):
+            for column, values in zip(columns.values(), walk(page or [], bits, steps), strict=True):
+                column.extend(values)
+            ends.append(len(columns["level"]))
+            missing.append(page is None)
+    offsets = pa.array(np.frombuffer(ends, np.int32))
+    kinds = [np.int32, np.int32, np.int32, np.int64]
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(column, kind))) for column, kind in zip(columns.values(), kinds, strict=True)]
+    return pa.StructArray.from_arrays(lists, names=list(columns), mask=pa.array(missing, pa.bool_()))
+
+
 def nesting(tokens, matches: Column | None = None, steps: Steps | None = None) -> Column:
     """The tree of a token array, and which elements meet which steps (``matches``: per token
     the steps that it matches by itself)."""
     steps = steps or Steps()
 
     def tree(names: pa.Array, matches: pa.Array) -> pa.Array:
-        found = [None if page is None else dict(zip(("level", "parent", "end", "hits"), walk(page, bits, steps), strict=True))
-                 for page, bits in zip(names.to_pylist(), matches.to_pylist(), strict=True)]
-        ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-        return pa.array(found, pa.struct([("level", ints), ("parent", ints), ("end", ints), ("hits", longs)]))
+        return trees(names, matches, steps)
 
     workers_find_package()
     bits = matches if matches is not None else F.array().cast("array<bigint>")

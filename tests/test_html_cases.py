@@ -163,3 +163,27 @@ def test_selectors_need_no_exchange_and_read_pages_once(spark):
     plan = extraction_table(pages, CrawlSettings(extractions=chosen))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
     assert plan.count("ArrowEvalPython") == 1 and plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") == 1
+
+
+def test_trees_of_a_batch_are_held_as_numbers():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from sitegraph.operators import dom
+
+    page = [*["ul", "li", "b", "/b", "", "br/", "li", "/ul"] * 40, "p", ""]
+    steps = dom.Steps(anywhere=1)
+    pages = [page[k % 7:] for k in range(2000)] + [None, []]
+    bits = [[1] * len(p or []) for p in pages]
+    names, matches = pa.array(pages, pa.list_(pa.string())), pa.array(bits, pa.list_(pa.int64()))
+    tracemalloc.start()
+    got = dom.trees(names.slice(1), matches.slice(1), steps)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [None if p is None else dict(zip(("level", "parent", "end", "hits"), dom.walk(p, b, steps), strict=True))
+            for p, b in zip(pages[1:], bits[1:], strict=True)]
+    assert got.to_pylist() == want
+    numbers = sum(len(p or []) for p in pages) * 20     # three ints and a long per token
+    assert peak < 2.5 * numbers                         # as Python objects: over ten times that
+    assert dom.trees(pa.array([], pa.list_(pa.string())), pa.array([], pa.list_(pa.int64())), steps).to_pylist() == []

@@ -392,12 +392,8 @@ def run_attempt_counter(spark: SparkSession, source: str, url: str = "url", outc
          .option("checkpointLocation", f"{folder}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    # per URL the batches in order of arrival, three numbers each
-    batch = F.struct("batch_id", "successes", "early")
-    now = spark.read.parquet(f"{folder}/counts").groupBy("url").agg(
-        F.sum("failures").alias("failures"), F.sum("successes").alias("successes"), F.collect_list(batch).alias("batches"))
-    ended = F.array_min(F.transform(F.filter("batches", lambda b: b["successes"] > 0), lambda b: b["batch_id"]))
-    before = F.aggregate(F.filter("batches", lambda b: F.col("ended").isNull() | (b["batch_id"] <= F.col("ended"))),
-                         F.lit(0).cast("long"), lambda sum_, b: sum_ + b["early"])
-    return now.withColumn("ended", ended).select(F.col("url").alias(url), "failures", "successes",
-                                                 (before > max_retries).alias("over_limit"))
+    counts = spark.read.parquet(f"{folder}/counts")
+    ended = counts.where("successes > 0").groupBy(F.col("url").alias("key")).agg(F.min("batch_id").alias("ended"))
+    before = F.sum(F.when(F.col("ended").isNull() | (F.col("batch_id") <= F.col("ended")), F.col("early")).otherwise(0))
+    return counts.join(ended, F.col("url").eqNullSafe(F.col("key")), "left").groupBy(F.col("url").alias(url)).agg(
+        F.sum("failures").alias("failures"), F.sum("successes").alias("successes"), (before > max_retries).alias("over_limit"))

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import duckdb
@@ -395,6 +396,37 @@ def test_gradient():
             assert abs((up - down) / 2e-5 - own) < 1e-5
 
 
+def test_class_scores_are_held_for_few_positions_at_a_time():
+    r = np.random.default_rng(3)
+    classes = np.arange(2000) % attention.CLASSES
+    w = attention.start_weights(classes)
+    ids, texts = r.integers(0, 2000, (1024, attention.SPAN)), np.zeros((1024, attention.SPAN), int)
+    goal, weight = classes[ids[:, attention.STRIDE:]], np.ones((1024, attention.STRIDE), np.float32)
+    tracemalloc.start()
+    attention.gradient(w, ids, texts, goal, weight)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * goal.size * attention.CLASSES * 4
+
+
+def test_large_class_scores_stay_finite():
+    r = np.random.default_rng(5)
+    size = 2 * attention.CLASSES
+    classes = np.arange(size) % attention.CLASSES
+    w = attention.start_weights(classes)
+    w["b"] += np.linspace(-300, 300, attention.CLASSES, dtype=np.float32)
+    stream, text, target = r.integers(0, size, 100), np.zeros(100, int), r.integers(0, size, 100)
+    got = attention.Scorer(w, classes, np.zeros(size, np.float32)).score(stream, text, target)
+    ids = attention.windows(stream, 0)[1:-1]
+    goal, weight = classes[ids[:, attention.STRIDE:]], np.ones((len(ids), attention.STRIDE), np.float32)
+    loss, g = attention.gradient(w, ids, np.zeros_like(ids), goal, weight)
+    w["b"] += np.float32(500)
+    assert np.isfinite(got).all()
+    assert np.allclose(attention.Scorer(w, classes, np.zeros(size, np.float32)).score(stream, text, target), got, atol=0.01)
+    other, h = attention.gradient(w, ids, np.zeros_like(ids), goal, weight)
+    assert abs(loss - other) < 1e-3 and all(np.allclose(g[n], h[n], atol=1e-4) for n in g)
+
+
 def test_pipeline_equals_brute_force(spark, docs, tmp_path):
     import corpus_pipeline
 

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import tracemalloc
 import zlib
 
@@ -427,6 +428,39 @@ def test_large_class_scores_stay_finite():
     assert abs(loss - other) < 1e-3 and all(np.allclose(g[n], h[n], atol=1e-4) for n in g)
 
 
+def test_runtime_kernels_give_the_numpy_results_in_less_time():
+    r = np.random.default_rng(8)
+    size, n = 3000, 3 * attention.CHUNK
+    classes = r.integers(0, attention.CLASSES, size)
+    w = attention.start_weights(classes)
+    w["d"] += r.normal(0, 1, attention.SPAN).astype(np.float32)
+    fast, plain = (attention.Scorer(w, classes, r.normal(0, 1, size).astype(np.float32) * 0, fast=x) for x in (True, False))
+    assert fast.loops and not plain.loops
+    took = {}
+    for length in (1, 17, n * attention.STRIDE + 5, 40):        # a short one after a long one: buffers hold old windows
+        stream, target = r.integers(0, size, (2, length))
+        text = np.sort(r.integers(0, 1 + length // 90, length))
+        got = []
+        for scorer in (fast, plain):
+            got.append(scorer.score(stream, text, target))
+            runs = []
+            for _ in range(5):
+                at = time.process_time()
+                scorer.score(stream, text, target)
+                runs.append(time.process_time() - at)
+            took[length, scorer.loops is None] = min(runs)
+        assert got[0].shape == (length,) and np.allclose(*got, atol=1e-4)
+    longest = n * attention.STRIDE + 5
+    assert took[longest, False] < 0.8 * took[longest, True]
+    for many in (n + 7, 5):
+        ids, goal = r.integers(0, size, (many, attention.SPAN)), r.integers(0, attention.CLASSES, (many, attention.STRIDE))
+        texts = np.sort(r.integers(-1, 2, (many, attention.SPAN)), axis=1)
+        weight = (r.random((many, attention.STRIDE)) * (r.random((many, attention.STRIDE)) < 0.8)).astype(np.float32)
+        (loss, g), (want, h) = (f(w, ids, texts, goal, weight) for f in (attention.gradient, attention.plain_gradient))
+        assert abs(loss - want) < 1e-4 and g.keys() == h.keys()
+        assert all(np.allclose(g[k], h[k], rtol=1e-3, atol=1e-6) for k in g)
+
+
 def test_pipeline_equals_brute_force(spark, docs, tmp_path):
     import corpus_pipeline
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tables import docs  # noqa: F401
 
 from sitegraph.llm import attention, mixing, packing, quality, scoring, sharding, toxicity, warc
-from sitegraph.llm.common import Tables
+from sitegraph.llm.common import Tables, added, distinct
 from sitegraph.llm.tokens import encoder, tokenizer_path
 
 TOKENIZER = tokenizer_path("word_bpe_49k.json")
@@ -461,6 +461,22 @@ def test_runtime_kernels_give_the_numpy_results_in_less_time():
         assert all(np.allclose(g[k], h[k], rtol=1e-3, atol=1e-6) for k in g)
 
 
+def test_distinct_hashes_and_added_counts():
+    r = np.random.default_rng(11)
+    few = r.integers(0, 1 << 63, 50, dtype=np.uint64) * np.uint64(2)
+    near = (np.uint64(1) << np.uint64(40)) + r.integers(0, 5, 300).astype(np.uint64)     # equal but for the low bits
+    for keys in (np.zeros(0, np.uint64), few[:1], r.choice(few, 4000), near, np.concatenate([near, r.choice(few, 500)]),
+                 np.array([(1 << 64) - 1, 0, (1 << 64) - 1], np.uint64)):
+        for got, want in zip(distinct(keys), np.unique(keys, return_index=True, return_inverse=True), strict=True):
+            assert got.dtype == want.dtype and np.array_equal(got, want)
+    keys, counts, want = np.zeros(0, np.int32), np.zeros(0, np.int64), collections.Counter()
+    for n in (0, 7, 1, 0, 400, 400):
+        new, c = np.unique(r.integers(0, 500, n).astype(np.int32), return_counts=True)
+        want.update(dict(zip(new.tolist(), c.tolist(), strict=True)))
+        keys, counts = added(keys, counts, new, c)
+        assert keys.dtype == np.int32 and keys.tolist() == sorted(want) and counts.tolist() == [want[k] for k in sorted(want)]
+
+
 def test_pipeline_equals_brute_force(spark, docs, tmp_path):
     import corpus_pipeline
 
